@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import mixing, sharding, urls
+from quillflow.llm import mixing, sharding, simhash, toxicity, urls
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -27,7 +27,27 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), "allow")
 
 
-QUERIES = {"op1_source_mix": op1_source_mix, "op2_byte_shards": op2_byte_shards, "op5_url_filter": op5_url_filter}
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def remainder(n: int) -> Column:
+    """crc32 of the id's text, modulo n: what holds a labelled row out."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def toxic_grammar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Grammar:
+    return toxicity.fit(docs, table(spark, sf_dir, "labels").filter(remainder(5) != 0))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxic_grammar(spark, docs, sf_dir), "doc_id")
+    return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_source_mix": op1_source_mix, "op2_byte_shards": op2_byte_shards, "op5_url_filter": op5_url_filter, "op6_simhash_dedup": op6_simhash_dedup, "op10_toxicity": op10_toxicity}
 
 ORACLES = {
     "op5_url_filter": r"""
