@@ -70,11 +70,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Texts:
     """Some consecutive texts of an Arrow array: bytes, and words as byte ranges with 64-bit hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int):
-        self.first, self.rows = first, len(offsets) - 1
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, space: np.ndarray = SPACE):
+        self.first, self.rows, self._bytes = first, len(offsets) - 1, None
         self.data, self.at = data[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
         n = len(self.data)
-        word = ~SPACE[self.data]
+        word = ~space[self.data]
         new = np.zeros(n + 1, bool)
         new[self.at] = True
         apart = new[1:n] if n else new[:0]
@@ -89,26 +89,43 @@ class Texts:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.word_at))
 
-    def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word; data: the bytes to hash instead of the texts' own."""
-        data = self.data if data is None else data
-        power, back = _powers(_BASE, len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
-
-    def grams(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of n consecutive words from each word on, and which of them lie within one text."""
-        count = max(0, len(words) - n + 1)
-        power, back = _powers(_GRAM, len(words))
-        total = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * power[: len(words)], out=total[1:])
-        gram = mix((total[n : n + count] - total[:count]) * back[:count] + np.uint64(n))
-        ends = np.repeat(self.word_at[1:], np.diff(self.word_at))[:count]
-        return gram, np.arange(count) + n <= ends
-
-
-def texts(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Texts]:
+    def sums(self, flags: np.ndarray) -> np.ndarray:
+        """How many of the texts' bytes are flagged, by row."""
+        total = np.concatenate([[0], np.cumsum(flags)])
+        return total[self.at[1:]] - total[self.at[:-1]]
+
+    def byte_ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the bytes from start to end."""
+        power, back = _powers(_BASE, len(self.data))
+        if self._bytes is None:
+            self._bytes = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(_BYTE[self.data] * power[: len(self.data)], out=self._bytes[1:])
+        return mix((self._bytes[end] - self._bytes[start]) * back[start] + (end - start).astype(np.uint64))
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        return self.byte_ranges(self.start, self.end)
+
+    def ends(self) -> np.ndarray:
+        """For each word, where its text's words end."""
+        return np.repeat(self.word_at[1:], np.diff(self.word_at))
+
+
+def word_ranges(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the sequences of word hashes from start to end."""
+    power, back = _powers(_GRAM, len(words))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], out=total[1:])
+    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+
+
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n consecutive words from each word on, also across texts."""
+    start = np.arange(max(0, len(words) - n + 1))
+    return word_ranges(words, start, start + n)
+
+
+def texts(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES, space: np.ndarray = SPACE) -> Iterator[Texts]:
     """The rows of a string column in slices of about limit bytes; a null is an empty text, a longer text a slice of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -122,5 +139,5 @@ def texts(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Itera
     row = 0
     while row < n:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
-        yield Texts(data, offsets[row : last + 1], row)
+        yield Texts(data, offsets[row : last + 1], row, space)
         row = last

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import mixing, sharding, simhash, toxicity, urls
+from quillflow.llm import mixing, quality_rules, sharding, simhash, substring, toxicity, urls
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -32,6 +32,16 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.cut_repeats(table(spark, sf_dir, "documents"), length=13, seed=5)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), stratum="lang", limit=0.02, level=0.05)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed_rules"))
+
+
 def remainder(n: int) -> Column:
     """crc32 of the id's text, modulo n: what holds a labelled row out."""
     return F.crc32(F.col("doc_id").cast("string")) % n
@@ -47,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_source_mix": op1_source_mix, "op2_byte_shards": op2_byte_shards, "op5_url_filter": op5_url_filter, "op6_simhash_dedup": op6_simhash_dedup, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_source_mix": op1_source_mix, "op2_byte_shards": op2_byte_shards, "op5_url_filter": op5_url_filter, "op6_simhash_dedup": op6_simhash_dedup, "op8_substring_dedup": op8_substring_dedup, "op9_quality_rules": op9_quality_rules, "op10_toxicity": op10_toxicity}
 
 ORACLES = {
     "op5_url_filter": r"""

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,7 +147,7 @@ def _score_batches(grammar: Grammar, drop: float | None = None):
             if drop is None:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), scores], [*(c for c in batch.schema.names if c != "text"), "score"])
             else:
-                yield batch.filter(pa.compute.less(scores, drop))
+                yield batch.filter(pc.less(scores, drop))
 
     return run
 
