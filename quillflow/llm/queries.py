@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import mixing, quality_rules, sharding, simhash, substring, toxicity, urls
+from quillflow.llm import classifier, decontamination, language_model, mixing, quality_rules, sharding, simhash, substring, toxicity, urls
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -23,6 +23,16 @@ def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score(table(spark, sf_dir, "documents"), order=2, size=1 << 16, least=2, backoff=0.4)
+    return scored.withColumn("score", F.round("score", 6))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), "allow")
 
@@ -32,6 +42,13 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = classifier.fit(docs, table(spark, sf_dir, "labels").filter(remainder(4) != 2), per_class=1500)
+    scored = classifier.score(docs, model, "doc_id")
+    return scored.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.cut_repeats(table(spark, sf_dir, "documents"), length=13, seed=5)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -57,7 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_source_mix": op1_source_mix, "op2_byte_shards": op2_byte_shards, "op5_url_filter": op5_url_filter, "op6_simhash_dedup": op6_simhash_dedup, "op8_substring_dedup": op8_substring_dedup, "op9_quality_rules": op9_quality_rules, "op10_toxicity": op10_toxicity}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_shards, op3_decontamination, op4_language_model, op5_url_filter, op6_simhash_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_toxicity)}
 
 ORACLES = {
     "op5_url_filter": r"""
