@@ -6,8 +6,9 @@ the 64-bit fingerprint is 1 if it is set in over half of the shingles' XXH64 has
 Only different fingerprints are compared; copies ride along. Each is put into one table for every choice of KEPT of the BLOCKS blocks of bits:
 two fingerprints that differ in up to BLOCKS - KEPT bits agree in all the blocks of some choice. Those that share a table's key are verified
 within the key's group by Hamming distance, which yields links that span the group's close ones, not all pairs. A group of over `group`
-fingerprints is not compared pairwise: each member is listed under the words at one and two flipped bits of what the key leaves open, and
-members that meet there, one of them within one bit, are within three bits of each other; the least such near member links the others.
+fingerprints is not compared pairwise: the bits that its key leaves open are cut into blocks in the same way, for tables with half as many open
+bits. Should a group there be as large again, each member is listed under the words at one and two flipped bits of what the key leaves open;
+members that meet there, one of them within one bit, are within three bits of each other, and the least such near member links the others.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows that repeat are one class; the component id is the
 least doc_id reachable, null ids left out (null if there are none); an empty table gives no rows.
@@ -29,9 +30,18 @@ from quillflow.llm.components import roots
 
 SEED = 42
 BLOCKS, KEPT = 6, 3
-#: (first bit, bits) of each block.
-_BLOCK = [(sum(64 // BLOCKS + (j < 64 % BLOCKS) for j in range(i)), 64 // BLOCKS + (i < 64 % BLOCKS)) for i in range(BLOCKS)]
-MASKS = [sum(((1 << n) - 1) << at for at, n in choice) for choice in itertools.combinations(_BLOCK, KEPT)]
+
+
+def _masks(bits: list[int]) -> list[int]:
+    """A mask for each choice of KEPT of the BLOCKS blocks into which these bits are cut."""
+    cuts = [len(bits) * i // BLOCKS for i in range(BLOCKS + 1)]
+    blocks = [sum(1 << x for x in bits[i:j]) for i, j in itertools.pairwise(cuts)]
+    return [sum(choice) for choice in itertools.combinations(blocks, KEPT)]
+
+
+#: What the tables' keys keep of a fingerprint, and for each of these tables, what its finer tables keep.
+MASKS = _masks([*range(64)])
+FINER = [[m | x for x in _masks([i for i in range(64) if not m >> i & 1])] for m in MASKS]
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -85,8 +95,19 @@ def links(fps: DataFrame, bits: int = 3, group: int = 2048) -> DataFrame:
     """fps: fp, all different. Links (a, b) that connect all fingerprints with paths of links of up to bits bits; bits is at most BLOCKS - KEPT."""
     if bits > BLOCKS - KEPT:
         raise ValueError(f"at most {BLOCKS - KEPT} bits")
-    masks = [_signed(m) for m in MASKS]
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
+    kept = lambda masks: F.transform(F.array(*[F.lit(_signed(m)) for m in masks]), lambda m: F.col("fp").bitwiseAND(m))
+    near, over = _within_groups(fps.select("fp", F.posexplode(kept(MASKS)).alias("t", "key")), bits, group)
+    if over.isEmpty():
+        return near
+    finer = F.array(*[kept(masks) for masks in FINER])[F.col("t")]
+    opened = over.select("t", "fp", F.posexplode(finer).alias("n", "key")).select((F.col("t") * len(FINER[0]) + F.col("n")).alias("t"), "key", "fp")
+    nearer, rest = _within_groups(opened, bits, group)
+    near = near.unionByName(nearer)
+    return near if rest.isEmpty() else near.unionByName(_links_by_flips(rest, bits))
+
+
+def _within_groups(keyed: DataFrame, bits: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """keyed: t, key, fp. Links (a, b) within the groups of a key, and the members (t, fp) of groups that are too large."""
     keyed = keyed.select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,24 +148,28 @@ def links(fps: DataFrame, bits: int = 3, group: int = 2048) -> DataFrame:
         yield groups(none, none, none, True)
 
     found = stage(keyed.mapInArrow(compare, "t int, a long, b long"), "simhash-links")
-    near = found.filter("t is null").select("a", "b")
-    over = found.filter("t is not null").select("t", F.col("a").alias("fp"))
-    if over.isEmpty():
-        return near
-    return near.unionByName(_links_by_flips(over, bits))
+    return found.filter("t is null").select("a", "b"), found.filter("t is not null").select("t", F.col("a").alias("fp"))
 
 
 def _links_by_flips(members: DataFrame, bits: int) -> DataFrame:
-    """Links within large groups: members (t, fp) of table t; those that share t's key differ only in the bits that t leaves open."""
+    """Links within large groups: members (t, fp) of the finer table t; those that share t's key differ only in the bits that t leaves open."""
+    words = {}
+    for t, mask in enumerate(m for masks in FINER for m in masks):
+        free = [1 << i for i in range(64) if not mask >> i & 1]
+        near = [0, *free] if bits > 1 else [0]
+        far = [x | y for x, y in itertools.combinations(free, 2)] if bits > 2 else free if bits == 1 else []
+        words[t] = (np.array(near + far, np.uint64), len(near))
 
     def flip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, fp in zip(batch.column("t").to_pylist(), batch.column("fp").to_pylist()):
-                free = [1 << i for i in range(64) if not MASKS[t] >> i & 1]
-                near = [0, *free] if bits > 1 else [0]
-                far = [x | y for x, y in itertools.combinations(free, 2)] if bits > 2 else free if bits == 1 else []
-                words = np.array(near + far, np.uint64) ^ np.uint64(fp & (1 << 64) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(words), pa.int32()), pa.array(words.view(np.int64)), pa.array([fp] * len(words), pa.int64()), pa.array([i < len(near) for i in range(len(words))])], ["t", "word", "fp", "near"])
+            ts, fps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "fp"))
+            for t in np.unique(ts).tolist():
+                flips, n_near = words[t]
+                own = fps[ts == t]
+                for at in range(0, len(own), 512):
+                    some = own[at : at + 512]
+                    n = len(some) * len(flips)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array((some.view(np.uint64)[:, None] ^ flips).ravel().view(np.int64)), pa.array(np.repeat(some, len(flips))), pa.array(np.tile(np.arange(len(flips)) < n_near, len(some)))], ["t", "word", "fp", "near"])
 
     listed = members.mapInArrow(flip, "t int, word long, fp long, near boolean")
     hubs = listed.groupBy("t", "word").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("hub"), F.count("*").alias("n")).filter("hub is not null and n > 1").drop("n")
