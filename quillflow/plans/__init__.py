@@ -1 +1 @@
-"""plans."""
+"""Queries over the star schema and the document tables, and their SQL."""
