@@ -125,6 +125,13 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return word_ranges(words, start, start + n)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that what is made of a part's texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES, space: np.ndarray = SPACE) -> Iterator[Texts]:
     """The rows of a string column in slices of about limit bytes; a null is an empty text, a longer text a slice of its own."""
     if isinstance(column, pa.ChunkedArray):
