@@ -120,11 +120,11 @@ def upper_bound(k: int, n: int, level: float) -> float:
 
 
 def cutoff(good: np.ndarray, bad: np.ndarray, limit: float, level: float) -> tuple[float | None, float | None]:
-    """The cutoff of a ladder and its rate's upper bound; good[i], bad[i]: texts over exactly the first i cutoffs (and no more)."""
+    """The cutoff of a ladder and its rate's upper bound; good[i], bad[i]: texts over exactly i cutoffs, which are the i strictest."""
     n = int(good.sum())
     best, chosen, bound = 0, None, None
     for i, value in enumerate(LADDER):
-        lost, caught = int(good[i + 1 :].sum()), int(bad[i + 1 :].sum())
+        lost, caught = int(good[len(LADDER) - i :].sum()), int(bad[len(LADDER) - i :].sum())
         if lost > n * limit or at_most(lost, n, limit) > level:
             break
         if caught - lost > best:
