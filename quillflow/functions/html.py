@@ -20,6 +20,11 @@ PAGE = f"title string, h1 string, body string, links array<{LINK}>, elements arr
 CONTAINERS = {"div", "article", "section", "td", "main"}
 
 
+def _stays(href: str) -> bool:
+    """Whether a link leads nowhere else: its text is part of the page's."""
+    return not href or href == "#" or href.lower().startswith("javascript:")
+
+
 class _Node:
     __slots__ = ("tag", "id", "cls", "depth", "path", "first", "start", "solid", "tags", "br", "p", "link_solid", "children")
 
@@ -35,10 +40,14 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack, self.links, self.elements, self.text = [], [], [], []
+        self.stack, self.links, self.elements, self.text, self.away = [], [], [], [], []
         self.title, self.h1, self.solid, self.tags, self.br, self.p, self.link_solid = [], [], 0, 0, 0, 0, 0
         self.in_link, self.hidden, self.in_title, self.heading, self.done_title, self.done_h1 = None, 0, False, False, False, False
 
+    def _add(self, piece: str, leads_away: bool = False):
+        self.text.append(piece)
+        self.away.append(leads_away)
+
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         if tag in ENDS_P and any(n.tag == "p" for n in self.stack[-3:]):
@@ -48,7 +57,7 @@ class _Page(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.br += 1
-            self.text.append("\n")
+            self._add("\n")
         if tag in VOID:
             return
         parent = self.stack[-1] if self.stack else None
@@ -95,8 +104,9 @@ class _Page(HTMLParser):
         elif node.tag == "a" and self.in_link is not None:
             self.links[self.in_link][2] = len(self.text)
             self.in_link = None
+            self._add("\n", True)
         if node.tag in BREAKS:
-            self.text.append("\n")
+            self._add("\n")
         self.elements.append((node, len(self.links), len(self.text), self.solid, self.tags, self.br, self.p, self.link_solid))
 
     def handle_data(self, data):
@@ -107,7 +117,8 @@ class _Page(HTMLParser):
             return
         if self.heading:
             self.h1.append(data)
-        self.text.append(data)
+        leads_away = self.in_link is not None and not _stays(self.links[self.in_link][0])
+        self._add(data, leads_away)
         solid = len("".join(data.split()))
         self.solid += solid
         if self.in_link is not None:
@@ -129,9 +140,10 @@ def parse(html: str | None) -> dict:
         if n_links < 3 and not container:
             continue
         text = "".join(page.text[node.start : end]) if container else ""
+        own = "".join("\n" if a else x for x, a in zip(page.text[node.start : end], page.away[node.start : end])) if container else ""
         elements.append({
             "tag": node.tag, "id": node.id, "class": node.cls, "depth": node.depth, "selector": node.path, "first_link": node.first, "n_links": n_links, "n_chars": len(" ".join(text.split())),
-            "n_solid": solid - node.solid, "n_link_chars": link_solid - node.link_solid, "n_tags": tags - node.tags + 1, "n_br": br - node.br, "n_p": p - node.p, "text": text,
+            "n_solid": solid - node.solid, "n_link_chars": link_solid - node.link_solid, "n_tags": tags - node.tags + 1, "n_br": br - node.br, "n_p": p - node.p, "text": own,
         })
     return {"title": "".join(page.title).strip(), "h1": " ".join("".join(page.h1).split()), "body": squeeze(0, len(page.text))[:4000], "links": links, "elements": elements}
 
