@@ -37,7 +37,10 @@ def _tail(root: str) -> str:
 
 
 def read_json(spark: SparkSession, root: str, glob: str, schema: str) -> DataFrame:
-    """A row a document below root: path, status (ok, recovered from the .bak beside it, or corrupt) and doc (null if corrupt), of a fixed schema."""
+    """A row a document below root: path, status (ok, recovered from the .bak beside it, or corrupt) and doc (null if corrupt), of a fixed schema.
+
+    Files of no bytes are not listed by Spark, and so count as missing.
+    """
     parse = lambda c: F.from_json(c, schema, {"mode": "PERMISSIVE"})
     sound = lambda c: F.try_parse_json(c).isNotNull()
     main = read_files(spark, root, glob).select("path", "text")
