@@ -53,7 +53,7 @@ def read_json(spark: SparkSession, root: str, glob: str, schema: str) -> DataFra
 
 def read_books(spark: SparkSession, root: str) -> DataFrame:
     """Summaries of all books below root/books, rebuilt from their own documents."""
-    fields = schemas.BOOK.replace(" timestamp", " string")
+    fields = schemas.BOOK.replace(" timestamp", " string").replace(" int", " string")  # coerced below, whatever they were written as
     docs = read_json(spark, f"{root}/books", "book.json", fields).filter("doc is not null")
     return schemas.normalize_book(docs.select("doc.*"))
 
