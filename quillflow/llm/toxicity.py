@@ -4,7 +4,7 @@ The grammar composes five transducers that read a clause as classes of tokens: i
 weight), threats (a threat verb and then whom it is aimed at), targets (second persons make what is said in their clause weigh more), negation
 (weighs less what follows within a few tokens) and reported speech (weighs less the rest of its clause). The composed machine's states are
 tuples of the parts' states; its transitions are tabulated once. A document's total is the sum over its matched clauses less `drift` for each
-of its words (the rate of insults in toxic documents: a long text has some by chance, as in a Poisson likelihood ratio); its score is the
+of its words (a share of the rate of insults in toxic documents: a long text has some by chance, as in a Poisson likelihood ratio); its score is the
 logistic function of total - cut, with the cut fitted on the labelled sample so that 0.5 separates the labels best.
 
 Insults are learned relationally from a bounded sample of labelled documents: forms (words, and word starts with several endings) that are far
@@ -39,6 +39,8 @@ _CLOSED = {w: c for words, c in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPO
 _TOKEN, _CLAUSE_END = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?;:\n]")
 #: Lengths of word starts, and how many endings make one a form.
 STARTS, ENDINGS = range(4, 8), 5
+#: Share of the toxic documents' rate of insults that a document must not reach to be toxic: their rates differ much, and long ones have fewer a word.
+PATIENCE = 0.2
 
 
 # Transducers: {(state, class): (next state, what it does to the clause's weight)}; state 0 begins, and a missing entry stays and does nothing.
@@ -114,10 +116,14 @@ class Grammar:
         return max((self.starts.get(token[:n], 0.0) for n in STARTS if len(token) > n), default=0.0)
 
     def clause(self, text: str) -> float:
-        state, total = 0, 0.0
+        state, total, said = 0, 0.0, set()
         for token in _TOKEN.findall(text):
             weight = self.weight(token)
             state, emitted = MACHINE[state, INSULT if weight else _CLOSED.get(token, OTHER)]
+            if token in said:
+                continue  # an insult that a clause repeats counts once
+            if weight:
+                said.add(token)
             total += emitted * (weight or 1.0)
         return total
 
@@ -162,12 +168,12 @@ def _forms(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STARTS if len(word) > n)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, least: int = 4, odds: float = 2.0) -> Grammar:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, least: int = 4, odds: float = 3.0) -> Grammar:
     """Learn insults and the cut from docs (doc_id, text) labelled by labels (doc_id, toxic).
 
     per_class bounds the sample: so many documents of each label at most, chosen by hash. A form is learned if it follows at least
     max(least, 0.5 % of the toxic sample) different words and at least half as many as there are toxic documents with it, and if the log of
-    its rates' ratio is odds or more. A text counts each pair of neighbouring words once. labels holds the rows to learn from and no others.
+    its rates' ratio is odds or more; of a word start, the ratio of different words with it must be so too. A text counts each pair of neighbouring words once. labels holds the rows to learn from and no others.
     """
     spark = docs.sparkSession
     known = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropDuplicates(["_id"])
@@ -189,20 +195,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, least: int =
     seen = rows.groupBy("form").agg(F.count("*").alias("times"), F.countDistinct("doc_id").alias("docs"), F.countDistinct("before").alias("contexts"), F.countDistinct("word").alias("endings"))
     n_toxic = sample.filter("_toxic = 1").count()
     often = (F.col("contexts") >= max(least, 0.005 * n_toxic)) & (F.col("contexts") * 2 >= F.col("docs")) & (~F.col("form").endswith("*") | (F.col("endings") >= ENDINGS))
-    candidates = {r.form: r.times for r in seen.filter(often).collect()}  # forms of the bounded sample
+    found = seen.filter(often).collect()  # forms of the bounded sample
+    candidates, kinds = {r.form: r.times for r in found}, {r.form: r.endings for r in found}
 
     def all_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Candidates' counts in clean texts, and under an empty form the count of all pairs by label."""
         for batch in batches:
             for toxic, text in zip(batch.column("_toxic").to_pylist(), batch.column("text").to_pylist()):
                 pairs = _pairs(text)
-                forms = [] if toxic else [f for w, _ in pairs for f in _forms(w) if f in candidates]
-                yield pa.RecordBatch.from_pydict({"form": pa.array([*forms, ""], pa.string()), "_toxic": pa.array([toxic] * (len(forms) + 1), pa.int32()), "n": pa.array([1] * len(forms) + [len(pairs)], pa.int64())})
+                forms = [] if toxic else [(f, w) for w, _ in pairs for f in _forms(w) if f in candidates]
+                form, word = zip(*forms, ("", ""))
+                yield pa.RecordBatch.from_pydict({"form": pa.array(form, pa.string()), "word": pa.array(word, pa.string()), "_toxic": pa.array([toxic] * len(form), pa.int32()), "n": pa.array([1] * len(forms) + [len(pairs)], pa.int64())})
 
-    counts = {(r.form, r["_toxic"]): r.n for r in sample.select("_toxic", "text").mapInArrow(all_forms, "form string, _toxic int, n long").groupBy("form", "_toxic").agg(F.sum("n").alias("n")).collect()}
-    in_toxic, in_clean = max(1, counts.get(("", 1), 1)), max(1, counts.get(("", 0), 1))
-    weights = {f: math.log((n + 0.5) / in_toxic) - math.log((counts.get((f, 0), 0) + 0.5) / in_clean) for f, n in candidates.items()}
-    kept = {f: w for f, w in weights.items() if w >= odds}
+    summed = sample.select("_toxic", "text").mapInArrow(all_forms, "form string, word string, _toxic int, n long").groupBy("form", "_toxic").agg(F.sum("n").alias("n"), F.countDistinct("word").alias("kinds")).collect()
+    counts = {(r.form, r["_toxic"]): (r.n, r.kinds) for r in summed}
+    in_toxic, in_clean = (max(1, counts.get(("", k), (1, 0))[0]) for k in (1, 0))
+
+    def ratio(in_one: int, in_other: int) -> float:
+        return math.log((in_one + 0.5) / in_toxic) - math.log((in_other + 0.5) / in_clean)
+
+    weights = {f: (ratio(n, counts.get((f, 0), (0, 0))[0]), ratio(kinds[f], counts.get((f, 0), (0, 0))[1])) for f, n in candidates.items()}
+    kept = {f: w for f, (w, of_kinds) in weights.items() if w >= odds and (of_kinds >= odds / 3 or not f.endswith("*"))}
     starts: dict[str, float] = {}
     for f in sorted((f for f in kept if f.endswith("*")), key=len):
         if any(f.startswith(s) for s in starts):
@@ -213,11 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, least: int =
         starts[f[:-1]] = kept[f]
     words = {f: w for f, w in kept.items() if not f.endswith("*")}
     own = sum(candidates[s + "*"] for s in starts) + sum(candidates[w] for w in words if not any(w.startswith(s) and len(w) > len(s) for s in starts))
-    drift = own / in_toxic
+    drift = PATIENCE * own / in_toxic
     grammar = Grammar(words, starts, drift)
 
-    found = sample.select("_toxic", "text").mapInArrow(_score_batches(grammar), "_toxic int, score double").collect()
-    ranked = sorted(((math.inf if r.score >= 1 else math.log(r.score / (1 - r.score)) + grammar.cut if r.score else -math.inf, r["_toxic"]) for r in found), reverse=True)
+    scored = sample.select("_toxic", "text").mapInArrow(_score_batches(grammar), "_toxic int, score double").collect()
+    ranked = sorted(((math.inf if r.score >= 1 else math.log(r.score / (1 - r.score)) + grammar.cut if r.score else -math.inf, r["_toxic"]) for r in scored), reverse=True)
     n_clean = len(ranked) - n_toxic
     best, at, hits, false = 0.0, 1.0, 0, 0
     for (total, toxic), (below, _) in zip(ranked, [*ranked[1:], (-math.inf, 0)]):
