@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillflow.functions.text import trim
@@ -20,7 +20,7 @@ def title_pairs(books: DataFrame, similarity: float = SAME_BOOK) -> DataFrame:
     Only different skeletons are compared, so books of one title are one row. Candidates share a bigram among their rarest: for a similarity of t two
     sets must share one of the first n - ceil(t * n) + 1 bigrams in an order common to both, here from rare to frequent.
     """
-    titles = books.select(skeleton(F.col("title")).alias("s")).filter("s <> ''").distinct().withColumn("grams", bigrams(F.col("s")))
+    titles = books.select(skeleton(F.coalesce("title", F.lit(""))).alias("s")).filter("s <> ''").distinct().withColumn("grams", bigrams(F.col("s")))
     exploded = titles.select("s", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     frequency = exploded.groupBy("gram").agg(F.count("*").alias("df"))
     ordered = exploded.join(frequency, "gram").groupBy("s", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("by_rarity"))
@@ -37,7 +37,7 @@ def title_families(books: DataFrame, similarity: float = SAME_BOOK) -> DataFrame
     """s and family: skeletons connected by similar pairs, named by the least. Grows by rounds of minima until none changes."""
     pairs = title_pairs(books, similarity)
     links = pairs.select(F.col("skeleton_a").alias("s"), F.col("skeleton_b").alias("t")).unionByName(pairs.select(F.col("skeleton_b").alias("s"), F.col("skeleton_a").alias("t"))).persist()
-    family = books.select(skeleton(F.col("title")).alias("s")).distinct().withColumn("family", F.col("s"))
+    family = books.select(skeleton(F.coalesce("title", F.lit(""))).alias("s")).distinct().withColumn("family", F.col("s"))
     while True:
         reached = links.join(family.withColumnRenamed("s", "t"), "t").groupBy("s").agg(F.min("family").alias("near"))
         grown = family.join(reached, "s", "left").select("s", F.least("family", F.coalesce("near", "family")).alias("family"), (F.coalesce("near", "family") < F.col("family")).alias("moved"))
@@ -50,44 +50,40 @@ def title_families(books: DataFrame, similarity: float = SAME_BOOK) -> DataFrame
 def duplicate_groups(books: DataFrame, similarity: float = SAME_BOOK) -> DataFrame:
     """book_id, group_id (the seed's book_id), keep (the book to keep) and reason of each book in a group of two or more.
 
-    books: book_id, title, author, total_chapters, position. In the order of position each book not yet taken is a seed and takes all later ones of the same
-    title (skeleton equal, or similar enough) whose author agrees with its own or is missing on either side. Which book a seed takes depends
-    on what earlier seeds took, so families of connected titles, which do not touch each other, are walked one by one.
+    books: book_id, title, author, total_chapters, position (different for each). In the order of position each book not yet taken is a seed and takes all
+    later ones of the same title (skeleton equal, or similar enough) whose author agrees with its own or is missing on either side.
+
+    Books of one skeleton and author are always taken together, so only the first of each such class takes part in the walk, and a title that a
+    third of all books has is a few rows of it. Families of connected titles do not touch each other and are walked one by one.
     """
-    named = books.withColumn("s", skeleton(F.col("title"))).join(title_families(books, similarity), "s")
-    rows = named.select("family", "s", "book_id", trim(F.coalesce("author", F.lit(""))).alias("author"), F.coalesce("total_chapters", F.lit(0)).cast("long").alias("total"), F.col("position").cast("long").alias("position"))
+    books = books.withColumn("s", skeleton(F.coalesce("title", F.lit(""))))
+    rows = books.select("s", trim(F.coalesce("author", F.lit(""))).alias("author"), "book_id", F.coalesce("total_chapters", F.lit(0)).cast("long").alias("total"), F.col("position").cast("long").alias("position"))
+    classes = rows.groupBy("s", "author").agg(F.min(F.struct("position", "book_id")).alias("first"))
+    named = classes.join(title_families(books, similarity), "s").select("family", "s", "author", "first.position", "first.book_id")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         grams = {s: {s[i : i + 2] for i in range(max(1, len(s) - 1))} if s else set() for s in group["s"].unique()}
         like = {s: {t for t in grams if s == t or (grams[s] and grams[t] and len(grams[s] & grams[t]) >= similarity * len(grams[s] | grams[t]))} for s in grams}
-        # waiting[(skeleton, author)]: rows in order; a seed takes whole lists, so that each row is looked at once
-        waiting: dict[tuple[str, str], list] = {}
         ordered = group.sort_values(["position", "book_id"]).to_dict("records")
-        for row in ordered:
-            waiting.setdefault((row["s"], row["author"]), []).append(row)
-        authors: dict[str, set[str]] = {}
-        for s, author in waiting:
-            authors.setdefault(s, set()).add(author)
-        taken: set[str] = set()
+        open_: dict[str, set[str]] = {}
+        for c in ordered:
+            open_.setdefault(c["s"], set()).add(c["author"])
         out = []
-        for seed in ordered:
-            if seed["book_id"] in taken:
+        for c in ordered:
+            if c["author"] not in open_[c["s"]]:
                 continue
-            mine = []
-            for s in like[seed["s"]]:
-                for author in authors[s] if not seed["author"] else authors[s] & {"", seed["author"]}:
-                    left = waiting[s, author]
-                    mine += [r for r in left if r["book_id"] not in taken and r is not seed]
-                    waiting[s, author] = []
-            taken.add(seed["book_id"])
-            if mine:
-                taken |= {r["book_id"] for r in mine}
-                members = sorted([seed, *sorted(mine, key=lambda r: (r["position"], r["book_id"]))], key=lambda r: -r["total"])
-                reason = NEARLY if members[0]["s"] == members[1]["s"] else HIGHLY
-                out += [{"book_id": r["book_id"], "group_id": seed["book_id"], "keep": members[0]["book_id"], "reason": reason} for r in members]
-        return pd.DataFrame(out, columns=["book_id", "group_id", "keep", "reason"])
-
-    return rows.groupBy("family").applyInPandas(walk, "book_id string, group_id string, keep string, reason string")
+            for s in like[c["s"]]:
+                taken = open_[s] & {"", c["author"]} if c["author"] else set(open_[s])
+                open_[s] -= taken
+                out += [(s, author, c["book_id"]) for author in sorted(taken)]
+        return pd.DataFrame(out, columns=["s", "author", "group_id"])
+
+    seeds = named.groupBy("family").applyInPandas(walk, "s string, author string, group_id string")
+    grouped = rows.join(seeds, ["s", "author"])
+    first = Window.partitionBy("group_id").orderBy(F.col("total").desc(), "position")
+    best = grouped.withColumn("_n", F.row_number().over(first)).filter("_n <= 2").groupBy("group_id").agg(F.min_by("book_id", "_n").alias("keep"), F.count_distinct("s").alias("titles"), F.count("*").alias("n"))
+    reason = F.when(F.col("titles") == 1, NEARLY).otherwise(HIGHLY)
+    return grouped.join(best.filter("n = 2").select("group_id", "keep", reason.alias("reason")), "group_id").select("book_id", "group_id", "keep", "reason")
 
 
 def merge_duplicates(books: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

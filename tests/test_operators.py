@@ -194,6 +194,11 @@ def test_duplicate_groups(spark):
     df = spark.createDataFrame([(*b, n) for n, b in enumerate(books)], "book_id string, title string, author string, total_chapters int, position int")
     got = {r.book_id: r.group_id for r in dedupe.duplicate_groups(df).collect()}
     assert got == brute_groups(books)
+    rows = {r.book_id: r for r in dedupe.duplicate_groups(df).collect()}
+    chapters_of, at_ = {b[0]: b[3] for b in books}, {b[0]: n for n, b in enumerate(books)}
+    for g in set(got.values()):
+        members = [b for b in got if got[b] == g]
+        assert {rows[b].keep for b in members} == {min(members, key=lambda b: (-chapters_of[b], at_[b]))}
     assert dedupe.duplicate_groups(df.limit(0)).count() == 0
 
 
