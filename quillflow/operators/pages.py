@@ -38,7 +38,7 @@ PAYWALL = [
     ("试读(?:结束|完毕)|试读到此为止", "试读结束提示"),
     ("本章尚未购买|尚未订阅", "尚未购买提示"),
 ]
-AGENT = "NovelTool/1.0"
+AGENT = "quillflow/0.1"
 
 
 def valid_links(links: Column) -> Column:

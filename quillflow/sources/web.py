@@ -18,7 +18,7 @@ from quillflow.functions.html import parsed
 from quillflow.functions.urls import absolute, host
 from quillflow.operators import pages as P
 
-AGENT, TIMEOUT_S, PAGES = "NovelTool/1.0", 20, 20
+AGENT, TIMEOUT_S, PAGES = "quillflow/0.1", 20, 20
 FIRST_DELAY_S, RETRIES = 0.8, 3
 #: Seconds between two requests to one host; a machine's own address needs less.
 INTERVAL_S, OWN_INTERVAL_S = 3.0, 0.03
