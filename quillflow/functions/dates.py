@@ -27,3 +27,14 @@ def next_check(mode: Column, since: Column) -> Column:
 def millis(c: Column) -> Column:
     """Milliseconds since the epoch; 0 for null."""
     return F.coalesce(F.unix_millis(c.cast("timestamp")), F.lit(0).cast("long"))
+
+
+def relative(c: Column, now: Column) -> Column:
+    """How long ago a time was, in words: just now, minutes, hours, yesterday, days; the date from a week on."""
+    minutes = F.floor((millis(now) - millis(c)) / 60_000)
+    days = F.date_diff(now, c)
+    count = lambda n, unit: F.concat(n.cast("long").cast("string"), F.lit(f" {unit}前"))
+    return (
+        F.when(c.isNull(), "").when(minutes < 1, "刚刚").when(minutes < 60, count(minutes, "分钟")).when(days == 0, count(F.floor(minutes / 60), "小时"))
+        .when(days == 1, "昨天").when(days < 7, count(days, "天")).otherwise(day(c))
+    )

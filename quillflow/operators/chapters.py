@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillflow.functions.text import char_count, content_hash, trim
+from quillflow.functions.text import chapter_file, char_count, content_hash, safe_name, trim
 from quillflow.functions.titles import chapter_number
 from quillflow.schemas import CHAPTER_FAILED, CHAPTER_OK, FETCH_DONE, FETCH_NONE, FETCH_PARTIAL, chapter_state
 
@@ -181,3 +181,13 @@ def verify(chapters: DataFrame, expected: DataFrame) -> DataFrame:
 def unfinished(chapters: DataFrame) -> DataFrame:
     """Chapters that a resumed fetch has still to get."""
     return chapters.filter(chapter_state() != CHAPTER_OK)
+
+
+def export_chapters(chapters: DataFrame) -> DataFrame:
+    """book_id, index, path (where a library keeps the text), file (a name to save it under) and text of each chapter."""
+    return chapters.select("book_id", "index", F.concat_ws("/", F.lit("books"), "book_id", F.lit("chapters"), chapter_file("index")).alias("path"), F.concat(safe_name("title"), F.lit(".txt")).alias("file"), F.coalesce("content", F.lit("")).alias("text"))
+
+
+def with_issues(chapters: DataFrame) -> DataFrame:
+    """Only the places that the diagnosis found something at, each once, with what it found."""
+    return diagnose(chapters).groupBy("book_id", "chapter_index").agg(F.array_sort(F.collect_set("type")).alias("types"))

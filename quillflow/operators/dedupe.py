@@ -139,3 +139,8 @@ def plan_captures(captures: DataFrame, chapters: DataFrame) -> DataFrame:
     action = F.when(F.col("same_text").isNotNull(), "skip").when(fill, "fill").when(F.col("same_title").isNotNull(), "replace").otherwise("append")
     place = F.when(F.col("same_text").isNotNull(), F.col("same_text")).when(fill, F.col("number")).when(F.col("same_title").isNotNull(), F.col("same_title")).otherwise(F.coalesce("total", F.lit(0)) + 1)
     return rows.select("capture_id", "book_id", action.alias("action"), place.cast("int").alias("chapter_index"))
+
+
+def capture_counts(plans: DataFrame) -> DataFrame:
+    """A row a book: captures to save and to skip."""
+    return plans.groupBy("book_id").agg(F.count_if(F.col("action") != "skip").alias("saved"), F.count_if(F.col("action") == "skip").alias("skipped"))

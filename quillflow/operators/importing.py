@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillflow.functions import encoding
 from quillflow.functions.text import char_count, content_hash, trim, unix_newlines
 from quillflow.functions.titles import MAX_LINE, heading_pattern, is_heading
+from quillflow.operators import chapters as chapter_ops
 from quillflow.operators import cleaning
 
 WHOLE, PREFACE = "全文", "卷首"
@@ -82,3 +83,8 @@ def import_texts(rows: DataFrame, rule: str = "default", pattern: str | None = N
     done = cleaning.clean(chapters, "content", **clean)
     out = done.withColumns({"content": F.col("cleaned"), "char_count": char_count("cleaned"), "content_hash": content_hash("cleaned")})
     return out.select(*chapters.columns)
+
+
+def rechapterize(chapters: DataFrame, rule: str = "default", pattern: str | None = None) -> DataFrame:
+    """Books' texts put together from their chapters and divided anew; a preview as long as nobody writes it."""
+    return chapterize(chapter_ops.source_text(chapters), rule, pattern)

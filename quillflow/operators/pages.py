@@ -73,6 +73,17 @@ def toc_candidates(parsed: DataFrame, key: str = "page_id", most: int = 10) -> D
     return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most)
 
 
+def toc_links(parsed: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+    """key, index, title, url: the links of each page's best table of contents, absolute, each where it stands first."""
+    best = toc_candidates(parsed, key, 1).select(F.col(key).alias("_key"), "first_link", "selector")
+    spans = parsed.select(F.col(key).alias("_k"), F.explode("elements").alias("e")).select("_k", F.col("e.selector").alias("_s"), F.col("e.first_link").alias("_f"), F.col("e.n_links").alias("_n"))
+    ranges = best.join(spans, (F.col("_key") == F.col("_k")) & (F.col("selector") == F.col("_s")) & (F.col("first_link") == F.col("_f"))).groupBy("_key", "_f").agg(F.max("_n").alias("_n"))
+    links = page_links(parsed, key, url)
+    inside = links.join(ranges, (F.col(key) == F.col("_key")) & (F.col("n") >= F.col("_f")) & (F.col("n") < F.col("_f") + F.col("_n")))
+    order = Window.partitionBy(key).orderBy("n")
+    return inside.select(key, F.row_number().over(order).alias("index"), "title", F.col("link").alias("url"))
+
+
 def content_candidates(parsed: DataFrame, key: str = "page_id", most: int = 10) -> DataFrame:
     """The best blocks of text of each page: key, place, selector, n_chars, score. Blocks that are half links are left out."""
     rows = parsed.select(key, F.posexplode("elements").alias("i", "e")).filter(F.col("e.tag").isin("div", "article", "section", "td", "main") & (F.col("e.n_chars") >= LEAST_CONTENT))

@@ -66,3 +66,11 @@ def cleanup(files: DataFrame, targets: list[str]) -> DataFrame:
         raise ValueError(f"no target {unknown[0]!r}; there are {', '.join(prefix)}")
     named = F.array_compact(F.array(*[F.when(F.col("path").rlike(prefix[t]), F.lit(t)) for t in targets]))
     return files.select("bytes", F.explode(named).alias("target")).groupBy("target").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes"))
+
+
+def listed(books: DataFrame, by: str = "bytes") -> DataFrame:
+    """Books (title, bytes, total_chapters) by size, by number of chapters, or by title as people sort it."""
+    orders = {"bytes": F.col("bytes").desc(), "chapters": F.col("total_chapters").desc(), "title": F.collate("title", "UNICODE").asc()}
+    if by not in orders:
+        raise ValueError(f"by must be one of {', '.join(orders)}")
+    return books.orderBy(orders[by], "book_id")

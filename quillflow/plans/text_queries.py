@@ -411,3 +411,63 @@ def json_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_id, ts from events where epoch(timestamp '2024-01-17 12:00:00') - epoch(date_trunc('second', ts)) > 7200")
 def staging_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.expired(E.table(spark, sf_dir, "events").select("event_id", "ts"), "ts", F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query(f"""with {E.CHAPTERS_SQL} select book_id, idx as "index", 'books/' || book_id || '/chapters/' || case when idx < 10000 then lpad(cast(idx as varchar), 4, '0') else cast(idx as varchar) end || '.txt' as path, regexp_replace(title, '[\\\\/:*?"<>|]', '_', 'g') || '.txt' as file, length(content) as n_chars from chapters""")
+def export_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ch.export_chapters(E.chapters(spark, sf_dir)).select("book_id", "index", "path", "file", F.length("text").alias("n_chars"))
+
+
+@query(f"""with {E.CHAPTERS_SQL} select book_id, timestamp '{NOW}' as taken_at, idx as "index", title, content_hash, char_count from chapters""")
+def toc_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ch.snapshot(E.chapters(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query(f"with {ISSUES_SQL} select book_id, chapter_index, string_agg(type, ',' order by type) as types from issues group by book_id, chapter_index")
+def issues_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ch.with_issues(E.line_chapters(spark, sf_dir)).select("book_id", "chapter_index", F.array_join("types", ",").alias("types"))
+
+
+@query()
+def rechapterize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importing.rechapterize(E.chapters(spark, sf_dir), pattern="^Chapter [0-9]+ (user|assistant)$").select("book_id", "index", "title", "char_count")
+
+
+@query(f"""with {E.CHAPTERS_SQL}, w as (select book_id, idx, title from chapters where idx <> 4), g as (select book_id, idx, case when idx = 2 then title || '!' else title end as title from chapters)
+  select coalesce(w.book_id, g.book_id) as book_id, count(w.title) as n_expected, count(g.title) as n_found, min(case when w.title is distinct from g.title then coalesce(w.idx, g.idx) end) as first_difference,
+    count(w.title) = count(g.title) and min(case when w.title is distinct from g.title then coalesce(w.idx, g.idx) end) is null as ok from w full join g on w.book_id = g.book_id and w.idx = g.idx group by 1""")
+def verify_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = E.chapters(spark, sf_dir)
+    found = c.withColumn("title", F.when(F.col("index") == 2, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
+    return ch.verify(found, c.filter("index <> 4"))
+
+
+@query(f"""with {E.CHAPTERS_SQL}, l as (select book_id as task_id, idx, case when is_ok and fetched_at is not null then 'skipped' when is_ok then 'ok' when fetched_at is not null then 'failed' end as outcome from chapters)
+  select task_id, count(*) as total, count_if(outcome = 'failed') as failed, count_if(outcome = 'skipped') as skipped, count(*) - count_if(outcome = 'failed') - count_if(outcome = 'skipped') as success from l group by task_id""")
+def fetch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = E.chapters(spark, sf_dir).withColumnRenamed("book_id", "task_id")
+    outcome = F.when(F.col("is_ok") & F.col("fetched_at").isNotNull(), "skipped").when(F.col("is_ok"), "ok").when(F.col("fetched_at").isNotNull(), "failed")
+    return fetching.report(c.select("task_id", "index"), c.select("task_id", "index", outcome.alias("outcome")).filter("outcome is not null")).select("task_id", "total", "failed", "skipped", "success")
+
+
+@query(f"""with {E.CHAPTERS_SQL} select book_id, idx as "index" from chapters where not is_ok""")
+def fetch_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = E.chapters(spark, sf_dir)
+    return fetching.remaining(c.select("book_id", "index"), c)
+
+
+@query()
+def capture_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.capture_counts(capture_plan(spark, sf_dir))
+
+
+@query()
+def toc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.toc_links(parsed(E.table(spark, sf_dir, "pages"), "page_id", "url"))
+
+
+@query("""select distinct 'src' || (event_id % 7) as host, count(*) over (partition by event_id % 7) as requests from events""")
+def pacing_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = E.table(spark, sf_dir, "events")
+    r = e.select(F.concat(F.lit("src"), (F.col("event_id") % 7).cast("string")).alias("host"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_id").alias("request_id"))
+    return fetching.pacing_stats(fetching.paced(r)).select("host", "requests")

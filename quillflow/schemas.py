@@ -143,6 +143,14 @@ def normalize_session(df: DataFrame) -> DataFrame:
     )
 
 
+def normalize_history(df: DataFrame) -> DataFrame:
+    c = _cols(df)
+    return df.select(
+        C.as_trimmed(c("book_id")).alias("book_id"), F.greatest(C.as_int(c("chapter_index"), 1), F.lit(1)).alias("chapter_index"), C.as_count(c("char_offset")).alias("char_offset"),
+        C.as_string(c("chapter_title")).alias("chapter_title"), F.coalesce(C.as_time(c("at")), F.current_timestamp()).alias("at"),
+    )
+
+
 class MigrationError(ValueError):
     """Data of a newer version than this library, or of one from which no step leads on."""
 

@@ -381,6 +381,8 @@ def test_pages(spark):
     got = {r.page_id: r for r in pages.extract(p).collect()}
     assert got[2].title == "第一章 开始" and got[2].n_removed == 1 and "求月票" not in got[2].content and "第二段\n第三段" in got[2].content
     assert got[2].next_href == "/c/1_2.html" and got[3].content == "" and got[4].content == ""
+    toc = pages.toc_links(p).filter("page_id = 1").orderBy("index").collect()
+    assert [(r["index"], r.title) for r in toc][:2] == [(1, "第1章 标题1"), (2, "第2章 标题2")] and len(toc) == 12
     meta = {r.page_id: r for r in pages.book_meta(p).collect()}
     assert (meta[1].title, meta[1].author, meta[1].site) == ("剑来", "烽火戏诸侯", "a.com") and meta[4].title == "b.com"
 
@@ -391,3 +393,17 @@ def test_walls_and_robots(spark):
     rules = spark.createDataFrame([("http://a.com", 200, "User-agent: *\nDisallow: /deny\nCrawl-delay: 5"), ("http://c.com", 404, "User-agent: *\nDisallow: /")], "origin string, status int, robots string")
     assert {r.page_id: r.reason for r in pages.inspect(df, rules).collect()} == {1: "login", 2: "paywall", 3: "robots", 4: "bad_url", 5: "network", 6: "http_error", 7: None}
     assert pages.robots(df, rules).filter("page_id = 1").first().crawl_delay == 5.0
+
+
+def test_shelf_times_and_orders(spark):
+    from quillflow.functions import dates
+
+    now = F.lit(at(20, 12))
+    cases = {at(20, 12): "刚刚", at(20, 11, 30): "30 分钟前", at(20, 3): "9 小时前", at(19, 23): "昨天", at(17): "3 天前", at(2): "2024-01-02"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t timestamp").select("t", dates.relative(F.col("t"), now).alias("r")).collect()
+    assert {r.t: r.r for r in rows} == cases
+    b = spark.createDataFrame([("1", "b", 5, 1), ("2", "A", 9, 3), ("3", "c", 1, 2)], "book_id string, title string, bytes int, total_chapters int")
+    ids = lambda by: [r.book_id for r in storage.listed(b, by).collect()]
+    assert (ids("bytes"), ids("chapters"), ids("title")) == (["2", "1", "3"], ["2", "3", "1"], ["2", "1", "3"])
+    with pytest.raises(ValueError):
+        storage.listed(b, "x")

@@ -5,10 +5,10 @@ import os
 import pytest
 
 import __spark_entry__
-from quillflow.plans import shelf_queries, text_queries
+from quillflow.plans import shelf_queries, stream_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = {**shelf_queries.QUERIES, **text_queries.QUERIES}, {**shelf_queries.ORACLES, **text_queries.ORACLES}
+QUERIES, ORACLES = ({**a, **b, **c} for a, b, c in ((shelf_queries.QUERIES, text_queries.QUERIES, stream_queries.QUERIES), (shelf_queries.ORACLES, text_queries.ORACLES, stream_queries.ORACLES)))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
