@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, buckets: int
     # so many more ids than texts are wanted that copies among them do not matter; the labels' table alone is sorted
     chosen = [known.filter(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for k in (0, 1)]
     picked = chosen[0].unionByName(chosen[1])
-    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).filter("text is not null").select("text", "_label").dropDuplicates(["text"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).filter("text is not null").select("text", "_label").dropDuplicates(["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import stage, word_count
+from quillflow.llm.common import stage, unused, word_count
 
 #: The low-discrepancy points are (n * GOLDEN mod 2**32) / 2**32; n counts modulo 2**31, which keeps the product within a long.
 GOLDEN, POINTS = 2654435769, 1 << 32
@@ -112,8 +112,9 @@ def taken(docs: DataFrame, **how: object) -> DataFrame:
 
 def repeat_mixed(docs: DataFrame, **how: object) -> DataFrame:
     """docs, each row as often as the mix takes it to the nearest whole (half up): 0, 1 or 2 times. Rows of no words stay once; columns stay as they are."""
-    # documents that repeat an id are told apart by the text's hash and share what their id and text take
-    counts = taken(docs, **how).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    times = F.when(F.coalesce("_size", F.lit(0)) == 0, 1).otherwise(F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int"))
-    joined = docs.join(counts.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_times", times).filter("_times > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    # documents that repeat an id share what their id takes
+    own, took, size, copy = (unused(docs, n) for n in ("_own_id", "_taken", "_size", "_copy"))
+    counts = taken(docs, **how).groupBy(F.col("doc_id").alias(own)).agg(F.sum("taken").alias(took), F.sum("size").alias(size))
+    times = F.when(F.coalesce(F.col(size), F.lit(0)) == 0, 1).otherwise(F.floor(F.col(took) / F.col(size) + 0.5).cast("int"))
+    joined = docs.join(counts, F.col("doc_id").eqNullSafe(F.col(own)), "left").withColumn(copy, F.when(times > 0, F.sequence(F.lit(1), times)))
+    return joined.withColumn(copy, F.explode(copy)).select(*[docs[c] for c in docs.columns])

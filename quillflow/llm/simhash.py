@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import stage
+from quillflow.llm.common import stage, unused
 from quillflow.llm.components import roots
 
 SEED = 42
@@ -190,8 +190,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
 def one_of_each(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
     """docs with one row of each component: that of its least doc_id (of rows that repeat the id, any one). Rows with a null id stay."""
     judged = near_duplicates(docs.filter("doc_id is not null"), words, bits)
-    gone = judged.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    gone_id = unused(docs, "_gone_id")
+    gone = judged.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
     again = judged.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
     if again.isEmpty():
         return kept

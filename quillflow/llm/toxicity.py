@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, least: int =
     max(least, 0.5 % of the toxic sample) different words and at least half as many as there are toxic documents with it, and if the log of
     its rates' ratio is odds or more; of a word start, the ratio of different words with it must be so too. A text counts each pair of neighbouring words once. labels holds the rows to learn from and no others.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     known = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropDuplicates(["_id"])
     chosen = [known.filter(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for k in (1, 0)]
     picked = [(r["_id"], r["_toxic"]) for part in chosen for r in part.collect()]  # 2 * per_class ids at most

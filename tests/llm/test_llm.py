@@ -131,6 +131,22 @@ def test_mixing_schedule_is_even(docs):
     assert measured.count() == docs.count()
 
 
+CLASHING = "size key slot group item class sum runs n score known word _id _sum _toxic _label _taken _size _copy _own_id _gone_id quality item_id row start source_no".split()
+
+
+def test_columns_of_other_names_are_left_alone(spark, docs, rows):
+    more = docs.select("*", *[F.lit(n).alias(n) for n in CLASHING]).cache()
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int").select("*", *[F.lit(1).alias(c) for c in ("_id", "_label", "text")])
+    bench = spark.createDataFrame([(1, "no such item anywhere to be found here at all")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    grammar = toxicity.fit(more, labels)
+    for out in (mixing.repeat_mixed(more, block=16), simhash.one_of_each(more), similar.one_of_each(more), decontamination.without_leaks(more, bench), toxicity.without_toxic(more, grammar)):
+        assert out.columns == more.columns and 0 < out.count() <= 2 * len(rows)
+    model = classifier.fit(more, labels, buckets=256)
+    for out in (mixing.taken(more, block=16), sharding.shard_by_bytes(more, 3), simhash.near_duplicates(more), similar.near_duplicates(more), language_model.score(more), substring.cut_repeats(more), quality_rules.judge(more, labels), classifier.score(more, model, "doc_id")):
+        assert out.count() == len(rows)
+    assert decontamination.leaks(more, bench).count() == 0
+
+
 def test_repeat_mixed_keeps_columns(docs):
     out = mixing.repeat_mixed(docs.withColumn("size", F.lit("clash")), block=16)
     assert out.columns == [*docs.columns, "size"]
