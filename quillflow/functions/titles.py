@@ -106,5 +106,7 @@ def heading_groups(pattern: str) -> int:
 def is_heading(line: Column, pattern: str, max_line: int = MAX_LINE) -> Column:
     """Whether a line is a heading: short, matched, and what follows the number no sentence."""
     bare = trim(line)
+    # the built-in rules take white space at both ends themselves, so that most lines need one look at their beginning
+    likely = line.rlike(pattern) if pattern in HEADINGS.values() else F.lit(True)
     tail = trim(F.coalesce(F.regexp_extract(bare, pattern, 2), F.lit(""))) if heading_groups(pattern) >= 2 else F.lit("")
-    return (bare != "") & (F.length(bare) <= max_line) & bare.rlike(pattern) & (F.length(tail) <= MAX_TAIL) & ~tail.rlike("[。！？；…]")
+    return likely & (bare != "") & (F.length(bare) <= max_line) & bare.rlike(pattern) & (F.length(tail) <= MAX_TAIL) & ~tail.rlike("[。！？；…]")

@@ -25,13 +25,15 @@ MARKS = {",": "，", ".": "。", "!": "！", "?": "？", ":": "：", ";": "；"}
 #: Chinese characters, punctuation and full-width forms, without white space.
 CJK = "[\\u3400-\\u9fff\\u3001-\\u303f\\uff00-\\uffef\\u200b-\\u2027\\u202a-\\u202e\\u2030-\\u205e\\u2060-\\u206f]"
 REMOVALS = 200
+#: What a line of advertising has at least: a Chinese character, or a piece of an address. One cheap look saves most lines the patterns above.
+MAYBE_AD = "[\\u4e00-\\u9fff]|://|(?i:www\\.|\\.(?:com|net|cn|org|cc|info|xyz))"
 
 
 def ad_label(line: Column) -> Column:
     """Why a line is taken for advertising; null for others. Long lines are so only by an address, and long sentences never."""
     bare = trim(line)
     long = F.length(bare) > LONG_LINE
-    label = F.when((bare == "") | ((F.length(bare) > LONG_SENTENCE) & bare.rlike(SENTENCE)), F.lit(None).cast("string"))
+    label = F.when(~line.rlike(MAYBE_AD) | (bare == "") | ((F.length(bare) > LONG_SENTENCE) & bare.rlike(SENTENCE)), F.lit(None).cast("string"))
     for n, (pattern, name) in enumerate(AD_LINES):
         label = label.when(bare.rlike(pattern) if n == 0 else ~long & bare.rlike(pattern), name)
     return label
@@ -45,20 +47,21 @@ def _between(mark: str) -> str:
 
 def punctuation_changes(text: Column) -> Column:
     """How many marks unify_punctuation converts; a change of dots to an ellipsis counts once."""
-    marks = sum((F.regexp_count(text, F.lit(_between(m))) for m in MARKS), F.lit(0))
+    marks = F.when(text.rlike(CJK), sum((F.regexp_count(text, F.lit(_between(m))) for m in MARKS), F.lit(0))).otherwise(0)
     converted = _converted(text)
     return marks + F.when(_ellipses(converted) != converted, 1).otherwise(0)
 
 
 def _converted(text: Column) -> Column:
+    out = text
     for half, full in MARKS.items():
-        text = F.regexp_replace(text, _between(half), f"$1{full}")
-    return text
+        out = F.regexp_replace(out, _between(half), f"$1{full}")
+    return F.when(text.rlike(CJK), out).otherwise(text)
 
 
 def _ellipses(text: Column) -> Column:
-    for run in (r"\.{3,}", "。{2,}", "…{3,}"):
-        text = F.regexp_replace(text, run, "……")
+    for run, has in ((r"\.{3,}", "..."), ("。{2,}", "。。"), ("…{3,}", "………")):
+        text = F.when(F.contains(text, F.lit(has)), F.regexp_replace(text, run, "……")).otherwise(text)
     return text
 
 
