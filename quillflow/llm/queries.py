@@ -85,5 +85,15 @@ parts as (select page_id, row_no, coalesce(translate(regexp_extract(rest, '^([^/
 ranked as (select p.*, rh || rp as rule, rv, row_number() over (partition by row_no order by length(rh || rp) desc nulls last, length(rh) desc, rv desc) as n
   from parts p left join rules on (p.host = rh or ends_with(p.host, '.' || rh)) and starts_with(p.path, rp))
 select page_id, host, path, rule, coalesce(rv, 'allow') as verdict from ranked where n = 1
+""",
+    "op8_substring_dedup": r"""
+with docs as (select doc_id, row_number() over () as row_no, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+starts as (select doc_id, row_no, words, unnest(generate_series(1, greatest(len(words) - 12, 0))) as s from docs where len(words) >= 13),
+windows as (select doc_id, row_no, s, sha256(array_to_string(words[s : s + 12], ' ')) as w from starts),
+first as (select w, min(doc_id) as least from windows group by w),
+gone as (select distinct row_no, unnest(generate_series(s, s + 12)) as at from windows join first using (w) where least < doc_id),
+placed as (select doc_id, row_no, unnest(words) as word, generate_subscripts(words, 1) as at from docs),
+kept as (select p.row_no, count(*) as n_kept, string_agg(p.word, ' ' order by p.at) as body from placed p left join gone g on p.row_no = g.row_no and p.at = g.at where g.at is null group by p.row_no)
+select doc_id, len(words) as n_words, len(words) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(body, '')) as kept_sha256 from docs left join kept using (row_no)
 """,
 }
