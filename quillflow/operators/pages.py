@@ -63,12 +63,12 @@ def group_score(links: Column, depth: Column) -> Column:
     return F.when(n >= 3, 2 * like + 20 * like / n - 1.2 * (n - like) + 0.5 * F.least(different, F.lit(6)) + 2 * short + 0.3 * F.least(depth, F.lit(8))).otherwise(-1.0)
 
 
-def toc_candidates(parsed: DataFrame, key: str = "page_id", most: int = 10) -> DataFrame:
-    """The best groups of links of each page: key, place, selector, depth, n_links, score, first_link. Deeper elements win ties."""
+def toc_candidates(parsed: DataFrame, key: str = "page_id", most: int = 10, least: float = LEAST_TOC) -> DataFrame:
+    """The best groups of links of each page that score least or more: key, place, selector, depth, n_links, score, first_link. Deeper elements win ties."""
     rows = parsed.select(key, "links", F.explode("elements").alias("e")).filter("e.n_links >= 3 and e.tag not in ('html', 'body', 'head')")
     own = valid_links(F.slice("links", F.col("e.first_link") + 1, F.col("e.n_links")))
     rows = rows.withColumn("own", own)
-    scored = rows.select(key, F.col("e.selector").alias("selector"), F.col("e.depth").alias("depth"), F.size("own").alias("n_links"), F.round(group_score(F.col("own"), F.col("e.depth")), 6).alias("score"), F.col("e.first_link").alias("first_link")).filter(F.col("score") >= LEAST_TOC)
+    scored = rows.select(key, F.col("e.selector").alias("selector"), F.col("e.depth").alias("depth"), F.size("own").alias("n_links"), F.round(group_score(F.col("own"), F.col("e.depth")), 6).alias("score"), F.col("e.first_link").alias("first_link")).filter(F.col("score") >= least)
     best = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("depth").desc(), "first_link", "selector")
     return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most)
 

@@ -292,7 +292,12 @@ def recover_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.table(spark, sf_dir, "documents").select("doc_id", encoding.recover(F.col("text")).alias("r")).select("doc_id", "r.applied", "r.chain", "r.unrecoverable", "r.partial")
 
 
-@query()
+_COUNT = lambda chars: f"len(regexp_extract_all(text, '[{chars}]'))"
+_BAD, _CJK, _OFTEN = _COUNT(r"\x{fffd}\x00-\x08\x0b\x0c\x0e-\x1f\x{e000}-\x{f8ff}"), _COUNT(r"\x{4e00}-\x{9fff}\x{3000}-\x{303f}"), _COUNT("".join(dict.fromkeys(encoding.FREQUENT)))
+
+
+@query(f"""with c as (select doc_id, greatest(length(text), 1)::double as n, length(text) as size, {_BAD} as bad, {_CJK} as cjk, {_OFTEN} as often from documents)
+  select doc_id, round(case when size > 0 then (n - bad) / n * 40 + cjk / n * 25 + case when cjk / n > 0.02 then often / cjk::double * 35 else 0 end - bad / n * 120 else -50 end, 6) as score, round(bad / n, 6) as bad_ratio, round(cjk / n, 6) as cjk_ratio from c""")
 def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = E.table(spark, sf_dir, "documents").select("doc_id", encoding.text_scores(F.col("text")).alias("s"))
     return s.select("doc_id", F.round("s.score", 6).alias("score"), F.round("s.bad_ratio", 6).alias("bad_ratio"), F.round("s.cjk_ratio", 6).alias("cjk_ratio"))
@@ -313,9 +318,12 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_links(parsed(E.table(spark, sf_dir, "pages"), "page_id", "url")).select("page_id", "n", "title", "href")
 
 
-@query()
+@query("""with l as (select page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) as hrefs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) as titles from pages),
+  s as (select page_id, d.depth, len(hrefs) as n_links, -1.2 * len(hrefs) + 0.5 * least(len(list_distinct(hrefs)), 6) + 2 * case when list_avg(list_transform(titles, lambda t: length(t))) between 2 and 26 then 1.0 else 0.3 end + 0.3 * d.depth as score
+    from l cross join (values (3), (4)) d(depth) where len(hrefs) >= 3) select page_id, cast(depth as integer) as depth, cast(n_links as integer) as n_links, round(score, 6)::double as score from s""")
 def toc_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.toc_candidates(parsed(E.table(spark, sf_dir, "pages"), "page_id")).select("page_id", "place", "selector", "n_links", "score")
+    """Every group of three links or more with its score, also those too low for a table of contents."""
+    return pages.toc_candidates(parsed(E.table(spark, sf_dir, "pages"), "page_id"), least=-1e9).select("page_id", "depth", "n_links", "score")
 
 
 @query()
@@ -456,7 +464,7 @@ def fetch_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetching.remaining(c.select("book_id", "index"), c)
 
 
-@query()
+@query(f"with plan as ({ORACLES['capture_plan']}) select book_id, count_if(action <> 'skip') as saved, count_if(action = 'skip') as skipped from plan group by book_id")
 def capture_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.capture_counts(capture_plan(spark, sf_dir))
 
