@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Bytes of text that a task turns into arrays at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _own_dirs: dict[str, str] = {}
 
