@@ -315,6 +315,25 @@ def test_similar_dense_groups(spark, group):
     assert all(want[i] == want[mine.root(i)] for i, _ in rows)
 
 
+@pytest.mark.parametrize("group", [4096, 50])
+def test_similar_pairs_among_a_template(spark, group):
+    """Pairs at 0.82 among texts that share a passage, at about 0.7 to each other."""
+    rng = random.Random(31)
+    base = prose(rng, 330).split()
+    texts = [base + prose(rng, 70).split() for _ in range(1200)]
+    for k in range(40):
+        w = texts[k].copy()
+        w[-37:] = prose(rng, 37).split()
+        texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    least = similar.classed(df).groupBy("class").agg(F.min("doc_id").alias("least"))
+    name = {r["class"]: r.least for r in least.collect()}
+    got = {tuple(sorted((name[r.a], name[r.b]))) for r in similar.links(df, least, 5, 0.8, group).collect()}
+    planted = {(k, 1200 + k) for k in range(40)}
+    assert got <= planted and len(got) >= 0.95 * len(planted)  # blocks find a pair at the limit with 0.98
+
+
 # 7 Classifier -------------------------------------------------------------------------------------------------------------------------------
 
 
