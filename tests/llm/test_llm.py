@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,6 +335,33 @@ def test_similar_pairs_among_a_template(spark, group):
     assert got <= planted and len(got) >= 0.95 * len(planted)  # blocks find a pair at the limit with 0.98
 
 
+@pytest.mark.parametrize("batch", [7, 40, 1000])
+def test_similar_large_groups_lose_no_pair(batch):
+    """Whatever the cuts: a close pair of a key is a pair of the first round, or both are members for the second."""
+    rng = np.random.default_rng(5)
+    sizes = [3, 90, 11, 1, 30, 9]
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    fp = rng.integers(0, 2**63, (1, 2), np.uint64) ^ (rng.integers(0, 2**63, (len(key), 2), np.uint64) & rng.integers(0, 2**63, (len(key), 2), np.uint64) & rng.integers(0, 2**63, (len(key), 2), np.uint64))
+    order = np.lexsort((fp[:, 1], fp[:, 0], key))
+    fp = fp[order]
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(len(key))), *(pa.array(x.view(np.int64)) for x in fp.T.copy())], ["key", "class", "fp0", "fp1"])
+    out = [r for b in similar._verify(8)(rows.slice(at, batch) for at in range(0, len(key), batch)) for r in b.to_pylist()]
+    pairs = {(r["a"], r["b"]) for r in out if r["b"] is not None}
+    members = [(r["key"], r["a"]) for r in out if r["b"] is None]
+    assert len(members) == len(set(members)) and all(key[i] == k for k, i in members)
+    close = {(i, j) for j in range(len(key)) for i in range(j) if key[i] == key[j] and np.bitwise_count(fp[i] ^ fp[j]).sum() <= similar.NEAR}
+    assert len(close) > 500 and all(p in pairs or {(key[i], i) for i in p} <= set(members) for p in close)
+
+
+def test_similar_end_of_a_large_group():
+    """The last member is far from the one that was taken along, and close to one that was not."""
+    low, high = (1 << 20) - 1, (1 << 30) - 1
+    fp0, fp1 = [*range(8), 8, high << 10], [0] * 8 + [low, low]
+    rows = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([0] * 10, range(10), fp0, fp1)], ["key", "class", "fp0", "fp1"])
+    out = [r for b in similar._verify(8)([rows.slice(0, 9), rows.slice(9)]) for r in b.to_pylist()]
+    assert {r["a"] for r in out if r["b"] is None} == set(range(10))
+
+
 # 7 Classifier -------------------------------------------------------------------------------------------------------------------------------
 
 
