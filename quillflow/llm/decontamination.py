@@ -5,8 +5,9 @@ and moves on if that word's random bit for step j is 1, so two sequences of smal
 `walks` embeddings is sampled `samples` times at `places` steps: windows that agree in all places of a sample are candidates. For a pair whose
 walks agree in a share p of the steps recall is 1 - (1 - p ** places) ** (walks * samples); with the defaults 0.99 at p = 0.75.
 
-An item is embedded from each of its first `stride` words on, and a document from every stride-th word on, so whatever the place of an item in a
-document one of its starts meets a window there. Items are grouped by size, and only steps that fall within an item of that size are sampled. A
+An item is embedded in windows all along it, and each of them from `stride` successive words on; a document from every stride-th word on. So whatever
+the place of an item in a document, one start of each of its windows meets a window there, and edits of one part of an item leave windows of the others.
+Items are grouped by size; a window samples the steps of the item's group or, where edits are spread, of the groups of shorter windows. A
 candidate counts if the item's exact edit distance in characters to its closest substring there is at most (1 - similarity) of its length.
 
 Documents are scanned where they lie; items are taken in blocks of at most `block`, whose signatures go along with the task, so nothing is
@@ -34,7 +35,10 @@ from quillflow.llm.common import Texts, mix, pieces, texts, word_ranges
 BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Least words of the size groups, and the steps that are sampled for each: about 1.4 steps a word of its least size, with a stride taken off.
 GROUPS = ((6, 8), (12, 14), (20, 24), (32, 36))
-BITMAP = 1 << 20
+#: Bits of a signature that find its place in a bitmap: at least, and beyond those of the number of signatures.
+BITMAP, SPARE = 20, 4
+#: Groups of shorter windows that an item is embedded in beside its own.
+SHORTER = 1
 
 
 @dataclass
@@ -43,6 +47,8 @@ class Items:
 
     ids: list[int]
     words: list[list[bytes]]
+    #: The words' hashes, in order and as a set.
+    hashes: list[tuple[list[int], set[int]]]
     similarity: float
     stride: int
     walks: np.ndarray
@@ -81,6 +87,14 @@ def _padded(t: Texts, pad: int) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def _windows(n: int, g: int, stride: int) -> np.ndarray:
+    """Words of an item of n words at which its windows of group g start, with the shifts; about a quarter of a window's steps apart, up to the item's end."""
+    steps = GROUPS[g][1]
+    last = max(0, n - (stride - 1) - steps // 2)
+    at = np.append(np.arange(0, last, max(1, steps // 4)), last)
+    return np.unique(at[:, None] + np.arange(stride))
+
+
 def _lowered(texts_: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts_)
 
@@ -90,7 +104,7 @@ def prepare(rows: list[tuple[int, str | None]], similarity: float, walks: int, s
     rng = np.random.default_rng(seed)
     seeds = rng.integers(1, 2**63, walks, dtype=np.uint64)
     chosen = {g: [(i % walks, np.sort(rng.choice(steps, places, replace=False))) for i in range(walks * samples)] for g, (_, steps) in enumerate(GROUPS)}
-    items = Items([i for i, _ in rows], [], similarity, stride, seeds, chosen)
+    items = Items([i for i, _ in rows], [], [], similarity, stride, seeds, chosen)
     steps = max(s for _, s in GROUPS)
     found: dict[int, list] = defaultdict(list)
     for t in texts(_lowered(pa.array([x or "" for _, x in rows], pa.string())), space=BREAK):
@@ -98,27 +112,31 @@ def prepare(rows: list[tuple[int, str | None]], similarity: float, walks: int, s
         for r in range(t.rows):
             a, b = int(t.word_at[r]), int(t.word_at[r + 1])
             items.words.append([t.data[s:e].tobytes() for s, e in zip(t.start[a:b], t.end[a:b])])
+            listed = padded[first[r] : first[r] + b - a].tolist()
+            items.hashes.append((listed, set(listed)))
             n, at = b - a, t.first + r
             if 0 < n < GROUPS[0][0]:
                 h = int(word_ranges(padded, first[r : r + 1], first[r : r + 1] + n)[0])
                 items.short.setdefault(n, {}).setdefault(h, []).append(at)
             elif n:
-                g = max(g for g, (least, _) in enumerate(GROUPS) if least <= n)
-                starts = first[r] + np.arange(stride)
-                walked = [_walk(padded, starts, s, GROUPS[g][1]) for s in seeds]
-                for i, (w, p) in enumerate(chosen[g]):
-                    found[g].append((_signature(walked[w], i, p), np.full(stride, at), np.arange(stride)))
+                own = max(g for g, (least, _) in enumerate(GROUPS) if least <= n)
+                for g in range(max(0, own - SHORTER), own + 1):
+                    shifts = _windows(n, g, stride)
+                    walked = [_walk(padded, first[r] + shifts, s, GROUPS[g][1]) for s in seeds]
+                    for i, (w, p) in enumerate(chosen[g]):
+                        found[g].append((_signature(walked[w], i, p), np.full(len(shifts), at, np.int32), shifts.astype(np.int32)))
     for g, parts in found.items():
         sig, item, shift = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(sig)
         items.signatures[g] = sig[order], item[order], shift[order]
-        items.bitmaps[g] = np.zeros(BITMAP, bool)
-        items.bitmaps[g][(sig >> np.uint64(44)).astype(np.int64)] = True
+        bits = max(BITMAP, len(sig).bit_length() + SPARE)
+        items.bitmaps[g] = np.zeros(1 << bits, bool)
+        items.bitmaps[g][(sig >> np.uint64(64 - bits)).astype(np.int64)] = True
     return items
 
 
-def edit_distance_within(item: np.ndarray, region: np.ndarray) -> int:
-    """The least number of edits between item and any substring of region (arrays of characters)."""
+def edit_distance_within(item: np.ndarray, region: np.ndarray, limit: int | None = None) -> int:
+    """The least number of edits between item and any substring of region (arrays of characters); if it is over limit, some number over limit."""
     ramp = np.arange(len(region) + 1)
     row = np.zeros(len(region) + 1, np.int64)
     for i, c in enumerate(item.tolist()):
@@ -126,6 +144,8 @@ def edit_distance_within(item: np.ndarray, region: np.ndarray) -> int:
         nxt[0] = i + 1
         np.minimum(row[:-1] + (region != c), row[1:] + 1, out=nxt[1:])
         row = np.minimum.accumulate(nxt - ramp) + ramp
+        if limit is not None and i % 8 == 7 and (least := int(row.min())) > limit:
+            return least
     return int(row.min())
 
 
@@ -150,7 +170,7 @@ def _candidates(t: Texts, items: Items) -> dict[tuple[int, int], list[int]]:
                     if own != w:
                         continue
                     sig = _signature(walk, i, places)
-                    maybe = np.flatnonzero(items.bitmaps[g][(sig >> np.uint64(44)).astype(np.int64)])
+                    maybe = np.flatnonzero(items.bitmaps[g][(sig >> np.uint64(65 - len(items.bitmaps[g]).bit_length())).astype(np.int64)])
                     low, high = (np.searchsorted(sigs, sig[maybe], side) for side in ("left", "right"))
                     for k, a, b in zip(maybe.tolist(), low.tolist(), high.tolist()):
                         for at in range(a, b):
@@ -169,9 +189,12 @@ def _candidates(t: Texts, items: Items) -> dict[tuple[int, int], list[int]]:
 
 def meet(t: Texts, items: Items) -> Iterator[tuple[int, int, int, float]]:
     """(row, item, edit distance, similarity) of each verified pair."""
+    hashes, now, words = t.hashes(), None, []
     for (r, item), begins in sorted(_candidates(t, items).items()):
         a, b = int(t.word_at[r]), int(t.word_at[r + 1])
-        own = items.words[item]
+        if now != r:
+            now, words = r, hashes[a:b].tolist()
+        own, (listed, different) = items.words[item], items.hashes[item]
         whole, slack = _chars(own), 2 + len(own) // 4
         allowed = int((1 - items.similarity) * len(whole)) if len(own) >= GROUPS[0][0] else 0
         best, upto = None, -1
@@ -179,14 +202,14 @@ def meet(t: Texts, items: Items) -> Iterator[tuple[int, int, int, float]]:
             low, high = max(0, begin - slack), min(b - a, begin + len(own) + slack)
             if begin <= upto or low >= high:
                 continue
-            there = [t.data[s:e].tobytes() for s, e in zip(t.start[a + low : a + high], t.end[a + low : a + high])]
+            there = words[low:high]
             at = begin - low
-            if there[at : at + len(own)] == own:
+            if there[at : at + len(own)] == listed:
                 distance = 0
-            elif len(own) < GROUPS[0][0] or len(set(there) & set(own)) * 4 < len(set(own)):
+            elif len(own) < GROUPS[0][0] or len(different.intersection(there)) * 4 < len(different):
                 continue
             else:
-                distance = edit_distance_within(whole, _chars(there))
+                distance = edit_distance_within(whole, _chars([t.data[s:e].tobytes() for s, e in zip(t.start[a + low : a + high], t.end[a + low : a + high])]), allowed)
                 upto = begin + slack // 2
             best = distance if best is None else min(best, distance)
             if best == 0:
@@ -196,9 +219,10 @@ def meet(t: Texts, items: Items) -> Iterator[tuple[int, int, int, float]]:
 
 
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, at most about block at once."""
+    """The items, at most about block at once; a longer one counts as one for every 96 characters, as it has windows in proportion."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    parts = max(1, -(-rows.count() // max(1, block // 2)))
+    weight = rows.agg(F.sum(F.ceil(F.greatest(F.lit(1), F.length("text")) / 96))).first()[0] or 0
+    parts = max(1, -(-int(weight) // max(1, block // 2)))
     for n in range(parts):
         yield sorted((r.item_id, r.text) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == n).collect())
 

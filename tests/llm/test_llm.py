@@ -216,6 +216,27 @@ def test_decontamination(spark):
     assert decontamination.leaks(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [15, 31, 40, 59, 120])
+def test_edits_anywhere_in_an_item(n):
+    """Items of n words with a share of them replaced at one end or spread; all that are within a fifth of their characters are to be found."""
+    rng = random.Random(n)
+    items = [(i, prose(rng, n)) for i in range(60)]
+    ready = decontamination.prepare(items, 0.8, 4, 5, 5, 4)
+    for share in (0.1, 0.15, 0.2):
+        k = int(n * share)
+        for where in ("start", "end", "spread"):
+            docs = []
+            for _, item in items:
+                w = item.split()
+                for at in {"start": range(k), "end": range(n - k, n), "spread": rng.sample(range(n), k)}[where]:
+                    w[at] = "zzzz"
+                docs.append(f"{prose(rng, rng.randint(0, 60))} {' '.join(w)} {prose(rng, rng.randint(0, 60))}".strip())
+            got = {(r, i) for t in common.texts(pa.array(docs), space=decontamination.BREAK) for r, i, *_ in decontamination.meet(t, ready)}
+            chars = lambda text: np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            within = {(i, i) for i, item in items if decontamination.edit_distance_within(chars(item), chars(docs[i])) <= 0.2 * len(item)}
+            assert got <= within and len(got) >= 0.98 * len(within), (share, where)
+
+
 # 4 Language model ---------------------------------------------------------------------------------------------------------------------------
 
 
