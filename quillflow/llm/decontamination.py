@@ -1,25 +1,29 @@
 """Operator 3: find benchmark items in documents by CGK embedding, bit-sampling LSH and exact edit verification.
 
-Texts are lower-cased and read as words of letters and digits. The CGK embedding walks along a word sequence: step j reads the word it stands on
-and moves on if that word's random bit for step j is 1, so two sequences of small edit distance have walks of small Hamming distance. Each of
-`walks` embeddings is sampled `samples` times at `places` steps: windows that agree in all places of a sample are candidates. For a pair whose
-walks agree in a share p of the steps recall is 1 - (1 - p ** places) ** (walks * samples); with the defaults 0.99 at p = 0.75.
+Texts are lower-cased and read as words of letters and digits; an item is in a document if some stretch of it is within (1 - similarity) of the item's
+words of edits (words put in, left out or replaced). The CGK embedding walks along a word sequence: step j reads the word it stands on and moves on if that
+word's random bit for step j is 1, so two sequences of small edit distance have walks of small Hamming distance. Walks are sampled at a few steps each,
+and windows that agree in all steps of a sample are candidates.
 
-An item is embedded in windows all along it, and each of them from `stride` successive words on; a document from every stride-th word on. So whatever
-the place of an item in a document, one start of each of its windows meets a window there, and edits of one part of an item leave windows of the others.
-Items are grouped by size; a window samples the steps of the item's group or, where edits are spread, of the groups of shorter windows. A
-candidate counts if the item's exact edit distance in characters to its closest substring there is at most (1 - similarity) of its length.
+Samples are of two kinds. Those of the first kind take their places from the whole walk of a window as long as the item: items are grouped by their words,
+and a walk takes twice as many steps as its group has words at least. Edits at the limit, spread evenly, leave between them runs of a few words
+only (`run`), after which walks may part for long; so samples of the second kind take theirs from the steps of one run, and are used where they read as
+many different words as they have places. Every word of an item starts a window, so long items have windows all along, and documents have one
+at every word or every `stride` of them. The tests measure recall at the limit, for items of 1 to 300 words and edits of all kinds, at 0.95 or more.
 
-Documents are scanned where they lie; items are taken in blocks of at most `block`, whose signatures go along with the task, so nothing is
+A candidate is judged on the item-sized stretch around it: first by how many of its words the item has, which edits within the limit cannot take away, then by
+the exact edit distance. The law is one for items of all sizes; below five words it leaves no edit at a similarity of 0.8.
+
+Documents are scanned where they lie; items are taken in blocks of about `block` words, whose signatures go along with the task, so nothing is
 shuffled and no passage, however common, meets in one task.
 
-Defined results: null and empty texts contain nothing; items without a word are in no document; an item of fewer than `places` words must occur
-word by word; rows that repeat are judged each on its own; an empty benchmark finds nothing; other columns are left alone.
+Defined results: null and empty texts contain nothing; items without a word are in no document; an item without an id is sought like any other; rows
+that repeat are judged each on its own; an empty benchmark finds nothing; other columns are left alone.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,114 +33,178 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import Texts, mix, pieces, texts, word_ranges
+from quillflow.llm.common import Texts, mix, pieces, texts
 
 #: ASCII bytes between words; other letters' bytes belong to words.
 BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-#: Least words of the size groups, and the steps that are sampled for each: about 1.4 steps a word of its least size, with a stride taken off.
-GROUPS = ((6, 8), (12, 14), (20, 24), (32, 36))
+#: Least words of the size groups, by which whole windows are as long as items; of shorter items every word is in a run.
+GROUPS = (12, 20, 36)
+#: Places of a sample of a whole window, such samples a group, and words between the windows of documents.
+PLACES, WHOLE, WHOLE_STRIDE = 4, 4, 8
+#: By words of a run (a longer one counts as the last): steps of its samples, one each for every walk, and words between the windows of documents.
+WALKS = 4
+RUNS = {1: ([(0,)], 1), 2: ([(0, 1), (0, 2)], 1), 3: ([(0, 1, 2), (0, 2, 4)], 1), 4: ([(0, 2, 4), (0, 3, 5)], 2)}
 #: Bits of a signature that find its place in a bitmap: at least, and beyond those of the number of signatures.
 BITMAP, SPARE = 20, 4
-#: Groups of shorter windows that an item is embedded in beside its own.
-SHORTER = 1
+SEED = 7
+
+
+def _allowed(words: int, similarity: float) -> int:
+    return math.floor((1 - similarity) * words + 1e-9)
+
+
+def run(words: int, similarity: float) -> int:
+    """Words of the longest stretch that any edits within the limit leave whole."""
+    edits = _allowed(words, similarity)
+    return -(-(words - edits) // (edits + 1))
+
+
+@dataclass(frozen=True)
+class Sample:
+    """Steps of a walk that are compared; for items of runs of so many words, or (run 0) of least words; and from which words of a document on."""
+
+    number: int
+    run: int
+    least: int
+    walk: int
+    places: tuple[int, ...]
+    stride: int
+
+    def serves(self, words: np.ndarray, similarity: float) -> np.ndarray:
+        """Which items, by their number of words, the sample is for."""
+        if self.run:
+            # of an item that allows no edit, any three words in a row will do
+            return np.array([min(max(RUNS) if _allowed(n, similarity) else 3, run(n, similarity)) if n else 0 for n in words.tolist()], np.int64) == self.run
+        return (words > 0) & (np.searchsorted(GROUPS, words, "right") - 1 == GROUPS.index(self.least))
+
+
+def samples() -> list[Sample]:
+    rng, out = np.random.default_rng(SEED), []
+    for words, (kinds, stride) in RUNS.items():
+        out += [(words, 0, walk, places, stride) for places in kinds for walk in range(WALKS if words > 1 else 1)]
+    for least in GROUPS:
+        out += [(0, least, i % 2, tuple(sorted(rng.choice(2 * least, PLACES, replace=False).tolist())), WHOLE_STRIDE) for i in range(WHOLE)]
+    return [Sample(n, *x) for n, x in enumerate(out)]
 
 
 @dataclass
 class Items:
     """A block of items with their signatures."""
 
-    ids: list[int]
-    words: list[list[bytes]]
-    #: The words' hashes, in order and as a set.
-    hashes: list[tuple[list[int], set[int]]]
+    ids: list[int | None]
     similarity: float
-    stride: int
-    walks: np.ndarray
-    #: By size group: steps of each sample (walk, places), and sorted signatures with item and shift.
-    places: dict[int, list[tuple[int, np.ndarray]]]
+    samples: list[Sample]
+    #: All items' words by their hashes, where each item's begin, and (item, word) pairs in order.
+    words: np.ndarray
+    first: np.ndarray
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    #: By sample: sorted signatures with item and place in it, and a bitmap of them.
     signatures: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     bitmaps: dict[int, np.ndarray] = field(default_factory=dict)
-    #: Short items: word sequences by their hash.
-    short: dict[int, dict[int, list[int]]] = field(default_factory=dict)
 
 
-def _walk(words: np.ndarray, starts: np.ndarray, seed: np.uint64, steps: int) -> np.ndarray:
-    """The embeddings (a row a step) of the sequences from starts on; words must go on for steps words after each start."""
-    symbols = mix(words ^ seed)
+def _walk(words: np.ndarray, starts: np.ndarray, walk: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The embeddings (a row a step) of the sequences from starts on, and the last step's place; words must go on for steps words after each start."""
+    symbols = mix(words ^ np.uint64((walk + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     at, out = starts.copy(), np.empty((steps, len(starts)), np.uint64)
     for j in range(steps):
+        if j:
+            at += (now >> np.uint64(j & 63) & np.uint64(1)).astype(np.int64)
         out[j] = now = symbols[at]
-        at += (now >> np.uint64(j) & np.uint64(1)).astype(np.int64)
-    return out
+    return out, at - starts
 
 
-def _signature(walk: np.ndarray, sample: int, places: np.ndarray) -> np.ndarray:
-    total = np.full(walk.shape[1], sample + 1, np.uint64)
-    for p in places.tolist():
+def _signature(walk: np.ndarray, sample: Sample) -> np.ndarray:
+    total = np.full(walk.shape[1], sample.number + 1, np.uint64)
+    for p in sample.places:
         total = (total ^ walk[p]) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
     return total
 
 
-def _padded(t: Texts, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with pad empty words after each text, and where each text's words begin there."""
-    counts = np.diff(t.word_at)
+def _padded(words: np.ndarray, counts: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of some texts, with pad empty words after each, and where each text's words begin there."""
     first = np.concatenate([[0], np.cumsum(counts + pad)])
     out = np.zeros(first[-1], np.uint64)
-    out[np.arange(len(t.start)) + np.repeat(first[:-1] - t.word_at[:-1], counts)] = t.hashes()
+    out[np.arange(len(words)) + np.repeat(first[:-1] - (np.cumsum(counts) - counts), counts)] = words
     return out, first
 
 
-def _windows(n: int, g: int, stride: int) -> np.ndarray:
-    """Words of an item of n words at which its windows of group g start, with the shifts; about a quarter of a window's steps apart, up to the item's end."""
-    steps = GROUPS[g][1]
-    last = max(0, n - (stride - 1) - steps // 2)
-    at = np.append(np.arange(0, last, max(1, steps // 4)), last)
-    return np.unique(at[:, None] + np.arange(stride))
+def _walks(padded: np.ndarray, first: np.ndarray, counts: np.ndarray, chosen: list[Sample]) -> Iterator[tuple[list[Sample], np.ndarray, np.ndarray, np.ndarray]]:
+    """By walk and stride: its samples, row and place of each window, and the embeddings."""
+    for walk, stride in sorted({(s.walk, s.stride) for s in chosen}):
+        own = [s for s in chosen if (s.walk, s.stride) == (walk, stride)]
+        n = -(-counts // stride)
+        row = np.repeat(np.arange(len(counts)), n)
+        place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
+        yield own, row, place, _walk(padded, first[row] + place, walk, max(s.places[-1] for s in own) + 1)[0]
 
 
-def _lowered(texts_: pa.Array) -> pa.Array:
-    return pc.utf8_lower(texts_)
+def _pair(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(words + (item.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def prepare(rows: list[tuple[int, str | None]], similarity: float, walks: int, samples: int, places: int, stride: int, seed: int = 7) -> Items:
+def prepare(rows: list[tuple[int | None, str | None]], similarity: float) -> Items:
     """The items (id, text) of a block, made ready to be met."""
-    rng = np.random.default_rng(seed)
-    seeds = rng.integers(1, 2**63, walks, dtype=np.uint64)
-    chosen = {g: [(i % walks, np.sort(rng.choice(steps, places, replace=False))) for i in range(walks * samples)] for g, (_, steps) in enumerate(GROUPS)}
-    items = Items([i for i, _ in rows], [], [], similarity, stride, seeds, chosen)
-    steps = max(s for _, s in GROUPS)
-    found: dict[int, list] = defaultdict(list)
-    for t in texts(_lowered(pa.array([x or "" for _, x in rows], pa.string())), space=BREAK):
-        padded, first = _padded(t, steps)
-        for r in range(t.rows):
-            a, b = int(t.word_at[r]), int(t.word_at[r + 1])
-            items.words.append([t.data[s:e].tobytes() for s, e in zip(t.start[a:b], t.end[a:b])])
-            listed = padded[first[r] : first[r] + b - a].tolist()
-            items.hashes.append((listed, set(listed)))
-            n, at = b - a, t.first + r
-            if 0 < n < GROUPS[0][0]:
-                h = int(word_ranges(padded, first[r : r + 1], first[r : r + 1] + n)[0])
-                items.short.setdefault(n, {}).setdefault(h, []).append(at)
-            elif n:
-                own = max(g for g, (least, _) in enumerate(GROUPS) if least <= n)
-                for g in range(max(0, own - SHORTER), own + 1):
-                    shifts = _windows(n, g, stride)
-                    walked = [_walk(padded, first[r] + shifts, s, GROUPS[g][1]) for s in seeds]
-                    for i, (w, p) in enumerate(chosen[g]):
-                        found[g].append((_signature(walked[w], i, p), np.full(len(shifts), at, np.int32), shifts.astype(np.int32)))
-    for g, parts in found.items():
-        sig, item, shift = (np.concatenate(x) for x in zip(*parts))
+    chosen = samples()
+    column = pa.array([x or "" for _, x in rows], pa.string())
+    parts = [(t.hashes(), np.diff(t.word_at)) for t in texts(pc.utf8_lower(column), space=BREAK)]
+    words, counts = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    items = Items([i for i, _ in rows], similarity, chosen, words, np.concatenate([[0], np.cumsum(counts)]))
+    items.pairs = np.unique(_pair(np.repeat(np.arange(len(counts)), counts), words))
+    padded, first = _padded(words, counts, 2 * GROUPS[-1])
+    for sample in chosen:
+        at = np.flatnonzero(sample.serves(counts, similarity))
+        if not len(at):
+            continue
+        place, of = _ranges(np.zeros(len(at), np.int64), counts[at])
+        item = at[of]
+        walk, _ = _walk(padded, first[item] + place, sample.walk, sample.places[-1] + 1)
+        # how far each place is from the start: what the item has no word for is of no use, nor a run's sample that reads a word twice,
+        # but for the first walk's where no edit is allowed
+        far = [_walk(padded, first[item] + place, sample.walk, p + 1)[1] for p in sample.places]
+        fits = place + far[-1] < counts[item]
+        free = (sample.run == 0) | (sample.walk == 0) & (np.array([_allowed(n, similarity) for n in counts.tolist()])[item] == 0)
+        for one, two in zip(far, far[1:]):
+            fits &= free | (one < two)
+        sig = _signature(walk, sample)[fits]
         order = np.argsort(sig)
-        items.signatures[g] = sig[order], item[order], shift[order]
+        items.signatures[sample.number] = sig[order], item[fits][order], place[fits][order]
         bits = max(BITMAP, len(sig).bit_length() + SPARE)
-        items.bitmaps[g] = np.zeros(1 << bits, bool)
-        items.bitmaps[g][(sig >> np.uint64(64 - bits)).astype(np.int64)] = True
+        items.bitmaps[sample.number] = np.zeros(1 << bits, bool)
+        items.bitmaps[sample.number][(sig >> np.uint64(64 - bits)).astype(np.int64)] = True
     return items
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, with the number of the range."""
+    n = high - low
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[of], of
+
+
+def _candidates(padded: np.ndarray, first: np.ndarray, counts: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, item, and the word of the row at which the item may begin."""
+    found = [(np.zeros(0, np.int64),) * 3]
+    for own, row, place, walk in _walks(padded, first, counts, [s for s in items.samples if s.number in items.signatures]):
+        for sample in own:
+            sigs, item, at = items.signatures[sample.number]
+            bitmap = items.bitmaps[sample.number]
+            sig = _signature(walk, sample)
+            maybe = np.flatnonzero(bitmap[(sig >> np.uint64(65 - len(bitmap).bit_length())).astype(np.int64)])
+            hit, of = _ranges(*(np.searchsorted(sigs, sig[maybe], side) for side in ("left", "right")))
+            found.append((row[maybe[of]], item[hit], place[maybe[of]] - at[hit]))
+    rows, item, begin = (np.concatenate(x) for x in zip(*found))
+    if not len(rows):
+        return rows, item, begin
+    order = np.lexsort((begin, item, rows))
+    rows, item, begin = rows[order], item[order], begin[order]
+    new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (item[1:] != item[:-1]) | (begin[1:] != begin[:-1])])
+    return rows[new], item[new], begin[new]
+
+
 def edit_distance_within(item: np.ndarray, region: np.ndarray, limit: int | None = None) -> int:
-    """The least number of edits between item and any substring of region (arrays of characters); if it is over limit, some number over limit."""
+    """The least number of edits between item and any stretch of region (arrays of words); if it is over limit, some number over limit."""
     ramp = np.arange(len(region) + 1)
     row = np.zeros(len(region) + 1, np.int64)
     for i, c in enumerate(item.tolist()):
@@ -149,117 +217,82 @@ def edit_distance_within(item: np.ndarray, region: np.ndarray, limit: int | None
     return int(row.min())
 
 
-def _chars(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b" ".join(words).decode(errors="replace").encode("utf-32-le"), np.uint32)
-
-
-def _candidates(t: Texts, items: Items) -> dict[tuple[int, int], list[int]]:
-    """(row, item): words of the row at which the item may begin."""
-    found: dict[tuple[int, int], list[int]] = defaultdict(list)
-    counts = np.diff(t.word_at)
-    if items.signatures:
-        steps = max(GROUPS[g][1] for g in items.signatures)
-        padded, first = _padded(t, steps)
-        n_starts = -(-counts // items.stride)
-        row = np.repeat(np.arange(t.rows), n_starts)
-        start = (np.arange(n_starts.sum()) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)) * items.stride
-        for w, seed in enumerate(items.walks):
-            walk = _walk(padded, first[row] + start, seed, steps)
-            for g, (sigs, item, shift) in items.signatures.items():
-                for i, (own, places) in enumerate(items.places[g]):
-                    if own != w:
-                        continue
-                    sig = _signature(walk, i, places)
-                    maybe = np.flatnonzero(items.bitmaps[g][(sig >> np.uint64(65 - len(items.bitmaps[g]).bit_length())).astype(np.int64)])
-                    low, high = (np.searchsorted(sigs, sig[maybe], side) for side in ("left", "right"))
-                    for k, a, b in zip(maybe.tolist(), low.tolist(), high.tolist()):
-                        for at in range(a, b):
-                            found[int(row[k]), int(item[at])].append(int(start[k] - shift[at]))
-    words = t.hashes() if items.short else None
-    for n, by_hash in items.short.items():
-        begin = np.flatnonzero(np.arange(len(words)) + n <= t.ends())
-        got = word_ranges(words, begin, begin + n)
-        listed = np.sort(np.fromiter(by_hash, np.uint64, len(by_hash)))
-        for k in np.flatnonzero(listed[np.minimum(np.searchsorted(listed, got), len(listed) - 1)] == got).tolist():
-            r = int(np.searchsorted(t.word_at, begin[k], "right")) - 1
-            for at in by_hash[int(got[k])]:
-                found[r, at].append(int(begin[k] - t.word_at[r]))
-    return found
-
-
 def meet(t: Texts, items: Items) -> Iterator[tuple[int, int, int, float]]:
-    """(row, item, edit distance, similarity) of each verified pair."""
-    hashes, now, words = t.hashes(), None, []
-    for (r, item), begins in sorted(_candidates(t, items).items()):
-        a, b = int(t.word_at[r]), int(t.word_at[r + 1])
-        if now != r:
-            now, words = r, hashes[a:b].tolist()
-        own, (listed, different) = items.words[item], items.hashes[item]
-        whole, slack = _chars(own), 2 + len(own) // 4
-        allowed = int((1 - items.similarity) * len(whole)) if len(own) >= GROUPS[0][0] else 0
-        best, upto = None, -1
-        for begin in sorted(set(begins)):
-            low, high = max(0, begin - slack), min(b - a, begin + len(own) + slack)
-            if begin <= upto or low >= high:
-                continue
-            there = words[low:high]
-            at = begin - low
-            if there[at : at + len(own)] == listed:
-                distance = 0
-            elif len(own) < GROUPS[0][0] or len(different.intersection(there)) * 4 < len(different):
-                continue
-            else:
-                distance = edit_distance_within(whole, _chars([t.data[s:e].tobytes() for s, e in zip(t.start[a + low : a + high], t.end[a + low : a + high])]), allowed)
-                upto = begin + slack // 2
-            best = distance if best is None else min(best, distance)
-            if best == 0:
-                break
-        if best is not None and best <= allowed:
-            yield t.first + r, items.ids[item], best, 1 - best / len(whole)
-
-
-def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, at most about block at once; a longer one counts as one for every 96 characters, as it has windows in proportion."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    weight = rows.agg(F.sum(F.ceil(F.greatest(F.lit(1), F.length("text")) / 96))).first()[0] or 0
-    parts = max(1, -(-int(weight) // max(1, block // 2)))
+    """(row, item, edit distance, similarity) of each verified pair; item is its number in the block."""
+    words, counts = t.hashes(), np.diff(t.word_at)
+    padded, first = _padded(words, counts, 2 * GROUPS[-1])
+    row, item, begin = _candidates(padded, first, counts, items)
+    size = np.diff(items.first)[item]
+    edits = np.floor((1 - items.similarity) * size + 1e-9).astype(np.int64)
+    low, high = np.maximum(begin - edits, 0), np.minimum(begin + size + edits, counts[row])
+    keep = high - low >= size - edits
+    row, item, low, high, size, edits = (x[keep] for x in (row, item, low, high, size, edits))
+    good = np.zeros(len(row), bool)
+    for at in range(0, len(row), 1 << 14):
+        part = slice(at, at + (1 << 14))
+        place, of = _ranges(low[part], high[part])
+        pair = _pair(item[part][of], words[t.word_at[row[part][of]] + place])
+        known = items.pairs[np.minimum(np.searchsorted(items.pairs, pair), len(items.pairs) - 1)] == pair
+        good[part] = np.bincount(of[known], minlength=len(low[part])) >= (size - edits)[part]
+    row, item, low, high, edits = (x[good] for x in (row, item, low, high, edits))
+    # candidates of a pair come in order: stretches that overlap are one
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])
+    at = np.flatnonzero(new)
+    best: dict[tuple[int, int], int] = {}
+    for r, i, s, e, n in zip(*(x.tolist() for x in (row[at], item[at], low[at], np.maximum.reduceat(high, at) if len(at) else at, edits[at]))):
+        if best.get((r, i)) == 0:
+            continue
+        distance = edit_distance_within(items.words[items.first[i] : items.first[i + 1]], words[t.word_at[r] + s : t.word_at[r] + e], n)
+        if distance <= n:
+            best[r, i] = min(distance, best.get((r, i), distance))
+    for (r, i), distance in best.items():
+        yield t.first + r, i, distance, 1 - distance / int(items.first[i + 1] - items.first[i])
+
+
+def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The items, of at most about block words at once."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    weight = rows.agg(F.sum(1 + F.length("text") / 4)).first()[0] or 0
+    parts = max(1, math.ceil(weight / max(1, block)))
     for n in range(parts):
-        yield sorted((r.item_id, r.text) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == n).collect())
+        yield sorted(((r.item_id, r.text) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == n).collect()), key=lambda x: (x[0] is None, x))
 
 
-def _prepared(benchmark: DataFrame, block: int, similarity: float, walks: int, samples: int, places: int, stride: int) -> Iterator[Items]:
+def _prepared(benchmark: DataFrame, block: int, similarity: float) -> Iterator[Items]:
     for rows in _blocks(benchmark, block):
-        yield prepare(rows, similarity, walks, samples, places, stride)
+        yield prepare(rows, similarity)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, walks: int = 4, samples: int = 5, places: int = 5, stride: int = 4, block: int = 20_000) -> DataFrame:
-    """doc_id, item_id, distance (edits in characters) and similarity for each benchmark item (item_id, text) found in a row of docs (doc_id, text)."""
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block: int = 500_000) -> DataFrame:
+    """doc_id, item_id, distance (edits in words) and similarity for each benchmark item (item_id, text) found in a row of docs (doc_id, text)."""
     out = None
-    for items in _prepared(benchmark, block, similarity, walks, samples, places, stride):
+    for items in _prepared(benchmark, block, similarity):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches):
                 ids = batch.column("doc_id")
-                for t in texts(_lowered(batch.column("text")), space=BREAK):
-                    found = [*meet(t, sent.value)]
+                for t in texts(pc.utf8_lower(batch.column("text")), space=BREAK):
+                    found = sorted(meet(t, sent.value))
                     row, item, distance, similar = zip(*found) if found else ((), (), (), ())
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(distance, pa.int64()), pa.array(similar, pa.float64())], ["doc_id", "item_id", "distance", "similarity"])
+                    named = [sent.value.ids[i] for i in item]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(named, pa.int64()), pa.array(distance, pa.int64()), pa.array(similar, pa.float64())], ["doc_id", "item_id", "distance", "similarity"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, distance long, similarity double")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, walks: int = 4, samples: int = 5, places: int = 5, stride: int = 4, block: int = 20_000) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block: int = 500_000) -> DataFrame:
     """docs without the rows that contain an item; all columns as they are."""
-    for items in _prepared(benchmark, block, similarity, walks, samples, places, stride):
+    for items in _prepared(benchmark, block, similarity):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches):
                 keep = np.ones(batch.num_rows, bool)
-                for t in texts(_lowered(batch.column(batch.schema.get_field_index("text"))), space=BREAK):
+                for t in texts(pc.utf8_lower(batch.column(batch.schema.get_field_index("text"))), space=BREAK):
                     for row, *_ in meet(t, sent.value):
                         keep[row] = False
                 yield batch.filter(pa.array(keep))
