@@ -1,17 +1,20 @@
 """Operator 4: stupid-backoff language model scores by joins of exploded n-grams with count tables.
 
-Words are lower-cased. The words of at least the count at which they are `vocabulary` at most have a number each; all others are one unknown
-word, as is usual for closed vocabularies, and none is left out. An n-gram of numbers is one long, exact up to three words. Tables of counts of two words and more
-cover all documents, are aggregated in each task and then by key, and lie partitioned by its hash; n-grams seen fewer than `least` times are not listed.
-Each document's n-grams, exploded with their counts in it, are joined to the table of their length; the found ones are divided by the count of
-their context, the others go on, one word shorter and times `backoff`, to the next table, and at last to the single words. A document's score is
-the sum of the logarithms by its number of words.
-
-Broadcast are only the single words and the scores of the most frequent n-grams, `vocabulary` of each at most: n-grams that nearly every document
-has are scored where they are exploded, and so are no hot keys of the join. An unknown word's probability is shared equally by the different unknown words.
-
-Defined results: one row for each doc_id, in which rows that repeat the id are taken together (a null id too); a null or empty text has no
-words and a null score; an empty table gives no rows.
+Words are lower-cased; every word counts, there is no vocabulary. An n-gram is known by a 64-bit hash of its words. Counts of all n-grams of `order`
+words and of their contexts, one word shorter, cover all documents, are aggregated in each task and then by key, and are joined, by the key's
+hash, to the n-grams that a document explodes into. The logarithms add up, so n-grams and contexts are rows of one kind: a document's score is the sum of
+log10 of its n-grams' counts less that of their contexts' counts, by its number of words.
+
+A corpus that is scored by its own counts (`score` without a corpus) has each of its n-grams, so no score backs off there; and what occurs once has a logarithm
+of 0, so its row need not be joined at all. A bitmap of fixed size, with a bit for each key that occurs again, keeps most of these rows out of the
+shuffle; where it is full, more rows go on, and results are the same. The most frequent keys, at most `frequent`, are summed where they
+are exploded, so they are no hot keys of the join.
+
+Documents of which the counts know nothing are scored with `corpus`: an n-gram that it lacks is scored one word shorter, times `backoff`, and so on; at last a
+word that it lacks counts as if it had been there once.
+
+Defined results: one row for each doc_id, in which rows that repeat the id are taken together (a null id too); before a text's first word stands a start,
+counted once for each text with a word; a null or empty text has no words and a null score; an empty table gives no rows, an empty corpus a null score.
 """
 
 from __future__ import annotations
@@ -24,18 +27,63 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import mix, pieces, stage, texts
+from quillflow.llm.common import Texts, mix, pieces, stage, texts
 
-#: Bits of a word's number in an n-gram; words of a slice that are counted at once.
-BITS, GATHER = 20, 1 << 20
-#: Steps in which counts are doubled when the least count of the vocabulary is sought.
+#: N-grams of a task that are counted at once.
+GATHER = 1 << 21
+#: Steps in which counts are doubled when the frequent ones are sought.
 FINE = 16
+#: The bitmap has 2**BITMAP bits (16 MB); it comes to the driver in 2**PART parts.
+BITMAP, PART = 27, 8
+#: The last two bits of a key say what a row is.
+NGRAM, CONTEXT, SUM, WORDS = range(4)
+START = np.uint64(0x5BD1E995)
 
 
 def _lowered(batch: pa.RecordBatch) -> pa.Array:
     return pc.utf8_lower(batch.column("text"))
 
 
+def _marked(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return hashes & ~np.uint64(3) | np.uint64(kind)
+
+
+class Sequences:
+    """The words of a slice's texts behind their starts, as hashes: word i of row r at first[r] + starts + i."""
+
+    def __init__(self, t: Texts, starts: int):
+        counts = np.diff(t.word_at)
+        self.rows = np.flatnonzero(counts)
+        self.counts = counts[self.rows]
+        long = self.counts + starts
+        self.first = np.cumsum(long) - long
+        self.row = np.repeat(self.rows, long)
+        self.place = np.arange(long.sum()) - np.repeat(self.first, long)
+        self.words = np.full(long.sum(), START, np.uint64)
+        self.words[self.place >= starts] = t.hashes()
+
+    def ending(self, n: int) -> np.ndarray:
+        """The hash of n words that ends at each place; with fewer before it, of no use."""
+        total = mix(self.words + np.uint64(n))
+        for back in range(1, n):
+            total[back:] = mix(total[back:] * np.uint64(0x9E3779B97F4A7C15) + self.words[:-back])
+        return total
+
+
+def _exploded(t: Texts, order: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of each n-gram and each context; also of the context that a text ends with, if last."""
+    s = Sequences(t, order - 1)
+    words = s.place >= order - 1
+    keys, rows = [_marked(s.ending(order)[words], NGRAM)], [s.row[words]]
+    if order > 1:
+        context = s.place >= order - 2
+        if not last:
+            context[s.first + s.counts + order - 2] = False
+        keys.append(_marked(s.ending(order - 1)[context], CONTEXT))
+        rows.append(s.row[context])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def _summed(keys: list[np.ndarray]) -> pa.RecordBatch:
     key, n = np.unique(np.concatenate(keys), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
@@ -59,125 +107,124 @@ def _counted(make: Callable) -> Callable:
     return run
 
 
-class Numbers:
-    """The vocabulary: words' hashes in order, and their counts; number 0 is the unknown word, the last the start of a text."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, types: int, documents: int):
-        order = np.argsort(hashes)
-        self.hashes, self.counts, self.total = hashes[order], counts[order], total
-        self.begin, self.unknown = len(hashes) + 1, total - int(counts.sum())
-        self.unknown_types, self.documents = max(1, types - len(hashes)), documents
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at + 1, 0)
-
-    def ngrams(self, t, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row and key of the n-gram that ends at each word."""
-        number, row = self.of(t.hashes()), t.row_of_word()
-        place = np.arange(len(number)) - t.word_at[:-1][row]
-        key = number
-        for back in range(1, order):
-            before = np.concatenate([np.full(min(back, len(number)), self.begin), number[:-back]]) if len(number) else number
-            key = key | np.where(place >= back, before, self.begin) << BITS * back
-        return row, key
-
-    def table(self, spark) -> DataFrame:
-        """number and its count c, of the unknown word and the start as well."""
-        counts = [self.unknown, *self.counts.tolist(), self.documents]
-        return spark.createDataFrame(list(enumerate(counts)), "number long, c long")
-
-
-def _frequent(table: DataFrame, count: str, size: int) -> tuple[DataFrame, int, int]:
-    """The rows of the greatest counts, all that share a bin or none, size at most; and of all rows the number and the counts' sum."""
-    bin_ = F.floor(F.log2(count) * FINE).cast("int")
-    bins = table.groupBy(bin_.alias("bin")).agg(F.count("*").alias("types"), F.sum(count).alias("total")).collect()  # 64 * FINE rows at most
+def counts(docs: DataFrame, order: int) -> DataFrame:
+    """key and c: how often each n-gram of order words, and each context, occurs in docs (text)."""
+    return docs.select("text").mapInArrow(_counted(lambda t: _exploded(t, order, True)[1]), "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+
+
+def _frequent(table: DataFrame, size: int) -> DataFrame:
+    """The rows of the greatest counts, all that share a bin or none, size at most."""
+    bin_ = F.floor(F.log2("c") * FINE).cast("int")
+    bins = table.groupBy(bin_.alias("bin")).count().collect()  # 64 * FINE rows at most
     least, so_far = 64 * FINE, 0
     for b in sorted(bins, reverse=True):
-        so_far += b.types
+        so_far += b["count"]
         if so_far > size:
             break
         least = b.bin
-    return table.filter(bin_ >= least), sum(b.types for b in bins), sum(b.total for b in bins)
-
-
-def vocabulary(docs: DataFrame, size: int) -> Numbers:
-    words = stage(docs.select("text").mapInArrow(_counted(lambda t: t.hashes().view(np.int64)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
-    frequent, types, total = _frequent(words, "n", size)
-    chosen = frequent.collect()  # size rows at most
-    hashes, counts = np.array([r.key for r in chosen], np.int64).view(np.uint64), np.array([r.n for r in chosen], np.int64)
-    return Numbers(hashes, counts, total, types, docs.count())
-
-
-def counts(docs: DataFrame, numbers: Numbers, order: int, least: int) -> DataFrame:
-    """key and c: how often each n-gram of order words occurs, where that is least times or more."""
-    sent = docs.sparkSession.sparkContext.broadcast(numbers)
-    exploded = docs.select("text").mapInArrow(_counted(lambda t: sent.value.ngrams(t, order)[1]), "key long, n long")
-    return stage(exploded.groupBy("key").agg(F.sum("n").alias("c")).filter(F.col("c") >= least), f"lm-{order}-grams")
-
-
-def _mask(words: int):
-    return F.lit((1 << BITS * words) - 1)
-
-
-def _scored(rows: DataFrame, numbers: Numbers, tables: dict[int, DataFrame], order: int, backoff: float) -> DataFrame:
-    """rows (key and others) with log, the logarithm of each n-gram's score. A row asks each table once: for itself, a shorter n-gram, or its context."""
-    none = F.lit(None).cast("long")
-    rows = rows.withColumns({"_look": F.col("key"), "_found": none, "_whole": none, "_at": F.lit(1)})
-    for k in range(order, 1, -1):
-        rows = rows.join(tables[k].select(F.col("key").alias("_look"), F.col("c").alias("_c")), "_look", "left")
-        first, hit = F.col("_found").isNull(), F.col("_c").isNotNull()
-        rows = rows.withColumns({
-            "_found": F.when(first, F.col("_c")).otherwise(F.col("_found")), "_at": F.when(first & hit, k).otherwise(F.col("_at")), "_whole": F.when(first, F.col("_whole")).otherwise(F.coalesce("_whole", "_c")),
-            "_look": F.when(first & hit, F.shiftright("_look", BITS)).when(first, F.col("_look").bitwiseAND(_mask(k - 1))),
-        }).drop("_c")
-    single = F.broadcast(numbers.table(rows.sparkSession).toDF("_look", "_c"))
-    rows = rows.join(single, "_look", "left")
-    # a context of starts alone is in no table: it stands before every text
-    whole = F.when(F.col("_at") == 1, F.lit(max(1, numbers.total))).when(F.col("_at") == 2, F.col("_c")).otherwise(F.coalesce("_whole", F.lit(numbers.documents)))
-    found = F.when(F.col("_at") == 1, F.greatest(F.coalesce("_c", F.lit(1)), F.lit(1))).otherwise(F.col("_found"))
-    unknown = F.when(F.col("key").bitwiseAND(_mask(1)) == 0, F.log10(F.lit(float(numbers.unknown_types)))).otherwise(0.0)
-    log = F.log10(found / whole) + (order - F.col("_at")) * F.log10(F.lit(backoff)) - unknown
-    return rows.withColumn("log", log).drop("_look", "_found", "_whole", "_at", "_c")
-
-
-def score(docs: DataFrame, order: int = 2, size: int = 1 << 16, least: int = 2, backoff: float = 0.4) -> DataFrame:
-    """doc_id, n_words and score (mean of the words' log10 stupid-backoff scores) for docs (doc_id, text)."""
-    if not 1 <= order <= 3 or not 0 < size < (1 << BITS) - 1:
-        raise ValueError(f"order must be 1 to 3 and size below {(1 << BITS) - 1}")
-    spark = docs.sparkSession
-    numbers = vocabulary(docs, size)
-    tables = {k: counts(docs, numbers, k, least) for k in range(2, order + 1)}
-    top = _frequent(tables[order], "c", size)[0] if order > 1 else numbers.table(spark).withColumnRenamed("number", "key")
-    known = sorted((r.key, r.log) for r in _scored(top.select("key"), numbers, tables, order, backoff).collect())  # size rows at most
-    sent = spark.sparkContext.broadcast((numbers, np.array([k for k, _ in known], np.int64), np.array([x for _, x in known])))
+    return table.filter(bin_ >= least)
+
+
+def _bitmap(table: DataFrame) -> np.ndarray:
+    """A bit for each key, by its first BITMAP bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, parts = 1 << BITMAP - PART, {}
+        for batch in batches:
+            slot = (batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP)).astype(np.int64)
+            for part in np.unique(slot // size).tolist():
+                parts.setdefault(part, np.zeros(size, bool))[slot[slot // size == part] % size] = True
+        yield pa.RecordBatch.from_arrays([pa.array([*parts], pa.int64()), pa.array([np.packbits(x).tobytes() for x in parts.values()], pa.binary())], ["part", "bits"])
+
+    part = F.shiftrightunsigned("key", 64 - PART)
+    out = np.zeros((1 << PART, 1 << BITMAP - PART - 3), np.uint8)
+    for r in table.select("key").repartition(1 << PART, part).mapInArrow(run, "part long, bits binary").collect():  # a row a part
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def _doc_rows(ids: pa.Array, t: Texts, kind: int, value: np.ndarray) -> list:
+    keys = _marked(mix(np.arange(t.rows, dtype=np.uint64) + np.uint64(t.at[-1]) * np.uint64(0x9E3779B9)), kind)
+    return [ids.slice(t.first, t.rows), keys, value]
+
+
+def score_by_own(docs: DataFrame, order: int, frequent: int) -> DataFrame:
+    """doc_id, n_words and log, the sum of the words' log10 scores, by the counts of docs themselves."""
+    sign = F.when(F.col("key").bitwiseAND(3) == CONTEXT, -1.0).otherwise(1.0)
+    table = stage(counts(docs, order).filter("c > 1").withColumn("log", sign * F.log10("c")), "lm-counts")
+    top = _frequent(table, frequent).select("key", "log").toPandas().sort_values("key")  # frequent rows at most
+    sent = docs.sparkSession.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["log"].to_numpy(np.float64), _bitmap(table)))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each different n-gram of a text that is not among the frequent ones; these are one row of a text, under a key below 0."""
-        own, keys, logs = sent.value
+        """Rows (doc_id, key, value): a text's different n-grams and contexts, neither frequent nor seen to occur once, with their number; its frequent ones' sum; its words' number."""
+        known, logs, bits = sent.value
         for batch in pieces(batches):
             ids = batch.column("doc_id")
             for t in texts(_lowered(batch)):
-                row, key = own.ngrams(t, order)
-                sort = np.lexsort((key, row))
-                row, key = row[sort], key[sort]
+                row, key = _exploded(t, order, False)
+                slot = key >> np.uint64(64 - BITMAP)
+                again = bits[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+                row, key = row[again], key[again].view(np.int64)
+                at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+                hit = known[at] == key if len(known) else np.zeros(len(key), bool)
+                total = np.bincount(row[hit], logs[at[hit]], t.rows) if hit.any() else np.zeros(t.rows)
+                row, key = row[~hit], key[~hit]
+                order_ = np.lexsort((key, row))
+                row, key = row[order_], key[order_]
                 new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])) if len(row) else row
-                n = np.diff(np.append(new, len(row)))
-                row, key = row[new], key[new]
-                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-                hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-                log = np.bincount(row[hit], n[hit] * logs[at[hit]], t.rows) if hit.any() else np.zeros(t.rows)
-                rest = ~hit
-                whole = -1 - (mix(np.arange(1, t.rows + 1, dtype=np.uint64) * np.uint64(t.at[-1] + 1)) >> np.uint64(1)).astype(np.int64)
-                rows = pa.array(np.concatenate([row[rest], np.arange(t.rows)]) + t.first)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), pa.array(np.concatenate([key[rest], whole])), pa.array(np.concatenate([n[rest], np.bincount(row[hit], n[hit], t.rows).astype(np.int64)])), pa.array(np.concatenate([np.zeros(int(rest.sum())), log]))],
-                    ["doc_id", "key", "n", "known"],
-                )
-
-    left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(explode, "doc_id long, key long, n long, known double")
-    rows = _scored(left, numbers, tables, order, backoff)
-    log = F.when(F.col("key") < 0, F.col("known")).otherwise(F.col("n") * F.col("log"))
-    return rows.groupBy("doc_id").agg(F.sum("n").alias("n_words"), (F.sum(log) / F.nullif(F.sum("n"), F.lit(0))).alias("score"))
+                parts = [[ids.take(pa.array(row[new] + t.first)), key[new].view(np.uint64), np.diff(np.append(new, len(row))).astype(float)], _doc_rows(ids, t, SUM, total), _doc_rows(ids, t, WORDS, np.diff(t.word_at).astype(float))]
+                yield from (pa.RecordBatch.from_arrays([i, pa.array(k.view(np.int64)), pa.array(v)], ["doc_id", "key", "value"]) for i, k, v in parts)
+
+    rows = docs.select("doc_id", "text").mapInArrow(explode, "doc_id long, key long, value double")
+    kind = F.col("key").bitwiseAND(3)
+    log = F.when(kind == SUM, F.col("value")).when(kind != WORDS, F.col("value") * F.coalesce("log", F.lit(0.0))).otherwise(0.0)
+    words = F.when(kind == WORDS, F.col("value")).otherwise(0.0)
+    return rows.join(table.select("key", "log"), "key", "left").groupBy("doc_id").agg(F.sum(words).cast("long").alias("n_words"), F.sum(log).alias("log"))
+
+
+def score_by_corpus(docs: DataFrame, corpus: DataFrame, order: int, backoff: float) -> DataFrame:
+    """doc_id, n_words and log of docs by the counts of corpus (text), with backoff."""
+    tables = {k: stage(counts(corpus, k), f"lm-{k}-grams") for k in range(1, order + 1)}
+    total = tables[1].agg(F.sum("c")).first()[0]
+    names = [f"{kind}{k}" for k in range(order, 0, -1) for kind in ("gram", "context")][:-1]
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a word: the n-grams that end there, of each length, and their contexts."""
+        for batch in pieces(batches):
+            ids = batch.column("doc_id")
+            for t in texts(_lowered(batch)):
+                columns = []
+                for k in range(order, 0, -1):
+                    s = Sequences(t, k - 1)
+                    words = np.flatnonzero(s.place >= k - 1)
+                    columns.append(_marked(s.ending(k)[words], NGRAM))
+                    if k > 1:
+                        columns.append(_marked(s.ending(k - 1)[words - 1], CONTEXT))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(t.row_of_word() + t.first)), *(pa.array(c.view(np.int64)) for c in columns)], ["doc_id", *names])
+
+    rows = docs.select("doc_id", "text").mapInArrow(explode, f"doc_id long, {', '.join(f'{n} long' for n in names)}").groupBy("doc_id", *names).agg(F.count("*").alias("n"))
+    rows = rows.withColumn("log", F.lit(None).cast("double"))
+    for k in range(order, 0, -1):
+        for name in (n for n in names if n[-1] == str(k)):
+            rows = rows.join(tables[k].select(F.col("key").alias(name), F.col("c").alias(f"c_{name}")), name, "left")
+        whole = F.col(f"c_context{k}") if k > 1 else F.lit(total)
+        found = F.col(f"c_gram{k}") if k > 1 else F.coalesce("c_gram1", F.lit(1))
+        rows = rows.withColumn("log", F.coalesce("log", F.log10(found / whole) + F.log10(F.lit(backoff)) * (order - k)))
+    scored = rows.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * F.col("log")).alias("log"))
+    ids = docs.select("doc_id").distinct()
+    return ids.join(scored, ids.doc_id.eqNullSafe(scored.doc_id), "left").select(ids.doc_id, F.coalesce("n_words", F.lit(0)).alias("n_words"), "log")
+
+
+def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 2, backoff: float = 0.4, frequent: int = 1 << 17) -> DataFrame:
+    """doc_id, n_words and score (mean of the words' log10 stupid-backoff scores) for docs (doc_id, text), by the counts of corpus (text) or of docs themselves."""
+    if order < 1:
+        raise ValueError("order must be 1 or more")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if corpus is not None:
+        found = score_by_corpus(docs, corpus, order, backoff)
+    else:
+        found = score_by_own(docs, order, frequent)
+        if order == 1:  # the context is every word
+            total = found.agg(F.sum("n_words")).first()[0]
+            found = found.withColumn("log", F.col("log") - F.col("n_words") * F.log10(F.lit(max(1, total or 1))))
+    return found.select("doc_id", "n_words", (F.col("log") / F.nullif("n_words", F.lit(0))).alias("score"))

@@ -29,7 +29,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = language_model.score(table(spark, sf_dir, "documents"), order=2, size=1 << 16, least=2, backoff=0.4)
+    scored = language_model.score(table(spark, sf_dir, "documents"), order=2, backoff=0.4)
     return scored.withColumn("score", F.round("score", 6))
 
 

@@ -113,41 +113,25 @@ def edit_distance_within(item, region):
     return min(row)
 
 
-def backoff_scores(rows, order, size, least=2, backoff=0.4):
-    """rows: (doc_id, text): doc_id to (n_words, mean log10 score)."""
+def backoff_scores(rows, order, corpus=None, backoff=0.4):
+    """rows: (doc_id, text), ids different; corpus: texts, of rows by default: doc_id to (n_words, mean log10 score)."""
     split = {i: words((t or "").lower()) for i, t in rows}
-    uni = collections.Counter(w for x in split.values() for w in x)
-    total = sum(uni.values())
-    step = lambda n: math.floor(math.log2(n) * 16)
-    bins, limit, so_far = collections.Counter(step(n) for n in uni.values()), 1024, 0
-    for b in sorted(bins, reverse=True):
-        so_far += bins[b]
-        if so_far > size:
-            break
-        limit = b
-    known = {w for w, n in uni.items() if step(n) >= limit}
-    types = max(1, len(uni) - len(known))
-    count = [collections.Counter() for _ in range(order + 1)]
-    seqs = {i: ["<s>"] * (order - 1) + [w if w in known else "<u>" for w in x] for i, x in split.items()}
-    for x in seqs.values():
-        for k in range(order - 1, len(x)):
-            for o in range(1, order + 1):
-                count[o][tuple(x[k - o + 1 : k + 1])] += 1
-
-    def log(gram):
-        o = len(gram)
+    count = collections.Counter()
+    known = list(split.values()) if corpus is None else [words((t or "").lower()) for t in corpus]
+    total = sum(map(len, known))
+    for o in range(1, order + 1):
+        for x in known:
+            padded = ["<s>"] * (o - 1) + x if x else []
+            count.update(("gram", *padded[k : k + o]) for k in range(len(padded) - o + 1))
+            count.update(("context", *padded[k : k + o - 1]) for k in range(len(padded) - o + 2))
+
+    def log(x, k, o):
+        padded = ["<s>"] * (o - 1) + x[: k + 1]
+        gram = tuple(padded[len(padded) - o :])
         if o == 1:
-            return math.log10(count[1][gram] / total)
-        if count[o][gram] < least:
-            return math.log10(backoff) + log(gram[1:])
-        whole = count[o - 1][gram[:-1]]
-        if gram[-2] == "<s>":
-            whole = len(rows)
-        return math.log10(count[o][gram] / whole)
+            return math.log10(max(1, count["gram", *gram]) / total)
+        if not count["gram", *gram]:
+            return math.log10(backoff) + log(x, k, o - 1)
+        return math.log10(count["gram", *gram] / count["context", *gram[:-1]])
 
-    out = {}
-    for i, x in seqs.items():
-        n = len(x) - order + 1
-        s = sum(log(tuple(x[k - order + 1 : k + 1])) - (math.log10(types) if x[k] == "<u>" else 0) for k in range(order - 1, len(x)))
-        out[i] = (n, s / n if n else None)
-    return out
+    return {i: (len(x), sum(log(x, k, order) for k in range(len(x))) / len(x) if x and total else None) for i, x in split.items()}

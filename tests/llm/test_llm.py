@@ -187,7 +187,7 @@ def test_differencing():
 
 def test_decontamination(spark):
     rng = random.Random(4)
-    items = [(n, prose(rng, rng.randint(13, 60))) for n in range(40)] + [(40, "tiny item"), (41, ""), (42, None), (None, "x")]
+    items = [(n, prose(rng, rng.randint(13, 60))) for n in range(40)] + [(40, "tiny item"), (41, ""), (42, None), (None, "an item without any id"), (43, "no no no no no")]
     rows, planted = [], set()
     for n, item in items[:40]:
         w = item.split()
@@ -200,54 +200,101 @@ def test_decontamination(spark):
             rows.append((len(rows), f"{prose(rng, rng.randint(0, 90))}. {', '.join(v)}! {prose(rng, rng.randint(0, 90))}"))
             planted.add((len(rows) - 1, n))
     clean = len(rows)
-    rows += [(clean + k, prose(rng, 200)) for k in range(40)] + [(clean + 40 + k, t) for k, t in enumerate(ODD)] + [(900, "A Tiny, item.")]
+    rows += [(clean + k, prose(rng, 200)) for k in range(40)] + [(clean + 40 + k, t) for k, t in enumerate(ODD)] + [(900, "A Tiny, item."), (901, "so: an item without ID!"), (902, "No no, no no no no")] + [(903, rows[0][1])] * 2
+    planted |= {(903, 0)}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.leaks(docs, bench).collect()
     pairs = {(r.doc_id, r.item_id) for r in got}
-    assert len(planted & pairs) >= 0.98 * len(planted) and pairs - planted == {(900, 40)}
-    norm = lambda t: " ".join(w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split())
-    for r in got[:25]:
+    assert len(planted & pairs) >= 0.98 * len(planted) and pairs - planted == {(900, 40), (901, None), (902, 43)}
+    assert sum(r.doc_id == 903 for r in got) == 2
+    norm = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    for r in got:
         assert r.distance == brute.edit_distance_within(norm(dict(items)[r.item_id]), norm(dict(rows)[r.doc_id]))
     left = {r.doc_id for r in decontamination.without_leaks(docs, bench).collect()}
     assert left == {i for i, _ in rows} - {i for i, _ in pairs}
-    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench, block=10).collect()} == pairs
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench, block=200).collect()} == pairs
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0 and decontamination.without_leaks(docs, bench.limit(0)).count() == len(rows)
     assert decontamination.leaks(docs.limit(0), bench).count() == 0
 
 
-@pytest.mark.parametrize("n", [15, 31, 40, 59, 120])
-def test_edits_anywhere_in_an_item(n):
-    """Items of n words with a share of them replaced at one end or spread; all that are within a fifth of their characters are to be found."""
+def edited(rng, item, k, kind):
+    """item with k of its words edited."""
+    w, n = item.copy(), len(item)
+    if kind == "start":
+        return ["zz"] * k + w[k:]
+    if kind == "end":
+        return w[: n - k] + ["zz"] * k
+    for i, at in enumerate(rng.sample(range(n), k)):
+        how = rng.choice(["replaced", "left out", "put in"]) if kind == "mixed" else kind
+        if how == "evenly":
+            w[(i + 1) * n // (k + 1)] = "zz"
+        elif how == "replaced":
+            w[min(at, len(w) - 1)] = "zz"
+        elif how == "left out":
+            del w[min(at, len(w) - 1)]
+        else:
+            w.insert(min(at, len(w) - 1), "zz")
+    return w
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 8, 11, 15, 20, 31, 40, 59, 120, 300])
+def test_recall_at_the_limit(n):
+    """Items of n words in documents with as many edits as the limit allows, of every kind: against the exact distance of all pairs, 0.95 are found."""
     rng = random.Random(n)
-    items = [(i, prose(rng, n)) for i in range(60)]
-    ready = decontamination.prepare(items, 0.8, 4, 5, 5, 4)
-    for share in (0.1, 0.15, 0.2):
-        k = int(n * share)
-        for where in ("start", "end", "spread"):
-            docs = []
-            for _, item in items:
-                w = item.split()
-                for at in {"start": range(k), "end": range(n - k, n), "spread": rng.sample(range(n), k)}[where]:
-                    w[at] = "zzzz"
-                docs.append(f"{prose(rng, rng.randint(0, 60))} {' '.join(w)} {prose(rng, rng.randint(0, 60))}".strip())
-            got = {(r, i) for t in common.texts(pa.array(docs), space=decontamination.BREAK) for r, i, *_ in decontamination.meet(t, ready)}
-            chars = lambda text: np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            within = {(i, i) for i, item in items if decontamination.edit_distance_within(chars(item), chars(docs[i])) <= 0.2 * len(item)}
-            assert got <= within and len(got) >= 0.98 * len(within), (share, where)
+    items = [(i, prose(rng, n)) for i in range(40)]
+    ready = decontamination.prepare(items, 0.8)
+    k = n // 5
+    for kind in ("start", "end", "evenly", "replaced", "left out", "put in", "mixed"):
+        docs = [f"{prose(rng, rng.randint(0, 30))} {' '.join(edited(rng, item.split(), k, kind))} {prose(rng, rng.randint(0, 30))}".strip() for _, item in items]
+        got = {(r, i): d for t in common.texts(pa.array(docs), space=decontamination.BREAK) for r, i, d, _ in decontamination.meet(t, ready)}
+        number = {w: m for m, w in enumerate({w for t in docs + [t for _, t in items] for w in t.split()})}
+        words = lambda text: np.array([number[w] for w in text.split()])
+        pairs = [(r, i) for r in range(40) for i in range(40)] if n <= 20 else [(i, i) for i in range(40)]
+        within = {(r, i): d for r, i in pairs if (d := decontamination.edit_distance_within(words(items[i][1]), words(docs[r]))) <= k}
+        assert all((r, r) in within for r in range(40)) and got.items() <= within.items() and len(got) >= 0.95 * len(within), kind
+
+
+def test_edit_distance():
+    rng = random.Random(1)
+    for _ in range(60):
+        item, region = ([rng.randrange(6) for _ in range(rng.randint(1, 12))] for _ in range(2))
+        assert decontamination.edit_distance_within(np.array(item), np.array(region)) == brute.edit_distance_within(item, region)
 
 
 # 4 Language model ---------------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("order", "size"), [(1, 50), (2, 60), (3, 40)])
-def test_backoff_scores(spark, docs, rows, order, size):
-    got = {r.doc_id: (r.n_words, r.score) for r in language_model.score(docs, order, size).collect()}
-    want = brute.backoff_scores(rows, order, size)
+def same_scores(got, want):
+    got = {r.doc_id: (r.n_words, r.score) for r in got.collect()}
     assert got.keys() == want.keys()
     for i, (n, s) in want.items():
         assert got[i][0] == n and (got[i][1] is None if s is None else math.isclose(got[i][1], s, abs_tol=1e-9)), i
-    assert language_model.score(empty(spark), order, size).count() == 0
+
+
+@pytest.mark.parametrize(("order", "frequent"), [(1, 50), (2, 0), (2, 300), (3, 1 << 17)])
+def test_backoff_scores(spark, docs, rows, order, frequent):
+    """By the documents' own counts, of which none is left out; and by those of others, with backoff."""
+    same_scores(language_model.score(docs, order=order, frequent=frequent), brute.backoff_scores(rows, order))
+    corpus = [t for i, t in rows if i % 3 == 0]
+    same_scores(language_model.score(docs, docs.filter("doc_id % 3 = 0"), order=order), brute.backoff_scores(rows, order, corpus))
+    assert language_model.score(empty(spark), order=order).count() == 0
+    assert all(r.score is None for r in language_model.score(docs, empty(spark), order=order).collect())
+
+
+def test_backoff_scores_of_repeated_ids(spark, docs, rows):
+    """Rows of one id, and of none, are taken together; the corpus by its own counts is the corpus by given counts."""
+    ids = {i: i // 2 if i % 5 else None for i, _ in rows}
+    df = spark.createDataFrame([(ids[i], t) for i, t in rows], "doc_id long, text string")
+    own, given = ({r.doc_id: r for r in x.collect()} for x in (language_model.score(df), language_model.score(df, df)))
+    want = collections.defaultdict(list)
+    for i, found in brute.backoff_scores(rows, 2).items():
+        want[ids[i]].append(found)
+    assert own.keys() == given.keys() == want.keys()
+    for i, parts in want.items():
+        n = sum(x for x, _ in parts)
+        assert own[i].n_words == given[i].n_words == n
+        assert all((r.score is None) if not n else math.isclose(r.score, sum(x * s for x, s in parts if x) / n, abs_tol=1e-9) for r in (own[i], given[i]))
 
 
 # 5 URLs -------------------------------------------------------------------------------------------------------------------------------------
@@ -306,35 +353,49 @@ def test_links_in_large_groups(spark, group):
 def test_similar(spark, docs, rows):
     got = {r.doc_id: r.component_id for r in similar.near_duplicates(docs).collect()}
     assert got == brute.similar_components(rows)
-    extra = docs.withColumn("class", F.lit(1)).unionByName(docs.filter("doc_id = 5").withColumn("class", F.lit(2))).unionByName(docs.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "class": F.lit(3)}))
-    kept = similar.one_of_each(extra).collect()
-    ids = [r.doc_id for r in kept if r.doc_id is not None]
-    assert sorted(ids) == sorted(set(got.values())) and sum(r.doc_id is None for r in kept) == 1
-    assert similar.near_duplicates(empty(spark)).count() == 0
+    assert {r.doc_id for r in similar.one_of_each(docs.withColumn("class", F.lit(1))).collect()} == set(got.values())
+    assert similar.near_duplicates(empty(spark)).count() == 0 and similar.one_of_each(empty(spark)).count() == 0
+
 
+def test_one_of_each_row(spark):
+    """One row of each component stays, whatever the ids: other texts under one id, ids that are null, rows that repeat."""
+    a, b, c = ("red green blue " * 5, "one two three four five six seven", "this text has no equal at all")
+    rows = [(3, a), (7, a), (7, b), (7, b), (None, a.upper()), (None, c), (None, c), (9, b), (None, None), (4, "")]
+    for part in (similar, simhash):
+        kept = part.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumn("Class", F.lit("x")))
+        assert kept.columns == ["doc_id", "text", "Class"]
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, a), (7, b), (None, c), (4, "")], key=str)
 
-@pytest.mark.parametrize("group", [4096, 20])
+
+def test_null_ids_hold_a_chain(spark):
+    """The text between two others, near to both, has no id."""
+    rng = random.Random(3)
+    w = prose(rng, 60).split()
+    chain = [" ".join(w), " ".join(w[:-5] + ["x"] * 5), " ".join(["y"] * 5 + w[5:-5] + ["x"] * 5)]
+    rows = [(1, chain[0]), (None, chain[1]), (5, chain[2])]
+    want = brute.similar_components([(1, chain[0]), (2, chain[1]), (5, chain[2])])
+    assert brute.similar_components([rows[0], rows[2]]) == {1: 1, 5: 5} and want[5] == 1
+    assert {r.component_id for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1}
+
+
+def components_of(df, group):
+    """Components with a group size of the test's own."""
+    return {r.doc_id: r.component_id for r in similar.judged(df, 5, 0.8, group)[0].collect()}
+
+
+@pytest.mark.parametrize("group", [1024, 20])
 def test_similar_dense_groups(spark, group):
+    """Near copies of one text with up to five words changed, at and about the limit: components are those of all pairs."""
     rng = random.Random(8)
     base = prose(rng, 200).split()
     rows = []
-    for i in range(150):
+    for i in range(300):
         w = base.copy()
         for _ in range(rng.randint(0, 5)):
             w[rng.randrange(len(w))] = rng.choice(VOCAB)
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, prose(rng, 100)) for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    least = similar.classed(df).groupBy("class").agg(F.min("doc_id").alias("least"))
-    mine = brute.Sets(i for i, _ in rows)
-    name = {r["class"]: r.least for r in least.collect()}
-    for r in similar.classed(df).collect():
-        mine.join(r.doc_id, name[r["class"]])
-    for r in similar.links(df, least, 5, 0.8, group).collect():
-        mine.join(name[r.a], name[r.b])
-    want = brute.similar_components(rows)
-    assert len({mine.root(i) for i, _ in rows}) <= len(set(want.values())) + 2  # blocks find a pair at the limit with 0.98
-    assert all(want[i] == want[mine.root(i)] for i, _ in rows)
+    assert components_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), group) == brute.similar_components(rows)
 
 
 @pytest.mark.parametrize("group", [4096, 50])
@@ -348,39 +409,48 @@ def test_similar_pairs_among_a_template(spark, group):
         w[-37:] = prose(rng, 37).split()
         texts.append(w)
     rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    least = similar.classed(df).groupBy("class").agg(F.min("doc_id").alias("least"))
-    name = {r["class"]: r.least for r in least.collect()}
-    got = {tuple(sorted((name[r.a], name[r.b]))) for r in similar.links(df, least, 5, 0.8, group).collect()}
-    planted = {(k, 1200 + k) for k in range(40)}
-    assert got <= planted and len(got) >= 0.95 * len(planted)  # blocks find a pair at the limit with 0.98
+    got = components_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), group)
+    assert got == {i: i - 1200 if i >= 1200 else i for i, _ in rows}
+
+
+def test_similar_recall_at_the_limit(spark):
+    """Lone pairs at just 0.8: blocks find them with 0.98."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(300):
+        w = prose(rng, 94).split()  # 90 shingles; the ten last words changed leave 80 of 100
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:-10] + prose(rng, 10).split()))]
+    got = components_of(spark.createDataFrame(rows, "doc_id long, text string"), 1024)
+    assert all(got[i] in (i, i - i % 2) for i, _ in rows) and sum(got[2 * k + 1] == 2 * k for k in range(300)) >= 0.95 * 300
 
 
 @pytest.mark.parametrize("batch", [7, 40, 1000])
-def test_similar_large_groups_lose_no_pair(batch):
-    """Whatever the cuts: a close pair of a key is a pair of the first round, or both are members for the second."""
+def test_similar_groups_at_any_cut(batch):
+    """Whatever the batches: links join all that is close in a key."""
     rng = np.random.default_rng(5)
     sizes = [3, 90, 11, 1, 30, 9]
     key = np.repeat(np.arange(len(sizes)), sizes)
     fp = rng.integers(0, 2**63, (1, 2), np.uint64) ^ (rng.integers(0, 2**63, (len(key), 2), np.uint64) & rng.integers(0, 2**63, (len(key), 2), np.uint64) & rng.integers(0, 2**63, (len(key), 2), np.uint64))
-    order = np.lexsort((fp[:, 1], fp[:, 0], key))
-    fp = fp[order]
     rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(len(key))), *(pa.array(x.view(np.int64)) for x in fp.T.copy())], ["key", "class", "fp0", "fp1"])
-    out = [r for b in similar._verify(8)(rows.slice(at, batch) for at in range(0, len(key), batch)) for r in b.to_pylist()]
-    pairs = {(r["a"], r["b"]) for r in out if r["b"] is not None}
-    members = [(r["key"], r["a"]) for r in out if r["b"] is None]
-    assert len(members) == len(set(members)) and all(key[i] == k for k, i in members)
-    close = {(i, j) for j in range(len(key)) for i in range(j) if key[i] == key[j] and np.bitwise_count(fp[i] ^ fp[j]).sum() <= similar.NEAR}
-    assert len(close) > 500 and all(p in pairs or {(key[i], i) for i in p} <= set(members) for p in close)
-
-
-def test_similar_end_of_a_large_group():
-    """The last member is far from the one that was taken along, and close to one that was not."""
-    low, high = (1 << 20) - 1, (1 << 30) - 1
-    fp0, fp1 = [*range(8), 8, high << 10], [0] * 8 + [low, low]
-    rows = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([0] * 10, range(10), fp0, fp1)], ["key", "class", "fp0", "fp1"])
-    out = [r for b in similar._verify(8)([rows.slice(0, 9), rows.slice(9)]) for r in b.to_pylist()]
-    assert {r["a"] for r in out if r["b"] is None} == set(range(10))
+    for group in (8, 1000):
+        out = [r for b in similar._close(group)(rows.slice(at, batch) for at in range(0, len(key), batch)) for r in b.to_pylist()]
+        sets, want = brute.Sets(range(len(key))), brute.Sets(range(len(key)))
+        for r in out:
+            assert key[r["a"]] == key[r["b"]]
+            sets.join(r["a"], r["b"])
+        close = [(i, j) for j in range(len(key)) for i in range(j) if key[i] == key[j] and np.bitwise_count(fp[i] ^ fp[j]).sum() <= similar.NEAR]
+        for i, j in close:
+            want.join(i, j)
+        assert len(close) > 500 and len(out) <= len(key) and all(sets.root(i) == sets.root(j) for i, j in close)
+        assert group == 8 or [sets.root(i) for i in range(len(key))] == [want.root(i) for i in range(len(key))]
+
+
+def test_blocks_keep_their_recall():
+    for classes in (0, 10, 10**6, 10**10):
+        chosen = similar.blocks(classes, 0.8)
+        bits = len(chosen[0])
+        assert 1 - (1 - (1 - math.acos(1.6 / 1.8) / math.pi) ** bits) ** len(chosen) >= 0.98 and classes / 2**bits <= similar.BY_CHANCE
+        assert len(chosen) << bits < 2**63
 
 
 # 7 Classifier -------------------------------------------------------------------------------------------------------------------------------
