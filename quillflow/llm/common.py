@@ -2,41 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillflow.sources.shared import settled
+
 #: A word is a run of bytes other than these.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Bytes of text that a task turns into arrays at once.
 SLICE_BYTES = 1 << 18
+#: Rows of a few numbers, some 16 MB, that may be broadcast.
+BROADCAST_ROWS = 400_000
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset and Spark is local."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _own_dirs.setdefault(sc.applicationId, f"file://{tempfile.mkdtemp(prefix='spark-')}")
+stage = settled
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def lightly(df: DataFrame) -> DataFrame:
+    """df, broadcast if it is counted to have BROADCAST_ROWS rows at most; meant for tables of a few numbers a row."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillflow.llm.common import stage, unused
-from quillflow.llm.components import roots
+from quillflow.llm.components import one_row_of_each, roots
 
 SEED = 42
 BLOCKS, KEPT = 6, 3
@@ -65,15 +65,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row."""
+def with_fingerprint(docs: DataFrame, name: str, words: int) -> DataFrame:
+    """docs with the fingerprint of the text, as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_signed(fingerprint(t.as_py(), words)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [_signed(fingerprint(t.as_py(), words)) for t in batch.column(batch.schema.get_field_index("text"))]
+            yield batch.append_column(name, pa.array(found, pa.int64()))
+
+    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias(name)).schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of each row."""
+    return with_fingerprint(docs.select("doc_id", "text"), "fp", words).select("doc_id", "fp")
 
 
 def _spanning(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -176,24 +181,25 @@ def _links_by_flips(members: DataFrame, bits: int) -> DataFrame:
     return listed.join(hubs, ["t", "word"]).filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
-    """doc_id, fp and component_id of each row of docs (doc_id, text)."""
+def _judged(docs: DataFrame, words: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id and fp of each row, and fp, root and component_id of each fingerprint."""
     found = stage(fingerprints(docs, words), "simhash-fingerprints")
     classes = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     root = roots(links(classes.select("fp"), bits), "simhash")
     rooted = classes.join(root, classes.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(rooted.join(ids, "root").select("fp", "component_id"), "simhash-components")
+    return found, stage(rooted.join(ids, "root").select("fp", "root", "component_id"), "simhash-components")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
+    """doc_id, fp and component_id of each row of docs (doc_id, text)."""
+    found, named = _judged(docs, words, bits)
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
-    """docs with one row of each component: that of its least doc_id (of rows that repeat the id, any one). Rows with a null id stay."""
-    judged = near_duplicates(docs.filter("doc_id is not null"), words, bits)
-    gone_id = unused(docs, "_gone_id")
-    gone = judged.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
-    again = judged.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
-    if again.isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    """docs with one row of each component: of its least doc_id (a null id last) and, of rows that repeat that id, the least fingerprint and text."""
+    found, named = _judged(docs, words, bits)
+    name = unused(docs, "_class")
+    judged = stage(found.join(named, "fp").select("doc_id", F.col("fp").alias("class"), "root"), "simhash-judged")
+    return one_row_of_each(with_fingerprint(docs, name, words), name, judged).select(docs.columns)
