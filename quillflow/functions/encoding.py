@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ CODECS = {"UTF-8": "utf-8", "UTF-8 BOM": "utf-8-sig", "GBK": "gbk", "GB18030": "
 POOL = ["GBK", "GB18030", "BIG5", "UTF-16LE", "UTF-16BE"]
 BOMS = [(b"\xef\xbb\xbf", "UTF-8 BOM"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")]
 SURE, DIRTY = 0.75, 0.02
-#: Characters of which half and more of running Chinese consists, in both scripts.
+#: The default of `familiar`: characters of which half and more of running Chinese consists, in both scripts. Another table can be given instead.
 FREQUENT = "的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里用道行所然家种事成方多经么去法学如都同现当没动面起看定天分还进好小部其些主样理心她本前开但因只从想实日这個們來為國說時會對於著過發後裡經麼學當沒動還進樣開從實書見長頭間樹問聽話讓給誰風門車東馬"
 
 DETECTED = "encoding string, confidence double, confident boolean, candidates array<struct<encoding: string, score: double, confidence: double, bad_ratio: double, familiar_ratio: double>>"
@@ -32,19 +33,21 @@ class Score:
     familiar: float
 
 
-_COMMON = np.unique(np.frombuffer(FREQUENT.encode("utf-32-le"), np.uint32))
+@functools.lru_cache(8)
+def _codes(familiar: str) -> np.ndarray:
+    return np.unique(np.frombuffer(familiar.encode("utf-32-le"), np.uint32))
 
 
-def score(text: str) -> Score:
+def score(text: str, familiar: str = FREQUENT) -> Score:
     if not text:
         return Score(-50.0, 1.0, 0.0, 0.0)
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     broken = (c == 0xFFFD) | ((c < 0x20) & ~np.isin(c, (9, 10, 13))) | ((c >= 0xE000) & (c <= 0xF8FF))
     hanzi, marks = (c >= 0x4E00) & (c <= 0x9FFF), (c >= 0x3000) & (c <= 0x303F)
     n, bad, cjk = len(c), int(broken.sum()), int(hanzi.sum() + marks.sum())
-    familiar = int(np.isin(c[hanzi], _COMMON).sum()) / cjk if cjk else 0.0
+    known = int(np.isin(c[hanzi], _codes(familiar)).sum()) / cjk if cjk else 0.0
     share = cjk / n
-    return Score((n - bad) / n * 40 + share * 25 + familiar * 35 * (share > 0.02) - bad / n * 120, bad / n, share, familiar)
+    return Score((n - bad) / n * 40 + share * 25 + known * 35 * (share > 0.02) - bad / n * 120, bad / n, share, known)
 
 
 def confidence(best: Score, second: Score | None, n: int) -> float:
@@ -60,7 +63,7 @@ def confidence(best: Score, second: Score | None, n: int) -> float:
     return round(sure, 3)
 
 
-def detect_one(data: bytes | None) -> tuple:
+def detect_one(data: bytes | None, familiar: str = FREQUENT) -> tuple:
     """The encoding of bytes: by mark, then as valid UTF-8, then the best looking of the pool (by head and tail)."""
     if not data:
         return ("UTF-8", 0.0, False, [])
@@ -76,16 +79,16 @@ def detect_one(data: bytes | None) -> tuple:
     decoded: dict[str, str] = {}
     for name in POOL:
         decoded.setdefault(sample.decode(CODECS[name], "replace"), name)
-    scored = sorted(((score(text), name) for text, name in decoded.items()), key=lambda x: -x[0].total)
+    scored = sorted(((score(text, familiar), name) for text, name in decoded.items()), key=lambda x: -x[0].total)
     sure = confidence(scored[0][0], scored[1][0] if len(scored) > 1 else None, len(scored))
     candidates = [(name, round(s.total, 1), sure if i == 0 else max(0.0, round(sure - i * 0.2, 3)), round(s.bad, 4), round(s.familiar, 3)) for i, (s, name) in enumerate(scored)]
     return (scored[0][1], sure, sure >= SURE, candidates)
 
 
-def detect(data: Column) -> Column:
+def detect(data: Column, familiar: str = FREQUENT) -> Column:
     @F.pandas_udf(DETECTED)
     def run(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([detect_one(bytes(x) if x is not None else None) for x in batch], columns=["encoding", "confidence", "confident", "candidates"])
+        return pd.DataFrame([detect_one(bytes(x) if x is not None else None, familiar) for x in batch], columns=["encoding", "confidence", "confident", "candidates"])
 
     return run(data)
 
@@ -125,9 +128,9 @@ def inspect(text: Column) -> Column:
     return F.struct(signs.alias("signs"), lost.alias("n_lost"), (F.size(signs) > 0).alias("mojibake"), fatal.alias("fatal"))
 
 
-def recover_one(text: str | None) -> tuple:
+def recover_one(text: str | None, familiar: str = FREQUENT) -> tuple:
     text = text or ""
-    before, tried = score(text), []
+    before, tried = score(text, familiar), []
     for name, (back, forth) in CHAINS.items():
         if back == "latin-1":
             # as bytes are taken from characters there: the low eight bits of each UTF-16 unit
@@ -135,7 +138,7 @@ def recover_one(text: str | None) -> tuple:
         else:
             raw = text.encode(back, "replace")
         out = raw.decode(forth, "replace")
-        tried.append((score(out), name, out))
+        tried.append((score(out, familiar), name, out))
     tried.sort(key=lambda x: -x[0].total)
     clean = [x for x in tried if x[0].bad < 0.01 and x[0].familiar > 0.2]
     improved = clean[0][0].total - before.total if clean else 0.0
@@ -146,12 +149,12 @@ def recover_one(text: str | None) -> tuple:
     return (clean[0][2] if applied else text, clean[0][1] if applied else "", applied, round(improved, 1), fatal, partial)
 
 
-def recover(text: Column) -> Column:
+def recover(text: Column, familiar: str = FREQUENT) -> Column:
     """A text read back through the chain that makes it the best clean Chinese, if that is clearly better than it is."""
 
     @F.pandas_udf(RECOVERED)
     def run(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([recover_one(x) for x in batch], columns=["text", "chain", "applied", "improved", "unrecoverable", "partial"])
+        return pd.DataFrame([recover_one(x, familiar) for x in batch], columns=["text", "chain", "applied", "improved", "unrecoverable", "partial"])
 
     return run(text)
 
@@ -164,13 +167,29 @@ def zero_parity(data: Column) -> Column:
     return F.when(F.length(digits) >= 32, F.when(share("^..00$") > 0.3, "UTF-16LE").when(share("^00..$") > 0.3, "UTF-16BE"))
 
 
-def text_scores(text: Column) -> Column:
+def text_scores(text: Column, familiar: str = FREQUENT) -> Column:
     """score's measures as a column, without Python: shares of broken and Chinese characters, and of frequent ones."""
     n = F.greatest(F.length(text), F.lit(1))
     count = lambda chars: F.regexp_count(text, F.lit(chars))
     bad = count("[\\ufffd\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ue000-\\uf8ff]")
     cjk = count("[\\u4e00-\\u9fff\\u3000-\\u303f]")
-    familiar = F.when(cjk > 0, count(f"[{''.join(dict.fromkeys(FREQUENT))}]") / cjk).otherwise(0.0)
+    known = F.when(cjk > 0, count(f"[{''.join(dict.fromkeys(familiar))}]") / cjk).otherwise(0.0)
     share = cjk / n
-    total = F.when(F.length(text) > 0, (n - bad) / n * 40 + share * 25 + F.when(share > 0.02, familiar * 35).otherwise(0.0) - bad / n * 120).otherwise(-50.0)
-    return F.struct(total.alias("score"), (bad / n).alias("bad_ratio"), share.alias("cjk_ratio"), familiar.alias("familiar_ratio"))
+    total = F.when(F.length(text) > 0, (n - bad) / n * 40 + share * 25 + F.when(share > 0.02, known * 35).otherwise(0.0) - bad / n * 120).otherwise(-50.0)
+    return F.struct(total.alias("score"), (bad / n).alias("bad_ratio"), share.alias("cjk_ratio"), known.alias("familiar_ratio"))
+
+
+def guessed(text: Column, familiar: str = FREQUENT) -> Column:
+    """What a text that was decoded wrongly may have been encoded in, by its looks alone: at most three names, the likeliest first."""
+    found = text_scores(text, familiar)
+    cjk, known = found["cjk_ratio"], found["familiar_ratio"]
+    utf8 = F.contains(text, F.lit(LOST)) | text.rlike(SIGNS[2][0])
+    odd = (cjk > 0.3) & (known < 0.15)
+    names = F.array_compact(F.array(F.when(utf8 | odd, F.lit("UTF-8")), F.when(odd | ((cjk > 0.5) & (known >= 0.15)), F.lit("GBK")), F.when(text.rlike(SIGNS[1][0]), F.lit("GB18030"))))
+    return F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("UTF-8"), F.lit("GBK")))
+
+
+def candidates(detected: Column, text: Column, most: int = 3) -> Column:
+    """Encodings for a text that could not be recovered: those that its bytes gave (detect's candidates; null without bytes), then those by its looks, each once."""
+    names = F.coalesce(F.transform(detected["candidates"], lambda c: c["encoding"]), F.array().cast("array<string>"))
+    return F.slice(F.array_distinct(F.concat(names, guessed(text))), 1, most)

@@ -137,7 +137,8 @@ def parse(html: str | None) -> dict:
     for node, last, end, solid, tags, br, p, link_solid in page.elements:
         n_links = last - node.first
         container = node.tag in CONTAINERS
-        if n_links < 3 and not container:
+        # what can be a table of contents, a block of text, or be named by a selector of one's own
+        if n_links < 3 and not container and not (n_links and (node.id or node.cls)):
             continue
         text = "".join(page.text[node.start : end]) if container else ""
         own = "".join("\n" if a else x for x, a in zip(page.text[node.start : end], page.away[node.start : end])) if container else ""

@@ -18,6 +18,7 @@ AD_LINES = [
     (r"^\s*第?\s*\d+\s*[\/／]\s*\d+\s*页\s*$", "页码"),
     (r"^\s*(?:阅读|点击|请到|详见).{0,12}(?:链接|网址|网站)", "外链引导"),
 ]
+# How a sentence ends, and from which lengths on lines are judged by it.
 SENTENCE = "[。！？；][\"'）)]?$"
 LONG_SENTENCE, LONG_LINE = 80, 60
 # Half-width marks and their full-width forms.

@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillflow.functions.text import trim
 from quillflow.functions.titles import bigrams, chapter_number, jaccard, skeleton
 from quillflow.schemas import CHAPTER_OK, chapter_state
+from quillflow.sources.shared import settled
 
 SAME_BOOK, SAME_PAGE = 0.75, 0.6
 NEARLY, HIGHLY = "书名几乎一样", "书名高度相似"
 
 
+def _by_rarity(titles: DataFrame) -> DataFrame:
+    """s, n and by_rarity: the different bigrams (df, gram) of each of titles (s), in one order for all, from rare to frequent."""
+    exploded = titles.withColumn("grams", bigrams(F.col("s"))).select("s", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    frequency = exploded.groupBy("gram").agg(F.count("*").alias("df"))
+    return exploded.join(frequency, "gram").groupBy("s", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("by_rarity"))
+
+
 def title_pairs(books: DataFrame, similarity: float = SAME_BOOK) -> DataFrame:
     """skeleton_a, skeleton_b, similarity: different title skeletons whose bigrams are that similar, each pair once.
 
     Only different skeletons are compared, so books of one title are one row. Candidates share a bigram among their rarest: for a similarity of t two
     sets must share one of the first n - ceil(t * n) + 1 bigrams in an order common to both, here from rare to frequent.
     """
-    titles = books.select(skeleton(F.coalesce("title", F.lit(""))).alias("s")).filter("s <> ''").distinct().withColumn("grams", bigrams(F.col("s")))
-    exploded = titles.select("s", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    frequency = exploded.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = exploded.join(frequency, "gram").groupBy("s", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("by_rarity"))
+    titles = books.select(skeleton(F.coalesce("title", F.lit(""))).alias("s")).filter("s <> ''").distinct()
+    ordered = _by_rarity(titles)
     prefix = F.slice("by_rarity", 1, F.col("n") - F.ceil(F.col("n") * similarity).cast("int") + 1)
     probes = ordered.select("s", "n", F.explode(prefix).alias("p")).select("s", "n", F.col("p.gram").alias("gram"))
     a, b = probes.select("gram", F.col("s").alias("a"), F.col("n").alias("n_a")), probes.select("gram", F.col("s").alias("b"), F.col("n").alias("n_b"))
@@ -33,18 +40,16 @@ def title_pairs(books: DataFrame, similarity: float = SAME_BOOK) -> DataFrame:
     return pairs.withColumn("similarity", score).filter(F.col("similarity") >= similarity).select(F.col("a").alias("skeleton_a"), F.col("b").alias("skeleton_b"), "similarity")
 
 
-def title_families(books: DataFrame, similarity: float = SAME_BOOK) -> DataFrame:
-    """s and family: skeletons connected by similar pairs, named by the least. Grows by rounds of minima until none changes."""
-    pairs = title_pairs(books, similarity)
-    links = pairs.select(F.col("skeleton_a").alias("s"), F.col("skeleton_b").alias("t")).unionByName(pairs.select(F.col("skeleton_b").alias("s"), F.col("skeleton_a").alias("t"))).persist()
-    family = books.select(skeleton(F.coalesce("title", F.lit(""))).alias("s")).distinct().withColumn("family", F.col("s"))
-    while True:
-        reached = links.join(family.withColumnRenamed("s", "t"), "t").groupBy("s").agg(F.min("family").alias("near"))
-        grown = family.join(reached, "s", "left").select("s", F.least("family", F.coalesce("near", "family")).alias("family"), (F.coalesce("near", "family") < F.col("family")).alias("moved"))
-        grown = grown.checkpoint() if books.sparkSession.conf.get("spark.checkpoint.dir", None) else grown.persist()
-        if grown.filter("moved").isEmpty():
-            return grown.select("s", "family")
-        family = grown.select("s", "family")
+def _rivals(classes: DataFrame, similarity: float) -> DataFrame:
+    """earlier and later: classes (place, s, author) of one title, or similar ones, whose authors agree or of which one is missing."""
+    pairs = title_pairs(classes.select(F.col("s").alias("title")), similarity).select(F.col("skeleton_a").alias("s"), F.col("skeleton_b").alias("t"))
+    alike = pairs.unionByName(pairs.select(F.col("t").alias("s"), F.col("s").alias("t"))).unionByName(classes.select("s", F.col("s").alias("t")).distinct())
+    left = alike.join(classes, "s").select("t", "author", F.col("place").alias("earlier"))
+    right = classes.select(F.col("s").alias("t"), "author", F.col("place").alias("later"))
+    # a missing author meets every other one of the title, but those do not meet each other
+    met = [left.join(right, ["t", "author"])]
+    met += [left.filter("author = ''").drop("author").join(right.filter("author <> ''"), "t"), left.filter("author <> ''").join(right.filter("author = ''").drop("author"), "t")]
+    return reduce(DataFrame.unionByName, [m.select("earlier", "later") for m in met]).filter(F.col("earlier") < F.col("later"))
 
 
 def duplicate_groups(books: DataFrame, similarity: float = SAME_BOOK) -> DataFrame:
@@ -53,37 +58,30 @@ def duplicate_groups(books: DataFrame, similarity: float = SAME_BOOK) -> DataFra
     books: book_id, title, author, total_chapters, position (different for each). In the order of position each book not yet taken is a seed and takes all
     later ones of the same title (skeleton equal, or similar enough) whose author agrees with its own or is missing on either side.
 
-    Books of one skeleton and author are always taken together, so only the first of each such class takes part in the walk, and a title that a
-    third of all books has is a few rows of it. Families of connected titles do not touch each other and are walked one by one.
+    Books of one skeleton and author are always taken together, so only the first of each such class takes part, and a title that a third of all books
+    has is a few rows of it. Who is a seed is found in rounds of joins: a class whose earlier rivals are all taken is a seed, one with a seed among
+    them is taken; at last each goes to the earliest seed among its rivals. So no family of titles, however many are connected, meets in one task.
     """
     books = books.withColumn("s", skeleton(F.coalesce("title", F.lit(""))))
     rows = books.select("s", trim(F.coalesce("author", F.lit(""))).alias("author"), "book_id", F.coalesce("total_chapters", F.lit(0)).cast("long").alias("total"), F.col("position").cast("long").alias("position"))
-    classes = rows.groupBy("s", "author").agg(F.min(F.struct("position", "book_id")).alias("first"))
-    named = classes.join(title_families(books, similarity), "s").select("family", "s", "author", "first.position", "first.book_id")
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        grams = {s: {s[i : i + 2] for i in range(max(1, len(s) - 1))} if s else set() for s in group["s"].unique()}
-        like = {s: {t for t in grams if s == t or (grams[s] and grams[t] and len(grams[s] & grams[t]) >= similarity * len(grams[s] | grams[t]))} for s in grams}
-        ordered = group.sort_values(["position", "book_id"]).to_dict("records")
-        open_: dict[str, set[str]] = {}
-        for c in ordered:
-            open_.setdefault(c["s"], set()).add(c["author"])
-        out = []
-        for c in ordered:
-            if c["author"] not in open_[c["s"]]:
-                continue
-            for s in like[c["s"]]:
-                taken = open_[s] & {"", c["author"]} if c["author"] else set(open_[s])
-                open_[s] -= taken
-                out += [(s, author, c["book_id"]) for author in sorted(taken)]
-        return pd.DataFrame(out, columns=["s", "author", "group_id"])
-
-    seeds = named.groupBy("family").applyInPandas(walk, "s string, author string, group_id string")
+    rows = settled(rows, "duplicates-books")
+    classes = settled(rows.groupBy("s", "author").agg(F.min(F.struct("position", "book_id")).alias("place")), "duplicates-classes")
+    rivals = settled(_rivals(classes, similarity), "duplicates-rivals")
+    # open: pairs of undecided classes; a class that is not later in any of them, nor taken, is a seed
+    open_, taken = rivals, None
+    while not open_.isEmpty():
+        seeds = open_.select(F.col("earlier").alias("place")).distinct().join(open_.select(F.col("later").alias("place")), "place", "left_anti")
+        new = settled(open_.join(seeds, F.col("earlier") == F.col("place"), "left_semi").select(F.col("later").alias("place")).distinct(), "duplicates-taken")
+        taken = new if taken is None else settled(taken.unionByName(new), "duplicates-taken")
+        left = open_.join(new, F.col("earlier") == F.col("place"), "left_anti").join(new, F.col("later") == F.col("place"), "left_anti")
+        open_ = settled(left.join(seeds, F.col("earlier") == F.col("place"), "left_anti"), "duplicates-open")
+    seeded = rivals.join(taken, F.col("earlier") == F.col("place"), "left_anti") if taken is not None else rivals
+    first = seeded.groupBy(F.col("later").alias("place")).agg(F.min("earlier").alias("seed"))
+    seeds = classes.join(first, "place", "left").select("s", "author", F.coalesce("seed", "place")["book_id"].alias("group_id"))
     grouped = rows.join(seeds, ["s", "author"])
-    first = Window.partitionBy("group_id").orderBy(F.col("total").desc(), "position")
-    best = grouped.withColumn("_n", F.row_number().over(first)).filter("_n <= 2").groupBy("group_id").agg(F.min_by("book_id", "_n").alias("keep"), F.count_distinct("s").alias("titles"), F.count("*").alias("n"))
-    reason = F.when(F.col("titles") == 1, NEARLY).otherwise(HIGHLY)
-    return grouped.join(best.filter("n = 2").select("group_id", "keep", reason.alias("reason")), "group_id").select("book_id", "group_id", "keep", "reason")
+    best = grouped.groupBy("group_id").agg(F.min_by("book_id", F.struct((-F.col("total")).alias("n"), "position")).alias("keep"), F.min("s").alias("a"), F.max("s").alias("b"), F.count("*").alias("n"))
+    reason = F.when(F.col("a") == F.col("b"), NEARLY).otherwise(HIGHLY)
+    return grouped.join(best.filter("n > 1").select("group_id", "keep", reason.alias("reason")), "group_id").select("book_id", "group_id", "keep", "reason")
 
 
 def merge_duplicates(books: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,15 +101,19 @@ def same_title(a: Column, b: Column, threshold: float = SAME_PAGE) -> Column:
 def resolve_pages(pages: DataFrame, books: DataFrame) -> DataFrame:
     """page_id, via (explicit, same-site, same-title, new), book_id and next_index: the book that each captured page belongs to.
 
-    pages: page_id, host, title, book_id (null unless chosen); books: book_id, title, source_site, total_chapters, position. Titles that are one share a bigram or,
-    below two characters, everything; pages meet books there and not all against all. Different skeletons are compared once.
+    pages: page_id, host, title, book_id (null unless chosen); books: book_id, title, source_site, total_chapters, position. Different skeletons are compared once.
+    Of two that are one, the shorter's rarest bigram is in the other where one is within the other, and they share a bigram among the first
+    n - ceil(t * n) + 1 of each from rare to frequent where they are similar by t. So titles meet on rare bigrams, not on any.
     """
     p = pages.select("page_id", "host", "book_id", skeleton(F.col("title")).alias("s"))
     b = books.select(F.col("book_id").alias("_id"), "source_site", F.coalesce("total_chapters", F.lit(0)).alias("total"), "position", skeleton(F.col("title")).alias("t"))
-    keys = lambda c: F.explode(bigrams(c))
-    left = p.select("s").filter("s <> ''").distinct().select("s", keys(F.col("s")).alias("gram"))
-    right = b.select("t").filter("t <> ''").distinct().select("t", keys(F.col("t")).alias("gram"))
-    alike = left.join(right, "gram").select("s", "t").distinct().filter(same_title(F.col("s"), F.col("t")))
+    left, right = p.select("s").filter("s <> ''").distinct(), b.select(F.col("t").alias("s")).filter("s <> ''").distinct()
+    ranked = _by_rarity(left.unionByName(right).distinct())
+    rarest = F.element_at("by_rarity", 1)
+    prefix = F.slice("by_rarity", 1, F.col("n") - F.ceil(F.col("n") * SAME_PAGE).cast("int") + 1)
+    side = lambda titles, grams, name: ranked.join(titles, "s", "left_semi").select(F.col("s").alias(name), F.explode(grams).alias("p")).select(name, F.col("p.gram").alias("gram"))
+    met = [side(left, x, "s").join(side(right, y, "t"), "gram").select("s", "t") for x, y in ((prefix, prefix), (F.array(rarest), F.col("by_rarity")), (F.col("by_rarity"), F.array(rarest)))]
+    alike = reduce(DataFrame.unionByName, met).distinct().filter(same_title(F.col("s"), F.col("t")))
     first = b.groupBy("t", "source_site").agg(F.min_by(F.struct("_id", "total", "position"), F.struct("position", "_id")).alias("b"))
     candidates = p.join(alike, "s").join(first, "t")
     site = (F.col("source_site") == F.col("host")) & (F.col("host") != "")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillflow.functions.text import half_up
+from quillflow.operators.folds import folded
 
 FIRST_DELAY_MS, RETRIES = 800, 3
 INTERVAL_MS, CONCURRENT = 3000, 2
+OWN_INTERVAL_MS, OWN_CONCURRENT = 30, 6
+RUNNING, PAUSED, CANCELLED, DONE = "running", "paused", "cancelled", "done"
 # Reasons of failure as they are shown.
 REASONS = {"ROBOTS_DISALLOWED": "robots.txt 禁止", "EMPTY_CONTENT": "抓到的内容是空的", "COMPLIANCE_REJECTED": "合规自检未通过", "fetch_failed": "网络或页面异常", "RETRY_EXHAUSTED": "连续重试都失败", "HTTP_404": "页面不存在"}
 OTHER_REASON = "抓取失败"
@@ -23,11 +29,18 @@ def retry_links(links: DataFrame, failures: DataFrame) -> DataFrame:
     return links.join(failures.select("book_id", "index").distinct(), ["book_id", "index"], "left_semi")
 
 
+def host_limits(host: Column) -> Column:
+    """interval_ms and concurrent for a host: the usual ones, or those for the own machine."""
+    bare = F.element_at(F.split(host, ":"), 1)
+    own = bare.isin("localhost", "::1", "0.0.0.0") | F.startswith(bare, F.lit("127."))
+    return F.struct(F.when(own, OWN_INTERVAL_MS).otherwise(INTERVAL_MS).alias("interval_ms"), F.when(own, OWN_CONCURRENT).otherwise(CONCURRENT).alias("concurrent"))
+
+
 def paced(requests: DataFrame, interval_ms: int = INTERVAL_MS) -> DataFrame:
     """requests (host, at_ms, request_id) with start_ms and wait_ms: starts of one host are interval_ms apart at least, in the order of arrival.
 
     start(k) = k * interval + the greatest at(j) - j * interval of j up to k, so a running maximum takes the place of a queue. A host's order is a
-    queue by nature; its windows are a host's own.
+    queue by nature; its windows are a host's own. For requests that take longer than the interval see `scheduled`.
     """
     w = Window.partitionBy("host").orderBy("at_ms", "request_id")
     k = F.row_number().over(w)
@@ -36,6 +49,30 @@ def paced(requests: DataFrame, interval_ms: int = INTERVAL_MS) -> DataFrame:
     return rows.withColumn("start_ms", start).withColumn("wait_ms", F.col("start_ms") - F.col("at_ms")).drop("_k", "_slack")
 
 
+def scheduled(requests: DataFrame) -> DataFrame:
+    """requests (host, at_ms, request_id, duration_ms) with start_ms and wait_ms under each host's limits: in the order of arrival, starts an
+    interval apart at least, and no more under way at once than the host allows. A fold over a host's requests, of which it holds those under way."""
+    limits = requests.withColumn("_limits", host_limits(F.col("host"))).withColumns({"_interval": F.col("_limits.interval_ms"), "_most": F.col("_limits.concurrent")}).drop("_limits")
+
+    def start() -> Callable[[tuple], int]:
+        ends: list[int] = []
+        last: list[int] = []
+
+        def place(row: tuple) -> int:
+            at, duration, interval, most = row
+            begin = max([at, *(x + interval for x in last)])
+            if len(ends) >= most:
+                begin = max(begin, heapq.heappop(ends))
+            heapq.heappush(ends, begin + (duration or 0))
+            last[:] = [begin]
+            return begin
+
+        return place
+
+    rows = folded(limits, ["host"], ["at_ms", "request_id"], ["at_ms", "duration_ms", "_interval", "_most"], "start_ms", start)
+    return rows.drop("_interval", "_most").withColumn("wait_ms", F.col("start_ms") - F.col("at_ms"))
+
+
 def pacing_stats(started: DataFrame) -> DataFrame:
     return started.groupBy("host").agg(F.count("*").alias("requests"), F.count_if(F.col("wait_ms") > 0).alias("waits"), F.sum("wait_ms").alias("wait_ms"))
 
@@ -74,3 +111,21 @@ def pruned(tasks: DataFrame, keep: int = 50) -> DataFrame:
     """Open tasks, and of the finished ones the newest."""
     finished = tasks.filter("finished_ms is not null").orderBy(F.col("finished_ms").desc(), "id").limit(keep)
     return tasks.filter("finished_ms is null").unionByName(finished)
+
+
+def commanded(tasks: DataFrame, commands: DataFrame) -> DataFrame:
+    """tasks (task_id, state and others) after commands (task_id, command, at, command_id): pause, resume or cancel, each task's in order of time.
+
+    Only what runs can be paused, only what is paused can go on, and what is cancelled or done stays so. States follow from the last command before which
+    none cancelled, so no order is folded: the earliest cancel decides, else the latest pause or resume.
+    """
+    last = commands.groupBy("task_id").agg(F.count_if(F.col("command") == "cancel").alias("_cancels"), F.max_by("command", F.struct("at", "command_id")).alias("_last"))
+    open_ = F.col("state").isin(RUNNING, PAUSED)
+    state = F.when(~open_ | F.col("_last").isNull(), F.col("state")).when(F.col("_cancels") > 0, CANCELLED).when(F.col("_last") == "pause", PAUSED).otherwise(RUNNING)
+    return tasks.join(last, "task_id", "left").withColumn("state", state).drop("_cancels", "_last").select(*tasks.columns)
+
+
+def workable(links: DataFrame, tasks: DataFrame, done: DataFrame) -> DataFrame:
+    """Links (task_id, book_id, index) of running tasks whose chapters are not there yet: what a run, or one that goes on, has to fetch."""
+    running = tasks.filter(F.col("state") == RUNNING).select("task_id")
+    return remaining(links.join(running, "task_id", "left_semi"), done)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, start: Callable[[], Callable[[object], bool]]) -> DataFrame:
@@ -25,3 +26,20 @@ def kept(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str,
             yield batch.filter(pa.array(flags, pa.bool_()))
 
     return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, df.schema)
+
+
+def folded(df: DataFrame, group: Sequence[str], order: Sequence[str], values: Sequence[str], name: str, start: Callable[[], Callable[[tuple], int | None]]) -> DataFrame:
+    """df with a long column: what a fold over each group gives for each row's values. As `kept` otherwise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = None, None
+        for batch in batches:
+            columns = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in [*group, *values]}
+            out = []
+            for now, row in zip(zip(*(columns[c] for c in group)), zip(*(columns[c] for c in values))):
+                if step is None or now != key:
+                    key, step = now, start()
+                out.append(step(row))
+            yield batch.append_column(name, pa.array(out, pa.int64()))
+
+    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, df.select("*", F.lit(0).cast("long").alias(name)).schema)

@@ -125,3 +125,9 @@ def remove(books: DataFrame, gone: DataFrame, at=None) -> tuple[DataFrame, DataF
     """What is left of books, and the trash's new rows with the time of removal."""
     trash = books.join(gone, "book_id", "left_semi").withColumn("removed_at", F.current_timestamp() if at is None else at)
     return books.join(gone, "book_id", "left_anti"), trash
+
+
+def outcome_totals(merged: DataFrame) -> DataFrame:
+    """One row of what a merge did with the backup's books: added, skipped, overwritten, coexisted, and all of them."""
+    names = ("added", "skipped", "overwritten", "coexisted")
+    return merged.agg(*[F.count_if(F.col("outcome") == n).alias(n) for n in names], F.count_if(F.col("outcome").isin(*names)).alias("total"))

@@ -20,6 +20,7 @@ NEXT_CHAPTER = "(?i)下一[章节回]|下章"
 NAVIGATION = "^(上一章|下一章|上一页|下一页|回目录|目录|返回书页|加入书签|推荐本书|手机阅读|章节报错)$"
 CONTENT = ["#content", "#chaptercontent", "#chapterContent", "#booktext", "#htmlContent", "#nr1", "#nr", ".content", ".chapter-content", ".read-content", ".showtxt", ".yd_text2", "article", ".article-content"]
 LEAST_CONTENT, LEAST_TOC = 40, 5.0
+# Fixed value: what sites put behind a title.
 TITLE_TAIL = "[（(]?(最新章节|全文阅读|免费阅读|无弹窗|全文免费阅读)[）)]?$"
 LOGIN = [
     (f"请{WS}*(?:先)?登录(?:后|再)?(?:阅读|查看|继续)?", '页面提示"请登录后阅读"'),
@@ -73,17 +74,39 @@ def toc_candidates(parsed: DataFrame, key: str = "page_id", most: int = 10, leas
     return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most)
 
 
-def toc_links(parsed: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
-    """key, index, title, url: the links of each page's best table of contents, absolute, each where it stands first."""
-    best = toc_candidates(parsed, key, 1).select(F.col(key).alias("_key"), "first_link", "selector")
-    spans = parsed.select(F.col(key).alias("_k"), F.explode("elements").alias("e")).select("_k", F.col("e.selector").alias("_s"), F.col("e.first_link").alias("_f"), F.col("e.n_links").alias("_n"))
-    ranges = best.join(spans, (F.col("_key") == F.col("_k")) & (F.col("selector") == F.col("_s")) & (F.col("first_link") == F.col("_f"))).groupBy("_key", "_f").agg(F.max("_n").alias("_n"))
+def toc_links(parsed: DataFrame, key: str = "page_id", url: str = "url", selector: str | None = None) -> DataFrame:
+    """key, index, title, url: the links of each page's best table of contents, or of the first element that the selector (#id, .class or tag) names, absolute, each where it stands first."""
+    if selector:
+        chosen = F.try_element_at(F.filter("elements", lambda e: _fits(e, selector)), F.lit(1))
+        ranges = parsed.select(F.col(key).alias("_key"), chosen.alias("e")).select("_key", F.col("e.first_link").alias("_f"), F.col("e.n_links").alias("_n")).filter("_n > 0")
+    else:
+        best = toc_candidates(parsed, key, 1).select(F.col(key).alias("_key"), "first_link", "selector")
+        spans = parsed.select(F.col(key).alias("_k"), F.explode("elements").alias("e")).select("_k", F.col("e.selector").alias("_s"), F.col("e.first_link").alias("_f"), F.col("e.n_links").alias("_n"))
+        ranges = best.join(spans, (F.col("_key") == F.col("_k")) & (F.col("selector") == F.col("_s")) & (F.col("first_link") == F.col("_f"))).groupBy("_key", "_f").agg(F.max("_n").alias("_n"))
     links = page_links(parsed, key, url)
     inside = links.join(ranges, (F.col(key) == F.col("_key")) & (F.col("n") >= F.col("_f")) & (F.col("n") < F.col("_f") + F.col("_n")))
     order = Window.partitionBy(key).orderBy("n")
     return inside.select(key, F.row_number().over(order).alias("index"), "title", F.col("link").alias("url"))
 
 
+def probe(parsed: DataFrame, key: str = "page_id", url: str = "url", selector: str | None = None, sample: int = 5, most: int = 8) -> DataFrame:
+    """What each page is worth as a table of contents: ok, reason (toc_selector_not_found or no_toc), title, author, site, selector, n_links, sample
+    (the first links), candidates (the best groups of links), next_href and warnings (few_links below three)."""
+    found = toc_candidates(parsed, key, most)
+    listed = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "selector", "n_links", "score"))).alias("candidates"))
+    links = toc_links(parsed, key, url, selector).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "title", "url"))).alias("_links"))
+    there = F.exists("elements", lambda e: _fits(e, selector)) if selector else F.lit(True)
+    rows = parsed.select(key, there.alias("_there"), next_page().alias("next_href")).join(listed, key, "left").join(links, key, "left").join(book_meta(parsed, key, url), key)
+    n = F.coalesce(F.size("_links"), F.lit(0))
+    n = F.when(n < 0, 0).otherwise(n)
+    reason = F.when(~F.col("_there"), "toc_selector_not_found").when(n == 0, "no_toc")
+    own = F.when(n > 0, F.lit(selector) if selector else F.col("candidates")[0]["selector"])
+    few = F.when((n > 0) & (n < 3), F.array(F.lit("few_links"))).otherwise(F.array().cast("array<string>"))
+    return rows.select(
+        key, reason.isNull().alias("ok"), reason.alias("reason"), "title", "author", "site", own.alias("selector"), n.alias("n_links"), F.slice("_links", 1, sample).alias("sample"), "candidates", "next_href", few.alias("warnings")
+    )
+
+
 def content_candidates(parsed: DataFrame, key: str = "page_id", most: int = 10) -> DataFrame:
     """The best blocks of text of each page: key, place, selector, n_chars, score. Blocks that are half links are left out."""
     rows = parsed.select(key, F.posexplode("elements").alias("i", "e")).filter(F.col("e.tag").isin("div", "article", "section", "td", "main") & (F.col("e.n_chars") >= LEAST_CONTENT))

@@ -125,20 +125,21 @@ def push_history(entries: DataFrame, near: int = NEAR) -> DataFrame:
     """entries in order of (at, event_id) without jumps to about where the last kept one led: same book and chapter, fewer than `near` characters apart.
 
     The comparison is with the last entry kept, of any book. Where book or chapter changes an entry is kept whatever came before, so the whole order
-    falls into stretches of one place, each folded on its own; only where a stretch begins is found over the whole order, day by day.
+    falls into stretches of one place, each folded on its own; only where a stretch begins is found over the whole order, hour by hour. Entries of no time
+    come first.
     """
     columns = entries.columns
-    ordered = entries.withColumn("_day", F.to_date("at"))
-    within = Window.partitionBy("_day").orderBy("at", "event_id")
+    ordered = entries.withColumn("_hour", F.coalesce(F.date_trunc("hour", "at"), F.lit("0001-01-01").cast("timestamp")))
+    within = Window.partitionBy("_hour").orderBy("at", "event_id")
     place = F.struct("book_id", "chapter_index")
     before = F.lag(place).over(within)
-    last = ordered.groupBy("_day").agg(F.max_by(place, F.struct("at", "event_id")).alias("_place"))
-    # a row a day: the place where the day before ended
-    carried = last.select("_day", F.lag("_place").over(Window.orderBy("_day")).alias("_carried"))
-    moved = ordered.join(F.broadcast(carried), "_day").withColumn("_new", ~F.coalesce(F.coalesce(before, F.col("_carried")) == place, F.lit(False)))
-    counts = moved.groupBy("_day").agg(F.sum(F.col("_new").cast("int")).alias("_n"))
-    offset = counts.select("_day", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    numbered = moved.join(F.broadcast(offset), "_day").withColumn("_stretch", F.col("_offset") + F.sum(F.col("_new").cast("int")).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    last = ordered.groupBy("_hour").agg(F.max_by(place, F.struct("at", "event_id")).alias("_place"))
+    # a row an hour, which a calendar has few of: the place where the hour before ended
+    carried = last.select("_hour", F.lag("_place").over(Window.orderBy("_hour")).alias("_carried"))
+    moved = ordered.join(carried, "_hour").withColumn("_new", ~F.coalesce(F.coalesce(before, F.col("_carried")) == place, F.lit(False)))
+    counts = moved.groupBy("_hour").agg(F.sum(F.col("_new").cast("int")).alias("_n"))
+    offset = counts.select("_hour", F.coalesce(F.sum("_n").over(Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    numbered = moved.join(offset, "_hour").withColumn("_stretch", F.col("_offset") + F.sum(F.col("_new").cast("int")).over(within.rowsBetween(Window.unboundedPreceding, 0)))
 
     def start() -> Callable[[int], bool]:
         last: list[int] = []

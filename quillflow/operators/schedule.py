@@ -68,3 +68,8 @@ def mark_read(notices: DataFrame, ids: DataFrame | None = None) -> DataFrame:
         return notices.withColumn("read", F.lit(True))
     marked = ids.select("id").distinct().withColumn("_r", F.lit(True))
     return notices.join(marked, "id", "left").withColumn("read", F.col("read") | F.col("_r").isNotNull()).drop("_r").select(*notices.columns)
+
+
+def unread(notices: DataFrame) -> DataFrame:
+    """Notices that nobody has read, a null mark counting as unread."""
+    return notices.filter(~F.coalesce("read", F.lit(False)))

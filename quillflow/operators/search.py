@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillflow.functions.text import collapse, positions, snippet
 
 MOST_POSITIONS, SNIPPETS, PAD = 200, 3, 34
+#: Characters by which a short query is met.
+SEED = 4
 
 
 class SearchError(ValueError):
@@ -67,21 +69,32 @@ def search_totals(results: DataFrame, limit: int = 100) -> DataFrame:
     return results.agg(F.coalesce(F.sum("n_hits"), F.lit(0)).alias("total_hits"), F.count("*").alias("matched_books")).withColumn("truncated", F.col("matched_books") >= most)
 
 
+def _parts(text: str, n: int) -> Column:
+    """All n characters in a row of a text that has so many."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))
+
+
 def search_many(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """Which of many queries (query_id, q of three words or more) each text (text_id, text) contains, with the number of times.
+    """Which of many queries (query_id, q) each text (text_id, text; ids differ) contains, with the number of times. An empty query is in no text.
 
-    A query's longest inner word is a whole word wherever the query occurs, so texts meet queries on the hashes of their words, once for each
-    different word, and the pairs are then verified. Neither side is broadcast by wish; a frequent word joins as a skewed key.
+    A query's longest inner word is a whole word wherever the query occurs, so texts meet such queries on their different words. A query of one or two
+    words may begin or end within a word; it is met on its first characters, SEED of them or what it has, of which texts list their different ones. Only
+    keys and ids take part in this join; whole texts are met by the pairs that it finds, and verified. A frequent word joins as a skewed key.
     """
-    q = collapse(F.lower("q"))
-    words = F.split(q, " ")
+    asked = queries.select("query_id", collapse(F.lower("q")).alias("_q")).filter("_q <> ''")
+    words = F.split("_q", " ")
     inner = F.slice(words, 2, F.size(words) - 2)
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    keyed = queries.filter(F.size(words) >= 3).select("query_id", q.alias("_q"), longest.alias("_word"))
-    body = collapse(F.lower("text"))
-    met = texts.select("text_id", body.alias("_body")).withColumn("_word", F.explode(F.array_distinct(F.split("_body", " "))))
-    pairs = met.join(keyed, "_word").filter(F.contains("_body", "_q"))
-    return pairs.select("text_id", "query_id", F.size(positions(F.col("_body"), F.col("_q"))).alias("n_hits"))
+    by_word = asked.filter(F.size(words) >= 3).withColumn("_key", longest)
+    by_start = asked.filter(F.size(words) < 3).withColumn("_key", F.left("_q", F.lit(SEED)))
+    bodies = texts.select("text_id", collapse(F.lower("text")).alias("_body"))
+    met = bodies.select("text_id", F.explode(F.array_distinct(F.split("_body", " "))).alias("_key")).join(by_word, "_key")
+    for n in sorted(r.n for r in by_start.select(F.length("_key").alias("n")).distinct().collect()):  # SEED numbers at most
+        parts = bodies.filter(F.length("_body") >= n).select("text_id", F.explode(F.array_distinct(_parts("_body", n))).alias("_key"))
+        met = met.unionByName(parts.join(by_start.filter(F.length("_key") == n), "_key"))
+    pairs = met.select("text_id", "query_id", "_q").join(bodies, "text_id").filter(F.contains("_body", "_q"))
+    times = (F.length("_body") - F.length(F.replace(F.col("_body"), F.col("_q"), F.lit("")))) / F.length("_q")
+    return pairs.select("text_id", "query_id", times.cast("int").alias("n_hits"))
 
 
 def highlighted(s: Column, size: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillflow.functions.text import format_bytes
+from quillflow.sources.store import Storage
 
 SECTIONS = ["books", "reading", "index", "backups", ".trash", ".staging"]
 NOT_IN_BACKUP, TEMPORARY, BACKUP_SUFFIX = (".trash/", ".staging/", "index/"), ".tmp-", ".bak"
@@ -58,13 +59,18 @@ def expired(rows: DataFrame, at: str, now: Column, ttl_s: int = STAGING_TTL_S) -
     return rows.filter(F.col(at).isNull() | (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col(at).cast("timestamp")) > ttl_s))
 
 
+def _targets(names: list[str]) -> dict[str, Column]:
+    """Which files each of the named targets is made of."""
+    pattern = {"snapshots": r"/toc-snapshot\.json$", "rebuild-index": "^index/", "trash": r"^\.trash/", "staging": r"^\.staging/"}
+    unknown = [t for t in names if t not in pattern]
+    if unknown:
+        raise ValueError(f"no target {unknown[0]!r}; there are {', '.join(pattern)}")
+    return {t: F.col("path").rlike(pattern[t]) for t in names}
+
+
 def cleanup(files: DataFrame, targets: list[str]) -> DataFrame:
     """target, n_files and bytes that clearing snapshots, rebuild-index, trash or staging would free."""
-    prefix = {"snapshots": r"/toc-snapshot\.json$", "rebuild-index": "^index/", "trash": r"^\.trash/", "staging": r"^\.staging/"}
-    unknown = [t for t in targets if t not in prefix]
-    if unknown:
-        raise ValueError(f"no target {unknown[0]!r}; there are {', '.join(prefix)}")
-    named = F.array_compact(F.array(*[F.when(F.col("path").rlike(prefix[t]), F.lit(t)) for t in targets]))
+    named = F.array_compact(F.array(*[F.when(p, F.lit(t)) for t, p in _targets(targets).items()]))
     return files.select("bytes", F.explode(named).alias("target")).groupBy("target").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes"))
 
 
@@ -74,3 +80,12 @@ def listed(books: DataFrame, by: str = "bytes") -> DataFrame:
     if by not in orders:
         raise ValueError(f"by must be one of {', '.join(orders)}")
     return books.orderBy(orders[by], "book_id")
+
+
+def clear(store: Storage, files: DataFrame, targets: list[str]) -> list[tuple[str, int, int]]:
+    """Remove what the targets are made of from the store that files (path, bytes) lists; what `cleanup` told of each. Paths come in parts, not all at once."""
+    freed = [(r.target, r.n_files, r.bytes) for r in cleanup(files, targets).collect()]  # a row a target
+    for fits in _targets(targets).values():
+        for row in files.filter(fits).select("path").toLocalIterator():
+            store.remove(row.path)
+    return freed

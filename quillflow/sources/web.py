@@ -17,6 +17,7 @@ from quillflow.functions.encoding import CODECS, detect_one
 from quillflow.functions.html import parsed
 from quillflow.functions.urls import absolute, host
 from quillflow.operators import pages as P
+from quillflow.sources.shared import settled
 
 AGENT, TIMEOUT_S, PAGES = "quillflow/0.1", 20, 20
 FIRST_DELAY_S, RETRIES = 0.8, 3
@@ -103,7 +104,7 @@ def chapters(links: DataFrame, load: Callable[[DataFrame], DataFrame], key: str
     for n in range(most):
         # a round's pages are used for their text and for what comes next, and must not be fetched twice
         got = P.extract(parsed(load(todo), key, "url"), key, selector)
-        round_ = got.join(todo, key).withColumn("_n", F.lit(n)).persist()
+        round_ = settled(got.join(todo, key).withColumn("_n", F.lit(n)), "web-round")
         parts = round_ if parts is None else parts.unionByName(round_)
         onward = absolute(F.col("url"), F.col("next_href"))
         todo = round_.filter("next_href is not null").select(key, F.col("url").alias("_from"), onward.alias("url")).filter("url is not null and url <> _from").select(key, "url")

@@ -78,3 +78,17 @@ def positions_sink(read: Callable[[], DataFrame | None], write: Callable[[DataFr
         write(reading.latest(batch if before is None else before.unionByName(batch)))
 
     return take
+
+
+def history_sink(read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], most: int = reading.HISTORY_LIMIT) -> Callable[[DataFrame, int], None]:
+    """For each batch of jumps: put behind those that were kept, without those to about where the last one led; the newest stay, at most so many.
+
+    What was kept is kept again, so a batch that is sent twice changes nothing.
+    """
+
+    def take(batch: DataFrame, _: int) -> None:
+        before = read()
+        entries = batch if before is None else before.unionByName(batch).dropDuplicates(["event_id"])
+        write(reading.newest(reading.push_history(entries), "at", most))
+
+    return take
