@@ -167,12 +167,21 @@ def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 MARKS_SQL = "marks as (select 'm' || event_id as id, cast(user_id as varchar) as book_id, cast(event_id % 3 + 1 as integer) as chapter_index, cast(event_id * 7 % 60 as integer) as char_offset, event_type as selected_text, ts as created_at from events)"
 
 
-@query()
+@query(f"""with recursive {MARKS_SQL}, m as (select *, row_number() over (partition by book_id, chapter_index, selected_text order by created_at, id) as k from marks),
+  walk as (select *, true as stays, [char_offset] as taken from m where k = 1 union all
+    select m.*, len(list_filter(w.taken, lambda x: abs(x - m.char_offset) <= 1)) = 0, case when len(list_filter(w.taken, lambda x: abs(x - m.char_offset) <= 1)) = 0 then list_append(w.taken, m.char_offset) else w.taken end
+    from walk w join m on m.book_id = w.book_id and m.chapter_index = w.chapter_index and m.selected_text = w.selected_text and m.k = w.k + 1)
+  select id, book_id, chapter_index, char_offset, selected_text, created_at from walk where stays""")
 def bookmark_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.distinct_bookmarks(_marks(spark, sf_dir))
 
 
-@query()
+@query("""with recursive e as (select cast(event_id // 40 as varchar) as book_id, cast(event_id // 8 % 5 + 1 as integer) as chapter_index, cast(event_id * 13 % 90 as integer) as char_offset, ts, event_id from events),
+  s as (select *, case when lag(book_id) over w = book_id and lag(chapter_index) over w = chapter_index then 0 else 1 end as starts from e window w as (order by ts, event_id)),
+  g as (select *, sum(starts) over (order by ts, event_id) as stretch from s), m as (select *, row_number() over (partition by stretch order by ts, event_id) as k from g),
+  walk as (select *, true as stays, char_offset as last from m where k = 1 union all
+    select m.*, abs(m.char_offset - w.last) >= 40, case when abs(m.char_offset - w.last) >= 40 then m.char_offset else w.last end from walk w join m on m.stretch = w.stretch and m.k = w.k + 1)
+  select book_id, chapter_index, char_offset, ts as "at", event_id from walk where stays""")
 def history_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = E.table(spark, sf_dir, "events")
     entries = e.select(F.floor(F.col("event_id") / 40).cast("string").alias("book_id"), (F.floor(F.col("event_id") / 8) % 5 + 1).cast("int").alias("chapter_index"), (F.col("event_id") * 13 % 90).cast("int").alias("char_offset"), F.col("ts").alias("at"), "event_id")
@@ -303,14 +312,26 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.title_pairs(E.titles(spark, sf_dir), 0.5)
 
 
-@query()
+#: Each title, in order of position, takes what is like it and not yet taken: one step a title, with a list of who took whom.
+GROUPS_SQL = f"""{TITLES_SQL}, {GRAMS_SQL},
+  alike as (select a.s as s, b.s as t from grams a join grams b on a.s = b.s or len(list_intersect(a.g, b.g)) / cast(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) as double) >= 0.75),
+  rivals as (select a.position as n, list(b.position) as later from titles a join alike on alike.s = a.s join titles b on b.s = alike.t and b.position > a.position and a.author = b.author group by a.position),
+  walk as (select cast(0 as bigint) as n, list_transform(generate_series(1, (select max(position) from titles)), lambda x: cast(0 as bigint)) as owner union all
+    select w.n + 1, case when w.owner[w.n + 1] <> 0 then w.owner else list_transform(w.owner, lambda x, i: case when i = w.n + 1 or x = 0 and list_contains(coalesce(r.later, []), i) then w.n + 1 else x end) end
+    from walk w left join rivals r on r.n = w.n + 1 where w.n < len(w.owner)),
+  owned as (select t.*, owner[t.position] as seed from titles t cross join (select owner from walk where n = len(owner)) x),
+  best as (select seed, first(book_id order by total_chapters desc, position) as keep, count(distinct s) as n_titles from owned group by seed having count(*) > 1),
+  grouped as (select o.book_id, cast(o.seed as varchar) as group_id, keep, case when n_titles = 1 then '{dedupe.NEARLY}' else '{dedupe.HIGHLY}' end as reason from owned o join best b on o.seed = b.seed)"""
+
+
+@query(f"with recursive {GROUPS_SQL} select * from grouped")
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.duplicate_groups(E.titles(spark, sf_dir))
 
 
-@query(f"""with {TITLES_SQL}, p as (select a.book_id as keep_id, b.book_id as drop_id, a.total_chapters as nk, b.total_chapters as nd from titles a join titles b on b.position = a.position + 1 where a.position % 10 = 0),
-  gone as (select case when nk >= nd then drop_id else keep_id end as book_id from p) select book_id, total_chapters from titles where book_id not in (select book_id from gone)""")
+@query(f"with recursive {GROUPS_SQL} select book_id, total_chapters from titles where book_id not in (select book_id from grouped where book_id <> keep)")
 def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The titles without those that the groups of duplicates do not keep."""
     t = E.titles(spark, sf_dir)
-    pairs = t.filter("position % 10 = 0").select(F.col("book_id").alias("keep_id"), (F.col("position") + 1).cast("string").alias("drop_id"))
+    pairs = dedupe.duplicate_groups(t).select(F.col("keep").alias("keep_id"), F.col("book_id").alias("drop_id"))
     return dedupe.merge_duplicates(t, pairs)[0].select("book_id", "total_chapters")

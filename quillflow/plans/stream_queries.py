@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillflow.plans import entities as E
+from quillflow.sources.shared import fresh_dir
 from quillflow.streaming import reading as streams
 
 QUERIES, ORACLES = {}, {}
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder for checkpoints and sinks, in the cluster's shared one where that is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='spark-')}"
-
-
 def _drained(stream: DataFrame, keep) -> DataFrame:
     """The sink's rows at the stream's end. keep: from a batch to the rows to hold, all of those before being replaced (complete mode)."""
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, fresh_dir(stream.sparkSession, "stream")
     schema = keep(stream).schema
     written: list[str] = []
 

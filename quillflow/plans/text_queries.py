@@ -12,7 +12,7 @@ from quillflow.functions.titles import chapter_number
 from quillflow.operators import chapters as ch
 from quillflow.operators import cleaning, dedupe, fetching, importing, pages, schedule, search, storage
 from quillflow.plans import entities as E
-from quillflow.plans.shelf_queries import NOW
+from quillflow.plans.shelf_queries import NOW, TITLES_SQL
 from quillflow.schemas import CHAPTER_FAILED, CHAPTER_MISSING, CHAPTER_OK, FETCH_DONE, FETCH_NONE, FETCH_PARTIAL
 
 QUERIES, ORACLES = {}, {}
@@ -115,7 +115,9 @@ def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.export_text(E.books(spark, sf_dir), E.chapters(spark, sf_dir)).select("book_id", F.sha1("text").alias("text_sha"))
 
 
-@query()
+#: Fields in this order, none of them null, without white space; control characters and quotes escaped as both engines do.
+@query(f"""with {E.CHAPTERS_SQL}, j as (select book_id, to_json({{'format': 'book-export', 'version': 1, 'book': {{'book_id': book_id, 'chapters': list({{'index': idx, 'title': title, 'char_count': char_count, 'content_hash': content_hash, 'content': content}} order by idx)}}}}) as j from chapters group by book_id)
+  select book_id, cast(length(cast(j as varchar)) as integer) as n_chars, sha1(cast(j as varchar)) as json_sha from j""")
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = E.chapters(spark, sf_dir)
     return ch.export_json(c.select("book_id").distinct(), c).select("book_id", F.length("json").alias("n_chars"), F.sha1("json").alias("json_sha"))
@@ -165,11 +167,16 @@ def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.snippets(found, Q).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "chapter_title")
 
 
-@query(f"""with d as (select doc_id, lower({COLLAPSED}) as x from documents), q as (select item_id, lower({COLLAPSED}) as k from benchmark)
-  select doc_id as text_id, item_id as query_id, (length(x) - length(replace(x, k, ''))) // length(k) as n_hits from d join q on contains(x, k) where len(string_split(k, ' ')) >= 3""")
+SHORT_QUERIES = [(-1, "DE"), (-2, "of  the"), (-3, "e"), (-4, " "), (-5, "a th"), (-6, None)]
+
+
+@query(f"""with d as (select doc_id, lower({COLLAPSED}) as x from documents), q as (select item_id, lower({COLLAPSED}) as k from (select item_id, text from benchmark union all values (-1, 'DE'), (-2, 'of  the'), (-3, 'e'), (-4, ' '), (-5, 'a th'), (-6, null)))
+  select doc_id as text_id, item_id as query_id, cast((length(x) - length(replace(x, k, ''))) // length(k) as integer) as n_hits from d join q on contains(x, k) where k <> ''""")
 def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items and some short queries, looked for in all documents."""
     texts, queries = E.table(spark, sf_dir, "documents"), E.table(spark, sf_dir, "benchmark")
-    return search.search_many(texts.select(F.col("doc_id").alias("text_id"), "text"), queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")))
+    asked = queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")).unionByName(spark.createDataFrame(SHORT_QUERIES, "query_id long, q string"))
+    return search.search_many(texts.select(F.col("doc_id").alias("text_id"), "text"), asked)
 
 
 @query(f"""with i as (select source as book_id, sum(length({COLLAPSED})) as n, count(*) as k from documents where source <> 'src3' group by source), b as (select distinct source as book_id from documents where source <> 'src5')
@@ -179,6 +186,14 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.index_status(_indexed(spark, sf_dir).filter("book_id <> 'src3'"), shelf)
 
 
+def trimmed(sql: str) -> str:
+    return f"regexp_replace({sql}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+TWO, BRACKET, THREE = r"^(.+?)\s*[-_|]\s*(.+)$", r"^(.+?)\s*[（(]([^）)]+)[）)]", r"^(.+?)\s*[_\-|]\s*(.+?)\s*[_\-|]\s*(.+)$"
+SKELETON_SQL = f"""lower(regexp_replace(regexp_replace(regexp_replace(title, '[（(\\[【][^）)\\]】]*[）)\\]】]', '', 'g'), '{WS}+', '', 'g'), '[·・:：\\-_—.,，。！!？?、''"“”‘’《》<>]', '', 'g'))"""
+
+
 # Captures ----------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -197,7 +212,18 @@ def capture_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.plan_captures(captures, c.filter("index <= 6"))
 
 
-@query()
+#: A page's title and author by the marks between them, as its <title> has them.
+META_SQL = f"""raw as (select page_id, {trimmed("replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \\n\\t]+', ' ', 'g'), '&amp;', '&')")} as t, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) as site from pages),
+  named as (select page_id, site, case when regexp_matches(t, '{THREE}') then regexp_extract(t, '{THREE}', 1) when regexp_matches(t, '{BRACKET}') then regexp_extract(t, '{BRACKET}', 1) when regexp_matches(t, '{TWO}') then regexp_extract(t, '{TWO}', 1) else t end as name,
+    case when regexp_matches(t, '{THREE}') then regexp_extract(t, '{THREE}', 2) when regexp_matches(t, '{BRACKET}') then regexp_extract(t, '{BRACKET}', 2) when regexp_matches(t, '{TWO}') then regexp_extract(t, '{TWO}', 2) else '' end as who from raw),
+  meta as (select page_id, coalesce(nullif({trimmed('name')}, ''), nullif(site, ''), '未命名') as title, {trimmed('who')} as author, site from named)"""
+
+
+@query(f"""with {META_SQL}, {TITLES_SQL}, p as (select page_id, site, {SKELETON_SQL} as s from meta),
+  gram as (select s, list_distinct(list_transform(generate_series(1, greatest(length(s) - 1, 1)), lambda i: substr(s, cast(i as integer), 2))) as g from (select s from p union select s from titles) where s <> ''),
+  alike as (select a.s as s, b.s as t from gram a join gram b on a.s = b.s or ((contains(a.s, b.s) or contains(b.s, a.s)) and least(length(a.s), length(b.s)) >= 2) or len(list_intersect(a.g, b.g)) / cast(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) as double) >= 0.6 where a.s in (select s from p) and b.s in (select s from titles)),
+  c as (select p.page_id, t.book_id, t.total_chapters, case when site = 'example.com' and site <> '' then 0 else 1 end as rank from p join alike using (s) join titles t on t.s = alike.t qualify row_number() over (partition by page_id order by rank, position, book_id) = 1)
+  select p.page_id, case rank when 0 then 'same-site' when 1 then 'same-title' else 'new' end as via, book_id, cast(coalesce(total_chapters, 0) + 1 as integer) as next_index from p left join c on p.page_id = c.page_id""")
 def capture_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parsed(E.table(spark, sf_dir, "pages"), "page_id", "url")
     meta = pages.book_meta(p).select("page_id", F.col("site").alias("host"), "title", F.lit(None).cast("string").alias("book_id"))
@@ -331,7 +357,7 @@ def content_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.content_candidates(parsed(E.table(spark, sf_dir, "pages"), "page_id")).select("page_id", "place", "selector", "n_chars", "score")
 
 
-@query()
+@query(f"with {META_SQL} select * from meta")
 def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.book_meta(parsed(E.table(spark, sf_dir, "pages"), "page_id", "url"))
 
@@ -436,7 +462,9 @@ def issues_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.with_issues(E.line_chapters(spark, sf_dir)).select("book_id", "chapter_index", F.array_join("types", ",").alias("types"))
 
 
-@query()
+@query(f"""with {E.CHAPTERS_SQL}, marked as (select book_id, idx, title, content, regexp_matches({trimmed('title')}, '^Chapter [0-9]+ (user|assistant)$') as head, sum(case when regexp_matches({trimmed('title')}, '^Chapter [0-9]+ (user|assistant)$') then 1 else 0 end) over (partition by book_id order by idx) as part from chapters),
+  parts as (select book_id, part, first(title order by idx) as title, string_agg(title || content, '' order by idx) as body, bool_or(head) as headed from marked group by book_id, part)
+  select book_id, cast(row_number() over (partition by book_id order by part) as integer) as "index", case when headed then {trimmed('title')} when count(*) over (partition by book_id) = 1 then '全文' else '卷首' end as title, cast(length(regexp_replace(body, '{WS}+', '', 'g')) as integer) as char_count from parts""")
 def rechapterize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importing.rechapterize(E.chapters(spark, sf_dir), pattern="^Chapter [0-9]+ (user|assistant)$").select("book_id", "index", "title", "char_count")
 
@@ -474,8 +502,9 @@ def toc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.toc_links(parsed(E.table(spark, sf_dir, "pages"), "page_id", "url"))
 
 
-@query("""select distinct 'src' || (event_id % 7) as host, count(*) over (partition by event_id % 7) as requests from events""")
+@query("""with r as (select 'src' || (event_id % 7) as host, epoch_us(ts) // 1000000 as at_ms, event_id as request_id from events), k as (select *, row_number() over w as k from r window w as (partition by host order by at_ms, request_id)),
+  s as (select host, k * 3000 + max(at_ms - k * 3000) over (partition by host order by at_ms, request_id) - at_ms as wait from k) select host, count(*) as requests, count_if(wait > 0) as waits, cast(sum(wait) as bigint) as wait_ms from s group by host""")
 def pacing_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = E.table(spark, sf_dir, "events")
-    r = e.select(F.concat(F.lit("src"), (F.col("event_id") % 7).cast("string")).alias("host"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_id").alias("request_id"))
-    return fetching.pacing_stats(fetching.paced(r)).select("host", "requests")
+    r = e.select(F.concat(F.lit("src"), (F.col("event_id") % 7).cast("string")).alias("host"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("at_ms"), F.col("event_id").alias("request_id"))
+    return fetching.pacing_stats(fetching.paced(r))

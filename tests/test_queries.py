@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__
-from quillflow.plans import shelf_queries, stream_queries, text_queries
+from quillflow.plans import library_queries, shelf_queries, stream_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = ({**a, **b, **c} for a, b, c in ((shelf_queries.QUERIES, text_queries.QUERIES, stream_queries.QUERIES), (shelf_queries.ORACLES, text_queries.ORACLES, stream_queries.ORACLES)))
+MODULES = (shelf_queries, text_queries, library_queries, stream_queries)
+QUERIES, ORACLES = ({k: v for m in MODULES for k, v in getattr(m, part).items()} for part in ("QUERIES", "ORACLES"))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
