@@ -6,6 +6,7 @@ is the number of the block that it takes. A source that goes round starts its st
 
 Only DataFrame functions are used. Cumulative sums (where a document starts in its stream, the rank of a slot) are taken in two levels,
 within hash or slot ranges and then over the ranges' totals, so that a source with most of the rows is still spread over tasks.
+Numbers of slots are longs, and their points are taken without a product that could leave them.
 
 Defined results: a null or empty text has no words, size 0, and is never taken; a null source is a source of its own, the last in order;
 rows that repeat are documents of their own; an empty table gives an empty mix.
@@ -13,6 +14,7 @@ rows that repeat are documents of their own; an empty table gives an empty mix.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +26,9 @@ from quillflow.llm.common import stage, unused, word_count
 GOLDEN, POINTS = 2654435769, 1 << 32
 #: Cells of [0, 1) by which slots meet their source's share.
 CELLS = 4096
-#: Hash ranges of a source's stream, and slots in a range of the schedule.
-RANGES, SLOT_RANGE = 1024, 512
+#: Least hash ranges of a source's stream (as bits), and least slots in a range of the schedule. Both grow with the square root of what they divide, so
+#: that neither a range nor the ranges of a source are much for one task.
+RANGE_BITS, SLOT_RANGE = 10, 512
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -54,6 +57,22 @@ def _running(df: DataFrame, group: str, part: str, order: Sequence[str | Column]
     return df.join(totals, [group, part]).withColumn(name, F.col("_before") + F.coalesce(F.sum(add).over(within), F.lit(0))).drop("_before")
 
 
+def _shares(sources: DataFrame, slots: int) -> DataFrame:
+    """A row for each source (source_no, need) and cell of [0, 1) that it touches: its share is from low to below high, of POINTS."""
+    by_no = Window.orderBy("source_no")
+    upto = F.sum("need").over(by_no) / F.lit(float(max(1, slots)))
+    shares = sources.withColumn("high", F.floor(upto * F.lit(float(POINTS))).cast("long")).withColumn("low", F.coalesce(F.lag("high").over(by_no), F.lit(0).cast("long")))
+    width = POINTS // CELLS
+    return shares.filter("high > low").select("source_no", "low", "high", "need", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"(high - 1) div {width}"))).alias("cell"))
+
+
+def _drawn(shares: DataFrame, slots: DataFrame) -> DataFrame:
+    """slot, source_no and need: the source into whose share each slot's point falls."""
+    points = slots.withColumn("point", (F.col("slot") % F.lit(1 << 31)) * F.lit(GOLDEN) % F.lit(POINTS))
+    drawn = points.withColumn("cell", F.expr(f"point div {POINTS // CELLS}")).join(shares, "cell").filter("point >= low and point < high")
+    return drawn.select("slot", "source_no", "need")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 512) -> tuple[DataFrame, DataFrame]:
     """The documents' measures, and the schedule.
 
@@ -71,20 +90,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     slots, n_sources = sources.agg(F.coalesce(F.sum("need"), F.lit(0)), F.count("*")).first()
 
     placed = measured.withColumnRenamed("source", "_source").join(sources, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
-    placed = placed.withColumn("range", F.shiftrightunsigned("key", 64 - RANGES.bit_length() + 1))
+    bits = max(RANGE_BITS, min(20, measured.count().bit_length() // 2))
+    placed = placed.withColumn("range", F.shiftrightunsigned("key", 64 - bits))
     placed = _running(placed, "source_no", "range", ["key", "doc_id"], F.col("size"), "start")
     placed = stage(placed.select("doc_id", "source", "size", "source_size", "target", "source_no", "quota", "start"), "mix-streams")
 
-    # points to sources: a source's share of [0, 1) meets the cells that it touches
-    by_no = Window.orderBy("source_no")
-    upto = F.sum("need").over(by_no)
-    shares = sources.withColumn("high", F.floor(upto * F.lit(POINTS) / F.lit(max(1, slots))).cast("long")).withColumn("low", F.coalesce(F.lag("high").over(by_no), F.lit(0)))
-    width = POINTS // CELLS
-    shares = shares.filter("high > low").select("source_no", "low", "high", "need", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"(high - 1) div {width}"))).alias("cell"))
-    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") % F.lit(1 << 31)) * F.lit(GOLDEN) % F.lit(POINTS)).alias("point"))
-    drawn = points.withColumn("cell", F.expr(f"point div {width}")).join(shares, "cell").filter("point >= low and point < high")
-    drawn = _running(drawn.select("slot", "source_no", "need", F.expr(f"slot div {SLOT_RANGE}").alias("range")), "source_no", "range", ["slot"], F.lit(1), "rank")
-    drawn = stage(drawn.select("slot", "source_no", "rank", "need"), "mix-slots")
+    drawn = _drawn(_shares(sources, slots), spark.range(slots).select(F.col("id").alias("slot")))
+    drawn = drawn.select("slot", "source_no", "need", F.expr(f"slot div {max(SLOT_RANGE, math.isqrt(slots))}").alias("range"))
+    drawn = stage(_running(drawn, "source_no", "range", ["slot"], F.lit(1), "rank").select("slot", "source_no", "rank", "need"), "mix-slots")
     got = drawn.groupBy("source_no").agg(F.count("*").alias("got"))
     short = sources.join(got, "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < need")
     late = short.select("source_no", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank")).withColumn("slot", F.lit(slots) + F.col("rank") * F.lit(n_sources) + F.col("source_no"))
@@ -112,9 +125,11 @@ def taken(docs: DataFrame, **how: object) -> DataFrame:
 
 def repeat_mixed(docs: DataFrame, **how: object) -> DataFrame:
     """docs, each row as often as the mix takes it to the nearest whole (half up): 0, 1 or 2 times. Rows of no words stay once; columns stay as they are."""
-    # documents that repeat an id share what their id takes
+    # documents that repeat an id share what their id takes; those of none are one id, whose number of copies is a constant and no join's key
     own, took, size, copy = (unused(docs, n) for n in ("_own_id", "_taken", "_size", "_copy"))
-    counts = taken(docs, **how).groupBy(F.col("doc_id").alias(own)).agg(F.sum("taken").alias(took), F.sum("size").alias(size))
+    counts = stage(taken(docs, **how).groupBy(F.col("doc_id").alias(own)).agg(F.sum("taken").alias(took), F.sum("size").alias(size)), "mix-counts")
     times = F.when(F.coalesce(F.col(size), F.lit(0)) == 0, 1).otherwise(F.floor(F.col(took) / F.col(size) + 0.5).cast("int"))
-    joined = docs.join(counts, F.col("doc_id").eqNullSafe(F.col(own)), "left").withColumn(copy, F.when(times > 0, F.sequence(F.lit(1), times)))
-    return joined.withColumn(copy, F.explode(copy)).select(*[docs[c] for c in docs.columns])
+    none = counts.filter(F.col(own).isNull()).select(times.alias("n")).first()
+    named = docs.filter("doc_id is not null").join(counts, F.col("doc_id") == F.col(own), "left").select(*[docs[c] for c in docs.columns], times.alias(copy))
+    rows = named.unionByName(docs.filter("doc_id is null").withColumn(copy, F.lit(none.n if none else 1)))
+    return rows.withColumn(copy, F.explode(F.when(F.col(copy) > 0, F.sequence(F.lit(1), F.col(copy))))).select(*docs.columns)
