@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Hex digits of the digest that the join uses.
 SHORT = 8
+#: Parts into which the URLs of one expression are dealt.
+SALT = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,10 +41,12 @@ def split_url(url: str) -> tuple[Column, Column]:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (host and path of the winning rule), verdict for each row of pages (page_id, url).
 
-    rules: host, path, verdict ('allow' or 'block'). The lengths of rule paths are read on the driver: they are at most as many as a path's characters.
+    rules: host, path, verdict ('allow' or 'block'). The lengths of rule paths and the numbers of labels of rule hosts are read on the driver: they are at most
+    as many as a path has characters and a host has dots. Only such starts and suffixes are tried, whatever a URL is made of.
     """
     rules = rules.select("host", "path", "verdict").na.drop(subset=["host", "path"])
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    depths = sorted(r[0] for r in rules.select(F.size(F.split("host", r"\."))).distinct().collect())
     digest = lambda host, path: F.sha2(F.concat(host, F.lit("\n"), path), 256)  # noqa: E731  a line feed ends the host in both
     listed = rules.withColumn("digest", digest(F.col("host"), F.col("path")))
     rank = Window.partitionBy("digest").orderBy(F.col("verdict").desc())  # the same rule twice: block wins
@@ -51,11 +55,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     host, path = split_url("url")
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.array_compact(F.array(*[F.when(F.size(labels) >= d, F.array_join(F.slice(labels, -d, d), ".")) for d in depths])) if depths else F.array().cast("array<string>")
     starts = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull()) if lengths else F.array().cast("array<string>")
     digests = F.flatten(F.transform(suffixes, lambda h: F.transform(starts, lambda p: digest(h, p))))
     tried = rows.select("*", F.explode_outer(digests).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
-    met = tried.join(listed, "short", "left")
+    # an expression that many URLs share meets the rules in parts of its own
+    salted = tried.withColumn("salt", F.pmod("row", F.lit(SALT)))
+    listed = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")))
+    met = salted.join(listed, ["short", "salt"], "left")
     fits = F.col("digest") == F.col("rule_digest")
     found = F.when(fits, F.struct(F.length("rule").alias("long"), "rule_host", "verdict", "rule"))
     best = met.groupBy("row", "page_id", "host", "path").agg(F.max(found).alias("best"))
