@@ -3,7 +3,8 @@
 A document is the average of the learned vectors of its features, hashed into `buckets`: words, pairs of neighbouring words, character n-grams
 inside words, starts and ends of words, and a mark for each word that equals the one before. A softmax layer on the average gives the classes'
 probabilities. Vectors and layer are trained by numpy stochastic gradient descent on a bounded sample: at most `per_class` labelled texts of
-each class, of different texts, chosen by hash; of a text the sample has at most `buckets` feature counts. Everything else covers all rows.
+each class, of different texts, chosen by hash; of a text the sample has at most `buckets` feature counts. Ids or texts whose labels contradict each other
+teach nothing. Everything else covers all rows.
 
 At scoring the layer is linear in the average, so each bucket's vector is reduced to its one logit before it is sent to the executors
 (buckets * 4 bytes, whatever the input), and whole texts are scored slice by slice as arrays.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillflow.llm.common import Texts, mix, texts, word_ranges
 
-#: Lengths, in bytes, of character n-grams, and of the starts and ends of words.
+#: Lengths, in code points, of character n-grams, and of the starts and ends of words.
 NGRAMS, AFFIX = (2, 3, 4), 3
 
 
@@ -40,14 +41,22 @@ def features(t: Texts, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield row[begin], bucket(word_ranges(words, begin, begin + 2), 2)
     same = begin[words[begin] == words[begin + 1]]
     yield row[same], bucket(np.zeros(len(same), np.uint64), 3)
-    yield row, bucket(t.byte_ranges(t.start, np.minimum(t.start + AFFIX, t.end)), 4)
-    yield row, bucket(t.byte_ranges(np.maximum(t.end - AFFIX, t.start), t.end), 5)
-    size = t.end - t.start
-    place = np.repeat(t.start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else size
-    last, of = np.repeat(t.end, size), np.repeat(row, size)
+    # where each character of a word begins and ends, and each word's first character and the one behind its last
+    turn = np.zeros(len(t.data) + 1, np.int8)
+    turn[t.start] += 1
+    turn[t.end] -= 1
+    char = (np.cumsum(turn, dtype=np.int8)[:-1] > 0) & ((t.data & 0xC0) != 0x80)
+    rank = np.cumsum(char)
+    first, last = rank[t.start] - 1, rank[t.end - 1]
+    at, word = np.flatnonzero(char), np.repeat(np.arange(len(t.start)), last - first)
+    after = np.append(at[1:], 0)
+    if len(last):
+        after[last - 1] = t.end
+    yield row, bucket(t.byte_ranges(t.start, after[np.minimum(first + AFFIX, last) - 1]), 4)
+    yield row, bucket(t.byte_ranges(at[np.maximum(last - AFFIX, first)], t.end), 5)
     for n in NGRAMS:
-        at = np.flatnonzero(place + n <= last)
-        yield of[at], bucket(t.byte_ranges(place[at], place[at] + n), 10 + n)
+        i = np.flatnonzero(np.arange(len(at)) + n <= last[word])
+        yield row[word[i]], bucket(t.byte_ranges(at[i], after[i + n - 1]), 10 + n)
 
 
 @dataclass
@@ -91,11 +100,14 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, dim:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, buckets: int = 1 << 16, **how: object) -> Model:
     """Train on docs (doc_id, text) labelled by labels (doc_id, quality); labels holds the rows to learn from and no others."""
-    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("quality").cast("int")).alias("_label"))
-    # so many more ids than texts are wanted that copies among them do not matter; the labels' table alone is sorted
-    chosen = [known.filter(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for k in (0, 1)]
-    picked = chosen[0].unionByName(chosen[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).filter("text is not null").select("text", "_label").dropDuplicates(["text"])
+    agree = lambda rows, *keys: rows.groupBy(*keys).agg(F.min("_label").alias("_label"), F.max("_label").alias("_other")).filter("_label = _other").drop("_other")
+    known = agree(labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")), "_id")
+    each = lambda rows, key: [rows.filter(F.col("_label") == k).orderBy(F.xxhash64(key), key).limit(per_class) for k in (0, 1)]
+    picked = each(known, "_id")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), F.col("doc_id") == F.col("_id")).filter("text is not null")
+    # an id may have several texts, and a text several ids
+    own = each(agree(labelled, "text"), "text")
+    rows = own[0].unionByName(own[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
