@@ -11,7 +11,8 @@ Insults are learned relationally from a bounded sample of labelled documents: fo
 more frequent in toxic documents than in clean ones and that follow many different words there, so that copies of one text teach nothing.
 
 Defined results: a null or empty text has total 0 and the score of that, below 0.5; without any labelled toxic document nothing is learned and only the fixed
-threats score; rows that repeat score alike; an empty table gives no rows; other columns are left alone.
+threats score; an id whose labels contradict each other teaches nothing, and of several texts under one id the least is learned from; rows that repeat score
+alike; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillflow.llm.common import stage
+
 # The closed classes of the grammar, in English, German, French and Spanish.
 TARGETS = "you your yours yourself du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros"
 NEGATIONS = "not no never neither nor without nicht kein keine keinen nie niemals ne pas jamais sans nunca jamás ni sin"
@@ -39,8 +42,11 @@ _CLOSED = {w: c for words, c in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPO
 _TOKEN, _CLAUSE_END = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?;:\n]")
 #: Lengths of word starts, and how many endings make one a form.
 STARTS, ENDINGS = range(4, 8), 5
-#: Share of the toxic documents' rate of insults that a document must not reach to be toxic: their rates differ much, and long ones have fewer a word.
-PATIENCE = 0.2
+#: Choices of the share of the toxic documents' rate of insults that a document must exceed to be toxic, and of the least log odds of a word start by
+#: different words, as a share of those asked by number.
+PATIENCE, RICH = (0.0, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0), (0.0, 1 / 3, 2 / 3)
+#: Every so manieth labelled document is for choosing.
+INNER = 4
 
 
 # Transducers: {(state, class): (next state, what it does to the clause's weight)}; state 0 begins, and a missing entry stays and does nothing.
@@ -128,9 +134,14 @@ class Grammar:
         return total
 
     def total(self, text: str | None, finder: re.Pattern) -> float:
+        matched, words = self.matched(text, finder)
+        return matched - self.drift * words
+
+    def matched(self, text: str | None, finder: re.Pattern) -> tuple[float, int]:
+        """The sum over the matched clauses, and the words of which each takes off."""
         if not text:
-            return 0.0
-        total, done = -self.drift * (1 + text.count(" ") + text.count("\n")), 0
+            return 0.0, 0
+        words, total, done = 1 + text.count(" ") + text.count("\n"), 0.0, 0
         text = text.lower()
         for hit in finder.finditer(text):
             if hit.start() < done:
@@ -139,7 +150,7 @@ class Grammar:
             end = _CLAUSE_END.search(text, hit.end())
             begin, done = max(done, ends + 1), end.end() if end else len(text)
             total += self.clause(text[begin:done])
-        return total
+        return total, words
 
 
 def _score_batches(grammar: Grammar, drop: float | None = None):
@@ -168,30 +179,17 @@ def _forms(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STARTS if len(word) > n)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, least: int = 4, odds: float = 3.0) -> Grammar:
-    """Learn insults and the cut from docs (doc_id, text) labelled by labels (doc_id, toxic).
-
-    per_class bounds the sample: so many documents of each label at most, chosen by hash. A form is learned if it follows at least
-    max(least, 0.5 % of the toxic sample) different words and at least half as many as there are toxic documents with it, and if the log of
-    its rates' ratio is odds or more; of a word start, the ratio of different words with it must be so too. A text counts each pair of neighbouring words once. labels holds the rows to learn from and no others.
-    """
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
-    known = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropDuplicates(["_id"])
-    chosen = [known.filter(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for k in (1, 0)]
-    picked = [(r["_id"], r["_toxic"]) for part in chosen for r in part.collect()]  # 2 * per_class ids at most
-    if not any(t for _, t in picked):
-        return Grammar()
-    ids = F.broadcast(spark.createDataFrame(picked, "_id long, _toxic int"))
-    sample = docs.join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic").filter("text is not null").dropDuplicates(["doc_id"]).persist()
+def _toxic_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            rows = [(f, w, p) for w, p in _pairs(text) for f in _forms(w)]
+            form, word, before = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_pydict({"form": pa.array(form, pa.string()), "word": pa.array(word, pa.string()), "before": pa.array(before, pa.string()), "doc_id": pa.array([doc] * len(form), pa.int64())})
 
-    def toxic_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                rows = [(f, w, p) for w, p in _pairs(text) for f in _forms(w)]
-                form, word, before = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_pydict({"form": pa.array(form, pa.string()), "word": pa.array(word, pa.string()), "before": pa.array(before, pa.string()), "doc_id": pa.array([doc] * len(form), pa.int64())})
 
-    rows = sample.filter("_toxic = 1").mapInArrow(toxic_forms, "form string, word string, before string, doc_id long")
+def _learn(sample: DataFrame, least: int, odds: float, rich: tuple[float, ...]) -> tuple[list[float], list[Grammar]]:
+    """Of a sample (doc_id, text, _toxic), for each choice of rich: the toxic documents' rate of insults, and a grammar without drift and cut."""
+    rows = sample.filter("_toxic = 1").mapInArrow(_toxic_forms, "form string, word string, before string, doc_id long")
     seen = rows.groupBy("form").agg(F.count("*").alias("times"), F.countDistinct("doc_id").alias("docs"), F.countDistinct("before").alias("contexts"), F.countDistinct("word").alias("endings"))
     n_toxic = sample.filter("_toxic = 1").count()
     often = (F.col("contexts") >= max(least, 0.005 * n_toxic)) & (F.col("contexts") * 2 >= F.col("docs")) & (~F.col("form").endswith("*") | (F.col("endings") >= ENDINGS))
@@ -215,30 +213,85 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, least: int =
         return math.log((in_one + 0.5) / in_toxic) - math.log((in_other + 0.5) / in_clean)
 
     weights = {f: (ratio(n, counts.get((f, 0), (0, 0))[0]), ratio(kinds[f], counts.get((f, 0), (0, 0))[1])) for f, n in candidates.items()}
-    kept = {f: w for f, (w, of_kinds) in weights.items() if w >= odds and (of_kinds >= odds / 3 or not f.endswith("*"))}
-    starts: dict[str, float] = {}
-    for f in sorted((f for f in kept if f.endswith("*")), key=len):
-        if any(f.startswith(s) for s in starts):
-            continue
-        for longer in sorted((g for g in kept if g.endswith("*") and g.startswith(f[:-1])), key=len):
-            if candidates[longer] >= 0.98 * candidates[f]:
-                f = longer
-        starts[f[:-1]] = kept[f]
-    words = {f: w for f, w in kept.items() if not f.endswith("*")}
-    own = sum(candidates[s + "*"] for s in starts) + sum(candidates[w] for w in words if not any(w.startswith(s) and len(w) > len(s) for s in starts))
-    drift = PATIENCE * own / in_toxic
-    grammar = Grammar(words, starts, drift)
-
-    scored = sample.select("_toxic", "text").mapInArrow(_score_batches(grammar), "_toxic int, score double").collect()
-    ranked = sorted(((math.inf if r.score >= 1 else math.log(r.score / (1 - r.score)) + grammar.cut if r.score else -math.inf, r["_toxic"]) for r in scored), reverse=True)
-    n_clean = len(ranked) - n_toxic
+    grammars, rates = [], []
+    for share in rich:
+        kept = {f: w for f, (w, of_kinds) in weights.items() if w >= odds and (of_kinds >= odds * share or not f.endswith("*"))}
+        starts: dict[str, float] = {}
+        for f in sorted((f for f in kept if f.endswith("*")), key=lambda f: (len(f), f)):
+            if any(f.startswith(s) for s in starts):
+                continue
+            for longer in sorted((g for g in kept if g.endswith("*") and g.startswith(f[:-1])), key=lambda g: (len(g), g)):
+                if candidates[longer] >= 0.98 * candidates[f]:
+                    f = longer
+            starts[f[:-1]] = kept[f]
+        words = {f: w for f, w in kept.items() if not f.endswith("*")}
+        own = sum(candidates[s + "*"] for s in starts) + sum(candidates[w] for w in words if not any(w.startswith(s) and len(w) > len(s) for s in starts))
+        rates.append(own / in_toxic)
+        grammars.append(Grammar(words, starts))
+    return rates, grammars
+
+
+def _matched(sample: DataFrame, grammar: Grammar) -> list[tuple[int, float, int]]:
+    """Label, sum of matches and words of each row of the bounded sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = grammar.finder()
+        for batch in batches:
+            found = [grammar.matched(t, finder) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_toxic"), pa.array([m for m, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], ["toxic", "matched", "words"])
+
+    return [tuple(r) for r in sample.select("_toxic", "text").mapInArrow(run, "toxic int, matched double, words long").collect()]
+
+
+def best_cut(totals: list[tuple[float, int]]) -> float:
+    """The cut between two totals at which the shares of toxic documents over it and of clean ones below it are largest together; 0.5 at least."""
+    ranked = sorted(totals, reverse=True)
+    n_toxic = sum(t for _, t in ranked)
     best, at, hits, false = 0.0, 1.0, 0, 0
     for (total, toxic), (below, _) in zip(ranked, [*ranked[1:], (-math.inf, 0)]):
         hits, false = hits + toxic, false + 1 - toxic
-        if total > below and (gain := hits / max(1, n_toxic) - false / max(1, n_clean)) > best:
+        if total > below and (gain := hits / max(1, n_toxic) - false / max(1, len(ranked) - n_toxic)) > best:
             best, at = gain, (total + below) / 2
-    grammar.cut = max(at, 0.5) if math.isfinite(at) else 0.5
-    sample.unpersist()
+    return max(at, 0.5) if math.isfinite(at) else 0.5
+
+
+def _loss(grammar: Grammar, matched: list[tuple[int, float, int]]) -> tuple[float, float]:
+    """Errors at 0.5, and log loss, of each label's share."""
+    size = {k: max(1, sum(t == k for t, *_ in matched)) for k in (0, 1)}
+    scored = [(toxic, grammar.score(total - grammar.drift * words)) for toxic, total, words in matched]
+    errors = sum(((p >= 0.5) != bool(toxic)) / size[toxic] for toxic, p in scored)
+    return errors, -sum(math.log(min(1.0, max(1e-9, p if toxic else 1 - p))) / size[toxic] for toxic, p in scored)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, least: int = 4, odds: float = 3.0) -> Grammar:
+    """Learn insults, patience and the cut from docs (doc_id, text) labelled by labels (doc_id, toxic).
+
+    per_class bounds the sample: so many documents of each label at most, chosen by hash. A form is learned if it follows at least
+    max(least, 0.5 % of the toxic sample) different words and at least half as many as there are toxic documents with it, and if the log of
+    its rates' ratio is odds or more; of a word start, the ratio of different words with it must be a chosen share of that. A text counts each pair of
+    neighbouring words once. labels holds the rows to learn from and no others.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.col("toxic").cast("int")).alias("_toxic"), F.max(F.col("toxic").cast("int")).alias("_other")).filter("_toxic = _other").drop("_other")
+    chosen = [known.filter(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for k in (1, 0)]
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class ids at most
+    sample = stage(docs.join(ids, F.col("doc_id") == F.col("_id")).filter("text is not null").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text")), "toxicity-sample")
+    if sample.filter("_toxic = 1").isEmpty():
+        return Grammar()
+    for_choice = F.pmod(F.xxhash64(F.lit("inner"), "doc_id"), F.lit(INNER)) == 0
+    inner, outer = sample.filter(~for_choice), sample.filter(for_choice)
+    found = []
+    rates, grammars = _learn(inner, least, odds, RICH)
+    for rich, rate, grammar in zip(RICH, rates, grammars):
+        own, other = _matched(inner, grammar), _matched(outer, grammar)
+        for patience in PATIENCE:
+            grammar.drift = patience * rate
+            grammar.cut = best_cut([(m - grammar.drift * n, toxic) for toxic, m, n in own])
+            found.append((_loss(grammar, other or own), rich, patience))
+    _, rich, patience = min(found)
+    (rate,), (grammar,) = _learn(sample, least, odds, (rich,))
+    grammar.drift = patience * rate
+    grammar.cut = best_cut([(m - grammar.drift * n, toxic) for toxic, m, n in _matched(sample, grammar)])
     return grammar
 
 
