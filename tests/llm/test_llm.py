@@ -433,12 +433,12 @@ def test_similar_groups_at_any_cut(batch):
     fp = rng.integers(0, 2**63, (1, 2), np.uint64) ^ (rng.integers(0, 2**63, (len(key), 2), np.uint64) & rng.integers(0, 2**63, (len(key), 2), np.uint64) & rng.integers(0, 2**63, (len(key), 2), np.uint64))
     rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(len(key))), *(pa.array(x.view(np.int64)) for x in fp.T.copy())], ["key", "class", "fp0", "fp1"])
     for group in (8, 1000):
-        out = [r for b in similar._close(group)(rows.slice(at, batch) for at in range(0, len(key), batch)) for r in b.to_pylist()]
+        out = [r for b in similar._close(34, group)(rows.slice(at, batch) for at in range(0, len(key), batch)) for r in b.to_pylist()]
         sets, want = brute.Sets(range(len(key))), brute.Sets(range(len(key)))
         for r in out:
             assert key[r["a"]] == key[r["b"]]
             sets.join(r["a"], r["b"])
-        close = [(i, j) for j in range(len(key)) for i in range(j) if key[i] == key[j] and np.bitwise_count(fp[i] ^ fp[j]).sum() <= similar.NEAR]
+        close = [(i, j) for j in range(len(key)) for i in range(j) if key[i] == key[j] and np.bitwise_count(fp[i] ^ fp[j]).sum() <= 34]
         for i, j in close:
             want.join(i, j)
         assert len(close) > 500 and len(out) <= len(key) and all(sets.root(i) == sets.root(j) for i, j in close)
@@ -446,6 +446,7 @@ def test_similar_groups_at_any_cut(batch):
 
 
 def test_blocks_keep_their_recall():
+    assert similar.near(0.8) == 34 and similar.near(0.7) > 34 > similar.near(0.9)
     for classes in (0, 10, 10**6, 10**10):
         chosen = similar.blocks(classes, 0.8)
         bits = len(chosen[0])
