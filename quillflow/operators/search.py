@@ -9,7 +9,7 @@ from quillflow.functions.text import collapse, positions, snippet
 
 MOST_POSITIONS, SNIPPETS, PAD = 200, 3, 34
 #: Characters by which a short query is met.
-SEED = 4
+SEED = 2
 
 
 class SearchError(ValueError):
@@ -69,9 +69,13 @@ def search_totals(results: DataFrame, limit: int = 100) -> DataFrame:
     return results.agg(F.coalesce(F.sum("n_hits"), F.lit(0)).alias("total_hits"), F.count("*").alias("matched_books")).withColumn("truncated", F.col("matched_books") >= most)
 
 
-def _parts(text: str, n: int) -> Column:
-    """All n characters in a row of a text that has so many."""
-    return F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))
+def _starts(text: str, n: int) -> Column:
+    """The different characters of a text, or pairs of neighbouring ones (n is SEED at most), in one pass over it."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    if n == 1:
+        return F.array_distinct(chars)
+    pairs = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.array_compact(pairs))
 
 
 def search_many(texts: DataFrame, queries: DataFrame) -> DataFrame:
@@ -90,7 +94,7 @@ def search_many(texts: DataFrame, queries: DataFrame) -> DataFrame:
     bodies = texts.select("text_id", collapse(F.lower("text")).alias("_body"))
     met = bodies.select("text_id", F.explode(F.array_distinct(F.split("_body", " "))).alias("_key")).join(by_word, "_key")
     for n in sorted(r.n for r in by_start.select(F.length("_key").alias("n")).distinct().collect()):  # SEED numbers at most
-        parts = bodies.filter(F.length("_body") >= n).select("text_id", F.explode(F.array_distinct(_parts("_body", n))).alias("_key"))
+        parts = bodies.filter(F.length("_body") >= n).select("text_id", F.explode(_starts("_body", n)).alias("_key"))
         met = met.unionByName(parts.join(by_start.filter(F.length("_key") == n), "_key"))
     pairs = met.select("text_id", "query_id", "_q").join(bodies, "text_id").filter(F.contains("_body", "_q"))
     times = (F.length("_body") - F.length(F.replace(F.col("_body"), F.col("_q"), F.lit("")))) / F.length("_q")
