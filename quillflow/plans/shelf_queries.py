@@ -313,15 +313,15 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Each title, in order of position, takes what is like it and not yet taken: one step a title, with a list of who took whom.
-GROUPS_SQL = f"""{TITLES_SQL}, {GRAMS_SQL},
+GROUPS_SQL = f"""{TITLES_SQL}, {GRAMS_SQL}, placed as (select *, row_number() over (order by position) as k from titles),
   alike as (select a.s as s, b.s as t from grams a join grams b on a.s = b.s or len(list_intersect(a.g, b.g)) / cast(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) as double) >= 0.75),
-  rivals as (select a.position as n, list(b.position) as later from titles a join alike on alike.s = a.s join titles b on b.s = alike.t and b.position > a.position and a.author = b.author group by a.position),
-  walk as (select cast(0 as bigint) as n, list_transform(generate_series(1, (select max(position) from titles)), lambda x: cast(0 as bigint)) as owner union all
+  rivals as (select a.k as n, list(b.k) as later from placed a join alike on alike.s = a.s join placed b on b.s = alike.t and b.k > a.k and a.author = b.author group by a.k),
+  walk as (select cast(0 as bigint) as n, list_transform(generate_series(1, (select count(*) from titles)), lambda x: cast(0 as bigint)) as owner union all
     select w.n + 1, case when w.owner[w.n + 1] <> 0 then w.owner else list_transform(w.owner, lambda x, i: case when i = w.n + 1 or x = 0 and list_contains(coalesce(r.later, []), i) then w.n + 1 else x end) end
     from walk w left join rivals r on r.n = w.n + 1 where w.n < len(w.owner)),
-  owned as (select t.*, owner[t.position] as seed from titles t cross join (select owner from walk where n = len(owner)) x),
-  best as (select seed, first(book_id order by total_chapters desc, position) as keep, count(distinct s) as n_titles from owned group by seed having count(*) > 1),
-  grouped as (select o.book_id, cast(o.seed as varchar) as group_id, keep, case when n_titles = 1 then '{dedupe.NEARLY}' else '{dedupe.HIGHLY}' end as reason from owned o join best b on o.seed = b.seed)"""
+  owned as (select t.*, owner[t.k] as seed from placed t cross join (select owner from walk where n = len(owner)) x),
+  best as (select seed, first(book_id order by total_chapters desc, position) as keep, first(book_id order by k) as group_id, count(distinct s) as n_titles from owned group by seed having count(*) > 1),
+  grouped as (select o.book_id, group_id, keep, case when n_titles = 1 then '{dedupe.NEARLY}' else '{dedupe.HIGHLY}' end as reason from owned o join best b on o.seed = b.seed)"""
 
 
 @query(f"with recursive {GROUPS_SQL} select * from grouped")
