@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import classifier, decontamination, language_model, mixing, quality_rules, sharding, simhash, substring, toxicity, urls
+from quillflow.llm import classifier, decontamination, language_model, lines, mixing, quality_rules, sharding, simhash, substring, toxicity, urls
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -74,7 +74,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_shards, op3_decontamination, op4_language_model, op5_url_filter, op6_simhash_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_toxicity)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_shared_lines(table(spark, sf_dir, "documents"), least=40, documents=5)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_shards, op3_decontamination, op4_language_model, op5_url_filter, op6_simhash_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_toxicity, op11_line_dedup)}
 
 ORACLES = {
     "op5_url_filter": r"""
@@ -95,5 +100,15 @@ gone as (select distinct row_no, unnest(generate_series(s, s + 12)) as at from w
 placed as (select doc_id, row_no, unnest(words) as word, generate_subscripts(words, 1) as at from docs),
 kept as (select p.row_no, count(*) as n_kept, string_agg(p.word, ' ' order by p.at) as body from placed p left join gone g on p.row_no = g.row_no and p.at = g.at where g.at is null group by p.row_no)
 select doc_id, len(words) as n_words, len(words) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(body, '')) as kept_sha256 from docs left join kept using (row_no)
+""",
+    "op11_line_dedup": r"""
+with docs as (select doc_id, row_number() over () as row_no, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+placed as (select doc_id, row_no, unnest(lines) as line, generate_subscripts(lines, 1) as place from docs),
+keyed as (select doc_id, row_no, place, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from placed),
+shared as (select key, max(doc_id) as last from keyed where length(key) >= 40 group by key
+  having count(distinct doc_id) + max(case when doc_id is null then 1 else 0 end) >= 5),
+judged as (select k.*, last is not null and (doc_id is null or doc_id < last) as goes from keyed k left join shared using (key))
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (where goes) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not goes), '')) as kept_sha256
+from judged group by row_no
 """,
 }
