@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import classifier, decontamination, language_model, lines, mixing, quality_rules, sharding, simhash, substring, toxicity, urls
+from quillflow.llm import classifier, decontamination, language_model, lines, mixing, quality_rules, repair, sharding, simhash, substring, toxicity, urls
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -79,7 +79,11 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_shards, op3_decontamination, op4_language_model, op5_url_filter, op6_simhash_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_toxicity, op11_line_dedup)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.repair(repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_shards, op3_decontamination, op4_language_model, op5_url_filter, op6_simhash_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_toxicity, op11_line_dedup, op12_conversation_repair)}
 
 ORACLES = {
     "op5_url_filter": r"""
