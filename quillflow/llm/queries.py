@@ -85,7 +85,47 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_shards, op3_decontamination, op4_language_model, op5_url_filter, op6_simhash_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_toxicity, op11_line_dedup, op12_conversation_repair)}
 
+
+def _repair_sql() -> str:
+    """SQL of op12. A state's best rest of a conversation is a text, its cost in eight digits and then its letters, so the lesser of two is the better one."""
+    then, last = {0: 2, 1: 2, 2: 3, 3: 2}, {0: "user", 1: "user", 2: "assistant", 3: "user"}
+    plus = lambda cost, letters, v: f"(lpad(cast(cast({v}[1:8] as integer) + {cost} as varchar), 8, '0') || '{letters}' || {v}[9:])"
+    takes = []
+    for s in range(4):
+        keeps = [(i, t) for i, t in (("s", 1), ("u", 2), ("a", 3)) if (s, t) in ((0, 1), (0, 2), (1, 2), (2, 3), (3, 2))]
+        kept = " ".join(f"when '{i}' then {plus('late', 'K', f'v{t}')}" for i, t in keeps)
+        takes.append(f"least({plus(3, 'D', f'v{s}')}, case when not must then case initial {kept} end end, case when not must then {plus('2 + late', 'R', f'v{then[s]}')} end) as t{s}")
+    puts = ", ".join(f"least(t{s}, {plus(2, 'I', f't{then[s]}')}, {plus(4, 'II', f't{then[then[s]]}')}) as v{s}" for s in range(4))
+    asked = "case state " + " ".join(f"when {s} then '{r}'" for s, r in last.items()) + " end"
+    after = "case when letter = 'D' then state when letter = 'K' and initial = 's' then 1 when state = 2 then 3 else 2 end"
+    return rf"""
+with recursive raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name from conversations),
+bits as (select *, flatten(list_transform(range(1, length(name) + 1), lambda i: [cast(ascii(name[i]) as bigint), 0, 0, 0, 0, 0, 0, 0])) as b from raw),
+kinds as (select *, xor(list_reduce(b, lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384), 4294967295), 4294967295) % 20 as kind from bits),
+damaged as (select conv_id, turn, md5(role || ':' || text) as tie, copy, case when kind = 4 then 'user' else role end as role,
+  case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from kinds, (select unnest([0, 1]) as copy) where kind <> 0 and (copy = 0 or kind = 3)),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, tie, copy) as n, regexp_replace(text, '[ 	-]+$', '') as bare from damaged),
+seen as (select *, bare = '' as blank, bare <> '' and row_number() over (partition by conv_id, role, text order by n) > 1 as duplicate from numbered),
+rows as (select conv_id, n, turn, role, text, role[1:1] as initial, blank, duplicate, blank or duplicate as must, cast(not blank and not duplicate and not regexp_matches(bare, '[.!?]$') as integer) as late from seen),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where blank) as blank, count(*) filter (where duplicate) as duplicate, sum(late) as truncated, max(n) as size from rows group by conv_id),
+pairs as (select conv_id, lag(initial) over (partition by conv_id order by n) || initial as pair from rows),
+illegals as (select conv_id, count(*) as illegal from pairs where pair is not null and pair not in ('su', 'ua', 'au') group by conv_id),
+best as (select conv_id, size as i, '00000000' as v0, '00000004II' as v1, '00000002I' as v2, '00000000' as v3 from counts
+  union all select conv_id, i, {puts} from (select b.conv_id, i - 1 as i, {", ".join(takes)} from best b join rows r on b.conv_id is not distinct from r.conv_id and r.n = b.i)),
+audits as (select conv_id, cast(v0[1:8] as bigint) as cost, v0[9:] as audit from best where i = 0),
+walk as (select conv_id, audit, 0 as step, 0 as i, 0 as state, cast(null as varchar) as body from audits
+  union all select conv_id, audit, step + 1, i + cast(letter <> 'I' as integer), {after},
+    case when letter = 'D' then body else coalesce(body || chr(10), '') || case letter when 'K' then role || ':' || text when 'R' then {asked} || ':' || text else {asked} || ':' end end
+  from (select w.*, r.role, r.text, r.initial, w.audit[w.step + 1] as letter from walk w left join rows r on w.conv_id is not distinct from r.conv_id and r.n = w.i + 1 where w.step < length(w.audit)))
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, cast(coalesce(truncated, 0) as bigint) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(w.audit, '') as audit, sha256(coalesce(body, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on o.conv_id is not distinct from c.conv_id left join illegals l on o.conv_id is not distinct from l.conv_id
+left join audits a on o.conv_id is not distinct from a.conv_id left join walk w on o.conv_id is not distinct from w.conv_id and w.step = length(w.audit)
+"""
+
+
 ORACLES = {
+    "op12_conversation_repair": _repair_sql(),
     "op5_url_filter": r"""
 with rules(rh, rp, rv) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 rest as (select page_id, row_number() over () as row_no, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages),
