@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import classifier, decontamination, language_model, lines, mixing, quality_rules, repair, sharding, simhash, substring, toxicity, urls
+from quillflow.llm import classifier, decontamination, language_model, lines, mixing, quality_rules, repair, sharding, simhash, substring, toxicity, urls, whitening
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -83,7 +83,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(repair.repair(repair.damaged(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_shards, op3_decontamination, op4_language_model, op5_url_filter, op6_simhash_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_toxicity, op11_line_dedup, op12_conversation_repair)}
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.components_of(table(spark, sf_dir, "embeddings"), "vec_id", scale=1024, shift=100_000, most=8)
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_byte_shards, op3_decontamination, op4_language_model, op5_url_filter, op6_simhash_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_toxicity, op11_line_dedup, op12_conversation_repair, op13_embedding_whitening)}
 
 
 def _repair_sql() -> str:
@@ -105,7 +110,8 @@ kinds as (select *, xor(list_reduce(b, lambda c, x: xor(xor(c, x) >> 1, (xor(c,
 damaged as (select conv_id, turn, md5(role || ':' || text) as tie, copy, case when kind = 4 then 'user' else role end as role,
   case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
   from kinds, (select unnest([0, 1]) as copy) where kind <> 0 and (copy = 0 or kind = 3)),
-numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, tie, copy) as n, regexp_replace(text, '[ 	-]+$', '') as bare from damaged),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, tie, copy) as n, regexp_replace(text, '[ 	-
+]+$', '') as bare from damaged),
 seen as (select *, bare = '' as blank, bare <> '' and row_number() over (partition by conv_id, role, text order by n) > 1 as duplicate from numbered),
 rows as (select conv_id, n, turn, role, text, role[1:1] as initial, blank, duplicate, blank or duplicate as must, cast(not blank and not duplicate and not regexp_matches(bare, '[.!?]$') as integer) as late from seen),
 counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where blank) as blank, count(*) filter (where duplicate) as duplicate, sum(late) as truncated, max(n) as size from rows group by conv_id),
