@@ -359,10 +359,10 @@ def _entered(batches: Iterator[pa.RecordBatch], write: Callable) -> Iterator[pa.
 def _written(batches: Iterator[pa.RecordBatch], write: Callable) -> Iterator[pa.RecordBatch]:
     """Pieces of repaired conversations. A segment's first row is its plan, then its rows come in order."""
     columns = ["place", "role", "text", "live", *_PLAN[1:], "state"]
-    for (conv, _), rows in _runs(batches, ["conv_id", "segment"], columns):
-        piece, _, _, _, kinds, enters, leaves, ends, *counts, state = next(rows)
+    for (conv, segment), rows in _runs(batches, ["conv_id", "segment"], columns):
+        _, _, _, _, kinds, enters, leaves, ends, *counts, state = next(rows)
         letters, _ = walk(1 << state, forward(enters, kinds), backward(leaves, kinds), kinds, counts[-1], ends)
-        at, audit, repaired, size = 0, "", [], 0
+        piece, at, audit, repaired, size = segment * SEGMENT_ROWS, 0, "", [], 0
         for place, role, text, *_ in (row for row in rows if row[3]):
             if at and (at % PIECE_ROWS == 0 or size > PIECE_BYTES):
                 yield write([(conv, piece, *counts, audit, repaired)])

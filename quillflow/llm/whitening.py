@@ -188,7 +188,7 @@ def fit(vectors: DataFrame, scale: int = 1024, shift: int = 100_000, most: int =
 
 
 def whitened(vectors: DataFrame, model: Whitening, *keys: str, column: str = "embedding") -> DataFrame:
-    """keys, deviation (decimal: the exact sum of (n x - S)^2) and `whitened`, an array of a double for each component, of the vectors that model can take."""
+    """keys, deviation (decimal: the exact sum of (n x - S)^2, null if it has over 38 digits) and `whitened`, an array of a double for each component, of the vectors that model can take."""
     rows = whole_entries(vectors, model.scale, model.shift, column).filter(F.size("_x") == model.dimensions).select(*keys, "_x")
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_x"), "deviation string, whitened array<double>"])
     n, sums, width = model.n, model.sums, model.dimensions
@@ -206,7 +206,7 @@ def whitened(vectors: DataFrame, model: Whitening, *keys: str, column: str = "em
             names = [*keys, "deviation", "whitened"]
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array([str(s) for s in squares.sum(axis=1)]), lists], names)
 
-    return rows.mapInArrow(run, ddl).withColumn("deviation", F.col("deviation").cast("decimal(38,0)"))
+    return rows.mapInArrow(run, ddl).withColumn("deviation", F.expr("try_cast(deviation as decimal(38,0))"))
 
 
 def identity_error(rows: DataFrame, components: int) -> float:
