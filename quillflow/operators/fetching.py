@@ -116,10 +116,10 @@ def pruned(tasks: DataFrame, keep: int = 50) -> DataFrame:
 def commanded(tasks: DataFrame, commands: DataFrame) -> DataFrame:
     """tasks (task_id, state and others) after commands (task_id, command, at, command_id): pause, resume or cancel, each task's in order of time.
 
-    Only what runs can be paused, only what is paused can go on, and what is cancelled or done stays so. States follow from the last command before which
+    Only what runs can be paused, only what is paused can go on, and what is cancelled or done stays so; other commands change nothing. States follow from the last command before which
     none cancelled, so no order is folded: the earliest cancel decides, else the latest pause or resume.
     """
-    last = commands.groupBy("task_id").agg(F.count_if(F.col("command") == "cancel").alias("_cancels"), F.max_by("command", F.struct("at", "command_id")).alias("_last"))
+    last = commands.filter(F.col("command").isin("pause", "resume", "cancel")).groupBy("task_id").agg(F.count_if(F.col("command") == "cancel").alias("_cancels"), F.max_by("command", F.struct("at", "command_id")).alias("_last"))
     open_ = F.col("state").isin(RUNNING, PAUSED)
     state = F.when(~open_ | F.col("_last").isNull(), F.col("state")).when(F.col("_cancels") > 0, CANCELLED).when(F.col("_last") == "pause", PAUSED).otherwise(RUNNING)
     return tasks.join(last, "task_id", "left").withColumn("state", state).drop("_cancels", "_last").select(*tasks.columns)

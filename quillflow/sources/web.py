@@ -1,4 +1,4 @@
-"""Fetching pages: by host, paced, with retries, each page decoded by what its header says or what its bytes look like."""
+"""Fetching pages: by host, paced, two of a host at once, with retries, each page decoded by what its header says or what its bytes look like."""
 
 from __future__ import annotations
 
@@ -10,20 +10,21 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillflow.functions.encoding import CODECS, detect_one
 from quillflow.functions.html import parsed
 from quillflow.functions.urls import absolute, host
 from quillflow.operators import pages as P
+from quillflow.operators.fetching import CONCURRENT, INTERVAL_MS
+from quillflow.sources.limits import Limiter, at_once
 from quillflow.sources.shared import settled
 
 AGENT, TIMEOUT_S, PAGES = "quillflow/0.1", 20, 20
 FIRST_DELAY_S, RETRIES = 0.8, 3
 #: Seconds between two requests to one host; a machine's own address needs less.
-INTERVAL_S, OWN_INTERVAL_S = 3.0, 0.03
-OWN = {"localhost", "127.0.0.1", "::1"}
+INTERVAL_S = INTERVAL_MS / 1000
 #: Statuses after which another try may do better.
 AGAIN = {408, 425, 429, 500, 502, 503, 504}
 
@@ -54,46 +55,53 @@ def get(url: str, agent: str = AGENT, timeout: float = TIMEOUT_S) -> tuple[int |
         return None, None, None, url
 
 
-def fetch(links: DataFrame, *columns: str, agent: str = AGENT, interval_s: float = INTERVAL_S, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """columns of links (url among them), status, html, encoding, final_url, tries. A host's requests go through one task, spaced by interval_s.
-
-    A host is a queue by nature: more of them, not more tasks for one, make a fetch faster. Rows of a lost task are fetched again.
+def tried(url: str | None, limiter: Limiter, agent: str = AGENT, sleep: Callable[[float], None] = time.sleep) -> tuple:
+    """Status, text, encoding, the url at the end, tries, waits and wait_ms of one page: tried again, with its host's turns and growing pauses, where that may help."""
+    try:
+        site = urlsplit(url or "").hostname or ""
+    except ValueError:
+        site = ""
+    waits, wait_ms, turns = 0, 0, limiter.turns(site)
+    for tries in range(1, RETRIES + 1):
+        with turns.turn() as waited:
+            waits, wait_ms = waits + (waited > 0), wait_ms + waited
+            answer = get(url or "", agent)
+        if answer[0] is not None and answer[0] not in AGAIN or tries == RETRIES:
+            return *answer, tries, waits, wait_ms
+        sleep(FIRST_DELAY_S * 2 ** (tries - 1))
+    raise AssertionError("the last try returns")
+
+
+def fetch(links: DataFrame, *columns: str, agent: str = AGENT, interval_s: float = INTERVAL_S, concurrent: int = CONCURRENT, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """columns of links (url among them), status, html, encoding, final_url, tries, waits, wait_ms.
+
+    A host's requests go through one task, `concurrent` of them at once, their starts interval_s apart; hosts of one task are fetched beside each other, so that
+    no core sits out one host's pauses. A host is a queue by nature: more of them, not more tasks for one, make a fetch faster. Rows of a lost task are fetched again.
     """
     names = [c for c in columns if c != "url"]
-    chosen = links.select(*names, "url").withColumn("_host", host(F.col("url"))).repartition("_host").sortWithinPartitions("_host", *names)
+    # within a task hosts come mixed, so that many of them are under way
+    chosen = links.select(*names, "url").withColumn("_host", host(F.col("url"))).repartition("_host").sortWithinPartitions(F.xxhash64("url"), *names)
     kept = [f for f in chosen.schema.fields if f.name != "_host"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "status int, html string, encoding string, final_url string, tries int"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "status int, html string, encoding string, final_url string, tries int, waits int, wait_ms long"])
+    made = [("status", pa.int32()), ("html", pa.string()), ("encoding", pa.string()), ("final_url", pa.string()), ("tries", pa.int32()), ("waits", pa.int32()), ("wait_ms", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, float] = {}
-        for batch in batches:
-            for i, url in enumerate(batch.column("url").to_pylist()):
-                tries, status, text, name, final = 0, None, None, None, url
-                while tries < RETRIES:
-                    try:
-                        site = urlsplit(url or "").hostname or ""
-                    except ValueError:
-                        site = ""
-                    gap = min(interval_s, OWN_INTERVAL_S) if site in OWN else interval_s
-                    wait = last.get(site, 0) + gap - time.monotonic() if site in last else 0
-                    if wait > 0:
-                        sleep(wait)
-                    last[site] = time.monotonic()
-                    status, text, name, final = get(url or "", agent)
-                    tries += 1
-                    if status is not None and status not in AGAIN:
-                        break
-                    if tries < RETRIES:
-                        sleep(FIRST_DELAY_S * 2 ** (tries - 1))
-                own = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [*(own.column(own.schema.get_field_index(f.name)) for f in kept), pa.array([status], pa.int32()), pa.array([text], pa.string()), pa.array([name], pa.string()), pa.array([final], pa.string()), pa.array([tries], pa.int32())],
-                    [*(f.name for f in kept), "status", "html", "encoding", "final_url", "tries"],
-                )
+        limiter = Limiter(interval_s, concurrent, sleep=sleep)
+        jobs = ((batch.slice(i, 1), url) for batch in batches for i, url in enumerate(batch.column("url").to_pylist()))
+        for own, answer in at_once(lambda job: (job[0], tried(job[1], limiter, agent, sleep)), jobs):
+            yield pa.RecordBatch.from_arrays([*(own.column(own.schema.get_field_index(f.name)) for f in kept), *(pa.array([x], kind) for x, (_, kind) in zip(answer, made))], [*(f.name for f in kept), *(n for n, _ in made)])
 
     return chosen.mapInArrow(run, schema)
 
 
+def with_totals(fetched: DataFrame, name: str = "requests") -> tuple[DataFrame, Observation]:
+    """fetched, and its totals once it has been written: pages, requests, waits, wait_ms and failed. They are taken from the rows that came out, so a task that
+    ran twice counts once. Of a stream, each progress report has the totals of its batch, while the stream goes on."""
+    totals = Observation(name)
+    sums = [F.count(F.lit(1)).alias("pages"), F.sum("tries").alias("requests"), F.sum("waits").alias("waits"), F.sum("wait_ms").alias("wait_ms"), F.count_if(~F.coalesce(F.col("status").between(200, 299), F.lit(False))).alias("failed")]
+    return (fetched.observe(name, *sums), totals) if fetched.isStreaming else (fetched.observe(totals, *sums), totals)
+
+
 def chapters(links: DataFrame, load: Callable[[DataFrame], DataFrame], key: str = "page_id", most: int = PAGES, selector: str | None = None) -> DataFrame:
     """key, title, content, n_pages: each link's page and the pages that go on with it, joined. load: from (key, url) to these and html.
 
