@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillflow.functions import selectors
 from quillflow.functions.text import WS, char_count, collapse, trim
 from quillflow.functions.titles import NUMERAL
 from quillflow.functions.urls import absolute, host, valid_link
@@ -74,10 +76,13 @@ def toc_candidates(parsed: DataFrame, key: str = "page_id", most: int = 10, leas
     return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most)
 
 
-def toc_links(parsed: DataFrame, key: str = "page_id", url: str = "url", selector: str | None = None) -> DataFrame:
-    """key, index, title, url: the links of each page's best table of contents, or of the first element that the selector (#id, .class or tag) names, absolute, each where it stands first."""
+def toc_links(parsed: DataFrame, key: str = "page_id", url: str = "url", selector: str | None = None, link_selector: str | None = None) -> DataFrame:
+    """key, index, title, url: the links of each page's best table of contents, or of the first element that the selector names, absolute, each where it stands first.
+
+    link_selector: only links within that fit it. Selectors need pages parsed with their nodes.
+    """
     if selector:
-        chosen = F.try_element_at(F.filter("elements", lambda e: _fits(e, selector)), F.lit(1))
+        chosen = _named(parsed, selector)
         ranges = parsed.select(F.col(key).alias("_key"), chosen.alias("e")).select("_key", F.col("e.first_link").alias("_f"), F.col("e.n_links").alias("_n")).filter("_n > 0")
     else:
         best = toc_candidates(parsed, key, 1).select(F.col(key).alias("_key"), "first_link", "selector")
@@ -85,17 +90,21 @@ def toc_links(parsed: DataFrame, key: str = "page_id", url: str = "url", selecto
         ranges = best.join(spans, (F.col("_key") == F.col("_k")) & (F.col("selector") == F.col("_s")) & (F.col("first_link") == F.col("_f"))).groupBy("_key", "_f").agg(F.max("_n").alias("_n"))
     links = page_links(parsed, key, url)
     inside = links.join(ranges, (F.col(key) == F.col("_key")) & (F.col("n") >= F.col("_f")) & (F.col("n") < F.col("_f") + F.col("_n")))
+    if link_selector:
+        fitting = F.filter(selectors.selected("nodes", link_selector), lambda e: e["link"] >= 0)
+        wanted = parsed.select(F.col(key).alias("_k2"), F.explode(F.transform(fitting, lambda e: e["link"])).alias("_l"))
+        inside = inside.join(wanted, (F.col(key) == F.col("_k2")) & (F.col("n") == F.col("_l")), "left_semi")
     order = Window.partitionBy(key).orderBy("n")
     return inside.select(key, F.row_number().over(order).alias("index"), "title", F.col("link").alias("url"))
 
 
-def probe(parsed: DataFrame, key: str = "page_id", url: str = "url", selector: str | None = None, sample: int = 5, most: int = 8) -> DataFrame:
+def probe(parsed: DataFrame, key: str = "page_id", url: str = "url", selector: str | None = None, sample: int = 5, most: int = 8, link_selector: str | None = None) -> DataFrame:
     """What each page is worth as a table of contents: ok, reason (toc_selector_not_found or no_toc), title, author, site, selector, n_links, sample
     (the first links), candidates (the best groups of links), next_href and warnings (few_links below three)."""
     found = toc_candidates(parsed, key, most)
     listed = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "selector", "n_links", "score"))).alias("candidates"))
-    links = toc_links(parsed, key, url, selector).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "title", "url"))).alias("_links"))
-    there = F.exists("elements", lambda e: _fits(e, selector)) if selector else F.lit(True)
+    links = toc_links(parsed, key, url, selector, link_selector).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "title", "url"))).alias("_links"))
+    there = _named(parsed, selector).isNotNull() if selector else F.lit(True)
     rows = parsed.select(key, there.alias("_there"), next_page().alias("next_href")).join(listed, key, "left").join(links, key, "left").join(book_meta(parsed, key, url), key)
     n = F.coalesce(F.size("_links"), F.lit(0))
     n = F.when(n < 0, 0).otherwise(n)
@@ -125,8 +134,17 @@ def _fits(e: Column, selector: str) -> Column:
     return e["tag"] == selector
 
 
-def content_block(selector: str | None = None) -> Column:
-    """The element of a parsed page that holds its content: the one wished for, a usual one that is long enough, or the best scored."""
+def _named(parsed: DataFrame, selector: str) -> Column:
+    """The first element that a selector names: any selector where the pages were parsed with their nodes, else #id, .class or a tag among the elements that are kept."""
+    if "nodes" in parsed.columns:
+        return selectors.first("nodes", selector)
+    if not re.fullmatch(r"[#.]?[\w-]+", selector):
+        raise ValueError(f"pages must be parsed with nodes=True for {selector}")
+    return F.try_element_at(F.filter("elements", lambda e: _fits(e, selector)), F.lit(1))
+
+
+def content_block() -> Column:
+    """The element of a parsed page that holds its content: a usual one that is long enough, or the best scored."""
     first = lambda s, least: F.try_element_at(F.filter("elements", lambda e: _fits(e, s) & (e["n_chars"] >= least)), F.lit(1))
     usual = [first(s, LEAST_CONTENT) for s in CONTENT]
 
@@ -136,13 +154,22 @@ def content_block(selector: str | None = None) -> Column:
 
     ranked = F.array_sort(F.filter(F.transform("elements", lambda e, i: F.struct((-score(e)).alias("s"), i.alias("i"), e.alias("e"))), lambda x: x["s"].isNotNull()))
     best = F.try_element_at(F.transform(ranked, lambda x: x["e"]), F.lit(1))
-    return F.coalesce(*([first(selector, 1)] if selector else []), *usual, best)
+    return F.coalesce(*usual, best)
+
+
+def content_text(parsed: DataFrame, selector: str | None = None) -> Column:
+    """The text of the element that the selector names, if it has any; else that of the page's content."""
+    found = content_block()["text"]
+    if not selector:
+        return found
+    chosen = _named(parsed, selector)
+    own = F.substring("own_text", chosen["start"] + 1, chosen["size"]) if "nodes" in parsed.columns else chosen["text"]
+    return F.when(own.rlike("\\S"), own).otherwise(found)
 
 
 def extract(parsed: DataFrame, key: str = "page_id", selector: str | None = None) -> DataFrame:
     """key, title, content, n_removed, char_count, next_href: a page's text without navigation and advertising lines, and the page that goes on with it."""
-    block = content_block(selector)
-    lines = F.transform(F.split(F.coalesce(block["text"], F.lit("")), "\n"), lambda x: trim(F.regexp_replace(x, "[ \\t\\u00a0\\u3000]+", " ")))
+    lines = F.transform(F.split(F.coalesce(content_text(parsed, selector), F.lit("")), "\n"), lambda x: trim(F.regexp_replace(x, "[ \\t\\u00a0\\u3000]+", " ")))
     tested = F.transform(lines, lambda x: F.struct(x.alias("line"), F.when(x.rlike(NAVIGATION), "导航行").otherwise(ad_label(x)).alias("reason")))
     rows = parsed.withColumn("_t", tested)
     kept = F.array_join(F.transform(F.filter("_t", lambda x: x["reason"].isNull()), lambda x: x["line"]), "\n")

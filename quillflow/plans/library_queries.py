@@ -1,17 +1,16 @@
-"""Queries of the library's own rules over rows written out here or made of the tables, each with its SQL. What the rows are to give is stated by hand."""
+"""Queries of the library's own rules over rows made of the tables, each with its SQL. What a rule is to give for a sample is stated by hand."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillflow import schemas
-from quillflow.functions import dates, encoding, text
+from quillflow.functions import dates, encoding, selectors, text
 from quillflow.functions.html import parsed
 from quillflow.operators import chapters as ch
 from quillflow.operators import cleaning, fetching, importing, merge, pages, reading, schedule, search, shelf
 from quillflow.plans import entities as E
-from quillflow.plans.shelf_queries import NOW
 
 QUERIES, ORACLES = {}, {}
 
@@ -33,27 +32,42 @@ def values(rows: list[tuple], columns: str) -> str:
 
 # Text -------------------------------------------------------------------------------------------------------------------------------------------
 
+#: What stands in for {} in a sample: the first letters of the document's text, so that each row is made of the document that it belongs to.
+WORD_SQL = "coalesce(nullif(substr(regexp_extract(text, '[A-Za-z]+'), 1, 8), ''), 'x')"
+
+
+def _sampled(spark: SparkSession, sf_dir: str, samples: list[str]) -> DataFrame:
+    """doc_id, n and body: the documents in turn with each sample, filled in with their own first letters."""
+    d = E.table(spark, sf_dir, "documents")
+    word = F.coalesce(F.nullif(F.substring(F.regexp_extract("text", "[A-Za-z]+", 0), 1, 8), F.lit("")), F.lit("x"))
+    n = (F.col("doc_id") % len(samples)).cast("int")
+    return d.select("doc_id", n.alias("n"), word.alias("word"), F.replace(F.array(*map(F.lit, samples))[n], F.lit("{}"), word).alias("body"))
+
+
+def _expected(rows: list[tuple], columns: str, given: str) -> str:
+    """SQL: given (of s, the samples' columns) for each document, with w for its first letters."""
+    return f"select doc_id, {given} from (select doc_id, {WORD_SQL} as w from documents) d join (select * from {values([(n, *r) for n, r in enumerate(rows)], f'n, {columns}')}) s on d.doc_id % {len(rows)} = s.n"
+
+
 #: A line, and why it is taken out (null: it stays).
 AD_SAMPLES = [
-    ("https://example.com/book", "网址"), ("  www.example.net", "网址"), ("abc.xyz", "网址"), ("请记住本站", "站点推广语"), ("全文阅读请到这里", "站点推广语"), ("顶点小说网", "站点名称"), ("加群一二三", "加群/关注"),
-    ("QQ群：12345", "加群/关注"), ("跪求月票啊", "求票求赏"), ("求月票", "求票求赏"), ("（本章未完）", "翻页提示"), ("待续……", "翻页提示"), ("第 3 / 10 页", "页码"), ("3/10页", "页码"), ("点击下面的链接", "外链引导"), ("他走进门，什么也没有说。", None), ("", None), ("plain words", None),
+    ("https://example.com/{}", "网址"), ("  www.{}.net", "网址"), ("{}.xyz", "网址"), ("请记住本站{}", "站点推广语"), ("全文阅读请到{}这里", "站点推广语"), ("顶点小说网{}", "站点名称"), ("加群{}一二三", "加群/关注"),
+    ("QQ群：{}", "加群/关注"), ("跪求月票啊{}", "求票求赏"), ("{}求月票", "求票求赏"), ("（本章未完）", "翻页提示"), ("待续……", "翻页提示"), ("第 3 / 10 页", "页码"), ("3/10页", "页码"), ("点击{}下面的链接", "外链引导"), ("{}走进门，什么也没有说。", None), ("", None), ("plain words {}", None),
 ]
 
 
-@query(f"select cast(n as integer) as n, label from {values([(n, label) for n, (_, label) in enumerate(AD_SAMPLES)], 'n, label')}")
+@query(_expected([(label,) for _, label in AD_SAMPLES], "label", "label"))
 def ad_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each pattern of advertising lines on lines that it is for."""
-    df = spark.createDataFrame([(n, line) for n, (line, _) in enumerate(AD_SAMPLES)], "n int, line string")
-    return df.select("n", cleaning.ad_label(F.col("line")).alias("label"))
+    """Each pattern of advertising lines on lines that it is for, of each document's letters."""
+    return _sampled(spark, sf_dir, [line for line, _ in AD_SAMPLES]).select("doc_id", cleaning.ad_label(F.col("body")).alias("label"))
 
 
-MARK_SAMPLES = [("他说,好.", "他说，好。"), ("a,b", "a,b"), ("价格是3,是吗?", "价格是3，是吗？"), ("真的...", "真的……"), ("等等。。。", "等等……"), ("x...y", "x……y"), ("他: 我", "他： 我"), ("", "")]
+MARK_SAMPLES = [("{}他说,好.", "{}他说，好。"), ("{}a,b", "{}a,b"), ("{}价格是3,是吗?", "{}价格是3，是吗？"), ("真的...{}", "真的……{}"), ("等等。。。{}", "等等……{}"), ("{}x...y", "{}x……y"), ("他: 我{}", "他： 我{}"), ("{}", "{}")]
 
 
-@query(f"select cast(n as integer) as n, done from {values([(n, done) for n, (_, done) in enumerate(MARK_SAMPLES)], 'n, done')}")
+@query(_expected([(done,) for _, done in MARK_SAMPLES], "done", "replace(done, '{}', w) as done"))
 def unified_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(n, line) for n, (line, _) in enumerate(MARK_SAMPLES)], "n int, line string")
-    return df.select("n", cleaning.unify_punctuation(F.col("line")).alias("done"))
+    return _sampled(spark, sf_dir, [line for line, _ in MARK_SAMPLES]).select("doc_id", cleaning.unify_punctuation(F.col("body")).alias("done"))
 
 
 CHINESE = "他说这个时候我们的学生都在家里看书，因为外面下着大雨，没有人想出去。我们到了那里才知道，他已经走了。"
@@ -61,31 +75,32 @@ TRADITIONAL = "這個時候我們的學生都在家裡看書，因為外面下
 CODED = [("UTF-8", CHINESE, "utf-8"), ("UTF-8 BOM", CHINESE, "utf-8-sig"), ("GBK", CHINESE, "gbk"), ("BIG5", TRADITIONAL, "big5"), ("UTF-16LE", CHINESE, "utf-16-le"), ("UTF-16BE", CHINESE, "utf-16-be")]
 
 
-@query(f"select cast(n as integer) as n, encoding, confident, text from {values([(n, name, True, body) for n, (name, body, _) in enumerate(CODED)], 'n, encoding, confident, text')}")
+@query(_expected([(name, body) for name, body, _ in CODED], "encoding, body", "encoding, true as confident, body || w as text"))
 def encoding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prose in each encoding, found and read."""
-    df = spark.createDataFrame([(n, bytearray(body.encode(codec))) for n, (_, body, codec) in enumerate(CODED)], "n int, data binary")
-    found = df.withColumn("d", encoding.detect(F.col("data")))
-    return found.select("n", "d.encoding", "d.confident", encoding.decode(F.col("data"), F.col("d.encoding")).alias("text"))
+    """Each document's letters behind prose in each encoding, found and read."""
+    rows = _sampled(spark, sf_dir, [""] * len(CODED))
+    coded = F.array(*[F.lit(bytes(body.encode(codec))) for _, body, codec in CODED])[F.col("n")]
+    own = F.when(F.col("n") == 4, F.encode("word", "UTF-16LE")).when(F.col("n") == 5, F.encode("word", "UTF-16BE")).otherwise(F.encode("word", "UTF-8"))
+    found = rows.withColumn("data", F.concat(coded, own)).withColumn("d", encoding.detect(F.col("data")))
+    return found.select("doc_id", "d.encoding", "d.confident", encoding.decode(F.col("data"), F.col("d.encoding")).alias("text"))
 
 
 GARBLED = [(CHINESE.encode().decode("latin-1"), CHINESE, "latin1→utf8", True), (CHINESE, CHINESE, "", False), (CHINESE.encode("gbk").decode("latin-1"), CHINESE, "latin1→gbk", True), ("plain", "plain", "", False)]
 
 
-@query(f"select cast(n as integer) as n, text, chain, applied from {values([(n, body, chain, applied) for n, (_, body, chain, applied) in enumerate(GARBLED)], 'n, text, chain, applied')}")
+@query(_expected([(body, chain, applied) for _, body, chain, applied in GARBLED], "body, chain, applied", "body || w as text, chain, applied"))
 def recover_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prose that was read wrongly, read back."""
-    df = spark.createDataFrame([(n, body) for n, (body, *_) in enumerate(GARBLED)], "n int, text string")
-    return df.select("n", encoding.recover(F.col("text")).alias("r")).select("n", "r.text", "r.chain", "r.applied")
+    """Prose that was read wrongly, with each document's letters behind it, read back."""
+    return _sampled(spark, sf_dir, [f"{body}{{}}" for body, *_ in GARBLED]).select("doc_id", encoding.recover(F.col("body")).alias("r")).select("doc_id", "r.text", "r.chain", "r.applied")
 
 
-GUESSED = [("锟斤拷锟斤拷", "UTF-8,GBK"), ("éèêë".encode().decode("latin-1"), "UTF-8"), ("plain � text", "GB18030"), ("plain", "UTF-8,GBK"), (CHINESE, "GBK")]
+GUESSED = [("锟斤拷锟斤拷锟斤拷锟斤拷", "UTF-8,GBK"), ("éèêë".encode().decode("latin-1"), "UTF-8"), ("plain � text", "GB18030"), ("plain", "UTF-8,GBK"), (CHINESE, "GBK")]
 
 
-@query(f"select cast(n as integer) as n, names from {values([(n, names) for n, (_, names) in enumerate(GUESSED)], 'n, names')}")
+@query(_expected([(names,) for _, names in GUESSED], "names", "names"))
 def guessed_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(n, body) for n, (body, _) in enumerate(GUESSED)], "n int, text string")
-    return df.select("n", F.array_join(encoding.candidates(encoding.detect(F.lit(None).cast("binary")), F.col("text")), ",").alias("names"))
+    rows = _sampled(spark, sf_dir, [f"{body}{{}}" for body, _ in GUESSED])
+    return rows.select("doc_id", F.array_join(encoding.candidates(encoding.detect(F.lit(None).cast("binary")), F.col("body")), ",").alias("names"))
 
 
 @query("select doc_id, case when strlen(text) = 0 or length(substr(text, 1, 2048)) < 8 then null when len(regexp_extract_all(substr(text, 1, 2048), '[\\x00-\\x{ff}]')) / length(substr(text, 1, 2048)) > 0.3 then 'UTF-16LE' end as parity from documents")
@@ -102,17 +117,18 @@ def shown_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULE_TEXTS = {
-    "default": ("前言\n第一章 风起\n正文一\nChapter 2\n正文二", ["前言", "第一章 风起", "Chapter 2"]), "chapter-only": ("第一章 风起\n正文\n第二节 云\n第二章\n正文", ["第一章 风起", "第二章"]),
-    "with-number": ("开头\n1. 风起\n正文\n2、云涌\n正文", ["卷首", "1. 风起", "2、云涌"]), "markdown": ("# 风起\n正文\n## 云涌\n正文", ["# 风起", "## 云涌"]),
+    "default": ("前言\n第一章 风起{}\n正文一\nChapter 2\n正文二", ["前言", "第一章 风起{}", "Chapter 2"]), "chapter-only": ("第一章 {}风起\n正文\n第二节 云\n第二章\n正文", ["第一章 {}风起", "第二章"]),
+    "with-number": ("开头\n1. 风起{}\n正文\n2、云涌\n正文", ["卷首", "1. 风起{}", "2、云涌"]), "markdown": ("# {}风起\n正文\n## 云涌\n正文", ["# {}风起", "## 云涌"]),
 }
 
 
-@query(f"""select rule, cast(i as integer) as "index", title from {values([(rule, i + 1, title) for rule, (_, titles) in RULE_TEXTS.items() for i, title in enumerate(titles)], 'rule, i, title')}""")
+@query(f"""select doc_id, rule, cast(i as integer) as "index", replace(title, '{{}}', w) as title from (select doc_id, {WORD_SQL} as w from documents) d
+  join (select * from {values([(n, rule, i + 1, title) for n, (rule, (_, titles)) in enumerate(RULE_TEXTS.items()) for i, title in enumerate(titles)], 'n, rule, i, title')}) s on d.doc_id % {len(RULE_TEXTS)} = s.n""")
 def heading_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each built-in rule on a text that it is for."""
-    out = None
-    for rule, (body, _) in RULE_TEXTS.items():
-        got = importing.chapterize(spark.createDataFrame([(rule, body)], "rule string, text string"), rule).select("rule", "index", "title")
+    """Each built-in rule on texts that it is for, of each document's letters."""
+    rows, out = _sampled(spark, sf_dir, [body for body, _ in RULE_TEXTS.values()]), None
+    for n, rule in enumerate(RULE_TEXTS):
+        got = importing.chapterize(rows.filter(F.col("n") == n).select("doc_id", F.lit(rule).alias("rule"), F.col("body").alias("text")), rule).select("doc_id", "rule", "index", "title")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -222,8 +238,10 @@ def bookmarks_of_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shelf_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first books of the shelf, numbered as they come."""
     none = E.positions(spark, sf_dir).limit(0)
+    # a page of the shelf is 200 books at most, so one window over them is bounded
     first = shelf.ordered(shelf.decorate(E.books(spark, sf_dir), none)).limit(200)
-    return spark.createDataFrame([(r.book_id, n) for n, r in enumerate(first.select("book_id").collect(), 1)], "book_id string, place int")
+    order = Window.orderBy(F.coalesce("last_read_at", "updatedAt").desc(), "book_id")
+    return first.select("book_id", F.row_number().over(order).alias("place"))
 
 
 @query("select event_id as id, event_type as type from events where event_id % 3 <> 0")
@@ -259,7 +277,7 @@ def task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetching.commanded(tasks, commands)
 
 
-@query("""with recursive r as (select 'h' || (event_id % 3) as host, epoch_us(ts) // 10000000000 as at_ms, event_id as request_id, event_id * 997 % 9000 as duration from events where event_id < 400),
+@query("""with recursive r as (select 'h' || user_id as host, epoch_us(ts) // 100000000 as at_ms, event_id as request_id, event_id * 997 % 9000 as duration from events),
   m as (select *, row_number() over (partition by host order by at_ms, request_id) as k from r),
   walk as (select *, at_ms as start_ms, [at_ms + duration] as ends from m where k = 1 union all
     select m.*, greatest(m.at_ms, w.start_ms + 3000, case when len(w.ends) >= 2 then list_min(w.ends) else 0 end) as s,
@@ -268,8 +286,8 @@ def task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
   select host, request_id, start_ms, start_ms - at_ms as wait_ms from walk""")
 def scheduled_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that take up to 9 seconds: three seconds apart, and two of a host at once."""
-    e = E.table(spark, sf_dir, "events").filter("event_id < 400")
-    r = e.select(F.concat(F.lit("h"), (F.col("event_id") % 3).cast("string")).alias("host"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 10_000_000_000).cast("long").alias("at_ms"), F.col("event_id").alias("request_id"), (F.col("event_id") * 997 % 9000).alias("duration_ms"))
+    e = E.table(spark, sf_dir, "events")
+    r = e.select(F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("host"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 100_000_000).cast("long").alias("at_ms"), F.col("event_id").alias("request_id"), (F.col("event_id") * 997 % 9000).alias("duration_ms"))
     return fetching.scheduled(r).select("host", "request_id", "start_ms", "wait_ms")
 
 
@@ -301,48 +319,61 @@ def chapters_that_begin_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Pages ------------------------------------------------------------------------------------------------------------------------------------------
 
 
-def _toc(n: int, extra: str = "") -> str:
-    items = "".join(f"<li><a href='/b/{i}.html'>第{i}章 标题{i}</a></li>" for i in range(1, n + 1))
-    return f"<html><head><title>书名{n}_作者甲_某站</title></head><body><div id='nav'><a href='/'>首页</a></div><ul id='list' class='toc'>{items}</ul>{extra}</body></html>"
-
-
-TOC_PAGES = [(1, "http://a.example/b/", _toc(5)), (2, "http://a.example/c/", _toc(30, "<a href='/c/2'>下一页</a>")), (3, "http://a.example/d/", _toc(2)), (4, "http://a.example/e/", "<html><head><title>空</title></head><body><p>没有目录</p></body></html>")]
-TOC_EXPECTED = [(p, i, f"第{i}章 标题{i}", f"http://a.example/b/{i}.html") for p, n in ((1, 5), (2, 30)) for i in range(1, n + 1)]
+#: A page of the table as a table of contents of page_id % 30 + 1 chapters; every seventh page has none.
+TOC_SQL = "toc as (select page_id, page_id % 30 + 1 as n, 'http://h' || page_id || '.example/b/' as base, page_id % 7 = 0 as bare from pages)"
 
 
-def _toc_pages(spark: SparkSession) -> DataFrame:
-    return parsed(spark.createDataFrame(TOC_PAGES, "page_id long, url string, html string"), "page_id", "url")
+def _toc_pages(spark: SparkSession, sf_dir: str, nodes: bool = False) -> DataFrame:
+    p, i = E.table(spark, sf_dir, "pages"), F.col("page_id")
+    item = lambda k: F.concat(F.lit("<li><a href='/b/"), k.cast("string"), F.lit(".html'>第"), k.cast("string"), F.lit("章 标题"), k.cast("string"), F.lit("</a></li>"))
+    items = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), i % 30 + 1), item), "")
+    body = F.when(i % 7 == 0, F.lit("<p>没有目录</p>")).otherwise(F.concat(F.lit("<div id='nav'><a href='/'>首页</a></div><ul id='list' class='toc'>"), items, F.lit("</ul><a href='/c/2'>下一页</a>")))
+    html = F.concat(F.lit("<html><head><title>书名"), i.cast("string"), F.lit("_作者甲_某站</title></head><body>"), body, F.lit("</body></html>"))
+    return parsed(p.select("page_id", F.concat(F.lit("http://h"), i.cast("string"), F.lit(".example/b/")).alias("url"), html.alias("html")), "page_id", "url", nodes=nodes)
 
 
-@query(f"""select cast(page_id as bigint) as page_id, cast(i as integer) as "index", title, url from {values(TOC_EXPECTED, 'page_id, i, title, url')}""")
+@query(f"""with {TOC_SQL} select page_id, cast(i as integer) as "index", '第' || i || '章 标题' || i as title, base || i || '.html' as url from (select *, unnest(range(1, n + 1)) as i from toc where not bare and n >= 3)""")
 def toc_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with tables of contents of chapter titles."""
-    return pages.toc_links(_toc_pages(spark))
+    return pages.toc_links(_toc_pages(spark, sf_dir))
 
 
-@query("""select cast(page_id as bigint) as page_id, round(2 * n + 20 + 0.5 * least(n, 6) + 2 + 0.3 * 3, 6)::double as score from (values (1, 5), (2, 30)) t(page_id, n)""")
+@query(f"""with {TOC_SQL} select page_id, round(2 * n + 20 + 0.5 * least(n, 6) + 2 + 0.3 * 3, 6)::double as score from toc where not bare and n >= 3""")
 def toc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list whose links all look like chapters: two for each, twenty for their share, half a point for each of up to six, two for short titles, and its depth."""
-    best = pages.toc_candidates(_toc_pages(spark), most=1)
+    best = pages.toc_candidates(_toc_pages(spark, sf_dir), most=1)
     return best.filter("selector like '%list%' or selector like '%toc%'").select("page_id", "score")
 
 
-PROBED = [(1, True, None, "书名5", 5, ""), (2, True, None, "书名30", 30, ""), (3, True, None, "书名2", 2, "few_links"), (4, False, "toc_selector_not_found", "空", 0, "")]
-
-
-@query(f"select cast(page_id as bigint) as page_id, ok, reason, title, cast(n_links as integer) as n_links, warnings from {values(PROBED, 'page_id, ok, reason, title, n_links, warnings')}")
+@query(f"""with {TOC_SQL} select page_id, not bare as ok, case when bare then 'toc_selector_not_found' end as reason, '书名' || page_id as title, cast(case when bare then 0 else n end as integer) as n_links,
+  case when not bare and n < 3 then 'few_links' else '' end as warnings from toc""")
 def toc_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What pages are worth by a selector of one's own."""
-    return pages.probe(_toc_pages(spark), selector="#list").select("page_id", "ok", "reason", "title", "n_links", F.array_join("warnings", ",").alias("warnings"))
+    return pages.probe(_toc_pages(spark, sf_dir, nodes=True), selector="body > ul#list.toc", link_selector="li > a[href^='/b/']").select("page_id", "ok", "reason", "title", "n_links", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(r"""select page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>.*?</nav>'), '<li><a href')) as nav_links, regexp_extract(html, '<a href="([^"]*)"', 1) as first_href,
+  len(regexp_extract_all(html, '<div class="ad">')) as ads, length(regexp_extract(html, '(?s)<div class="ad">([^<]*)</div>', 1)) as ad_chars, html like '%<article><h1>%' as headed from pages""")
+def page_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What selectors find in pages: links of the navigation, the first of them, advertising blocks, and a heading that begins an article."""
+    p = parsed(E.table(spark, sf_dir, "pages"), "page_id", nodes=True)
+    found = lambda s: F.size(selectors.selected("nodes", s)).cast("long")
+    ad = selectors.first("nodes", "nav ~ div.ad")
+    return p.select(
+        "page_id", found("body > nav ul > li > a[href]").alias("nav_links"), selectors.first("nodes", "nav li:first-child a")["attrs"]["href"].alias("first_href"), found("div[class~=ad]").alias("ads"),
+        F.length(F.regexp_replace(F.substring("own_text", ad["start"] + 1, ad["size"]), "\n$", "")).cast("long").alias("ad_chars"), selectors.first("nodes", "article > h1:nth-child(1)").isNotNull().alias("headed"),
+    )
 
 
-PAGED = [("下一页", "/x", "/x"), (" 下页 ", "/y", "/y"), ("下一章", "/z", None), ("next", "/n", "/n"), ("›", "/a", "/a"), ("目录", "/m", None)]
+PAGED = [("下一页", True), (" 下页 ", True), ("下一章", False), ("next", True), ("›", True), ("目录", False)]
 
 
-@query(f"select cast(n as bigint) as page_id, href from {values([(n, href) for n, (_, _, href) in enumerate(PAGED)], 'n, href')}")
+@query(f"select page_id, case when follows then '/p' || page_id end as href from pages join (select * from {values([(n, follows) for n, (_, follows) in enumerate(PAGED)], 'n, follows')}) s on page_id % {len(PAGED)} = n")
 def next_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, "http://a.example/", f"<html><body><a href='{href}'>{title}</a></body></html>") for n, (title, href, _) in enumerate(PAGED)]
-    return parsed(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url").select("page_id", pages.next_page().alias("href"))
+    i = F.col("page_id")
+    title = F.array(*[F.lit(t) for t, _ in PAGED])[(i % len(PAGED)).cast("int")]
+    html = F.concat(F.lit("<html><body><a href='/p"), i.cast("string"), F.lit("'>"), title, F.lit("</a></body></html>"))
+    return parsed(E.table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")), "page_id", "url").select("page_id", pages.next_page().alias("href"))
 
 
 @query(f"""with {E.CHAPTERS_SQL} select book_id, idx as "index", case when length(content) > 60 then substr(content, 1, 60) else content end as beginning from chapters where idx <= 3""")
@@ -362,7 +393,7 @@ def unfinished_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.unfinished(E.chapters(spark, sf_dir)).select("book_id", "index")
 
 
-@query(f"select timestamp '{NOW}' as at, '2024-01-17' as day")
+@query("select max(ts) as at, strftime(max(ts), '%Y-%m-%d') as day from events")
 def now_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.lit(NOW).cast("timestamp_ntz")
-    return spark.range(1).select(at.alias("at"), dates.day(at).alias("day"))
+    """The time up to which there is activity, and its day."""
+    return E.table(spark, sf_dir, "events").agg(F.max("ts").alias("at")).select("at", dates.day(F.col("at")).alias("day"))

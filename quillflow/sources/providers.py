@@ -27,8 +27,12 @@ from quillflow.sources import web
 from quillflow.sources.limits import Limiter, at_once
 
 
+def _parsed(pages: DataFrame, key: str, selectors: dict[str, str | None]) -> DataFrame:
+    return parsed(pages, key, "url", nodes=any(selectors.values()))
+
+
 class Provider(ABC):
-    """What a source of books has to do. Pages are rows of key, url and html."""
+    """What a source of books has to do. Pages are rows of key, url and html; selectors of one's own are toc, link and content."""
 
     name: str
     label: str
@@ -50,7 +54,7 @@ class Provider(ABC):
 
     def preview(self, pages: DataFrame, key: str = "page_id", count: int = 3, **selectors: str | None) -> DataFrame:
         """key, index, url, title, content of the first chapters of each table of contents."""
-        links = P.toc_links(parsed(pages, key, "url"), key, selector=selectors.get("toc")).filter(F.col("index") <= count)
+        links = P.toc_links(_parsed(pages, key, selectors), key, selector=selectors.get("toc"), link_selector=selectors.get("link")).filter(F.col("index") <= count)
         got = self.load(links.select(F.concat_ws(":", F.col(key).cast("string"), "index").alias("_id"), key, "index", "url"), "_id", key, "index", "url")
         texts = self.extract(got, "_id", **selectors)
         return got.select("_id", key, "index", "url").join(texts.select("_id", "title", "content"), "_id").drop("_id")
@@ -65,10 +69,10 @@ class GenericWeb(Provider):
         return F.coalesce(F.lower(url).rlike("^https?://[^/]"), F.lit(False))
 
     def probe(self, pages: DataFrame, key: str = "page_id", **selectors: str | None) -> DataFrame:
-        return P.probe(parsed(pages, key, "url"), key, selector=selectors.get("toc"))
+        return P.probe(_parsed(pages, key, selectors), key, selector=selectors.get("toc"), link_selector=selectors.get("link"))
 
     def extract(self, pages: DataFrame, key: str = "page_id", **selectors: str | None) -> DataFrame:
-        return P.extract(parsed(pages, key, "url"), key, selectors.get("content"))
+        return P.extract(_parsed(pages, key, selectors), key, selectors.get("content"))
 
 
 PROVIDERS: list[Provider] = [GenericWeb()]

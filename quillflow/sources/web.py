@@ -111,7 +111,7 @@ def chapters(links: DataFrame, load: Callable[[DataFrame], DataFrame], key: str
     todo, parts = links.select(key, "url"), None
     for n in range(most):
         # a round's pages are used for their text and for what comes next, and must not be fetched twice
-        got = P.extract(parsed(load(todo), key, "url"), key, selector)
+        got = P.extract(parsed(load(todo), key, "url", nodes=bool(selector)), key, selector)
         round_ = settled(got.join(todo, key).withColumn("_n", F.lit(n)), "web-round")
         parts = round_ if parts is None else parts.unionByName(round_)
         onward = absolute(F.col("url"), F.col("next_href"))
