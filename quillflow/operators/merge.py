@@ -114,11 +114,11 @@ def create(base: DataFrame, new: DataFrame, on_exists: str = "return") -> DataFr
     return patch(base, new.select("book_id", *patch_columns)).unionByName(fresh.select(*base.columns))
 
 
-def patch(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """base with the values of changes (book_id and some of its columns) where they are not null."""
-    named = changes.select("book_id", *[F.col(c).alias(f"_new_{c}") for c in changes.columns if c != "book_id"])
-    joined = base.join(named, "book_id", "left")
-    return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in changes.columns and c != "book_id" else F.col(c) for c in base.columns])
+def patch(base: DataFrame, changes: DataFrame, key: str = "book_id") -> DataFrame:
+    """base with the values of changes (the key and some of its columns) where they are not null."""
+    named = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in changes.columns if c != key])
+    joined = base.join(named, key, "left")
+    return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in changes.columns and c != key else F.col(c) for c in base.columns])
 
 
 def remove(books: DataFrame, gone: DataFrame, at=None) -> tuple[DataFrame, DataFrame]:
