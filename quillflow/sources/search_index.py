@@ -19,9 +19,11 @@ BITS = 8192
 
 def pair_places(text: Column) -> Column:
     """The places in the bitmap of a text's pairs of neighbouring characters, in lower case; each once, in order."""
-    low = F.lower(text)
-    pairs = F.when(F.length(low) > 1, F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.pmod(F.xxhash64(F.substring(low, i, F.lit(2))), F.lit(BITS)).cast("int")))
-    return F.array_sort(F.array_distinct(F.coalesce(pairs, F.array().cast("array<int>"))))
+    # a text is taken apart once: its places are counted in bytes, so that cutting at each would go over it each time
+    chars = F.split(F.lower(text), "")
+    pairs = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.pmod(F.xxhash64(F.concat(a, b)), F.lit(BITS)).cast("int"))
+    # the last character stands alone
+    return F.array_sort(F.array_distinct(F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0)))))
 
 
 class KeptIndex:

@@ -33,12 +33,13 @@ class Conflict(RuntimeError):
 
 @dataclass
 class Manifest:
-    """A version: bucket to folder (below the table's), the table's schema, and when it was made."""
+    """A version: bucket to folder (below the table's), the table's schema, when it was made, and the last batch of each stream that is in it."""
 
     version: int = 0
     buckets: dict[int, str] = field(default_factory=dict)
     schema: dict | None = None
     at: float = 0.0
+    batches: dict[str, int] = field(default_factory=dict)
 
 
 class Files:
@@ -117,7 +118,7 @@ class BucketTable:
         if not version:
             return Manifest()
         found = json.loads(self.files.read(f"manifests/{version:012d}.json"))
-        return Manifest(version, {int(b): p for b, p in found["buckets"].items()}, found["schema"], found["at"])
+        return Manifest(version, {int(b): p for b, p in found["buckets"].items()}, found["schema"], found["at"], found.get("batches", {}))
 
     def bucket(self, key: str | Column | None = None) -> Column:
         return F.pmod(F.xxhash64(key or self.key), F.lit(self.n)).cast("int")
@@ -135,11 +136,16 @@ class BucketTable:
 
     # Changing
 
-    def change(self, touched: list[int], new: Callable[[DataFrame | None, int], DataFrame], tries: int = TRIES) -> int:
-        """Commits new(rows of the touched buckets, or None before the first version; the version that will be) in their place. The new version."""
+    def change(self, touched: list[int], new: Callable[[DataFrame | None, int], DataFrame], tries: int = TRIES, batch: tuple[str, int] | None = None) -> int:
+        """Commits new(rows of the touched buckets, or None before the first version; the version that will be) in their place. The new version.
+
+        batch: a stream's name and the number of its batch that the change is; one that the table has already changes nothing, so that a batch that is sent again counts once.
+        """
         base, folder, schema = None, "", None
         for _ in range(tries):
             now = self.manifest()
+            if batch and now.batches.get(batch[0], -1) >= batch[1]:
+                return now.version
             if base is None or any(now.buckets.get(b) != base.buckets.get(b) for b in touched) or now.version and base.schema is None:
                 base, folder = now, f"data/{uuid.uuid4().hex}"
                 rows = new(self._rows(now, touched) if now.schema else None, now.version + 1)
@@ -149,7 +155,7 @@ class BucketTable:
             buckets = {b: p for b, p in now.buckets.items() if b not in touched} | {b: f"{folder}/_bucket={b}" for b in sorted(made)}
             if not made <= set(touched):
                 raise ValueError("a change made rows of buckets that it did not touch")
-            text = json.dumps({"buckets": buckets, "schema": schema, "at": time.time()})
+            text = json.dumps({"buckets": buckets, "schema": schema, "at": time.time(), "batches": now.batches | (dict([batch]) if batch else {})})
             if self.files.create_once(f"manifests/{now.version + 1:012d}.json", text):
                 return now.version + 1
         raise Conflict(f"{tries} tries were too late")

@@ -5,10 +5,10 @@ import os
 import pytest
 
 import __spark_entry__
-from quillflow.plans import library_queries, shelf_queries, stream_queries, text_queries
+from quillflow.plans import library_queries, shelf_queries, stream_queries, table_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
-MODULES = (shelf_queries, text_queries, library_queries, stream_queries)
+MODULES = (shelf_queries, text_queries, library_queries, stream_queries, table_queries)
 QUERIES, ORACLES = ({k: v for m in MODULES for k, v in getattr(m, part).items()} for part in ("QUERIES", "ORACLES"))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
