@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,29 +77,78 @@ class BadBackup(ValueError):
     """A zip file without the manifest of a backup."""
 
 
+#: Bytes of an entry that a row can hold.
+LARGEST_ENTRY = (1 << 31) - (1 << 20)
+
+
+def _zip(path: str) -> tuple[zipfile.ZipFile, pa.NativeFile]:
+    """A zip opened for seeking: its directory is read, its entries are not."""
+    where, name = arrow_fs.FileSystem.from_uri(path)
+    stream = where.open_input_file(name)
+    if stream.size() < 22:  # what an empty zip has
+        stream.close()
+        raise zipfile.BadZipFile("too short for a zip")
+    return zipfile.ZipFile(stream), stream
+
+
+def backup_entries(spark: SparkSession, paths: str) -> DataFrame:
+    """backup, entry, offset, bytes (inflated), path (below the backup's root), problem: the directory of each zip, read from its end. One that is no backup is a row with its problem."""
+    names = ["backup", "entry", "offset", "bytes", "path", "problem"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def listed(source: str) -> list[tuple]:
+        try:
+            z, stream = _zip(source)
+            with stream, z:
+                inside = [i for i in z.infolist() if not i.is_dir()]
+                manifest = next((i.filename for i in inside if i.filename.rsplit("/", 1)[-1] == "manifest.json"), None)
+                if manifest is None:
+                    raise BadBackup("no manifest.json")
+                root = manifest[: -len("manifest.json")]
+                return [(source, i.filename, i.header_offset, i.file_size, i.filename.removeprefix(root), "too large" if i.file_size > LARGEST_ENTRY else None) for i in inside]
+        except (zipfile.BadZipFile, BadBackup) as why:
+            return [(source, None, None, None, None, str(why))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source in batch.column("path").to_pylist():
+                rows = listed(source)
+                for at in range(0, len(rows), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[at : at + 4096]), kinds)], names)
+
+    files = spark.read.format("binaryFile").load(paths).select("path")
+    return files.mapInArrow(run, "backup string, entry string, offset long, bytes long, path string, problem string")
+
+
 def read_backups(spark: SparkSession, paths: str) -> DataFrame:
-    """backup, path, content, problem: the files in each zip; a zip that is no backup is one row with its problem. A zip is one task's work."""
+    """backup, path, content, problem: the files in each zip; a zip that is no backup is one row with its problem.
+
+    Entries are dealt in ranges of their places, so that many tasks read one zip, each from where its range begins; a task holds one entry. An entry whose bytes are damaged has
+    its problem and no content.
+    """
+    names, kinds = ["backup", "path", "content", "problem"], [pa.string(), pa.string(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["backup", "path", "content", "problem"]
-        kinds = [pa.string(), pa.string(), pa.binary(), pa.string()]
+        source, z, stream = None, None, None
         for batch in batches:
-            for source, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
-                        inside = [i for i in z.infolist() if not i.is_dir()]
-                        manifest = next((i.filename for i in inside if i.filename.rsplit("/", 1)[-1] == "manifest.json"), None)
-                        if manifest is None:
-                            raise BadBackup("no manifest.json")
-                        root = manifest[: -len("manifest.json")]
-                        for i in inside:
-                            row = [source, i.filename.removeprefix(root), z.read(i), None]
-                            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
-                except (zipfile.BadZipFile, BadBackup) as why:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([source, None, None, str(why)], kinds)], names)
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(run, "backup string, path string, content binary, problem string")
+            for row in batch.to_pylist():
+                content, problem = None, row["problem"]
+                if problem is None:
+                    if row["backup"] != source:
+                        if stream:
+                            stream.close()
+                        source = row["backup"]
+                        z, stream = _zip(source)
+                    try:
+                        content = z.read(row["entry"])
+                    except (zipfile.BadZipFile, zlib.error, EOFError) as why:
+                        problem = str(why)
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((row["backup"], row["path"], content, problem), kinds)], names)
+        if stream:
+            stream.close()
+
+    entries = backup_entries(spark, paths).repartitionByRange("backup", "offset").sortWithinPartitions("backup", "offset")
+    return entries.mapInArrow(run, "backup string, path string, content binary, problem string")
 
 
 def write_version(df: DataFrame, root: str, name: str, keep_partitions: tuple[str, ...] = ()) -> str:

@@ -40,6 +40,28 @@ def test_library_files(spark, tmp_path):
     assert progress["b1"].updated_at == dt.datetime(2024, 1, 2, 3, 4, 5) and progress["b2"].chapter_index == 1
 
 
+def test_backups_in_ranges(spark, tmp_path):
+    """One large zip is many tasks' work, a damaged entry is told apart, and what is no zip is a row."""
+    body = {f"data/books/b{i}/chapters/{i}.txt": f"chapter {i} " * (i % 50 + 1) for i in range(3000)}
+    with zipfile.ZipFile(tmp_path / "large.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("manifest.json", "{}")
+        z.writestr("data/", "")
+        for name, text in body.items():
+            z.writestr(name, text)
+        at = z.getinfo("data/books/b7/chapters/7.txt").header_offset
+    raw = bytearray((tmp_path / "large.zip").read_bytes())
+    raw[at + 30 + len("data/books/b7/chapters/7.txt") + 2] ^= 0xFF
+    (tmp_path / "large.zip").write_bytes(raw)
+    (tmp_path / "broken.zip").write_bytes(b"PK\x05")
+    assert library.backup_entries(spark, f"{tmp_path}/large.zip").count() == 3001
+    rows = library.read_backups(spark, f"{tmp_path}/*.zip")
+    got = {r.path: r for r in rows.filter("backup like '%large%'").collect()}
+    assert got["data/books/b7/chapters/7.txt"].content is None and got["data/books/b7/chapters/7.txt"].problem
+    assert {k: r.content.decode() for k, r in got.items() if k in body and r.content is not None} == {k: v for k, v in body.items() if "/b7/" not in k}
+    assert [r.path for r in rows.filter("backup like '%broken%'").collect()] == [None]
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_backups(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "good.zip", "w") as z:
         z.writestr("backup/manifest.json", "{}")
