@@ -120,10 +120,10 @@ def backup_entries(spark: SparkSession, paths: str) -> DataFrame:
     return files.mapInArrow(run, "backup string, entry string, offset long, bytes long, path string, problem string")
 
 
-def read_backups(spark: SparkSession, paths: str) -> DataFrame:
+def read_backups(spark: SparkSession, paths: str, range_bytes: int = 1 << 26) -> DataFrame:
     """backup, path, content, problem: the files in each zip; a zip that is no backup is one row with its problem.
 
-    Entries are dealt in ranges of their places, so that many tasks read one zip, each from where its range begins; a task holds one entry. An entry whose bytes are damaged has
+    Entries are dealt in ranges of their places, of some range_bytes each, so that many tasks read one zip, each from where its range begins; a task holds one entry. An entry whose bytes are damaged has
     its problem and no content.
     """
     names, kinds = ["backup", "path", "content", "problem"], [pa.string(), pa.string(), pa.binary(), pa.string()]
@@ -147,7 +147,11 @@ def read_backups(spark: SparkSession, paths: str) -> DataFrame:
         if stream:
             stream.close()
 
-    entries = backup_entries(spark, paths).repartitionByRange("backup", "offset").sortWithinPartitions("backup", "offset")
+    entries = backup_entries(spark, paths)
+    # by the entries' bytes, which are not in their rows
+    total, n = entries.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    ranges = max(1, min(n, -(-total // range_bytes)))
+    entries = entries.repartitionByRange(ranges, "backup", "offset").sortWithinPartitions("backup", "offset")
     return entries.mapInArrow(run, "backup string, path string, content binary, problem string")
 
 

@@ -54,7 +54,7 @@ def test_backups_in_ranges(spark, tmp_path):
     (tmp_path / "large.zip").write_bytes(raw)
     (tmp_path / "broken.zip").write_bytes(b"PK\x05")
     assert library.backup_entries(spark, f"{tmp_path}/large.zip").count() == 3001
-    rows = library.read_backups(spark, f"{tmp_path}/*.zip")
+    rows = library.read_backups(spark, f"{tmp_path}/*.zip", 100_000)
     got = {r.path: r for r in rows.filter("backup like '%large%'").collect()}
     assert got["data/books/b7/chapters/7.txt"].content is None and got["data/books/b7/chapters/7.txt"].problem
     assert {k: r.content.decode() for k, r in got.items() if k in body and r.content is not None} == {k: v for k, v in body.items() if "/b7/" not in k}
