@@ -76,7 +76,7 @@ def _drawn(shares: DataFrame, slots: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 512) -> tuple[DataFrame, DataFrame]:
     """The documents' measures, and the schedule.
 
-    docs: doc_id, text, source. First result, one row a document: doc_id, source, size, source_size, target, source_no, start (its first
+    docs: doc_id, text, source. First result, one row a document: doc_id, source, size, source_size, target, source_no, key (of its text and id), start (its first
     word in its source's stream). Second, one row for each piece of a document in a block that a slot takes: slot, source_no, doc_id, start,
     round (0, 1, ...: how often the stream was taken before), from_word (of the document), n_words. Slots in order are the mix.
     A source gets floor(target) words exactly; where the points give it some slots too few, they follow at the end, and slots too many take nothing.
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     bits = max(RANGE_BITS, min(20, measured.count().bit_length() // 2))
     placed = placed.withColumn("range", F.shiftrightunsigned("key", 64 - bits))
     placed = _running(placed, "source_no", "range", ["key", "doc_id"], F.col("size"), "start")
-    placed = stage(placed.select("doc_id", "source", "size", "source_size", "target", "source_no", "quota", "start"), "mix-streams")
+    placed = stage(placed.select("doc_id", "source", "size", "source_size", "target", "source_no", "quota", "key", "start"), "mix-streams")
 
     drawn = _drawn(_shares(sources, slots), spark.range(slots).select(F.col("id").alias("slot")))
     drawn = drawn.select("slot", "source_no", "need", F.expr(f"slot div {max(SLOT_RANGE, math.isqrt(slots))}").alias("range"))
@@ -125,11 +125,15 @@ def taken(docs: DataFrame, **how: object) -> DataFrame:
 
 def repeat_mixed(docs: DataFrame, **how: object) -> DataFrame:
     """docs, each row as often as the mix takes it to the nearest whole (half up): 0, 1 or 2 times. Rows of no words stay once; columns stay as they are."""
-    # documents that repeat an id share what their id takes; those of none are one id, whose number of copies is a constant and no join's key
-    own, took, size, copy = (unused(docs, n) for n in ("_own_id", "_taken", "_size", "_copy"))
-    counts = stage(taken(docs, **how).groupBy(F.col("doc_id").alias(own)).agg(F.sum("taken").alias(took), F.sum("size").alias(size)), "mix-counts")
-    times = F.when(F.coalesce(F.col(size), F.lit(0)) == 0, 1).otherwise(F.floor(F.col(took) / F.col(size) + 0.5).cast("int"))
-    none = counts.filter(F.col(own).isNull()).select(times.alias("n")).first()
-    named = docs.filter("doc_id is not null").join(counts, F.col("doc_id") == F.col(own), "left").select(*[docs[c] for c in docs.columns], times.alias(copy))
-    rows = named.unionByName(docs.filter("doc_id is null").withColumn(copy, F.lit(none.n if none else 1)))
+    # a row is known by its source and the hash of its id and text, as where it stands in its source's stream follows from them; rows that are equal in these share what they take
+    own, took, size, copy, of = (unused(docs, n) for n in ("_own_key", "_taken", "_size", "_copy", "_source_of"))
+    measured, mixed = mix(docs, **how)
+    words = mixed.groupBy("source_no", "doc_id", "start").agg(F.sum("n_words").alias("words"))
+    named = words.select(F.col("source_no").alias("_no"), F.col("start").alias("_at"), F.col("doc_id").alias("_id"), "words")
+    # of one start in a source only one row has words, so rows of no words meet none
+    met = measured.filter("size > 0").join(named, (F.col("source_no") == F.col("_no")) & (F.col("start") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    counts = stage(met.groupBy(F.col("key").alias(own), F.col("source").alias(of)).agg(F.coalesce(F.sum("words"), F.lit(0)).alias(took), F.sum("size").alias(size)), "mix-counts")
+    times = F.when(F.col(size).isNull(), 1).otherwise(F.floor(F.col(took) / F.col(size) + 0.5).cast("int"))
+    same = (F.xxhash64("doc_id", "text") == F.col(own)) & F.col("source").eqNullSafe(F.col(of)) & (word_count("text") > 0)
+    rows = docs.join(counts, same, "left").select(*[docs[c] for c in docs.columns], times.alias(copy))
     return rows.withColumn(copy, F.explode(F.when(F.col(copy) > 0, F.sequence(F.lit(1), F.col(copy))))).select(*docs.columns)

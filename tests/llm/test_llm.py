@@ -154,6 +154,25 @@ def test_repeat_mixed_keeps_columns(docs):
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_repeat_mixed_counts_rows_not_ids(spark):
+    """Rows of no id in three sources, an id that two sources have, and an id of an empty and a full text: each row comes as often as its own text is taken."""
+    rng = random.Random(3)
+    rows = [(None, prose(rng, 60), s) for s in "abc" for _ in range(40)] + [(i, prose(rng, 60), s) for s in "abc" for i in range(20)] + [(7, None, "a"), (8, "", "b"), (9, " \n", None), (None, None, "c"), (5, prose(rng, 60), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    taken = collections.Counter()
+    measured, mixed = mixing.mix(df, block=16)
+    key = {(r.source_no, r.start): r.key for r in measured.filter("size > 0").collect()}
+    for r in mixed.collect():
+        taken[key[r.source_no, r.start]] += r.n_words
+    hashed = df.select("*", F.xxhash64("doc_id", "text").alias("key")).collect()
+    want = collections.Counter()
+    for r in hashed:
+        n = len((r.text or "").split())
+        want[r.doc_id, r.text, r.source] += int(taken[r.key] / n + 0.5) if n else 1
+    got = collections.Counter((r.doc_id, r.text, r.source) for r in mixing.repeat_mixed(df, block=16).collect())
+    assert got == +want and got[7, None, "a"] == 1 and got[None, None, "c"] == 1 and len({n for (i, _, s), n in got.items() if i is None}) > 1
+
+
 # 2 Sharding ---------------------------------------------------------------------------------------------------------------------------------
 
 
