@@ -85,12 +85,29 @@ def detect_one(data: bytes | None, familiar: str = FREQUENT) -> tuple:
     return (scored[0][1], sure, sure >= SURE, candidates)
 
 
+def _certain(data: Column) -> Column:
+    """What detect gives for bytes that need no guess, in the JVM: none, those with a mark, and valid UTF-8. Null for others."""
+
+    def found(name: str, sure: float, candidates: bool = True) -> Column:
+        one = F.struct(F.lit(name).alias("encoding"), F.lit(100.0).alias("score"), F.lit(sure).alias("confidence"), F.lit(0.0).alias("bad_ratio"), F.lit(0.0).alias("familiar_ratio"))
+        listed = F.array(one) if candidates else F.array().cast("array<struct<encoding: string, score: double, confidence: double, bad_ratio: double, familiar_ratio: double>>")
+        return F.struct(F.lit(name).alias("encoding"), F.lit(sure).alias("confidence"), F.lit(sure >= SURE).alias("confident"), listed.alias("candidates"))
+
+    out = F.when(data.isNull() | (F.octet_length(data) == 0), found("UTF-8", 0.0, False))
+    for mark, name in BOMS:
+        out = out.when(F.startswith(data, F.lit(mark)), found(name, 0.99))
+    return out.when(F.is_valid_utf8(data.cast("string")), found("UTF-8", 0.98))
+
+
 def detect(data: Column, familiar: str = FREQUENT) -> Column:
+    """detect_one of each row's bytes; only bytes that need a guess leave the JVM."""
+
     @F.pandas_udf(DETECTED)
     def run(batch: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([detect_one(bytes(x) if x is not None else None, familiar) for x in batch], columns=["encoding", "confidence", "confident", "candidates"])
 
-    return run(data)
+    certain = _certain(data)
+    return F.coalesce(certain, run(F.when(certain.isNull(), data)))
 
 
 def decode(data: Column, encoding: Column) -> Column:

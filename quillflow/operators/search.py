@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quillflow.functions.text import collapse, positions, snippet
 
 MOST_POSITIONS, SNIPPETS, PAD = 200, 3, 34
-#: Characters by which a short query is met.
-SEED = 2
+#: Characters by which a short query is met where there are many of them, and how many may be looked for in each text in turn.
+SEED, FEW = 2, 256
 
 
 class SearchError(ValueError):
@@ -82,8 +82,9 @@ def search_many(texts: DataFrame, queries: DataFrame) -> DataFrame:
     """Which of many queries (query_id, q) each text (text_id, text; ids differ) contains, with the number of times. An empty query is in no text.
 
     A query's longest inner word is a whole word wherever the query occurs, so texts meet such queries on their different words. A query of one or two
-    words may begin or end within a word; it is met on its first characters, SEED of them or what it has, of which texts list their different ones. Only
-    keys and ids take part in this join; whole texts are met by the pairs that it finds, and verified. A frequent word joins as a skewed key.
+    words may begin or end within a word: FEW of these are looked for in each text as it goes by; where there are more, they are met on their first
+    characters, SEED of them or what they have, of which texts list their different ones. Only keys and ids take part in these joins; whole texts are met by the
+    pairs that they find, and verified. A frequent word joins as a skewed key.
     """
     asked = queries.select("query_id", collapse(F.lower("q")).alias("_q")).filter("_q <> ''")
     words = F.split("_q", " ")
@@ -92,13 +93,19 @@ def search_many(texts: DataFrame, queries: DataFrame) -> DataFrame:
     by_word = asked.filter(F.size(words) >= 3).withColumn("_key", longest)
     by_start = asked.filter(F.size(words) < 3).withColumn("_key", F.left("_q", F.lit(SEED)))
     bodies = texts.select("text_id", collapse(F.lower("text")).alias("_body"))
+    times = (F.length("_body") - F.length(F.replace(F.col("_body"), F.col("_q"), F.lit("")))) / F.length("_q")
+    counted = lambda pairs: pairs.select("text_id", "query_id", times.cast("int").alias("n_hits"))
+    few = by_start.select("query_id", "_q").limit(FEW + 1).collect()
     met = bodies.select("text_id", F.explode(F.array_distinct(F.split("_body", " "))).alias("_key")).join(by_word, "_key")
+    if 0 < len(few) <= FEW:
+        kind = by_start.schema["query_id"].dataType
+        listed = F.array(*[F.struct(F.lit(r.query_id).cast(kind).alias("query_id"), F.lit(r._q).alias("_q")) for r in few])
+        found = bodies.withColumn("_x", F.explode(F.filter(listed, lambda x: F.contains("_body", x["_q"])))).select("text_id", "_body", "_x.*")
+        return counted(found).unionByName(counted(met.select("text_id", "query_id", "_q").join(bodies, "text_id").filter(F.contains("_body", "_q"))))
     for n in sorted(r.n for r in by_start.select(F.length("_key").alias("n")).distinct().collect()):  # SEED numbers at most
         parts = bodies.filter(F.length("_body") >= n).select("text_id", F.explode(_starts("_body", n)).alias("_key"))
         met = met.unionByName(parts.join(by_start.filter(F.length("_key") == n), "_key"))
-    pairs = met.select("text_id", "query_id", "_q").join(bodies, "text_id").filter(F.contains("_body", "_q"))
-    times = (F.length("_body") - F.length(F.replace(F.col("_body"), F.col("_q"), F.lit("")))) / F.length("_q")
-    return pairs.select("text_id", "query_id", times.cast("int").alias("n_hits"))
+    return counted(met.select("text_id", "query_id", "_q").join(bodies, "text_id").filter(F.contains("_body", "_q")))
 
 
 def highlighted(s: Column, size: int) -> Column:

@@ -181,6 +181,49 @@ def normalized_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.normalize_chapter(raw).select("book_id", "index", "title", "char_count", "content_hash", "origin")
 
 
+@query(f"""select 'm' || event_id as id, cast(user_id as varchar) as book_id, cast(greatest(coalesce({WHOLE}, 1), 1) as integer) as chapter_index, cast(greatest(coalesce({WHOLE}, 0), 0) as integer) as char_offset,
+  cast(least(greatest(coalesce(value / 100, 0), 0), 1) as double) as chapter_ratio, case when event_id % 4 = 0 then '' else event_type end as selected_text, ts as created_at from events""")
+def normalized_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks whose numbers, names and times were written in many ways."""
+    i, stamp = F.col("event_id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    raw = E.table(spark, sf_dir, "events").select(
+        F.concat(F.lit(" m"), i.cast("string"), F.lit(" ")).alias("id"), F.col("user_id").cast("string").alias("book_id"), _dirty(i).alias("chapter_index"), _dirty(i).alias("char_offset"), (F.col("value") / 100).cast("string").alias("chapter_ratio"),
+        F.when(i % 4 != 0, F.col("event_type")).alias("selected_text"), stamp.alias("created_at"),
+    )
+    return schemas.normalize_mark(raw).select("id", "book_id", "chapter_index", "char_offset", "chapter_ratio", "selected_text", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
+@query("""select cast(user_id as varchar) as book_id, ts as started_at, cast(case event_id % 6 when 0 then 7 when 4 then 2 when 5 then 12 else 0 end as bigint) as duration_ms, case when event_id % 3 = 0 then '2020-02-02' else strftime(ts, '%Y-%m-%d') end as day from events""")
+def normalized_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    raw = E.table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("book_id"), F.col("ts").cast("timestamp").cast("string").alias("started_at"), _dirty(i).alias("duration_ms"), F.when(i % 3 == 0, " 2020-02-02 ").when(i % 3 == 1, "").alias("day")
+    )
+    return schemas.normalize_session(raw).select("book_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "duration_ms", "day")
+
+
+@query(f"""select cast(user_id as varchar) as book_id, cast(greatest(coalesce({WHOLE}, 1), 1) as integer) as chapter_index, cast(greatest(coalesce({WHOLE}, 0), 0) as integer) as char_offset, coalesce(case when event_id % 2 = 0 then event_type end, '') as chapter_title, ts as at from events""")
+def normalized_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    raw = E.table(spark, sf_dir, "events").select(
+        F.concat(F.col("user_id").cast("string"), F.lit("  ")).alias("book_id"), _dirty(i).alias("chapter_index"), _dirty(i).alias("char_offset"), F.when(i % 2 == 0, F.col("event_type")).alias("chapter_title"), F.col("ts").cast("timestamp").cast("string").alias("at")
+    )
+    return schemas.normalize_history(raw).select("book_id", "chapter_index", "char_offset", "chapter_title", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+@query("select event_id, case when event_id % 5 = 0 then 0 else epoch_us(ts) // 1000 end as ms from events")
+def times_in_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as numbers; no time is 0."""
+    return E.table(spark, sf_dir, "events").select("event_id", dates.millis(F.when(F.col("event_id") % 5 != 0, F.col("ts"))).alias("ms"))
+
+
+@query("""select page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;')) as escaped from pages""")
+def escaped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as text within a page, their byte order marks (every other one has one) left out."""
+    marked = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("\ufeff"), "html")).otherwise(F.col("html"))
+    return E.table(spark, sf_dir, "pages").select("page_id", F.md5(text.escape_html(text.strip_bom(marked))).alias("escaped"))
+
+
 # Library ----------------------------------------------------------------------------------------------------------------------------------------
 
 BASE = "book_id, title, author, total_chapters"

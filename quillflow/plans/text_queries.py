@@ -245,10 +245,13 @@ def content_hash_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
 
 
-@query(f"""select doc_id, cast(line_no as integer) as line_no from (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) - 1 as line_no from (select doc_id, string_split(text, chr(10)) as lines from documents))
-  where regexp_matches(regexp_replace(line, '^{WS}+|{WS}+$', '', 'g'), '(?i)^(?:https?://|www\\.|[a-z0-9-]+\\.(?:com|net|cn|org|cc|info|xyz)(?:/|\\s|$))')""")
+@query(f"""select doc_id, cast(line_no as integer) as line_no from (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) - 1 as line_no from (select doc_id, string_split(text || case when doc_id % 5 = 0 then chr(10) || ' www.site' || doc_id || '.example/book' when doc_id % 5 = 1 then chr(10) || '记住本书' else '' end, chr(10)) as lines from documents))
+  where line = '记住本书' or regexp_matches(regexp_replace(line, '^{WS}+|{WS}+$', '', 'g'), '(?i)^(?:https?://|www\\.|[a-z0-9-]+\\.(?:com|net|cn|org|cc|info|xyz)(?:/|\\s|$))')""")
 def ad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = E.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """Advertising lines of documents, two in five of which have had one put behind them."""
+    i = F.col("doc_id")
+    ad = F.when(i % 5 == 0, F.concat(F.lit("\n www.site"), i.cast("string"), F.lit(".example/book"))).when(i % 5 == 1, "\n记住本书").otherwise("")
+    lines = E.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.concat("text", ad), "\n")).alias("line_no", "line"))
     return lines.filter(cleaning.ad_label(F.col("line")).isNotNull()).select("doc_id", "line_no")
 
 
@@ -260,7 +263,9 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.sha1("cleaned").alias("cleaned_sha"), "n_changed")
 
 
-@query()
+@query(r"""with c as (select doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\.{3,}', '……', 'g'), '。{2,}', '……', 'g'), '…{3,}', '……', 'g') as done,
+  replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) as was from documents)
+  select doc_id, cast(done <> was as integer) as n_marks, sha1(done) as cleaned_sha from c""")
 def punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = cleaning.clean(E.table(spark, sf_dir, "documents"), punctuation=True)
     return done.select("doc_id", "n_marks", F.sha1("cleaned").alias("cleaned_sha"))
@@ -423,6 +428,14 @@ def storage_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.usage(_files(spark, sf_dir)).select("section", "owner", "n_files", "bytes")
 
 
+@query(f"with {FILES_SQL}, b as (select split_part(path, '/', 2) as book_id, sum(bytes) as bytes, count(*) as n from files group by 1) select book_id, cast(bytes as bigint) as bytes, cast(row_number() over (order by bytes desc, book_id) as integer) as by_bytes, cast(row_number() over (order by n desc, book_id) as integer) as by_chapters from b")
+def storage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books' places by size and by number of chapters. There are as many rows as sources, which one task numbers."""
+    b = _files(spark, sf_dir).groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("book_id")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("total_chapters")).withColumn("title", F.col("book_id"))
+    place = lambda by, name: storage.listed(b, by).withColumn("_n", F.monotonically_increasing_id()).select("book_id", F.row_number().over(Window.orderBy("_n")).alias(name))
+    return b.select("book_id", "bytes").join(place("bytes", "by_bytes"), "book_id").join(place("chapters", "by_chapters"), "book_id")
+
+
 @query(f"with {FILES_SQL} select 'library-backup' as format, 1 as version, count(*) as n_files, cast(sum(bytes) as bigint) as bytes from files where not (path like '.trash/%' or path like '.staging/%' or path like 'index/%' or path like '%.bak')")
 def backup_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.backup_manifest(_files(spark, sf_dir))
