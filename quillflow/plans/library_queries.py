@@ -75,16 +75,33 @@ TRADITIONAL = "這個時候我們的學生都在家裡看書，因為外面下
 CODED = [("UTF-8", CHINESE, "utf-8"), ("UTF-8 BOM", CHINESE, "utf-8-sig"), ("GBK", CHINESE, "gbk"), ("BIG5", TRADITIONAL, "big5"), ("UTF-16LE", CHINESE, "utf-16-le"), ("UTF-16BE", CHINESE, "utf-16-be")]
 
 
-@query(_expected([(name, body) for name, body, _ in CODED], "encoding, body", "encoding, true as confident, body || w as text"))
-def encoding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's letters behind prose in each encoding, found and read."""
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and data: prose in each encoding in turn, and the document's letters in the same one."""
     rows = _sampled(spark, sf_dir, [""] * len(CODED))
     coded = F.array(*[F.lit(bytes(body.encode(codec))) for _, body, codec in CODED])[F.col("n")]
     own = F.when(F.col("n") == 4, F.encode("word", "UTF-16LE")).when(F.col("n") == 5, F.encode("word", "UTF-16BE")).otherwise(F.encode("word", "UTF-8"))
-    found = rows.withColumn("data", F.concat(coded, own)).withColumn("d", encoding.detect(F.col("data")))
+    return rows.select("doc_id", F.concat(coded, own).alias("data"))
+
+
+@query(_expected([(name, body) for name, body, _ in CODED], "encoding, body", "encoding, true as confident, body || w as text"))
+def encoding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's letters behind prose in each encoding, found and read."""
+    found = _coded(spark, sf_dir).withColumn("d", encoding.detect(F.col("data")))
     return found.select("doc_id", "d.encoding", "d.confident", encoding.decode(F.col("data"), F.col("d.encoding")).alias("text"))
 
 
+@query(_expected([(None if name.startswith("UTF-16") else name.removesuffix(" BOM"),) for name, *_ in CODED], "encoding", "encoding"))
+def encoding_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the bytes alone say of each document's letters behind prose in each encoding."""
+    return _coded(spark, sf_dir).select("doc_id", encoding.voted(F.col("data"))["encoding"].alias("encoding"))
+
+
+@query(r"""with c as (select unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{c0}-\x{ff}]')) as char from documents) select char, count(*) as n from c group by char order by n desc, encode(char) limit 60""")
+def familiar_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest letters of all documents, as a table of familiar characters is learned."""
+    return encoding.familiar_of(E.table(spark, sf_dir, "documents"), most=60, kind="[A-Za-z\\u00c0-\\u00ff]")
+
+
 GARBLED = [(CHINESE.encode().decode("latin-1"), CHINESE, "latin1→utf8", True), (CHINESE, CHINESE, "", False), (CHINESE.encode("gbk").decode("latin-1"), CHINESE, "latin1→gbk", True), ("plain", "plain", "", False)]
 
 

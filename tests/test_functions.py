@@ -146,3 +146,28 @@ def test_migrations(spark):
         schemas.migrate(df, 4, steps, 3)
     with pytest.raises(schemas.MigrationError):
         schemas.migrate(df, 0, steps, 3)
+
+
+def test_second_opinion():
+    body = "山间的风很凉，他握紧了手里的剑。这里有一段中文，用来测试编码识别能不能正常工作。"
+    old = "第一章　山間的風很涼，他握緊了手裡的劍，這裡用繁體字考驗 BIG5。"
+    assert encoding.vote(body.encode("gbk"))[0] == "GBK" and encoding.vote(body.encode("gbk"))[1] > 0.9
+    assert encoding.vote(old.encode("big5"))[0] == "BIG5" and encoding.vote(old.encode("big5"))[1] > 0.7
+    assert encoding.vote(body.encode()) == ("UTF-8", 1.0)
+    # a text of UTF-8 with a broken character in it is no valid UTF-8, and still put together like it
+    cut = (body * 5).encode()[:-1]
+    assert encoding.vote(cut)[0] == "UTF-8" and encoding.detect_one(cut)[0] == "UTF-8"
+    noise = bytes((i * 37) % 251 for i in range(512))
+    assert all(encoding.vote(x) is None for x in (noise, b"", None, b"plain", "é".encode("latin-1")))
+    # short texts of the import tests: found, and surely
+    name, sure, confident, _ = encoding.detect_one(body.encode("gbk"))
+    assert (name, confident) == ("GBK", True) and sure >= 0.75
+    assert encoding.detect_one(old.encode("big5"))[0] == "BIG5" and encoding.detect_one(noise)[2] is False
+    assert encoding.detect_one(body.encode("utf-16-le"))[0] == "UTF-16LE"
+
+
+def test_familiar_characters_are_learned(spark):
+    df = spark.createDataFrame([("的的的一一 a",), ("一的是",), (None,), ("",)], "text string")
+    assert [(r.char, r.n) for r in encoding.familiar_of(df, most=2).collect()] == [("的", 4), ("一", 3)]
+    learned = "".join(r.char for r in encoding.familiar_of(df).collect())
+    assert encoding.score("的一是", learned).familiar == 1.0 and encoding.score("山水", learned).familiar == 0.0
