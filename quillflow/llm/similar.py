@@ -20,6 +20,7 @@ component id is the least doc_id of the component, null ids left out (null if th
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -41,6 +42,15 @@ SEED = 6
 PRINT = [f"f{i}" for i in range(BITS // 64)]
 
 
+def _eased(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """pieces of batches; at their end the memory that this worker has freed goes back to the system, as workers live on from task to task."""
+    yield from pieces(batches, rows)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _projection() -> np.ndarray:
     return np.random.default_rng(SEED).choice(np.array([-1, 1], np.float32), (COORDINATES, BITS))
 
@@ -101,7 +111,7 @@ def _described(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projection = _projection()
-        for batch in pieces(batches):
+        for batch in _eased(batches):
             ids = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "at")]
             for t in texts(_lowered(batch)):
                 row, got = shingles(t, words)
@@ -128,7 +138,7 @@ def _keyed(chosen: list[np.ndarray]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(masks.shape[1])
-        for batch in pieces(batches, 4096):
+        for batch in _eased(batches, 4096):
             fp = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in PRINT], axis=1)
             bits = np.unpackbits(fp.view(np.uint8), axis=1)
             key = np.stack([bits[:, k] @ weights for k in masks], axis=1) + (np.arange(n) << masks.shape[1])
@@ -198,7 +208,7 @@ def _close(most: int, group: int):
 
 def _sets(words: int, other: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in _eased(batches):
             for t in texts(_lowered(batch)):
                 row, got = shingles(t, words)
                 at = np.searchsorted(row, np.arange(t.rows + 1)).astype(np.int32)
@@ -349,7 +359,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     name = unused(docs, "_class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in _eased(batches):
             own = [classes_of(*shingles(t, words), t.rows, other)[0] for t in texts(_lowered(batch))]
             yield batch.append_column(name, pa.array((np.concatenate(own) if own else np.zeros(0, np.uint64)).view(np.int64)))
 
