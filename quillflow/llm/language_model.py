@@ -2,24 +2,26 @@
 
 Words are lower-cased; every word counts, there is no vocabulary. An n-gram is known by a 64-bit hash of its words. Counts of all n-grams of `order`
 words and of their contexts, one word shorter, cover all documents, are aggregated in each task and then by key, and are joined, by the key's
-hash, to the n-grams that a document explodes into. The logarithms add up, so n-grams and contexts are rows of one kind: a document's score is the sum of
-log10 of its n-grams' counts less that of their contexts' counts, by its number of words.
+hash, to the n-grams that a document explodes into. A document's score is the sum of its words' log10 scores by its number of words.
 
-A corpus that is scored by its own counts (`score` without a corpus) has each of its n-grams, so no score backs off there; and what occurs once has a logarithm
-of 0, so its row need not be joined at all. A bitmap of fixed size, with a bit for each key that occurs again, keeps most of these rows out of the
-shuffle; where it is full, more rows go on, and results are the same. The most frequent keys, at most `frequent`, are summed where they
-are exploded, so they are no hot keys of the join.
+A corpus that is scored by its own counts (`score` without a corpus) leaves each text out of the counts that it is scored by: an n-gram that no other text
+has is scored one word shorter, times `backoff`, and so on; a word that no other text has counts as if it had been there once. Whether an n-gram backs off is then
+told by its key alone (has a second text got it?), so at order 2 one join with the pairs of several texts settles it, and words' counts are those of contexts.
+A bitmap of fixed size, with a bit for each key that the tables know, keeps most of the n-grams that surely back off out of the shuffle; where it is full,
+more rows go on, and results are the same. The most frequent pairs and words, at most `frequent` each, are summed where they are exploded, so they are no hot
+keys of the join; other words follow in a second join, by key, once their pair is known to back off or not.
 
-Documents of which the counts know nothing are scored with `corpus`: an n-gram that it lacks is scored one word shorter, times `backoff`, and so on; at last a
-word that it lacks counts as if it had been there once.
+Documents of which the counts know nothing are scored with `corpus`, backing off in the same way. Other orders than 2 and a given corpus
+take a join for each length.
 
-Defined results: one row for each doc_id, in which rows that repeat the id are taken together (a null id too); before a text's first word stands a start,
-counted once for each text with a word; a null or empty text has no words and a null score; an empty table gives no rows, an empty corpus a null score.
+Defined results: one row for each doc_id, in which rows that repeat the id are taken together (a null id too), each text left out of the counts for itself alone;
+before a text's first word stands a start, counted once for each text with a word; a null or empty text has no words and a null score; a text beside which there are
+no words has them all at one of one; an empty table gives no rows, an empty corpus a null score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ FINE = 16
 #: The bitmap has 2**BITMAP bits (16 MB); it comes to the driver in 2**PART parts.
 BITMAP, PART = 27, 8
 #: The last two bits of a key say what a row is.
-NGRAM, CONTEXT, SUM, WORDS = range(4)
+NGRAM, CONTEXT, SUM = range(3)
 START = np.uint64(0x5BD1E995)
 
 
@@ -70,46 +72,59 @@ class Sequences:
         return total
 
 
-def _exploded(t: Texts, order: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of each n-gram and each context; also of the context that a text ends with, if last."""
+def _exploded(t: Texts, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of each n-gram and each context, that with which a text ends too."""
     s = Sequences(t, order - 1)
     words = s.place >= order - 1
     keys, rows = [_marked(s.ending(order)[words], NGRAM)], [s.row[words]]
     if order > 1:
         context = s.place >= order - 2
-        if not last:
-            context[s.first + s.counts + order - 2] = False
         keys.append(_marked(s.ending(order - 1)[context], CONTEXT))
         rows.append(s.row[context])
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _summed(keys: list[np.ndarray]) -> pa.RecordBatch:
-    key, n = np.unique(np.concatenate(keys), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+def _in_row(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A name for each row's own use of a key."""
+    return mix(key + mix(row.astype(np.uint64) + np.uint64(1)))
 
 
-def _counted(make: Callable) -> Callable:
-    """Batches to (key, n), pre-aggregated over some texts; make: from a slice to its keys."""
+def _own(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each place, how often its row has its key."""
+    _, at, n = np.unique(_in_row(row, key), return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, np.concatenate(n), len(key)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(total), pa.array(np.bincount(at, minlength=len(key)))], ["key", "n", "texts"])
+
+
+def _counted(order: int):
+    """Texts to (key, n, texts), pre-aggregated over some of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in pieces(batches):
             for t in texts(_lowered(batch)):
-                held.append(make(t))
-                size += len(held[-1])
+                row, key = _exploded(t, order)
+                _, first, n = np.unique(_in_row(row, key), return_index=True, return_counts=True)
+                held.append((key[first], n))
+                size += len(first)
                 if size >= GATHER:
-                    yield _summed(held)
+                    yield _summed(*zip(*held))
                     held, size = [], 0
         if size:
-            yield _summed(held)
+            yield _summed(*zip(*held))
 
     return run
 
 
 def counts(docs: DataFrame, order: int) -> DataFrame:
-    """key and c: how often each n-gram of order words, and each context, occurs in docs (text)."""
-    return docs.select("text").mapInArrow(_counted(lambda t: _exploded(t, order, True)[1]), "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+    """key, c and texts: how often each n-gram of order words, and each context, occurs in docs (text), and in how many texts."""
+    found = docs.select("text").mapInArrow(_counted(order), "key long, n long, texts long")
+    return found.groupBy("key").agg(F.sum("n").alias("c"), F.sum("texts").alias("texts"))
 
 
 def _frequent(table: DataFrame, size: int) -> DataFrame:
@@ -143,88 +158,156 @@ def _bitmap(table: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _doc_rows(ids: pa.Array, t: Texts, kind: int, value: np.ndarray) -> list:
-    keys = _marked(mix(np.arange(t.rows, dtype=np.uint64) + np.uint64(t.at[-1]) * np.uint64(0x9E3779B9)), kind)
-    return [ids.slice(t.first, t.rows), keys, value]
+class _Known:
+    """Counts of some keys, to be looked up by arrays of keys."""
+
+    def __init__(self, table: DataFrame):
+        rows = table.select("key", "c").toPandas().sort_values("key")
+        self.keys, self.c = rows["key"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' counts, 0 where not known."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        keys = keys.view(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.c[at], 0)
+
+
+#: What a text explodes into. A pair (NGRAM): n times; `value` for each time if it backs off, and, if not null, the words whose counts its score still needs then (word)
+#: or else (context), with the text's own number of them. A word (CONTEXT): n times its logarithm, less own_word. SUM: value, n words, own_word of them backed off.
+ROW = "doc_id long, key long, n long, value double, word long, own_word long, context long, own_context long"
+
+
+def _pairs(t: Texts, words: _Known, pairs: _Known, seen, total: int, backoff: float) -> Iterator[tuple]:
+    """Columns of ROW, of which the first is the row in t, of a slice's texts; None for nulls."""
+    s = Sequences(t, 1)
+    single = _marked(s.ending(1), CONTEXT)
+    own = _own(s.row, single)
+    at = np.flatnonzero(s.place >= 1)
+    _, first, n = np.unique(_in_row(s.row[at], s.ending(2)[at]), return_index=True, return_counts=True)
+    at = at[first]
+    row, pair = s.row[at], _marked(s.ending(2)[at], NGRAM)
+    size = np.diff(t.word_at)
+    back = np.log10(backoff) - np.log10(np.maximum(1, total - size))[row]
+    # logarithms of words, nan where only the table knows them; a word without a bit is there once, in this text
+    c = words.of(single)
+    log = np.where(c > 0, np.log10(np.maximum(1, c - own)), np.where(seen(single), np.nan, 0.0))
+    word, context = log[at], log[at - 1]
+    often = pairs.of(pair)
+    sure = ~seen(pair)
+    sent = ~sure & (often == 0)
+    kept = sent & ~np.isnan(word) & ~np.isnan(context)
+    value = np.select([sure, sent & ~kept, sent], [back + np.nan_to_num(word), 0.0, -context], np.log10(np.maximum(1, often - n)) - np.nan_to_num(context))
+    yield np.arange(t.rows), _marked(mix(np.arange(t.rows, dtype=np.uint64) + np.uint64(t.at[-1]) * np.uint64(0x9E3779B9)), SUM), size, np.bincount(row, n * value, t.rows), None, np.bincount(row[sure], n[sure], t.rows).astype(np.int64), None, None
+    # pairs that the table decides: if they back off, what has been added for them is taken back
+    yield row[kept], pair[kept], n[kept], (back + word + context)[kept], None, None, None, None
+    open_ = sent & ~kept
+    yield row[open_], pair[open_], n[open_], back[open_], single[at[open_]], own[at[open_]], single[at[open_] - 1], own[at[open_] - 1]
+    # words of which the pair is decided, but not the count
+    plus, minus = sure & np.isnan(word), ~sure & (often > 0) & np.isnan(context)
+    place, times = np.concatenate([at[plus], at[minus] - 1]), np.concatenate([n[plus], -n[minus]])
+    _, first, of = np.unique(_in_row(s.row[place], single[place]), return_index=True, return_inverse=True)
+    place, times = place[first], np.bincount(of, times, len(first)).astype(np.int64)
+    yield s.row[place], single[place], times, None, None, own[place], None, None
+
+
+def score_by_own(docs: DataFrame, backoff: float, frequent: int) -> DataFrame:
+    """doc_id, n_words, n_backed_off and log, the sum of the words' log10 scores of order 2, by the counts of docs' other texts."""
+    kind = F.col("key").bitwiseAND(3)
+    counted = stage(counts(docs, 2).filter((kind == CONTEXT) | (F.col("texts") > 1)).select("key", "c"), "lm-counts")
+    total = counted.filter((kind == CONTEXT) & (F.col("key") != int(_marked(mix(np.array([START + np.uint64(1)])), CONTEXT).view(np.int64)[0]))).agg(F.sum("c")).first()[0] or 0
+    table = counted.filter("c > 1")
+    sent = docs.sparkSession.sparkContext.broadcast((*(_Known(_frequent(table.filter(kind == k), frequent)) for k in (CONTEXT, NGRAM)), _bitmap(table)))
 
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs, bits = sent.value
 
-def score_by_own(docs: DataFrame, order: int, frequent: int) -> DataFrame:
-    """doc_id, n_words and log, the sum of the words' log10 scores, by the counts of docs themselves."""
-    sign = F.when(F.col("key").bitwiseAND(3) == CONTEXT, -1.0).otherwise(1.0)
-    table = stage(counts(docs, order).filter("c > 1").withColumn("log", sign * F.log10("c")), "lm-counts")
-    top = _frequent(table, frequent).select("key", "log").toPandas().sort_values("key")  # frequent rows at most
-    sent = docs.sparkSession.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["log"].to_numpy(np.float64), _bitmap(table)))
+        def seen(key: np.ndarray) -> np.ndarray:
+            slot = key >> np.uint64(64 - BITMAP)
+            return bits[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, key, value): a text's different n-grams and contexts, neither frequent nor seen to occur once, with their number; its frequent ones' sum; its words' number."""
-        known, logs, bits = sent.value
+        types = [f.split()[1] == "double" for f in ROW.split(", ")]
         for batch in pieces(batches):
             ids = batch.column("doc_id")
             for t in texts(_lowered(batch)):
-                row, key = _exploded(t, order, False)
-                slot = key >> np.uint64(64 - BITMAP)
-                again = bits[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-                row, key = row[again], key[again].view(np.int64)
-                at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-                hit = known[at] == key if len(known) else np.zeros(len(key), bool)
-                total = np.bincount(row[hit], logs[at[hit]], t.rows) if hit.any() else np.zeros(t.rows)
-                row, key = row[~hit], key[~hit]
-                order_ = np.lexsort((key, row))
-                row, key = row[order_], key[order_]
-                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])) if len(row) else row
-                parts = [[ids.take(pa.array(row[new] + t.first)), key[new].view(np.uint64), np.diff(np.append(new, len(row))).astype(float)], _doc_rows(ids, t, SUM, total), _doc_rows(ids, t, WORDS, np.diff(t.word_at).astype(float))]
-                yield from (pa.RecordBatch.from_arrays([i, pa.array(k.view(np.int64)), pa.array(v)], ["doc_id", "key", "value"]) for i, k, v in parts)
-
-    rows = docs.select("doc_id", "text").mapInArrow(explode, "doc_id long, key long, value double")
-    kind = F.col("key").bitwiseAND(3)
-    log = F.when(kind == SUM, F.col("value")).when(kind != WORDS, F.col("value") * F.coalesce("log", F.lit(0.0))).otherwise(0.0)
-    words = F.when(kind == WORDS, F.col("value")).otherwise(0.0)
-    return rows.join(table.select("key", "log"), "key", "left").groupBy("doc_id").agg(F.sum(words).cast("long").alias("n_words"), F.sum(log).alias("log"))
-
-
-def score_by_corpus(docs: DataFrame, corpus: DataFrame, order: int, backoff: float) -> DataFrame:
-    """doc_id, n_words and log of docs by the counts of corpus (text), with backoff."""
-    tables = {k: stage(counts(corpus, k), f"lm-{k}-grams") for k in range(1, order + 1)}
+                for row, *columns in _pairs(t, words, pairs, seen, total, backoff):
+                    arrays = [pa.nulls(len(row), pa.float64() if d else pa.int64()) if x is None else pa.array(x.astype(float) if d else x.view(np.int64)) for x, d in zip(columns, types[1:])]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + t.first)), *arrays], [f.split()[0] for f in ROW.split(", ")])
+
+    rows = docs.select("doc_id", "text").mapInArrow(explode, ROW).join(table, "key", "left")
+    found = (kind == NGRAM) & F.col("c").isNotNull()
+    lost = (kind == NGRAM) & F.col("c").isNull()
+    log = F.when(found, F.col("n") * F.log10(F.col("c") - F.col("n"))).when(lost, F.col("n") * F.col("value")).when(kind == SUM, F.col("value"))
+    log = F.coalesce(log, F.col("n") * F.log10(F.greatest(F.lit(1), F.coalesce("c", F.lit(1)) - F.col("own_word"))))
+    settled = rows.select(
+        "doc_id",
+        log.alias("log"),
+        F.when(kind == SUM, F.col("n")).otherwise(0).alias("n_words"),
+        F.when(kind == SUM, F.col("own_word")).when(lost, F.col("n")).otherwise(0).alias("n_backed_off"),
+        F.when(found, F.col("context")).when(lost, F.col("word")).alias("word"),
+        F.when(found, F.col("own_context")).when(lost & F.col("word").isNotNull(), F.col("own_word")).alias("own"),
+        F.when(found, -F.col("n")).when(lost, F.col("n")).otherwise(0).alias("times"),
+    )
+    # the words of decided pairs that are not frequent: few, by key
+    sums = [F.sum(x).alias(x) for x in ("log", "n_words", "n_backed_off")]
+    part = stage(settled.groupBy("doc_id", "word", "own").agg(*sums, F.sum("times").alias("times")), "lm-parts")
+    late = part.filter("word is not null").join(table.select(F.col("key").alias("word"), "c"), "word", "left")
+    late = late.select("doc_id", (F.col("times") * F.log10(F.greatest(F.lit(1), F.coalesce("c", F.lit(1)) - F.col("own")))).alias("log"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_backed_off"))
+    return part.select(late.columns).unionByName(late).groupBy("doc_id").agg(*sums)
+
+
+def score_by_corpus(docs: DataFrame, corpus: DataFrame, order: int, backoff: float, own: bool = False) -> DataFrame:
+    """doc_id, n_words, n_backed_off and log of docs by the counts of corpus (text), with backoff; own: corpus is docs, and each text is left out of its counts."""
+    tables = {k: stage(counts(corpus, k).select("key", "c"), f"lm-{k}-grams") for k in range(1, order + 1)}
     total = tables[1].agg(F.sum("c")).first()[0]
     names = [f"{kind}{k}" for k in range(order, 0, -1) for kind in ("gram", "context")][:-1]
+    columns = [*names, *(f"own_{n}" for n in names), "size"]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a word: the n-grams that end there, of each length, and their contexts."""
+        """A row a word: the n-grams that end there, of each length, and their contexts; the text's own number of each, and of words."""
         for batch in pieces(batches):
             ids = batch.column("doc_id")
             for t in texts(_lowered(batch)):
-                columns = []
+                found, mine = [], []
                 for k in range(order, 0, -1):
                     s = Sequences(t, k - 1)
-                    words = np.flatnonzero(s.place >= k - 1)
-                    columns.append(_marked(s.ending(k)[words], NGRAM))
+                    at = np.flatnonzero(s.place >= k - 1)
+                    found.append(_marked(s.ending(k)[at], NGRAM))
+                    mine.append(_own(s.row[at], found[-1]))
                     if k > 1:
-                        columns.append(_marked(s.ending(k - 1)[words - 1], CONTEXT))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(t.row_of_word() + t.first)), *(pa.array(c.view(np.int64)) for c in columns)], ["doc_id", *names])
-
-    rows = docs.select("doc_id", "text").mapInArrow(explode, f"doc_id long, {', '.join(f'{n} long' for n in names)}").groupBy("doc_id", *names).agg(F.count("*").alias("n"))
-    rows = rows.withColumn("log", F.lit(None).cast("double"))
+                        whole = np.flatnonzero(s.place >= k - 2)
+                        times = np.zeros(len(s.place), np.int64)
+                        times[whole] = _own(s.row[whole], s.ending(k - 1)[whole])
+                        found.append(_marked(s.ending(k - 1)[at - 1], CONTEXT))
+                        mine.append(times[at - 1])
+                row = t.row_of_word()
+                mine = [x if own else np.zeros(len(row), np.int64) for x in (*mine, np.diff(t.word_at)[row])]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + t.first)), *(pa.array(c.view(np.int64)) for c in (*found, *mine))], ["doc_id", *columns])
+
+    rows = docs.select("doc_id", "text").mapInArrow(explode, f"doc_id long, {', '.join(f'{n} long' for n in columns)}").groupBy("doc_id", *columns).agg(F.count("*").alias("n"))
+    rows = rows.withColumns({"log": F.lit(None).cast("double"), "n_backed_off": F.lit(0).cast("long")})
     for k in range(order, 0, -1):
         for name in (n for n in names if n[-1] == str(k)):
             rows = rows.join(tables[k].select(F.col("key").alias(name), F.col("c").alias(f"c_{name}")), name, "left")
-        whole = F.col(f"c_context{k}") if k > 1 else F.lit(total)
-        found = F.col(f"c_gram{k}") if k > 1 else F.coalesce("c_gram1", F.lit(1))
-        rows = rows.withColumn("log", F.coalesce("log", F.log10(found / whole) + F.log10(F.lit(backoff)) * (order - k)))
-    scored = rows.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * F.col("log")).alias("log"))
+        whole = F.col(f"c_context{k}") - F.col(f"own_context{k}") if k > 1 else F.greatest(F.lit(1), F.lit(total) - F.col("size")) if total else F.lit(None)
+        count = F.coalesce(f"c_gram{k}", F.lit(0)) - F.col(f"own_gram{k}")
+        found = F.when(count > 0, count) if k > 1 else F.greatest(F.lit(1), count)
+        log = F.coalesce("log", F.log10(found / whole) + F.log10(F.lit(backoff)) * (order - k))
+        rows = rows.withColumns({"log": log, "n_backed_off": F.when((F.lit(k) == order) & log.isNull(), F.col("n")).otherwise(F.col("n_backed_off"))})
+    scored = rows.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("n_backed_off").alias("n_backed_off"), F.sum(F.col("n") * F.col("log")).alias("log"))
     ids = docs.select("doc_id").distinct()
-    return ids.join(scored, ids.doc_id.eqNullSafe(scored.doc_id), "left").select(ids.doc_id, F.coalesce("n_words", F.lit(0)).alias("n_words"), "log")
+    return ids.join(scored, ids.doc_id.eqNullSafe(scored.doc_id), "left").select(ids.doc_id, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_words", "n_backed_off")), "log")
 
 
 def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 2, backoff: float = 0.4, frequent: int = 1 << 17) -> DataFrame:
-    """doc_id, n_words and score (mean of the words' log10 stupid-backoff scores) for docs (doc_id, text), by the counts of corpus (text) or of docs themselves."""
+    """doc_id, n_words, score (mean of the words' log10 stupid-backoff scores) and n_backed_off (words scored by fewer than order words) for docs (doc_id, text), by the
+    counts of corpus (text), or of docs themselves without the text that is scored."""
     if order < 1:
         raise ValueError("order must be 1 or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if corpus is not None:
-        found = score_by_corpus(docs, corpus, order, backoff)
+    if corpus is None and order == 2:
+        found = score_by_own(docs, backoff, frequent)
     else:
-        found = score_by_own(docs, order, frequent)
-        if order == 1:  # the context is every word
-            total = found.agg(F.sum("n_words")).first()[0]
-            found = found.withColumn("log", F.col("log") - F.col("n_words") * F.log10(F.lit(max(1, total or 1))))
-    return found.select("doc_id", "n_words", (F.col("log") / F.nullif("n_words", F.lit(0))).alias("score"))
+        found = score_by_corpus(docs, docs if corpus is None else corpus, order, backoff, corpus is None)
+    return found.select("doc_id", "n_words", (F.col("log") / F.nullif("n_words", F.lit(0))).alias("score"), "n_backed_off")

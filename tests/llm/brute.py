@@ -114,24 +114,29 @@ def edit_distance_within(item, region):
 
 
 def backoff_scores(rows, order, corpus=None, backoff=0.4):
-    """rows: (doc_id, text), ids different; corpus: texts, of rows by default: doc_id to (n_words, mean log10 score)."""
+    """rows: (doc_id, text), ids different; corpus: texts, of the other rows by default: doc_id to (n_words, mean log10 score, words that back off)."""
     split = {i: words((t or "").lower()) for i, t in rows}
-    count = collections.Counter()
-    known = list(split.values()) if corpus is None else [words((t or "").lower()) for t in corpus]
-    total = sum(map(len, known))
-    for o in range(1, order + 1):
-        for x in known:
-            padded = ["<s>"] * (o - 1) + x if x else []
-            count.update(("gram", *padded[k : k + o]) for k in range(len(padded) - o + 1))
-            count.update(("context", *padded[k : k + o - 1]) for k in range(len(padded) - o + 2))
-
-    def log(x, k, o):
-        padded = ["<s>"] * (o - 1) + x[: k + 1]
-        gram = tuple(padded[len(padded) - o :])
-        if o == 1:
-            return math.log10(max(1, count["gram", *gram]) / total)
-        if not count["gram", *gram]:
-            return math.log10(backoff) + log(x, k, o - 1)
-        return math.log10(count["gram", *gram] / count["context", *gram[:-1]])
-
-    return {i: (len(x), sum(log(x, k, order) for k in range(len(x))) / len(x) if x and total else None) for i, x in split.items()}
+
+    def counted(known):
+        count = collections.Counter()
+        for o in range(1, order + 1):
+            for x in known:
+                padded = ["<s>"] * (o - 1) + x if x else []
+                count.update(("gram", *padded[k : k + o]) for k in range(len(padded) - o + 1))
+                count.update(("context", *padded[k : k + o - 1]) for k in range(len(padded) - o + 2))
+        return count, sum(map(len, known))
+
+    everything, total = counted(list(split.values()) if corpus is None else [words((t or "").lower()) for t in corpus])
+    out = {}
+    for i, x in split.items():
+        own, size = counted([x]) if corpus is None else (collections.Counter(), 0)
+        count = lambda *key: everything[key] - own[key]
+        scores = []
+        for k in range(len(x)):
+            padded = ["<s>"] * (order - 1) + x[: k + 1]
+            grams = {o: padded[len(padded) - o :] for o in range(1, order + 1)}
+            o = next((o for o in range(order, 1, -1) if count("gram", *grams[o])), 1)
+            share = count("gram", *grams[o]) / count("context", *grams[o][:-1]) if o > 1 else max(1, count("gram", *grams[1])) / max(1, total - size)
+            scores.append((math.log10(share) + (order - o) * math.log10(backoff), o < order))
+        out[i] = (len(x), sum(v for v, _ in scores) / len(x) if x and total else None, sum(b for _, b in scores))
+    return out

@@ -285,35 +285,55 @@ def test_edit_distance():
 
 
 def same_scores(got, want):
-    got = {r.doc_id: (r.n_words, r.score) for r in got.collect()}
+    got = {r.doc_id: (r.n_words, r.score, r.n_backed_off) for r in got.collect()}
     assert got.keys() == want.keys()
-    for i, (n, s) in want.items():
-        assert got[i][0] == n and (got[i][1] is None if s is None else math.isclose(got[i][1], s, abs_tol=1e-9)), i
+    for i, (n, s, b) in want.items():
+        assert (got[i][0], got[i][2]) == (n, b) and (got[i][1] is None if s is None else math.isclose(got[i][1], s, abs_tol=1e-9)), i
 
 
-@pytest.mark.parametrize(("order", "frequent"), [(1, 50), (2, 0), (2, 300), (3, 1 << 17)])
+@pytest.mark.parametrize(("order", "frequent"), [(1, 50), (2, 0), (2, 300), (2, 1 << 17), (3, 1 << 17)])
 def test_backoff_scores(spark, docs, rows, order, frequent):
-    """By the documents' own counts, of which none is left out; and by those of others, with backoff."""
-    same_scores(language_model.score(docs, order=order, frequent=frequent), brute.backoff_scores(rows, order))
+    """By the counts of all other documents, where at least a tenth of the words back off; and by those of a given corpus."""
+    want = brute.backoff_scores(rows, order)
+    same_scores(language_model.score(docs, order=order, frequent=frequent), want)
+    assert order == 1 or 10 * sum(b for _, _, b in want.values()) >= sum(n for n, _, _ in want.values())
     corpus = [t for i, t in rows if i % 3 == 0]
     same_scores(language_model.score(docs, docs.filter("doc_id % 3 = 0"), order=order), brute.backoff_scores(rows, order, corpus))
     assert language_model.score(empty(spark), order=order).count() == 0
     assert all(r.score is None for r in language_model.score(docs, empty(spark), order=order).collect())
 
 
+@pytest.mark.parametrize(("bits", "frequent"), [(8, 0), (8, 40), (14, 300)])
+def test_backoff_scores_with_a_full_bitmap(spark, docs, rows, monkeypatch, bits, frequent):
+    """A bitmap in which nearly every bit is set, or many are, sends more rows to the joins and changes no score."""
+    monkeypatch.setattr(language_model, "BITMAP", bits)
+    monkeypatch.setattr(language_model, "PART", 3)
+    same_scores(language_model.score(docs, frequent=frequent), brute.backoff_scores(rows, 2))
+
+
+def test_backoff_of_what_one_text_repeats(spark):
+    """Pairs that one text alone repeats back off; a lone text knows nothing; equal texts know each other's pairs; a start is no word."""
+    rows = [(1, "a b a b a b"), (2, "b a"), (3, "new words here"), (4, "new words here"), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for order in (1, 2, 3):
+        same_scores(language_model.score(df, order=order), brute.backoff_scores(rows, order))
+    lone = language_model.score(df.filter("doc_id = 1")).first()
+    assert lone.n_backed_off == 6 and math.isclose(lone.score, math.log10(0.4))
+
+
 def test_backoff_scores_of_repeated_ids(spark, docs, rows):
-    """Rows of one id, and of none, are taken together; the corpus by its own counts is the corpus by given counts."""
+    """Rows of one id, and of none, are taken together, each text without itself in the counts."""
     ids = {i: i // 2 if i % 5 else None for i, _ in rows}
     df = spark.createDataFrame([(ids[i], t) for i, t in rows], "doc_id long, text string")
-    own, given = ({r.doc_id: r for r in x.collect()} for x in (language_model.score(df), language_model.score(df, df)))
-    want = collections.defaultdict(list)
-    for i, found in brute.backoff_scores(rows, 2).items():
-        want[ids[i]].append(found)
-    assert own.keys() == given.keys() == want.keys()
-    for i, parts in want.items():
-        n = sum(x for x, _ in parts)
-        assert own[i].n_words == given[i].n_words == n
-        assert all((r.score is None) if not n else math.isclose(r.score, sum(x * s for x, s in parts if x) / n, abs_tol=1e-9) for r in (own[i], given[i]))
+    for order in (2, 3):
+        own, want = {r.doc_id: r for r in language_model.score(df, order=order).collect()}, collections.defaultdict(list)
+        for i, found in brute.backoff_scores(rows, order).items():
+            want[ids[i]].append(found)
+        assert own.keys() == want.keys()
+        for i, parts in want.items():
+            n = sum(x for x, _, _ in parts)
+            assert (own[i].n_words, own[i].n_backed_off) == (n, sum(b for _, _, b in parts))
+            assert (own[i].score is None) if not n else math.isclose(own[i].score, sum(x * s for x, s, _ in parts if x) / n, abs_tol=1e-9)
 
 
 # 5 URLs -------------------------------------------------------------------------------------------------------------------------------------
