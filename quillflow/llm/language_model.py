@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from quillflow.llm.common import Texts, mix, pieces, stage, texts
 
-#: N-grams of a task that are counted at once.
-GATHER = 1 << 21
+#: A text's different n-grams and contexts, of so many of which a task adds up the counts at once.
+GATHER = 1 << 20
 #: Steps in which counts are doubled when the frequent ones are sought.
 FINE = 16
 #: The bitmap has 2**BITMAP bits (16 MB); it comes to the driver in 2**PART parts.
@@ -40,6 +40,8 @@ BITMAP, PART = 27, 8
 #: The last two bits of a key say what a row is.
 NGRAM, CONTEXT, SUM = range(3)
 START = np.uint64(0x5BD1E995)
+#: The key under which words themselves are counted.
+TOTAL = np.uint64(SUM)
 
 
 def _lowered(batch: pa.RecordBatch) -> pa.Array:
@@ -110,7 +112,7 @@ def _counted(order: int):
             for t in texts(_lowered(batch)):
                 row, key = _exploded(t, order)
                 _, first, n = np.unique(_in_row(row, key), return_index=True, return_counts=True)
-                held.append((key[first], n))
+                held.append((np.append(key[first], TOTAL), np.append(n, len(t.start))))
                 size += len(first)
                 if size >= GATHER:
                     yield _summed(*zip(*held))
@@ -122,7 +124,7 @@ def _counted(order: int):
 
 
 def counts(docs: DataFrame, order: int) -> DataFrame:
-    """key, c and texts: how often each n-gram of order words, and each context, occurs in docs (text), and in how many texts."""
+    """key, c and texts: how often each n-gram of order words, and each context, occurs in docs (text), and in how many texts. TOTAL's c is the number of words."""
     found = docs.select("text").mapInArrow(_counted(order), "key long, n long, texts long")
     return found.groupBy("key").agg(F.sum("n").alias("c"), F.sum("texts").alias("texts"))
 
@@ -176,7 +178,7 @@ class _Known:
 
 #: What a text explodes into. A pair (NGRAM): n times; `value` for each time if it backs off, and, if not null, the words whose counts its score still needs then (word)
 #: or else (context), with the text's own number of them. A word (CONTEXT): n times its logarithm, less own_word. SUM: value, n words, own_word of them backed off.
-ROW = "doc_id long, key long, n long, value double, word long, own_word long, context long, own_context long"
+ROW = "doc_id long, n long, word long, own_word long, context long, own_context long, key long, value double"
 
 
 def _pairs(t: Texts, words: _Known, pairs: _Known, seen, total: int, backoff: float) -> Iterator[tuple]:
@@ -186,7 +188,8 @@ def _pairs(t: Texts, words: _Known, pairs: _Known, seen, total: int, backoff: fl
     own = _own(s.row, single)
     at = np.flatnonzero(s.place >= 1)
     _, first, n = np.unique(_in_row(s.row[at], s.ending(2)[at]), return_index=True, return_counts=True)
-    at = at[first]
+    order = np.argsort(first)  # a text's rows together, as they compress better in the shuffle
+    at, n = at[first[order]], n[order]
     row, pair = s.row[at], _marked(s.ending(2)[at], NGRAM)
     size = np.diff(t.word_at)
     back = np.log10(backoff) - np.log10(np.maximum(1, total - size))[row]
@@ -199,25 +202,25 @@ def _pairs(t: Texts, words: _Known, pairs: _Known, seen, total: int, backoff: fl
     sent = ~sure & (often == 0)
     kept = sent & ~np.isnan(word) & ~np.isnan(context)
     value = np.select([sure, sent & ~kept, sent], [back + np.nan_to_num(word), 0.0, -context], np.log10(np.maximum(1, often - n)) - np.nan_to_num(context))
-    yield np.arange(t.rows), _marked(mix(np.arange(t.rows, dtype=np.uint64) + np.uint64(t.at[-1]) * np.uint64(0x9E3779B9)), SUM), size, np.bincount(row, n * value, t.rows), None, np.bincount(row[sure], n[sure], t.rows).astype(np.int64), None, None
+    sums = _marked(mix(np.arange(t.rows, dtype=np.uint64) + np.uint64(t.at[-1]) * np.uint64(0x9E3779B9)), SUM)
+    yield np.arange(t.rows), size, None, np.bincount(row[sure], n[sure], t.rows).astype(np.int64), None, None, sums, np.bincount(row, n * value, t.rows)
     # pairs that the table decides: if they back off, what has been added for them is taken back
-    yield row[kept], pair[kept], n[kept], (back + word + context)[kept], None, None, None, None
+    yield row[kept], n[kept], None, None, None, None, pair[kept], (back + word + context)[kept]
     open_ = sent & ~kept
-    yield row[open_], pair[open_], n[open_], back[open_], single[at[open_]], own[at[open_]], single[at[open_] - 1], own[at[open_] - 1]
+    yield row[open_], n[open_], single[at[open_]], own[at[open_]], single[at[open_] - 1], own[at[open_] - 1], pair[open_], back[open_]
     # words of which the pair is decided, but not the count
     plus, minus = sure & np.isnan(word), ~sure & (often > 0) & np.isnan(context)
     place, times = np.concatenate([at[plus], at[minus] - 1]), np.concatenate([n[plus], -n[minus]])
     _, first, of = np.unique(_in_row(s.row[place], single[place]), return_index=True, return_inverse=True)
-    place, times = place[first], np.bincount(of, times, len(first)).astype(np.int64)
-    yield s.row[place], single[place], times, None, None, own[place], None, None
+    times, place = np.bincount(of, times, len(first)).astype(np.int64), place[first]
+    yield s.row[place], times, None, own[place], None, None, single[place], None
 
 
 def score_by_own(docs: DataFrame, backoff: float, frequent: int) -> DataFrame:
     """doc_id, n_words, n_backed_off and log, the sum of the words' log10 scores of order 2, by the counts of docs' other texts."""
     kind = F.col("key").bitwiseAND(3)
-    counted = stage(counts(docs, 2).filter((kind == CONTEXT) | (F.col("texts") > 1)).select("key", "c"), "lm-counts")
-    total = counted.filter((kind == CONTEXT) & (F.col("key") != int(_marked(mix(np.array([START + np.uint64(1)])), CONTEXT).view(np.int64)[0]))).agg(F.sum("c")).first()[0] or 0
-    table = counted.filter("c > 1")
+    table = stage(counts(docs, 2).filter(((kind == NGRAM) & (F.col("texts") > 1)) | ((kind == CONTEXT) & (F.col("c") > 1)) | (F.col("key") == int(TOTAL))).select("key", "c"), "lm-counts")
+    total = table.filter(F.col("key") == int(TOTAL)).agg(F.sum("c")).first()[0] or 0
     sent = docs.sparkSession.sparkContext.broadcast((*(_Known(_frequent(table.filter(kind == k), frequent)) for k in (CONTEXT, NGRAM)), _bitmap(table)))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +263,7 @@ def score_by_own(docs: DataFrame, backoff: float, frequent: int) -> DataFrame:
 def score_by_corpus(docs: DataFrame, corpus: DataFrame, order: int, backoff: float, own: bool = False) -> DataFrame:
     """doc_id, n_words, n_backed_off and log of docs by the counts of corpus (text), with backoff; own: corpus is docs, and each text is left out of its counts."""
     tables = {k: stage(counts(corpus, k).select("key", "c"), f"lm-{k}-grams") for k in range(1, order + 1)}
-    total = tables[1].agg(F.sum("c")).first()[0]
+    total = tables[1].filter(F.col("key") == int(TOTAL)).agg(F.sum("c")).first()[0]
     names = [f"{kind}{k}" for k in range(order, 0, -1) for kind in ("gram", "context")][:-1]
     columns = [*names, *(f"own_{n}" for n in names), "size"]
 
