@@ -7,7 +7,7 @@ hash, to the n-grams that a document explodes into. A document's score is the su
 A corpus that is scored by its own counts (`score` without a corpus) leaves each text out of the counts that it is scored by: an n-gram that no other text
 has is scored one word shorter, times `backoff`, and so on; a word that no other text has counts as if it had been there once. Whether an n-gram backs off is then
 told by its key alone (has a second text got it?), so at order 2 one join with the pairs of several texts settles it, and words' counts are those of contexts.
-A bitmap of fixed size, with a bit for each key that the tables know, keeps most of the n-grams that surely back off out of the shuffle; where it is full,
+A bitmap of fixed size, with two bits for each key that the tables know, keeps most of the n-grams that surely back off out of the shuffle; where it is full,
 more rows go on, and results are the same. The most frequent pairs and words, at most `frequent` each, are summed where they are exploded, so they are no hot
 keys of the join; other words follow in a second join, by key, once their pair is known to back off or not.
 
@@ -142,20 +142,35 @@ def _frequent(table: DataFrame, size: int) -> DataFrame:
     return table.filter(bin_ >= least)
 
 
+def _slots(key: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Byte and bit of each of a key's two places in a bitmap of 2**size bits."""
+    for place in (key >> np.uint64(64 - size), key << np.uint64(size) >> np.uint64(64 - size)):
+        yield (place >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (place & np.uint64(7)).astype(np.uint8)
+
+
 def _bitmap(table: DataFrame) -> np.ndarray:
-    """A bit for each key, by its first BITMAP bits."""
+    """Two bits for each key; tasks send what they have set in 2**PART parts, which are joined by part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, parts = 1 << BITMAP - PART, {}
+    def batch_of(parts: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([*parts], pa.int64()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], ["part", "bits"])
+
+    def setting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((1 << PART, 1 << BITMAP - PART - 3), np.uint8)
+        for batch in batches:
+            for at, bit in _slots(batch.column("key").to_numpy().view(np.uint64), BITMAP):
+                np.bitwise_or.at(out.ravel(), at, bit)
+        yield batch_of({int(i): out[i] for i in np.flatnonzero(out.any(axis=1))})
+
+    def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = {}
         for batch in batches:
-            slot = (batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP)).astype(np.int64)
-            for part in np.unique(slot // size).tolist():
-                parts.setdefault(part, np.zeros(size, bool))[slot[slot // size == part] % size] = True
-        yield pa.RecordBatch.from_arrays([pa.array([*parts], pa.int64()), pa.array([np.packbits(x).tobytes() for x in parts.values()], pa.binary())], ["part", "bits"])
+            for part, bits in zip(batch.column("part").to_pylist(), batch.column("bits")):
+                parts[part] = parts.get(part, np.uint8(0)) | np.frombuffer(bits.as_buffer(), np.uint8)
+        yield batch_of(parts)
 
-    part = F.shiftrightunsigned("key", 64 - PART)
     out = np.zeros((1 << PART, 1 << BITMAP - PART - 3), np.uint8)
-    for r in table.select("key").repartition(1 << PART, part).mapInArrow(run, "part long, bits binary").collect():  # a row a part
+    rows = table.select("key").mapInArrow(setting, "part long, bits binary").repartition(1 << PART, "part")
+    for r in rows.mapInArrow(joining, "part long, bits binary").collect():  # a row a part
         out[r.part] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
@@ -176,9 +191,11 @@ class _Known:
         return np.where(self.keys[at] == keys, self.c[at], 0)
 
 
-#: What a text explodes into. A pair (NGRAM): n times; `value` for each time if it backs off, and, if not null, the words whose counts its score still needs then (word)
-#: or else (context), with the text's own number of them. A word (CONTEXT): n times its logarithm, less own_word. SUM: value, n words, own_word of them backed off.
-ROW = "doc_id long, n long, word long, own_word long, context long, own_context long, key long, value double"
+#: What a text explodes into. A pair (NGRAM): n times; what each time adds if it backs off (`fixed`, in FIXED parts of one over -OFFSET, five bytes that shuffle well and are
+#: exact to 2e-10), and, if not null, the words whose counts its score still needs then (word) or else (context), with the text's own number of them.
+#: A word (CONTEXT): n times its logarithm, less own_word. SUM: value, n words, own_word of them backed off.
+ROW = "doc_id long, n long, word long, own_word long, context long, own_context long, value double, key long, fixed long"
+FIXED, OFFSET = 1 << 32, 64
 
 
 def _pairs(t: Texts, words: _Known, pairs: _Known, seen, total: int, backoff: float) -> Iterator[tuple]:
@@ -203,17 +220,18 @@ def _pairs(t: Texts, words: _Known, pairs: _Known, seen, total: int, backoff: fl
     kept = sent & ~np.isnan(word) & ~np.isnan(context)
     value = np.select([sure, sent & ~kept, sent], [back + np.nan_to_num(word), 0.0, -context], np.log10(np.maximum(1, often - n)) - np.nan_to_num(context))
     sums = _marked(mix(np.arange(t.rows, dtype=np.uint64) + np.uint64(t.at[-1]) * np.uint64(0x9E3779B9)), SUM)
-    yield np.arange(t.rows), size, None, np.bincount(row[sure], n[sure], t.rows).astype(np.int64), None, None, sums, np.bincount(row, n * value, t.rows)
+    yield np.arange(t.rows), size, None, np.bincount(row[sure], n[sure], t.rows).astype(np.int64), None, None, np.bincount(row, n * value, t.rows), sums, None
     # pairs that the table decides: if they back off, what has been added for them is taken back
-    yield row[kept], n[kept], None, None, None, None, pair[kept], (back + word + context)[kept]
+    fixed = np.rint((back + np.where(kept, word + context, 0.0) + OFFSET) * FIXED).astype(np.int64)
+    yield row[kept], n[kept], None, None, None, None, None, pair[kept], fixed[kept]
     open_ = sent & ~kept
-    yield row[open_], n[open_], single[at[open_]], own[at[open_]], single[at[open_] - 1], own[at[open_] - 1], pair[open_], back[open_]
+    yield row[open_], n[open_], single[at[open_]], own[at[open_]], single[at[open_] - 1], own[at[open_] - 1], None, pair[open_], fixed[open_]
     # words of which the pair is decided, but not the count
     plus, minus = sure & np.isnan(word), ~sure & (often > 0) & np.isnan(context)
     place, times = np.concatenate([at[plus], at[minus] - 1]), np.concatenate([n[plus], -n[minus]])
     _, first, of = np.unique(_in_row(s.row[place], single[place]), return_index=True, return_inverse=True)
     times, place = np.bincount(of, times, len(first)).astype(np.int64), place[first]
-    yield s.row[place], times, None, own[place], None, None, single[place], None
+    yield s.row[place], times, None, own[place], None, None, None, single[place], None
 
 
 def score_by_own(docs: DataFrame, backoff: float, frequent: int) -> DataFrame:
@@ -227,8 +245,7 @@ def score_by_own(docs: DataFrame, backoff: float, frequent: int) -> DataFrame:
         words, pairs, bits = sent.value
 
         def seen(key: np.ndarray) -> np.ndarray:
-            slot = key >> np.uint64(64 - BITMAP)
-            return bits[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+            return np.logical_and.reduce([bits[at] & bit > 0 for at, bit in _slots(key, BITMAP)])
 
         types = [f.split()[1] == "double" for f in ROW.split(", ")]
         for batch in pieces(batches):
@@ -241,7 +258,7 @@ def score_by_own(docs: DataFrame, backoff: float, frequent: int) -> DataFrame:
     rows = docs.select("doc_id", "text").mapInArrow(explode, ROW).join(table, "key", "left")
     found = (kind == NGRAM) & F.col("c").isNotNull()
     lost = (kind == NGRAM) & F.col("c").isNull()
-    log = F.when(found, F.col("n") * F.log10(F.col("c") - F.col("n"))).when(lost, F.col("n") * F.col("value")).when(kind == SUM, F.col("value"))
+    log = F.when(found, F.col("n") * F.log10(F.col("c") - F.col("n"))).when(lost, F.col("n") * (F.col("fixed") / FIXED - OFFSET)).when(kind == SUM, F.col("value"))
     log = F.coalesce(log, F.col("n") * F.log10(F.greatest(F.lit(1), F.coalesce("c", F.lit(1)) - F.col("own_word"))))
     settled = rows.select(
         "doc_id",
