@@ -5,12 +5,13 @@ A pair of similarity s has sets of shingles at an angle of arccos(2s / (1 + s)),
 unrelated texts rarely share one, however many texts there are, and so many that a pair at the limit shares one with a probability of RECALL.
 
 1. Texts of equal sets of shingles are one class, and only classes are compared: a group of copies is one row.
-2. Classes that share a block are verified by Hamming distance. What goes on is a minimum spanning forest of the close ones of a block's group, or,
-   where a group has over `group` members, a star of all of them. Components of these links are families: a pair that shares a block and is
-   close lies within one family, and links are fewer than rows.
+2. Classes that share a block are verified by Hamming distance. What goes on is a minimum spanning forest of the close ones of a block's group. A group of over
+   `group` members goes on as a whole, unverified: that can only make a family larger, and what is compared in a large family step 3 decides by its shingles.
+   Components are families: a pair that shares a block and is close lies within one family, and links are fewer than rows.
 3. Within a family the whole sets of shingles are compared, every pair of classes that exact links do not connect yet, so no pair is lost to the forest.
-   A family of over `group` members, or too many shingles for a task, is first tested against a few of its members, one after another; then it is cut into
-   parts, and each two parts meet in a task of their own, but those of classes that one of these members has connected already.
+   A family of over `group` members, or too many shingles for a task, is compared by a prefix filter: its members meet at their rarest shingles, where alone two of that
+   similarity can. They are first tested against one hub for each shingle, and those hubs connect drop out together; then those that still may reach the similarity
+   go to the cells, each of two parts of the family, in which they meet. Texts of a template that differ in what is their own meet nowhere.
 
 Links out of every step span what they connect, so a dense group costs no square of its size in rows, and components are those of all pairs.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillflow.llm.common import Texts, grams, lightly, mix, pieces, stage, texts, unused, word_ranges
@@ -36,10 +37,11 @@ from quillflow.llm.components import one_row_of_each, roots
 COORDINATES, BITS = 2048, 512
 #: Share of the pairs at the limit that share a block; least bits of a block, and members of a group by chance, from which its bits follow.
 RECALL, LEAST_KEY, BY_CHANCE = 0.98, 16, 64
-#: Shingles of a part of a family at most (a longer text is a part of its own), and members that a large family is tested against first.
-PART_SHINGLES, PIVOTS = 1 << 21, 3
+#: Shingles of a part of a family at most (a longer text is a part of its own); rounds of hubs in large families; and members with a shingle that a task pairs with others at once.
+PART_SHINGLES, HUBS, PAIRED = 1 << 21, 2, 4096
 SEED = 6
 PRINT = [f"f{i}" for i in range(BITS // 64)]
+CELL = ["family", "low", "high", "part", "class", "root", "shingles"]
 
 
 def _eased(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -247,8 +249,6 @@ def spanning(root: np.ndarray, sizes: np.ndarray, flat: np.ndarray, left: np.nda
 
 def _compare(similarity: float):
     """Rows in order of (family, low, high), a cell of the family's parts, to links of classes: of two parts, or within one."""
-    names = ("family", "low", "high", "part", "class", "root", "shingles")
-
     def cell(x: list) -> pa.RecordBatch:
         low, high, part, ids, root = (np.concatenate([c.to_numpy(zero_copy_only=False) for c in x[i]]) for i in range(1, 6))
         lists = pa.concat_arrays(x[6])
@@ -258,17 +258,17 @@ def _compare(similarity: float):
         return pa.RecordBatch.from_arrays([pa.array([int(ids[i]) for i, _ in edges], pa.int64()), pa.array([int(ids[j]) for _, j in edges], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [[] for _ in names], None
+        held, now = [[] for _ in CELL], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c) for c in names]
+            columns = [batch.column(c) for c in CELL]
             keys = np.stack([c.to_numpy(zero_copy_only=False) for c in columns[:3]], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for s, e in zip(cuts, cuts[1:]):
                 if now is not None and now != tuple(keys[s]):
                     yield cell(held)
-                    held = [[] for _ in names]
+                    held = [[] for _ in CELL]
                 now = tuple(keys[s])
                 for h, c in zip(held, columns):
                     h.append(c.slice(s, e - s))
@@ -278,25 +278,77 @@ def _compare(similarity: float):
     return run
 
 
-def _pivoted(large: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None]:
-    """Members of large families with root: of the first of PIVOTS members, one after another, that they are linked to, else open (root is the class); and the links."""
-    members, links = large.withColumns({"root": F.col("class"), "open": F.lit(True)}), None
-    for n in range(PIVOTS):
-        pivot = members.filter("open").groupBy("family").agg(F.min("class").alias("_pivot"))
-        theirs = stage(members.select("family", F.col("class").alias("_pivot"), F.col("shingles").alias("_of")).join(lightly(pivot), ["family", "_pivot"]), f"similar-theirs-{n}")
-        small = (theirs.agg(F.sum(F.size("_of"))).first()[0] or 0) <= PART_SHINGLES
-        common = F.size(F.array_intersect("shingles", "_of"))
-        like = F.col("open") & (common >= F.lit(similarity) * (F.size("shingles") + F.size("_of") - common) - 1e-9)
-        tested = members.join(F.broadcast(theirs) if small else theirs, "family", "left").withColumn("_like", F.coalesce(like, F.lit(False)))
-        members = stage(tested.withColumns({"root": F.when(F.col("_like"), F.col("_pivot")).otherwise(F.col("root")), "open": F.col("open") & ~F.col("_like")}).drop("_pivot", "_of", "_like"), f"similar-pivot-{n}")
-    links = members.filter("not open").select(F.col("class").alias("a"), F.col("root").alias("b"))
-    return members, links
-
-
-def _cut(sets: DataFrame, group: int, by: list[str]) -> DataFrame:
-    """sets (family, size and others) with parts, the number of parts that the rows of the same `by` are cut into, and part."""
+def _cut(sets: DataFrame, group: int) -> DataFrame:
+    """sets (family, size and others) with parts, the number of parts that a family is cut into, and part."""
     parts = F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("size") / PART_SHINGLES)).cast("int")
-    return sets.join(lightly(sets.groupBy(*by).agg(parts.alias("parts"))), by).withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    return sets.join(lightly(sets.groupBy("family").agg(parts.alias("parts"))), "family").withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+
+
+def _verified(cells: DataFrame, similarity: float) -> DataFrame:
+    """cells: CELL. Links (a, b) of classes that span those of the similarity in each cell (family, low, high), between its two parts."""
+    rows = cells.select(CELL).repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "class")
+    return rows.mapInArrow(_compare(similarity), "a long, b long")
+
+
+def prefixes(large: DataFrame, similarity: float) -> DataFrame:
+    """Where members of large families (family, class, size, part, shingles) may meet: a row for each shingle of a member's prefix that another member has.
+
+    A member's shingles are put in order of the family's count of them, rare ones first. Two sets of that similarity share so many that they share one
+    of the first ones: the prefix, at 0.8 a fifth of a set. `rest` counts the shingle and all that others have after it: sets whose first common
+    shingle this is have no more in common than the lesser of their rests.
+    """
+    all_ = large.select("family", "class", "size", "part", F.explode("shingles").alias("shingle"))
+    often = all_.groupBy("family", "shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    ordered = all_.join(often, ["family", "shingle"]).groupBy("family", "class", "size", "part").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("met"))
+    first = F.floor(F.size("met") - F.lit(similarity) * F.col("size") + 1e-6) + 1
+    cut = ordered.withColumns({"first": F.greatest(first, F.lit(0)).cast("int"), "all": F.size("met")})
+    met = cut.select("family", "class", "size", "part", "all", F.posexplode(F.slice("met", F.lit(1), F.col("first"))).alias("at", "met"))
+    return met.select("family", "met.shingle", "class", "size", "part", (F.col("all") - F.col("at")).alias("rest"))
+
+
+def _may_reach(rest: list, sizes: list, similarity: float) -> Column:
+    """Whether two sets, of the rests at their first common shingle, can have that similarity."""
+    return F.least(*rest) >= F.lit(similarity / (1 + similarity)) * (sizes[0] + sizes[1]) - 1e-6
+
+
+def _hub_cells(met: DataFrame, turn: int, similarity: float, group: int) -> DataFrame:
+    """met: prefixes and root. For each shingle one member, chosen by hash, as a hub, and who may be linked to it and is not yet: cells of up to about group members."""
+    hub = F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("turn"), "class", "size", "rest", "root"))
+    hubs = met.groupBy("family", "shingle").agg(hub.alias("hub"), F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("family", "shingle", "hub")
+    may = (F.col("root") != F.col("hub.root")) & _may_reach(["rest", "hub.rest"], [F.col("size"), F.col("hub.size")], similarity)
+    pairs = stage(met.join(hubs, ["family", "shingle"]).filter(may).select(F.col("hub.class").alias("family"), F.col("hub.root").alias("_root"), "class", "root").distinct(), f"similar-hubs-{turn}")
+    cuts = pairs.groupBy("family", "_root").agg(F.ceil(F.count("*") / group).cast("int").alias("_cuts"))
+    members = pairs.join(lightly(cuts.select("family", "_cuts")), "family").withColumn("high", 1 + F.pmod(F.xxhash64("class"), "_cuts").cast("int"))
+    centres = cuts.select("family", F.explode(F.sequence(F.lit(1), "_cuts")).alias("high"), F.lit(0).alias("part"), F.col("family").alias("class"), F.col("_root").alias("root"))
+    return members.select("family", "high", F.col("high").alias("part"), "class", "root").unionByName(centres).withColumn("low", F.lit(0))
+
+
+def _met_cells(met: DataFrame, similarity: float) -> DataFrame:
+    """met: prefixes and root. The cells (two parts of a family) in which members meet that may be linked and are not yet, with those members alone."""
+    # of two sets that may reach the similarity, the smaller one could reach it with one of its own size
+    early = F.col("rest") >= F.lit(2 * similarity / (1 + similarity)) * F.col("size") - 1e-6
+    groups = met.groupBy("family", "shingle").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.max(early).alias("_early"), F.ceil(F.count("*") / PAIRED).cast("int").alias("cuts"))
+    rows = stage(met.join(groups.filter("_a <> _b and _early").select("family", "shingle", "cuts"), ["family", "shingle"]), "similar-met")
+    # a shingle that many have is cut by the smaller sets; the larger ones go to each cut
+    smaller = rows.filter(early).select("family", "shingle", F.pmod(F.xxhash64("class"), "cuts").cast("int").alias("cut"), *(F.col(c).alias(f"_{c}") for c in ("class", "size", "part", "root", "rest")))
+    larger = rows.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    other = (F.col("root") != F.col("_root")) & (F.struct("_size", "_class") < F.struct("size", "class"))
+    pairs = larger.join(smaller, ["family", "shingle", "cut"]).filter(other & _may_reach(["rest", "_rest"], [F.col("size"), F.col("_size")], similarity))
+    both = F.array(F.struct("part", "class", "root"), F.struct(F.col("_part").alias("part"), F.col("_class").alias("class"), F.col("_root").alias("root")))
+    return pairs.select("family", F.least("part", "_part").alias("low"), F.greatest("part", "_part").alias("high"), F.inline(both)).distinct()
+
+
+def _large_links(large: DataFrame, similarity: float, group: int) -> DataFrame:
+    """large: family, class, size, part, shingles. Links (a, b) that connect all members of that similarity: to hubs first, then in the cells that are left."""
+    sets = large.select("class", "shingles")
+    met = stage(prefixes(large, similarity), "similar-prefixes")
+    rooted, found = met.withColumn("root", F.col("class")), None
+    for turn in range(HUBS):
+        linked = stage(_verified(_hub_cells(rooted, turn, similarity, group).join(sets, "class"), similarity), f"similar-linked-{turn}")
+        found = linked if found is None else found.unionByName(linked)
+        root = lightly(roots(found, f"similar-rooted-{turn}"))
+        rooted = met.join(root, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
+    return found.unionByName(_verified(_met_cells(rooted, similarity).join(sets, "class"), similarity))
 
 
 def links(source: DataFrame, classes: DataFrame, other: np.ndarray, words: int, similarity: float, group: int = 1024) -> DataFrame:
@@ -312,24 +364,10 @@ def links(source: DataFrame, classes: DataFrame, other: np.ndarray, words: int,
     members = stage(family.join(classes.select("class", "size", "at"), "class"), "similar-members")
     sets = source.join(lightly(members.select(F.col("at").alias("_at")).distinct()), F.col("at") == F.col("_at"), "left_semi").select("text").mapInArrow(_sets(words, other), "class long, shingles array<long>")
     sets = stage(sets.join(lightly(members.select("class", "family", "size")), "class").dropDuplicates(["class"]), "similar-sets")
-    cut = _cut(sets, group, ["family"]).withColumn("root", F.col("class"))
-    cells = cut.filter("parts = 1").withColumns({"low": F.lit(0), "high": F.lit(0)})
-    columns = ["family", "low", "high", "part", "class", "root", "shingles"]
-    large = stage(cut.filter("parts > 1").select("family", "class", "size", "shingles"), "similar-large")
-    linked = None
-    if not large.isEmpty():
-        pivoted, linked = _pivoted(large, similarity)
-        apart = _cut(pivoted, group, ["family", "open"])
-        first = apart.filter("open").groupBy("family").agg(F.max("parts").alias("opened"))
-        # open parts come first; each meets itself and all that follow
-        placed = apart.join(lightly(first), "family").withColumns({"part": F.when(F.col("open"), F.col("part")).otherwise(F.col("opened") + F.col("part"))})
-        total = placed.groupBy("family").agg((F.max("part") + 1).alias("_total"))
-        others = F.when(F.col("open"), F.sequence(F.lit(0), F.col("_total") - 1)).otherwise(F.sequence(F.lit(0), F.col("opened") - 1))
-        crossed = placed.join(lightly(total), "family").withColumn("_other", F.explode(others)).withColumns({"low": F.least("part", "_other"), "high": F.greatest("part", "_other")})
-        cells = cells.select(columns).unionByName(crossed.select(columns))
-    cells = cells.select(columns).repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "class")
-    out = cells.mapInArrow(_compare(similarity), "a long, b long")
-    return out if linked is None else out.unionByName(linked)
+    cut = _cut(sets, group)
+    small = _verified(cut.filter("parts = 1").withColumns({"low": F.lit(0), "high": F.lit(0), "root": F.col("class")}), similarity)
+    large = stage(cut.filter("parts > 1").select("family", "class", "size", "part", "shingles"), "similar-large")
+    return small if large.isEmpty() else small.unionByName(_large_links(large, similarity, group))
 
 
 def judged(docs: DataFrame, words: int, similarity: float, group: int = 1024) -> tuple[DataFrame, np.ndarray]:

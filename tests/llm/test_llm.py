@@ -452,6 +452,52 @@ def test_similar_pairs_among_a_template(spark, group):
     assert got == {i: i - 1200 if i >= 1200 else i for i, _ in rows}
 
 
+def family_of(spark, sets):
+    """One family, in 12 parts, of classes with these sets."""
+    rows = [(0, i, len(x), i * 7919 % 12, sorted(x)) for i, x in enumerate(sets)]
+    frame = pd.DataFrame(rows, columns=["family", "class", "size", "part", "shingles"])
+    return spark.createDataFrame(frame, "family long, class long, size long, part int, shingles array<long>").repartition(8)
+
+
+@pytest.mark.parametrize("own", [30, 11])
+def test_similar_rows_of_a_template_grow_in_proportion(spark, own):
+    """Texts with 60 shingles in common and 30 or 11 of their own, at 0.5 and 0.73: what they send grows with their number, and only planted pairs are compared."""
+    sent = []
+    for n in (3000, 12000):
+        sets = [{*range(60), *range(1000 + i * own, 1000 + (i + 1) * own)} for i in range(n)]
+        for k in range(7):  # a copy with two of its own changed: (60 + own - 2) of (60 + own + 2)
+            sets.append({*sorted(sets[k])[:-2], -2 * k - 1, -2 * k - 2})
+        large = family_of(spark, sets)
+        met = similar.prefixes(large, 0.8).cache()
+        cells = similar._met_cells(met.withColumn("root", F.col("class")), 0.8)
+        assert {r["class"] for r in cells.select("class").collect()} == {*range(7), *range(n, n + 7)}
+        sent.append(met.count())
+        assert {(min(r), max(r)) for r in similar._large_links(large, 0.8, 1024).collect()} == {(k, n + k) for k in range(7)}
+        met.unpersist()
+    assert sent[1] <= 4.2 * sent[0] + 100
+
+
+@pytest.mark.parametrize("paired", [4096, 3])
+def test_similar_large_families_equal_brute_force(spark, monkeypatch, paired):
+    """Clusters about the limit with common and rare shingles, sets of very different sizes: components are those of all pairs."""
+    monkeypatch.setattr(similar, "PAIRED", paired)
+    rng = random.Random(17)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(4000), rng.randint(8, 120))
+        for _ in range(rng.choice([1, 5, 40])):
+            kept = rng.sample(base, len(base) - rng.randint(0, len(base) // 6))
+            sets.append({*kept, *rng.sample(range(4000), rng.randint(0, len(base) // 8)), *range(5000, 5000 + rng.choice([0, 3, 30]))})
+    want, got = brute.Sets(range(len(sets))), brute.Sets(range(len(sets)))
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        want.join(i, j)
+    for i, j in similar._large_links(family_of(spark, sets), 0.8, 16).collect():
+        assert (min(i, j), max(i, j)) in pairs
+        got.join(i, j)
+    assert len(pairs) > 100 and {i: got.root(i) for i in range(len(sets))} == {i: want.root(i) for i in range(len(sets))}
+
+
 def test_similar_recall_at_the_limit(spark):
     """Lone pairs at just 0.8: blocks find them with 0.98."""
     rng = random.Random(12)
