@@ -21,15 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import stage, unused
+from quillflow.llm.common import Texts, stage, texts, unused
 from quillflow.llm.components import one_row_of_each, roots
+from quillflow.llm.xxh import xxh64
 
 SEED = 42
 BLOCKS, KEPT = 6, 3
+#: Shingles that are hashed at once.
+AT_ONCE = 1 << 15
 
 
 def _masks(bits: list[int]) -> list[int]:
@@ -44,21 +47,25 @@ MASKS = _masks([*range(64)])
 FINER = [[m | x for x in _masks([i for i in range(64) if not m >> i & 1])] for m in MASKS]
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The SimHash of a whole text, as an unsigned number."""
-    line = b" ".join((text or "").encode().lower().split())  # split() cuts at \\x20 and \\x09-\\x0D in bytes
-    if not line:
-        return 0
-    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(line)]
-    n = max(1, len(starts) - words + 1)
-    last = ends[min(words, len(ends)) - 1 :]
-    digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
-        hashes = np.array([digest(line[s:e], SEED) for s, e in zip(starts[at : min(n, at + 4096)], last[at:])], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(counts * 2 > n).tolist())
+def prints(t: Texts, words: int) -> np.ndarray:
+    """The SimHash of each text, as an unsigned number."""
+    count, size = np.diff(t.word_at), t.end - t.start
+    # words with one space behind each
+    at = np.cumsum(size + 1) - (size + 1)
+    number = np.repeat(np.arange(len(size)), size)
+    line = np.full(int((size + 1).sum()), 32, np.uint8)
+    line[np.arange(len(number)) + number] = t.data[np.arange(len(number)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(t.start, size)]
+    n = np.where(count > 0, np.maximum(1, count - words + 1), 0)
+    row = np.repeat(np.arange(t.rows), n)
+    first = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + t.word_at[row]
+    last = np.minimum(first + words, t.word_at[row + 1]) - 1
+    counts = np.zeros((t.rows, 64), np.int64)
+    for s in range(0, len(row), AT_ONCE):
+        some, begin, end = row[s : s + AT_ONCE], at[first[s : s + AT_ONCE]], (at + size)[last[s : s + AT_ONCE]]
+        bits = np.unpackbits(xxh64(line, begin, end, SEED).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        new = np.flatnonzero(np.diff(some, prepend=-1))
+        counts[some[new]] += np.add.reduceat(bits, new, axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
 def _signed(x: int) -> int:
@@ -70,8 +77,8 @@ def with_fingerprint(docs: DataFrame, name: str, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_signed(fingerprint(t.as_py(), words)) for t in batch.column(batch.schema.get_field_index("text"))]
-            yield batch.append_column(name, pa.array(found, pa.int64()))
+            found = [prints(t, words) for t in texts(pc.ascii_lower(batch.column(batch.schema.get_field_index("text"))))]
+            yield batch.append_column(name, pa.array((np.concatenate(found) if found else np.zeros(0, np.uint64)).view(np.int64)))
 
     return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias(name)).schema)
 
