@@ -7,9 +7,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from quillflow.llm import classifier, common, components, decontamination, language_model, mixing, quality_rules, sharding, similar, simhash, substring, toxicity, urls
+from quillflow.llm import classifier, common, components, decontamination, language_model, mixing, quality_rules, sharding, similar, simhash, substring, toxicity, urls, xxh
 from tests.llm import brute
 
 VOCAB = [a + b + c for a in "bdfkmprst" for b in "aeiou" for c in ("n", "l", "ro", "st", "é")]
@@ -453,6 +454,15 @@ def test_similar_pairs_among_a_template(spark, group):
     assert got == {i: i - 1200 if i >= 1200 else i for i, _ in rows}
 
 
+def test_xxh64_of_ranges():
+    """All lengths about the stripes' and lanes' ends equal the reference implementation of the hash."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 9000).astype(np.uint8)
+    start = rng.integers(0, 4000, 400)
+    end = start + np.concatenate([np.arange(140), rng.integers(0, 5000, 260)])
+    assert xxh.xxh64(data, start, end, 42).tolist() == [xxhash.xxh64_intdigest(data[s:e].tobytes(), 42) for s, e in zip(start, end)]
+
+
 def family_of(spark, sets):
     """One family, in 12 parts, of classes with these sets."""
     rows = [(0, i, len(x), i * 7919 % 12, sorted(x)) for i, x in enumerate(sets)]
