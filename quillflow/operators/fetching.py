@@ -43,7 +43,8 @@ def paced(requests: DataFrame, interval_ms: int = INTERVAL_MS) -> DataFrame:
     queue by nature; its windows are a host's own. For requests that take longer than the interval see `scheduled`.
     """
     w = Window.partitionBy("host").orderBy("at_ms", "request_id")
-    k = F.row_number().over(w)
+    # an int's times the interval overflow beyond 715 000 requests of a host
+    k = F.row_number().over(w).cast("long")
     rows = requests.withColumn("_k", k).withColumn("_slack", F.col("at_ms") - F.col("_k") * interval_ms)
     start = F.col("_k") * interval_ms + F.max("_slack").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("start_ms", start).withColumn("wait_ms", F.col("start_ms") - F.col("at_ms")).drop("_k", "_slack")

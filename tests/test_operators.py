@@ -350,6 +350,13 @@ def test_fetch_tasks(spark):
     assert [x[0] for x in spark.range(1, 5).select(fetching.retry_delay(F.col("id"))).collect()] == [800, 1600, 3200, None]
 
 
+def test_pacing_beyond_the_numbers_of_an_int(spark):
+    # 720 000 starts an interval apart take more milliseconds than an int holds
+    many = spark.range(720_000).select(F.lit("h").alias("host"), F.lit(0).cast("long").alias("at_ms"), F.col("id").alias("request_id"))
+    got = fetching.paced(many).agg(F.count("*"), F.max("start_ms"), F.max("wait_ms")).first()
+    assert tuple(got) == (720_000, 719_999 * 3000, 719_999 * 3000)
+
+
 def test_storage(spark):
     f = spark.createDataFrame([("books/a/book.json", 10), ("books/a/chapters/0001.txt", 5), ("index/x.json", 7), (".trash/z", 3), ("library.json.bak", 2), ("settings.json", 4)], "path string, bytes long")
     got = {(r.section, r.owner): r.bytes for r in storage.usage(f).collect()}
