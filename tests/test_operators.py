@@ -355,6 +355,8 @@ def test_pacing_beyond_the_numbers_of_an_int(spark):
     many = spark.range(720_000).select(F.lit("h").alias("host"), F.lit(0).cast("long").alias("at_ms"), F.col("id").alias("request_id"))
     got = fetching.paced(many).agg(F.count("*"), F.max("start_ms"), F.max("wait_ms")).first()
     assert tuple(got) == (720_000, 719_999 * 3000, 719_999 * 3000)
+    stats = fetching.pacing_stats(fetching.paced(many)).first()
+    assert (stats.requests, stats.waits, stats.wait_ms) == (720_000, 719_999, 3000 * 719_999 * 720_000 // 2)
 
 
 def test_storage(spark):
