@@ -109,10 +109,11 @@ def segments(text: Column, size: int = 300) -> Column:
     return F.array_compact(found)
 
 
-def format_bytes(c: Column) -> Column:
-    """B, KB, MB or GB by powers of 1024, with one decimal from KB on."""
+def format_bytes(c: Column, largest: str = "GB") -> Column:
+    """B, KB, MB or GB by powers of 1024, with one decimal from KB on. largest: MB for sizes that are shown in no greater unit, as those of backups are."""
     unit = lambda n, name: F.concat(F.format_number(c / 1024**n, 1), F.lit(f" {name}"))
-    return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1024**2, unit(1, "KB")).when(c < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))
+    small = F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1024**2, unit(1, "KB"))
+    return small.otherwise(unit(2, "MB")) if largest == "MB" else small.when(c < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))
 
 
 def format_duration(ms: Column) -> Column:

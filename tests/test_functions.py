@@ -35,6 +35,9 @@ def test_segments_and_sizes(spark):
     assert [s["label"] for s in one(spark, "x" * 1300, text.segments)] == ["开头", "中间", "结尾"]
     assert [s["label"] for s in one(spark, "x" * 1000, text.segments)] == ["开头", "结尾"]
     assert one(spark, 1536, text.format_bytes, "long") == "1.5 KB"
+    assert one(spark, 1024**3, text.format_bytes, "long") == "1.0 GB"
+    assert one(spark, 1024**3, lambda c: text.format_bytes(c, largest="MB"), "long") == "1,024.0 MB"
+    assert one(spark, 1536, lambda c: text.format_bytes(c, largest="MB"), "long") == "1.5 KB"
     assert one(spark, 3_700_000, text.format_duration, "long") == "1 小时 1 分钟"
     assert one(spark, 59_000, text.format_duration, "long") == "59 秒"
 
