@@ -11,8 +11,13 @@ rows take no room.
 
 from __future__ import annotations
 
+import json
+import pickle
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -22,55 +27,97 @@ from quillflow.operators.reading import NEAR
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Seconds that a host's robots rules, and a staged upload, are good for.
 ROBOTS_S, STAGED_S = 600, 7200
+#: Rows of a frame, and the order of a row that has none: before all others of its time.
+FRAME, NO_ORDER = 10_000, -(2**63)
 
 #: (state or None, row) to (state or None, rows of the result).
 Fold = Callable[[tuple | None, Row], tuple[tuple | None, list[tuple]]]
 
 
 class InOrder(StatefulProcessor):
-    """Rows of a key through a fold, in order. A state is a tuple whose first entry is the time, in milliseconds, at which its life begins."""
+    """Rows of a key through a fold, in order. A state is a tuple whose first entry is the time, in milliseconds, at which its life begins.
+
+    Waiting rows are kept in parts of some thousand, each a few arrays, and given in frames of as many: a task holds the times and orders of one key's
+    waiting rows (16 bytes each, and its values where there are any), and a frame of what comes of them.
+    """
 
     def __init__(self, fold: Fold, columns: list[str], waiting: str, state: str, output: list[str], live_ms: int | None):
         self.fold, self.columns, self.waiting_ddl, self.state_ddl, self.output, self.live_ms = fold, columns, waiting, state, output, live_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_ddl)
+        self.waiting = handle.getMapState("waiting", "part string", self.waiting_ddl)
         self.state = handle.getValueState("state", self.state_ddl)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        new = [tuple(row[c] for c in self.columns) for row in rows]
-        new = [row for row in new if row[0] > passed]
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(min(row[0] for row in new))
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed, first = timerValues.getCurrentWatermarkInMs(), None
+        for frame in rows:
+            frame = frame[frame["at_ms"] > passed]
+            if len(frame):
+                at = frame["at_ms"].to_numpy(np.int64)
+                self._put(at, frame["order_of"].to_numpy(np.int64), frame["values_of"].tolist() if len(self.columns) > 2 else None)
+                first = int(at.min()) if first is None else min(first, int(at.min()))
+        if first is not None:
+            self.handle.registerTimer(first)
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def _put(self, at: np.ndarray, order: np.ndarray, values: list[str] | None) -> None:
+        self.waiting.updateValue((uuid.uuid4().hex,), (pickle.dumps((at.tobytes(), order.tobytes(), values)),))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted((tuple(row) for row in self.waiting.get()), key=lambda r: r[:2]) if self.waiting.exists() else []
-        ready, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        state = tuple(self.state.get()) if self.state.exists() else None
-        before, out = state, []
-        for row in ready:
-            if self._over(state, row[0]):
-                state = None
-            state, found = self.fold(state, Row(*self.columns)(*row))
-            out += [Row(*self.output)(*key, *each) for each in found]
+        at, order, values, taken, first = [], [], [], [], None
+        for part, packed in self.waiting.iterator():
+            times, orders, texts = pickle.loads(packed[0])
+            times = np.frombuffer(times, np.int64)
+            if times.min() > passed:
+                first = int(times.min()) if first is None else min(first, int(times.min()))
+                continue
+            taken.append(part)
+            at.append(times)
+            order.append(np.frombuffer(orders, np.int64))
+            values += texts or []
+        at, order = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (at, order))
+        state = self.state.get()
+        before = state = None if state is None else tuple(state)
+        ready, later = np.flatnonzero(at <= passed), np.flatnonzero(at > passed)
+        ready = ready[np.lexsort((order[ready], at[ready]))]
+        make, out = Row(*self.columns), []
+        for start in range(0, len(ready), FRAME):
+            places = ready[start : start + FRAME]
+            for i, now, place in zip(places.tolist(), at[places].tolist(), order[places].tolist()):
+                if self._over(state, now):
+                    state = None
+                more = json.loads(values[i]).values() if values else ()
+                state, found = self.fold(state, make(now, None if place == NO_ORDER else place, *more))
+                out += [(*key, *each) for each in found]
+            if len(out) >= FRAME:
+                yield self._frame(out)
+                out = []
+        if out:
+            yield self._frame(out)
         if self._over(state, passed):
             state = None
-        if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
-            if later:
-                self.handle.registerTimer(later[0][0])
+        if len(taken) == 1 and not len(later) and first is None:
+            self.waiting.clear()
+        else:
+            for part in taken:
+                self.waiting.removeKey(part)
+        for start in range(0, len(later), FRAME):
+            places = later[start : start + FRAME]
+            self._put(at[places], order[places], [values[i] for i in places.tolist()] if values else None)
+        if len(taken) and (len(later) or first is not None):
+            self.handle.registerTimer(min([*([int(at[later].min())] if len(later) else []), *([first] if first is not None else [])]))
         if state is None:
-            self.state.clear()
+            if before is not None:
+                self.state.clear()
         elif state != before:
             self.state.update(state)
             if self.live_ms is not None:
                 self.handle.registerTimer(state[0] + self.live_ms)
-        return iter(out)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.output, dtype=object)
 
     def _over(self, state: tuple | None, now: int) -> bool:
         return state is not None and self.live_ms is not None and now - state[0] >= self.live_ms
@@ -82,18 +129,20 @@ class InOrder(StatefulProcessor):
 def in_order(stream: DataFrame, key: str, at: str, order: str, values: list[str], fold: Fold, state: str, output: str, late: str, live_s: int | None = None) -> DataFrame:
     """key and output (columns as DDL) of stream's rows through the fold.
 
-    at: a timestamp; order: a long that orders rows of one time; the fold's rows have at_ms, order and values. state: DDL, its first column a long.
+    at: a timestamp; order: a long that orders rows of one time; the fold's rows have at_ms, order and values. state: DDL, its first column a long. values: columns that JSON can hold (texts, numbers, booleans).
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     timed = stream.filter(F.col(at).isNotNull() & F.col(key).isNotNull()).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
-    rows = timed.select(key, at, F.unix_millis(at).alias("at_ms"), F.col(order).cast("long").alias("_order"), *values)
+    # a row's values are one text, in which nulls and whole numbers stay what they are
+    packed = F.to_json(F.struct(*values), {"ignoreNullFields": "false"}) if values else F.lit(None).cast("string")
+    # frames take no names that begin with an underscore
+    rows = timed.select(key, at, F.unix_millis(at).alias("at_ms"), F.coalesce(F.col(order).cast("long"), F.lit(NO_ORDER)).alias("order_of"), packed.alias("values_of"))
     columns = ["at_ms", "_order", *values]
-    waiting = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema.fields)
     result = f"`{key}` {rows.schema[key].dataType.simpleString()}, {output}"
     names = spark.createDataFrame([], result).columns
-    processor = InOrder(fold, columns, waiting, state, names, None if live_s is None else live_s * 1000)
-    return rows.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=result, outputMode="append", timeMode="eventTime")
+    processor = InOrder(fold, columns, "rows binary", state, names, None if live_s is None else live_s * 1000)
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=result, outputMode="append", timeMode="eventTime")
 
 
 def kept_jumps(jumps: DataFrame, reader: str = "owner_id", near: int = NEAR, late: str = "1 hour") -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from quillflow.operators import reading
@@ -86,3 +87,62 @@ def test_staged_uploads_expire(spark, tmp_path):
 def test_fold_of_one_key(live):
     p = states.InOrder(None, [], "", "", [], live)
     assert not p._over(None, 5) and p._over((0,), 1000) == bool(live) and not p._over((1,), 1000)
+
+
+class Kept:
+    """The states of one key, as a processor sees them."""
+
+    def __init__(self):
+        self.parts, self.value, self.timers = {}, None, []
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return Kept()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.passed
+
+    def updateValue(self, part, rows):
+        self.parts[part] = rows
+
+    def removeKey(self, part):
+        del self.parts[part]
+
+    def iterator(self):
+        return iter(list(self.parts.items()))
+
+    def clear(self):
+        self.parts = {}
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_key_of_many_rows_is_kept_in_parts_and_given_in_frames():
+    n, kept = 25_000, Kept()
+    p = states.InOrder(lambda state, r: ((r.at_ms,), [(r["_order"], r.at_ms)]), ["at_ms", "_order"], "rows binary", "since long", ["host", "request_id", "at_ms"], None)
+    p.init(kept)
+    times = random.Random(3).sample(range(n), n)
+    frames = [pd.DataFrame({"host": "h", "at_ms": times[i : i + 10_000], "order_of": [t % 7 for t in times[i : i + 10_000]], "values_of": None}) for i in range(0, n, 10_000)]
+    kept.passed = -1
+    assert not list(p.handleInputRows(("h",), iter(frames), kept)) and len(kept.parts) == 3 and kept.timers == [0]
+    kept.passed = 19_999
+    first = list(p.handleExpiredTimer(("h",), kept, None))
+    assert [len(x) for x in first] == [states.FRAME] * 2 and kept.timers[-1] == 20_000
+    kept.passed = n
+    rest = list(p.handleExpiredTimer(("h",), kept, None))
+    assert [t for x in first + rest for t in x["at_ms"]] == list(range(n)) and not kept.parts
+
+
+def test_rows_of_no_order_come_first_at_their_time(spark, tmp_path):
+    feed = Feed(spark, tmp_path, JUMPS, lambda s: states.kept_jumps(s, late="0 seconds"))
+    feed.put([("u", "2", 1, 0, T0, 7), ("u", None, None, 3, T0, None)])
+    assert [(r.event_id, r.book_id, r.chapter_index, r.char_offset) for r in sorted(feed.drain(), key=lambda r: r.event_id or 0)] == [(None, None, None, 3), (7, "2", 1, 0)]
