@@ -8,9 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of texts that go to Python at once; a worker holds them several times over, as bytes, texts and results.
+BATCH_BYTES, _BATCH_KEY, _BATCH_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 HEAD, TAIL = 64 * 1024, 16 * 1024
 CODECS = {"UTF-8": "utf-8", "UTF-8 BOM": "utf-8-sig", "GBK": "gbk", "GB18030": "gb18030", "BIG5": "big5", "UTF-16LE": "utf-16-le", "UTF-16BE": "utf-16-be"}
 #: In order of preference among those that give the same text.
@@ -34,6 +36,13 @@ class Score:
     familiar: float
 
 
+def small_batches() -> None:
+    """Bounds this session's Arrow batches by BATCH_BYTES, unless it has a bound of its own: by rows alone, ten thousand texts of any length are one batch."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
+
+
 @functools.lru_cache(8)
 def _codes(familiar: str) -> np.ndarray:
     return np.unique(np.frombuffer(familiar.encode("utf-32-le"), np.uint32))
@@ -111,18 +120,23 @@ def detect(data: Column, familiar: str = FREQUENT) -> Column:
     def run(batch: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([detect_one(bytes(x) if x is not None else None, familiar) for x in batch], columns=["encoding", "confidence", "confident", "candidates"])
 
+    small_batches()
     certain = _certain(data)
     return F.coalesce(certain, run(F.when(certain.isNull(), data)))
 
 
 def decode(data: Column, encoding: Column) -> Column:
-    """Bytes as text by the name of their encoding; what cannot be read becomes U+FFFD, an unknown name null."""
+    """Bytes as text by the name of their encoding; what cannot be read becomes U+FFFD, an unknown name null. Valid UTF-8 is read in the JVM."""
 
     @F.pandas_udf("string")
     def run(batch: pd.Series, names: pd.Series) -> pd.Series:
         return pd.Series([bytes(x).decode(CODECS[n], "replace").removeprefix("﻿") if x is not None and n in CODECS else None for x, n in zip(batch, names)], dtype=object)
 
-    return run(data, encoding)
+    small_batches()
+    text = data.cast("string")
+    plain = (encoding == "UTF-8") & F.is_valid_utf8(text)
+    read = F.when(F.startswith(text, F.lit("\ufeff")), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+    return F.coalesce(F.when(plain, read), run(F.when(~F.coalesce(plain, F.lit(False)), data), encoding))
 
 
 # A second opinion, by the bytes alone ------------------------------------------------------------------------------------------------------------
@@ -178,6 +192,7 @@ def voted(data: Column) -> Column:
     def run(batch: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([vote(bytes(x)) or (None, None) if x is not None else (None, None) for x in batch], columns=["encoding", "confidence"])
 
+    small_batches()
     out = run(data)
     return F.when(out["encoding"].isNotNull(), out)
 
@@ -244,6 +259,7 @@ def recover(text: Column, familiar: str = FREQUENT) -> Column:
     def run(batch: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([recover_one(x, familiar) for x in batch], columns=["text", "chain", "applied", "improved", "unrecoverable", "partial"])
 
+    small_batches()
     return run(text)
 
 

@@ -1,3 +1,5 @@
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quillflow import schemas
@@ -174,3 +176,17 @@ def test_familiar_characters_are_learned(spark):
     assert [(r.char, r.n) for r in encoding.familiar_of(df, most=2).collect()] == [("的", 4), ("一", 3)]
     learned = "".join(r.char for r in encoding.familiar_of(df).collect())
     assert encoding.score("的一是", learned).familiar == 1.0 and encoding.score("山水", learned).familiar == 0.0
+
+
+@pytest.mark.parametrize("of", [encoding.recover, lambda c: encoding.decode(F.encode(c, "UTF-8"), F.lit("UTF-8"))])
+def test_long_texts_go_to_python_in_small_batches(spark, of):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.range(1).select(of(F.lit("x")))
+
+    @F.pandas_udf("long")
+    def rows(batch: pd.Series) -> pd.Series:
+        return pd.Series([len(batch)] * len(batch))
+
+    # 50 MB that were one batch
+    most = spark.range(0, 10_000, 1, 1).select(rows(F.repeat(F.lit("ab"), 2500)).alias("n")).agg(F.max("n")).first()[0]
+    assert most * 5000 <= 2 * encoding.BATCH_BYTES
