@@ -190,3 +190,10 @@ def test_long_texts_go_to_python_in_small_batches(spark, of):
     # 50 MB that were one batch
     most = spark.range(0, 10_000, 1, 1).select(rows(F.repeat(F.lit("ab"), 2500)).alias("n")).agg(F.max("n")).first()[0]
     assert most * 5000 <= 2 * encoding.BATCH_BYTES
+
+
+def test_decoding_utf8_in_the_jvm_is_python_s(spark):
+    cases = [b"", b"plain", "é漢😀".encode(), b"\xef\xbb\xbfx", b"\xef\xbb\xbf\xef\xbb\xbfx", b"a\xffb", b"\xed\xa0\x80", b"\x00", None]
+    got = spark.createDataFrame(list(enumerate(cases)), "n int, data binary").select("n", encoding.decode(F.col("data"), F.lit("UTF-8")).alias("t"), encoding.decode(F.col("data"), F.lit(None).cast("string")).alias("u")).collect()
+    assert {r.n: r.t for r in got} == {n: None if x is None else x.decode("utf-8", "replace").removeprefix("\ufeff") for n, x in enumerate(cases)}
+    assert all(r.u is None for r in got)
