@@ -142,3 +142,24 @@ def test_an_empty_library(spark, tmp_path):
     k = KeptIndex(spark, f"{tmp_path}/i", 4)
     assert k.refresh(chapters(spark, {"b": ["x y z", None, ""]})) == 1
     assert k.refresh(chapters(spark, {"b": ["x y z"]}).filter("false")) == 2 and k.texts.read().count() == 0
+
+
+def test_refreshing_an_index_looks_at_the_chapters_once_for_changes_and_once_for_texts(spark, tmp_path):
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def marked(content):
+        looked.add(1)
+        return content
+
+    def chapters(*texts):
+        rows = spark.createDataFrame([(str(i), 1, "", t) for i, t in enumerate(texts)], "book_id string, index int, title string, content string")
+        return rows.withColumn("content_hash", marked("content"))
+
+    k = KeptIndex(spark, f"{tmp_path}/i", 4)
+    k.refresh(chapters("aa b", "c😀d", "e"))
+    assert looked.value <= 3
+    k.refresh(chapters("aa b", "c😀f", "e"))
+    assert looked.value <= 3 + 2 * 3
+    assert [r.book_id for r in k.matches("😀F").collect()] == ["1"] and not k.matches("😀d").collect() and [r.book_id for r in k.candidates("c😀").collect()] == ["1"]
+    assert not list((tmp_path / "i" / "changed").iterdir())
