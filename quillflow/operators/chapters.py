@@ -12,8 +12,8 @@ from quillflow.schemas import CHAPTER_FAILED, CHAPTER_OK, FETCH_DONE, FETCH_NONE
 ISSUES = ("empty", "failed", "missing", "duplicate", "jump")
 
 
-def diagnose(chapters: DataFrame) -> DataFrame:
-    """A row for each issue: book_id, chapter_index (the place in the list), title, type, and first_index or number_before where the type has them.
+def _examined(chapters: DataFrame) -> DataFrame:
+    """chapters with chapter_index (the place in the list), first_index, number_before and found: the types of their issues.
 
     chapters: book_id, position (anything that orders a book's list), title, char_count, is_ok, fetched_at. A book is one window, as its list is
     bounded by a book's length; books with most of the rows are split from others by the book's own key.
@@ -34,15 +34,19 @@ def diagnose(chapters: DataFrame) -> DataFrame:
         issue(F.col("name").isNotNull() & (F.col("chapter_index") > F.col("first_index")), "duplicate"),
         issue(F.col("number").isNotNull() & (F.col("number") != F.col("number_before") + 1), "jump"),
     ))
-    rows = placed.withColumn("type", F.explode(found))
+    return placed.withColumn("found", found)
+
+
+def diagnose(chapters: DataFrame) -> DataFrame:
+    """A row for each issue: book_id, chapter_index, title, type, and first_index or number_before where the type has them. As `_examined` otherwise."""
+    rows = _examined(chapters).withColumn("type", F.explode("found"))
     return rows.select("book_id", "chapter_index", "title", "type", F.when(F.col("type") == "duplicate", F.col("first_index")).alias("first_index"), F.when(F.col("type") == "jump", F.col("number_before")).alias("number_before"))
 
 
 def diagnosis(chapters: DataFrame) -> DataFrame:
     """A row a book: chapters in all, and issues of each type."""
-    totals = chapters.groupBy("book_id").agg(F.count("*").alias("total"))
-    counts = diagnose(chapters).groupBy("book_id").agg(*[F.count_if(F.col("type") == t).alias(t) for t in ISSUES])
-    return totals.join(counts, "book_id", "left").na.fill(0, list(ISSUES))
+    # the rows lie by book already, for the windows: they are counted where they are
+    return _examined(chapters).groupBy("book_id").agg(F.count("*").alias("total"), *[F.count_if(F.array_contains("found", t)).alias(t) for t in ISSUES])
 
 
 def fetch_status(chapters: DataFrame) -> DataFrame:

@@ -416,3 +416,12 @@ def test_shelf_times_and_orders(spark):
     assert (ids("bytes"), ids("chapters"), ids("title")) == (["2", "1", "3"], ["2", "3", "1"], ["2", "1", "3"])
     with pytest.raises(ValueError):
         storage.listed(b, "x")
+
+
+def test_diagnosis_counts_issues_in_one_shuffle(spark):
+    rows = [("a", i, f"Chapter {n}", size, True, None) for i, (n, size) in enumerate([(1, 5), (1, 0), (4, 5)])] + [("b", 0, "Chapter 1", 5, True, None)]
+    df = spark.createDataFrame(rows, "book_id string, position int, title string, char_count int, is_ok boolean, fetched_at timestamp")
+    got = chapters.diagnosis(df)
+    assert {r.book_id: (r.total, r.empty, r.failed, r.missing, r.duplicate, r.jump) for r in got.collect()} == {"a": (3, 1, 0, 0, 1, 2), "b": (1, 0, 0, 0, 0, 0)}
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
