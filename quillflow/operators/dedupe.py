@@ -105,7 +105,8 @@ def resolve_pages(pages: DataFrame, books: DataFrame) -> DataFrame:
     Of two that are one, the shorter's rarest bigram is in the other where one is within the other, and they share a bigram among the first
     n - ceil(t * n) + 1 of each from rare to frequent where they are similar by t. So titles meet on rare bigrams, not on any.
     """
-    p = pages.select("page_id", "host", "book_id", skeleton(F.col("title")).alias("s"))
+    # read several times below: pages are parsed once
+    p = settled(pages.select("page_id", "host", "book_id", skeleton(F.col("title")).alias("s")), "page-titles")
     b = books.select(F.col("book_id").alias("_id"), "source_site", F.coalesce("total_chapters", F.lit(0)).alias("total"), "position", skeleton(F.col("title")).alias("t"))
     left, right = p.select("s").filter("s <> ''").distinct(), b.select(F.col("t").alias("s")).filter("s <> ''").distinct()
     ranked = _by_rarity(left.unionByName(right).distinct())

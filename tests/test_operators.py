@@ -425,3 +425,18 @@ def test_diagnosis_counts_issues_in_one_shuffle(spark):
     assert {r.book_id: (r.total, r.empty, r.failed, r.missing, r.duplicate, r.jump) for r in got.collect()} == {"a": (3, 1, 0, 0, 1, 2), "b": (1, 0, 0, 0, 0, 0)}
     assert got._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
+
+
+def test_resolving_pages_reads_each_once(spark):
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(title):
+        looked.add(1)
+        return title
+
+    raw = spark.createDataFrame([(1, "h", "Some long title"), (2, "g", "Another one")], "page_id int, host string, raw string")
+    seen = raw.select("page_id", "host", F.lit(None).cast("string").alias("book_id"), read("raw").alias("title"))
+    books = spark.createDataFrame([("b", "Some long title", "h", 3, 1)], "book_id string, title string, source_site string, total_chapters int, position int")
+    got = {r.page_id: (r.via, r.book_id, r.next_index) for r in dedupe.resolve_pages(seen, books).collect()}
+    assert got == {1: ("same-site", "b", 4), 2: ("new", None, 1)} and looked.value == 2
