@@ -7,6 +7,7 @@ hash, to the n-grams that a document explodes into. A document's score is the su
 A corpus that is scored by its own counts (`score` without a corpus) leaves each text out of the counts that it is scored by: an n-gram that no other text
 has is scored one word shorter, times `backoff`, and so on; a word that no other text has counts as if it had been there once. Whether an n-gram backs off is then
 told by its key alone (has a second text got it?), so at order 2 one join with the pairs of several texts settles it, and words' counts are those of contexts.
+What a text explodes into and the table go to that join in blocks, some numbers of one range of keys each, of which a task takes one range after the other.
 A bitmap of fixed size, with two bits for each key that the tables know, keeps most of the n-grams that surely back off out of the shuffle; where it is full,
 more rows go on, and results are the same. The most frequent pairs and words, at most `frequent` each, are summed where they are exploded, so they are no hot
 keys of the join; other words follow in a second join, by key, once their pair is known to back off or not.
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillflow.llm.common import Texts, mix, pieces, stage, texts
+from quillflow.sources.shared import leanly
 
 #: A text's different n-grams and contexts, of so many of which a task adds up the counts at once.
 GATHER = 1 << 20
@@ -37,6 +39,8 @@ GATHER = 1 << 20
 FINE = 16
 #: The bitmap has 2**BITMAP bits (16 MB); it comes to the driver in 2**PART parts.
 BITMAP, PART = 27, 8
+#: Rows that a task packs at once, into blocks of one of 2**RANGE ranges of keys each; rows of which it adds up the documents at once.
+PACK, RANGE, ADD = 1 << 16, 10, 1 << 19
 #: The last two bits of a key say what a row is.
 NGRAM, CONTEXT, SUM = range(3)
 START = np.uint64(0x5BD1E995)
@@ -191,11 +195,173 @@ class _Known:
         return np.where(self.keys[at] == keys, self.c[at], 0)
 
 
+# Blocks of rows -------------------------------------------------------------------------------------------------------
+
+#: What a block holds: keys and counts of the table, pairs that are kept, or whole rows.
+TABLE, KEPT, WHOLE = range(3)
+#: A block's numbers, column by column: bytes that vary from row to row apart from those that hardly do, and so shuffle in next to none.
+BLOCK = "range int, kind int, key binary, n binary, n_high binary, doc binary, doc_high binary, no_doc binary, fixed binary, rest binary"
+
+
+def _blocks(kind: int, key: np.ndarray, n: np.ndarray, doc: np.ndarray | None = None, no_doc: np.ndarray | None = None, fixed: np.ndarray | None = None, rest: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows (rest: some columns of eight bytes) as a block for each range of keys that they have."""
+    of = (key >> np.uint64(64 - RANGE)).astype(np.uint16)
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    ends = np.append(first, len(of))
+
+    def cut(x: np.ndarray | None, start: int, end: int) -> pa.Array:
+        if x is None:
+            return pa.array([b""] * len(first), pa.binary())
+        data = np.ascontiguousarray(np.ascontiguousarray(x[order]).view(np.uint8).reshape(len(x), -1)[:, start:end])
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * (end - start)).astype(np.int32)), pa.py_buffer(data)])
+
+    columns = [cut(key, 0, 7), cut(n, 0, 1), cut(n, 1, 8), cut(doc, 0, 2), cut(doc, 2, 8), cut(no_doc, 0, 1), cut(fixed, 0, 5), cut(rest, 0, 8 * REST)]
+    return pa.RecordBatch.from_arrays([pa.array(of[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), *columns], [f.split()[0] for f in BLOCK.split(", ")])
+
+
+class _Rows:
+    """The rows of some blocks of one kind."""
+
+    def __init__(self, blocks: pa.RecordBatch, kind: int):
+        blocks = blocks.filter(pc.equal(blocks.column("kind"), kind))
+        count = pc.binary_length(blocks.column("n")).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.size = int(count.sum())
+
+        def cut(name: str, width: int) -> np.ndarray:
+            column = blocks.column(name)
+            _, offsets, data = column.cast(pa.binary()).buffers()
+            if not self.size or data is None:
+                return np.zeros((self.size, width), np.uint8)
+            at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+            return np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, width)
+
+        def joined(*parts: np.ndarray) -> np.ndarray:
+            out = np.zeros((self.size, 8), np.uint8)
+            at = 0
+            for x in parts:
+                out[:, at : at + x.shape[1]] = x
+                at += x.shape[1]
+            return out.view(np.int64).ravel()
+
+        top = np.repeat(blocks.column("range").to_numpy(zero_copy_only=False).astype(np.int64) >> (RANGE - 8), count).astype(np.uint8)
+        self.key = joined(cut("key", 7), top[:, None]).view(np.uint64)
+        self.n = joined(cut("n", 1), cut("n_high", 7))
+        if kind != TABLE:
+            self.doc, self.no_doc, self.fixed = joined(cut("doc", 2), cut("doc_high", 6)), cut("no_doc", 1).ravel() > 0, joined(cut("fixed", 5))
+            self.rest = np.ascontiguousarray(cut("rest", 8 * REST)).view(np.int64).reshape(-1, REST).T if kind == WHOLE else np.zeros((REST, self.size), np.int64)
+
+
+def _packed_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append((batch.column("key").to_numpy().view(np.uint64), batch.column("c").to_numpy()))
+        size += batch.num_rows
+        if size >= PACK:
+            yield _blocks(TABLE, *(np.concatenate(x) for x in zip(*held)))
+            held, size = [], 0
+    if size:
+        yield _blocks(TABLE, *(np.concatenate(x) for x in zip(*held)))
+
+
 #: What a text explodes into. A pair (NGRAM): n times; what each time adds if it backs off (`fixed`, in FIXED parts of one over -OFFSET, five bytes that shuffle well and are
 #: exact to 2e-10), and, if not null, the words whose counts its score still needs then (word) or else (context), with the text's own number of them.
 #: A word (CONTEXT): n times its logarithm, less own_word. SUM: value, n words, own_word of them backed off.
 ROW = "doc_id long, n long, word long, own_word long, context long, own_context long, value double, key long, fixed long"
 FIXED, OFFSET = 1 << 32, 64
+#: The columns from word to value, which only some rows have; no word's key is 0.
+REST = 5
+
+
+class _Packed:
+    """Rows of ROW that wait to be packed."""
+
+    def __init__(self) -> None:
+        self.held: dict[int, list[tuple]] = {KEPT: [], WHOLE: []}
+        self.size = {KEPT: 0, WHOLE: 0}
+
+    def add(self, doc: np.ndarray, no_doc: np.ndarray, n: np.ndarray, *columns: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        *rest, key, fixed = columns
+        kind = KEPT if all(x is None for x in rest) else WHOLE
+        fixed = np.zeros(len(key), np.int64) if fixed is None else fixed
+        rest = [] if kind == KEPT else [np.stack([np.zeros(len(key), np.int64) if x is None else np.ascontiguousarray(x).view(np.int64) for x in rest], 1)]
+        self.held[kind].append((key, n.astype(np.int64), doc, no_doc.astype(np.uint8), fixed, *rest))
+        self.size[kind] += len(key)
+        if self.size[kind] >= PACK:
+            yield from self.out(kind)
+
+    def out(self, kind: int) -> Iterator[pa.RecordBatch]:
+        if self.size[kind]:
+            yield _blocks(kind, *(np.concatenate(x) for x in zip(*self.held[kind])))
+        self.held[kind], self.size[kind] = [], 0
+
+
+SETTLED = "doc_id long, log double, n_words long, n_backed_off long, word long, own long, times long"
+
+
+def _summed_up(held: list[tuple]) -> tuple:
+    """Documents (id, whether it has none, log, n_words, n_backed_off), each once."""
+    doc, no_doc, log, n_words, lost = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((doc, no_doc))
+    doc, no_doc = doc[order], no_doc[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (no_doc[1:] != no_doc[:-1])))
+    return doc[first], no_doc[first], *(np.add.reduceat(x[order], first) for x in (log, n_words, lost))
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks in the order of range and kind to what each row comes to (SETTLED): by document, and the words whose counts are still asked for.
+
+    The table's blocks of a range come before its rows, so only the table of the last range has to be kept from batch to batch.
+    """
+    names = [f.split()[0] for f in SETTLED.split(", ")]
+    keys, counts_ = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held, size = [], 0
+
+    def ids(doc: np.ndarray, no_doc: np.ndarray) -> pa.Array:
+        return pa.array(doc, pa.int64(), mask=no_doc)
+
+    def documents() -> pa.RecordBatch:
+        doc, no_doc, log, n_words, lost = _summed_up(held)
+        nothing = pa.nulls(len(doc), pa.int64())
+        return pa.RecordBatch.from_arrays([ids(doc, no_doc), pa.array(log), pa.array(n_words), pa.array(lost), nothing, nothing, pa.array(np.zeros(len(doc), np.int64))], names)
+
+    for batch in pieces(batches):
+        more = _Rows(batch, TABLE)
+        keys, counts_ = np.concatenate([keys, more.key]), np.concatenate([counts_, more.n])
+        order = np.argsort(keys)
+        keys, counts_ = keys[order], counts_[order]
+        for r in (_Rows(batch, KEPT), _Rows(batch, WHOLE)):
+            if not r.size:
+                continue
+            at = np.minimum(np.searchsorted(keys, r.key), max(0, len(keys) - 1))
+            there = keys[at] == r.key if len(keys) else np.zeros(r.size, bool)
+            c = np.where(there, counts_[at], 1) if len(keys) else np.ones(r.size, np.int64)
+            word, own_word, context, own_context, value = r.rest
+            kind = r.key & np.uint64(3)
+            found, lost, sums = (kind == NGRAM) & there, (kind == NGRAM) & ~there, kind == SUM
+            log = r.n * np.select([found, lost], [np.log10(np.maximum(1, c - r.n)), r.fixed / FIXED - OFFSET], np.log10(np.maximum(1, c - own_word)))
+            log = np.where(sums, value.view(np.float64), log)
+            held.append((r.doc, r.no_doc, log, np.where(sums, r.n, 0), np.where(sums, own_word, np.where(lost, r.n, 0))))
+            size += r.size
+            asked = np.where(found, context, np.where(lost, word, 0))
+            late = np.flatnonzero(asked)
+            if len(late):
+                nought = pa.array(np.zeros(len(late), np.int64))
+                own, times = np.where(found, own_context, own_word)[late], np.where(found, -r.n, r.n)[late]
+                yield pa.RecordBatch.from_arrays([ids(r.doc[late], r.no_doc[late]), pa.array(np.zeros(len(late))), nought, nought, pa.array(asked[late]), pa.array(own), pa.array(times)], names)
+        if size >= ADD:
+            held = [_summed_up(held)]
+            size = len(held[0][0])
+            if 4 * size >= 3 * ADD:
+                yield documents()
+                held, size = [], 0
+        last = np.uint64(pc.max(batch.column("range")).as_py())
+        keep = keys >> np.uint64(64 - RANGE) == last
+        keys, counts_ = keys[keep], counts_[keep]
+    if size:
+        yield documents()
+    pa.default_memory_pool().release_unused()
 
 
 def _pairs(t: Texts, words: _Known, pairs: _Known, seen, total: int, backoff: float) -> Iterator[tuple]:
@@ -237,42 +403,35 @@ def _pairs(t: Texts, words: _Known, pairs: _Known, seen, total: int, backoff: fl
 def score_by_own(docs: DataFrame, backoff: float, frequent: int) -> DataFrame:
     """doc_id, n_words, n_backed_off and log, the sum of the words' log10 scores of order 2, by the counts of docs' other texts."""
     kind = F.col("key").bitwiseAND(3)
-    table = stage(counts(docs, 2).filter(((kind == NGRAM) & (F.col("texts") > 1)) | ((kind == CONTEXT) & (F.col("c") > 1)) | (F.col("key") == int(TOTAL))).select("key", "c"), "lm-counts")
-    total = table.filter(F.col("key") == int(TOTAL)).agg(F.sum("c")).first()[0] or 0
-    sent = docs.sparkSession.sparkContext.broadcast((*(_Known(_frequent(table.filter(kind == k), frequent)) for k in (CONTEXT, NGRAM)), _bitmap(table)))
+    with leanly(docs.sparkSession):
+        table = stage(counts(docs, 2).filter(((kind == NGRAM) & (F.col("texts") > 1)) | ((kind == CONTEXT) & (F.col("c") > 1)) | (F.col("key") == int(TOTAL))).select("key", "c"), "lm-counts")
+        total = table.filter(F.col("key") == int(TOTAL)).agg(F.sum("c")).first()[0] or 0
+        sent = docs.sparkSession.sparkContext.broadcast((*(_Known(_frequent(table.filter(kind == k), frequent)) for k in (CONTEXT, NGRAM)), _bitmap(table)))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, bits = sent.value
+        packed = _Packed()
 
         def seen(key: np.ndarray) -> np.ndarray:
             return np.logical_and.reduce([bits[at] & bit > 0 for at, bit in _slots(key, BITMAP)])
 
-        types = [f.split()[1] == "double" for f in ROW.split(", ")]
         for batch in pieces(batches):
             ids = batch.column("doc_id")
+            doc, no_doc = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
             for t in texts(_lowered(batch)):
                 for row, *columns in _pairs(t, words, pairs, seen, total, backoff):
-                    arrays = [pa.nulls(len(row), pa.float64() if d else pa.int64()) if x is None else pa.array(x.astype(float) if d else x.view(np.int64)) for x, d in zip(columns, types[1:])]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + t.first)), *arrays], [f.split()[0] for f in ROW.split(", ")])
-
-    rows = docs.select("doc_id", "text").mapInArrow(explode, ROW).join(table, "key", "left")
-    found = (kind == NGRAM) & F.col("c").isNotNull()
-    lost = (kind == NGRAM) & F.col("c").isNull()
-    log = F.when(found, F.col("n") * F.log10(F.col("c") - F.col("n"))).when(lost, F.col("n") * (F.col("fixed") / FIXED - OFFSET)).when(kind == SUM, F.col("value"))
-    log = F.coalesce(log, F.col("n") * F.log10(F.greatest(F.lit(1), F.coalesce("c", F.lit(1)) - F.col("own_word"))))
-    settled = rows.select(
-        "doc_id",
-        log.alias("log"),
-        F.when(kind == SUM, F.col("n")).otherwise(0).alias("n_words"),
-        F.when(kind == SUM, F.col("own_word")).when(lost, F.col("n")).otherwise(0).alias("n_backed_off"),
-        F.when(found, F.col("context")).when(lost, F.col("word")).alias("word"),
-        F.when(found, F.col("own_context")).when(lost & F.col("word").isNotNull(), F.col("own_word")).alias("own"),
-        F.when(found, -F.col("n")).when(lost, F.col("n")).otherwise(0).alias("times"),
-    )
+                    yield from packed.add(doc[row + t.first], no_doc[row + t.first], *columns)
+        for k in (KEPT, WHOLE):
+            yield from packed.out(k)
+        pa.default_memory_pool().release_unused()
+
+    rows = docs.select("doc_id", "text").mapInArrow(explode, BLOCK).unionByName(table.mapInArrow(_packed_table, BLOCK))
+    settled = rows.repartition("range").sortWithinPartitions("range", "kind").mapInArrow(_settled, SETTLED)
     # the words of decided pairs that are not frequent: few, by key
     sums = [F.sum(x).alias(x) for x in ("log", "n_words", "n_backed_off")]
-    part = stage(settled.groupBy("doc_id", "word", "own").agg(*sums, F.sum("times").alias("times")), "lm-parts")
-    late = part.filter("word is not null").join(table.select(F.col("key").alias("word"), "c"), "word", "left")
+    with leanly(docs.sparkSession):
+        part = stage(settled.groupBy("doc_id", "word", "own").agg(*sums, F.sum("times").alias("times")), "lm-parts")
+    late = part.filter("word is not null").join(table.filter(kind == CONTEXT).select(F.col("key").alias("word"), "c"), "word", "left")
     late = late.select("doc_id", (F.col("times") * F.log10(F.greatest(F.lit(1), F.coalesce("c", F.lit(1)) - F.col("own")))).alias("log"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_backed_off"))
     return part.select(late.columns).unionByName(late).groupBy("doc_id").agg(*sums)
 

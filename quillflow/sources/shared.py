@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _made: dict[str, list[str]] = {}
+_LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": f"{4 << 20}b"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +39,23 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def leanly(spark: SparkSession) -> Iterator[None]:
+    """Jobs within leave no shuffle files behind (Spark 4.1 and later; else they stay until the driver collects its garbage), and rows go to Python in batches of 4 MB at most.
+    For tables that are settled or collected there; what is only planned is not touched."""
+    before = {name: spark.conf.get(name, None) for name in _LEAN}
+    for name, value in _LEAN.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def made(spark: SparkSession) -> list[str]:
     """The folders that this application has been given and not removed."""
     return list(_made.get(spark.sparkContext.applicationId, []))

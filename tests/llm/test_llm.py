@@ -1,5 +1,7 @@
 import collections
+import gzip
 import math
+import os
 import random
 import zlib
 
@@ -11,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillflow.llm import classifier, common, components, decontamination, language_model, mixing, quality_rules, sharding, similar, simhash, substring, toxicity, urls, xxh
+from quillflow.sources import shared
 from tests.llm import brute
 
 VOCAB = [a + b + c for a in "bdfkmprst" for b in "aeiou" for c in ("n", "l", "ro", "st", "é")]
@@ -313,6 +316,36 @@ def test_backoff_scores_with_a_full_bitmap(spark, docs, rows, monkeypatch, bits,
     same_scores(language_model.score(docs, frequent=frequent), brute.backoff_scores(rows, 2))
 
 
+def test_backoff_scores_in_small_blocks(spark, docs, rows, monkeypatch):
+    """Blocks of a few rows, ids of any size or none among them, and documents that come in parts change no score."""
+    for name, size in (("PACK", 50), ("ADD", 20)):
+        monkeypatch.setattr(language_model, name, size)
+    far = [(i if i is None else i * (-(2**55) if i % 2 else 2**40), t) for i, t in rows]
+    got = language_model.score(spark.createDataFrame(far, "doc_id long, text string"), frequent=40)
+    want = brute.backoff_scores(rows, 2)
+    same_scores(got, {i if i is None else i * (-(2**55) if i % 2 else 2**40): x for i, x in want.items()})
+
+
+def test_a_language_model_shuffles_few_bytes_and_leaves_no_counts(spark, tmp_path):
+    """Rows take under 18 bytes in the join of 20 000 words (those of 80 bytes took over 21), and the counts' shuffle is gone when they are settled."""
+    words = np.arange(20_000, dtype=np.uint64) * np.uint64(2**40 + 12345)
+    key, n = common.mix(words), np.ones(len(words), np.int64)
+    blocks = language_model._blocks(language_model.KEPT, key, n, np.sort(words.view(np.int64) % 50), n.astype(np.uint8) * 0, (key >> np.uint64(25)).view(np.int64))
+    held = language_model._Rows(blocks, language_model.KEPT)
+    assert sorted(held.key) == sorted(key) and (held.n == 1).all() and not held.no_doc.any() and held.fixed.max() < 2**40
+    with gzip.open(tmp_path / "x", "wb", compresslevel=1) as f:
+        f.writelines(b or b"" for name in blocks.schema.names[2:] for b in blocks.column(name).to_pylist())
+    assert os.path.getsize(tmp_path / "x") < 18 * len(words)
+    before = set(shuffles(spark))
+    with shared.leanly(spark):
+        common.stage(spark.range(1000).groupBy(F.col("id") % 7).count(), "test")
+    assert set(shuffles(spark)) <= before
+
+
+def shuffles(spark):
+    return [f for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for _, _, files in os.walk(str(d)) for f in files if f.startswith("shuffle_") and f.endswith(".data")]
+
+
 def test_backoff_of_what_one_text_repeats(spark):
     """Pairs that one text alone repeats back off; a lone text knows nothing; equal texts know each other's pairs; a start is no word."""
     rows = [(1, "a b a b a b"), (2, "b a"), (3, "new words here"), (4, "new words here"), (5, None), (6, "")]
