@@ -51,10 +51,10 @@ def preview(chapters: DataFrame, key: str, rows: int = 80, chars: int = 60) -> D
     return chapters.filter(F.col("index") <= rows).select(key, "index", "title", "char_count", F.left("content", F.lit(chars)).alias("beginning"))
 
 
-def resolve_source(payloads: DataFrame) -> DataFrame:
+def resolve_source(payloads: DataFrame, detected: str | None = None) -> DataFrame:
     """payloads (id, text, upload, data_base64, bytes, encoding; any may be null) to source, data, text, encoding, confident.
 
-    A pasted text comes before an upload, base64 and plain bytes; an encoding that is named before one that is found.
+    A pasted text comes before an upload, base64 and plain bytes; an encoding that is named before one that is found. detected: a column to hold what was found of the bytes.
     """
     decoded = F.try_to_binary("data_base64", F.lit("base64"))
     data = F.coalesce("upload", decoded, "bytes")
@@ -63,7 +63,7 @@ def resolve_source(payloads: DataFrame) -> DataFrame:
     rows = payloads.withColumns({"source": source, "data": F.when(~pasted, data)}).withColumn("d", encoding.detect(F.col("data")))
     named = F.col("encoding").isin(list(encoding.CODECS))
     rows = rows.withColumns({"confident": pasted | named | (F.col("d.confident") & F.col("data").isNotNull()), "encoding": F.when(pasted, "UTF-8").when(named, F.col("encoding")).otherwise(F.col("d.encoding"))})
-    return rows.withColumn("text", F.when(pasted, F.col("text")).otherwise(encoding.decode(F.col("data"), F.col("encoding")))).drop("d")
+    return rows.withColumn("text", F.when(pasted, F.col("text")).otherwise(encoding.decode(F.col("data"), F.col("encoding")))).withColumnsRenamed({"d": detected} if detected else {}).drop(*[] if detected else ["d"])
 
 
 def gates(rows: DataFrame, allow_mojibake: bool = False) -> DataFrame:

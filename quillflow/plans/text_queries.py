@@ -301,9 +301,9 @@ def import_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as uploads: detected, decoded and gated."""
     d = E.table(spark, sf_dir, "documents")
     up = d.select("doc_id", F.lit(None).cast("string").alias("text"), F.encode("text", "UTF-8").alias("upload"), F.lit(None).cast("string").alias("data_base64"), F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("string").alias("encoding"))
-    detected = up.select("doc_id", encoding.detect(F.col("upload")).alias("d"))
-    gated = importing.gates(importing.resolve_source(up)).select("doc_id", "rejected")
-    return detected.join(gated, "doc_id").select("doc_id", "d.encoding", "d.confidence", "d.confident", "rejected")
+    # what was found is kept beside the gate: bytes are detected once, and no join takes repeated ids for each other or leaves out null ones
+    gated = importing.gates(importing.resolve_source(up, "found"))
+    return gated.select("doc_id", "found.encoding", "found.confidence", "found.confident", "rejected")
 
 
 @query()

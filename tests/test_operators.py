@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillflow.functions.html import parsed
 from quillflow.functions.titles import BadPattern
 from quillflow.operators import chapters, cleaning, dedupe, fetching, importing, merge, pages, reading, schedule, search, shelf, storage
+from quillflow.plans import text_queries
 
 
 def at(day, hour=0, minute=0, second=0):
@@ -359,6 +360,15 @@ def test_pacing_beyond_the_numbers_of_an_int(spark):
     assert (stats.requests, stats.waits, stats.wait_ms) == (720_000, 719_999, 3000 * 719_999 * 720_000 // 2)
 
 
+def test_import_gates_keeps_repeated_and_missing_ids(spark, tmp_path):
+    rows = [(1, "a text", "en"), (1, "", "en"), (None, " ", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = text_queries.import_gates(spark, str(tmp_path))
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(1, "UTF-8", 0.98, True, None), (1, "UTF-8", 0.0, False, "empty"), (None, "UTF-8", 0.98, True, "empty")]))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") == 1
+
+
 def test_storage(spark):
     f = spark.createDataFrame([("books/a/book.json", 10), ("books/a/chapters/0001.txt", 5), ("index/x.json", 7), (".trash/z", 3), ("library.json.bak", 2), ("settings.json", 4)], "path string, bytes long")
     got = {(r.section, r.owner): r.bytes for r in storage.usage(f).collect()}
