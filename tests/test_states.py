@@ -146,3 +146,55 @@ def test_rows_of_no_order_come_first_at_their_time(spark, tmp_path):
     feed = Feed(spark, tmp_path, JUMPS, lambda s: states.kept_jumps(s, late="0 seconds"))
     feed.put([("u", "2", 1, 0, T0, 7), ("u", None, None, 3, T0, None)])
     assert [(r.event_id, r.book_id, r.chapter_index, r.char_offset) for r in sorted(feed.drain(), key=lambda r: r.event_id or 0)] == [(None, None, None, 3), (7, "2", 1, 0)]
+
+
+def test_many_keys_wait_in_groups_not_each_by_itself(spark, tmp_path):
+    n = 2_000
+    feed = Feed(spark, tmp_path, JUMPS, lambda s: states.kept_jumps(s, late="10 minutes"))
+    feed.put([(f"u{i}", "1", 1, 0, T0 + timedelta(seconds=i % 60), i) for i in range(n)])
+    assert not feed.drain()
+    assert 0 < feed.held("waiting") <= 1024
+    feed.put([("z", "9", 1, 1, T0 + timedelta(days=1), n)])
+    got = feed.drain()
+    assert sorted((r.event_id, r.owner_id) for r in got) == [(i, f"u{i}") for i in range(n)]
+    assert feed.held("state") == n and feed.held("waiting") == 1
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_keys_of_a_group_have_states_and_ends_of_their_own(spark, tmp_path, groups):
+    rng = random.Random(9)
+    rows = [(rng.randrange(12) - 4, rng.randrange(40_000), i) for i in range(400)]
+    rows.sort(key=lambda r: r[1] + rng.randrange(600))  # out of order, within what may be late
+
+    def fold(state, row):
+        now = (row.at_ms, 0) if state is None else (state[0], state[1] + 1)
+        return now, [(row["_order"], now[0], now[1])]
+
+    def build(stream):
+        return states.in_order(stream, "k", "at", "n", [], fold, "since long, seen int", "n long, since long, seen int", "600 seconds", 900, groups)
+
+    feed = Feed(spark, tmp_path, "k long, at timestamp, n int", build)
+    last = (7, 45_000, 400)
+    put = [(k, T0 + timedelta(seconds=s), n) for k, s, n in [*rows, last]]
+    feed.put(put[:150], put[150:250])
+    feed.drain()
+    feed.put(put[250:400], put[400:])
+    got = {r.n: (r.k, r.since, r.seen) for r in feed.drain()}
+    zero, want, head = int(T0.timestamp() * 1000), {}, {}
+    for k, s, n in sorted(rows, key=lambda r: r[1:]):
+        since, seen = head.get(k, (s, -1))
+        head[k] = (s, 0) if s - since >= 900 else (since, seen + 1)
+        want[n] = (k, head[k][0], head[k][1])
+    offset = min(v[1] for v in got.values()) - min(v[1] for v in want.values()) * 1000
+    assert abs(offset - zero) <= 14 * 3_600_000 and got == {n: (k, since * 1000 + offset, seen) for n, (k, since, seen) in want.items()}
+    assert feed.held("state") == 0 and feed.held("ends") == 0 and feed.held("waiting") == 1
+
+
+def test_ends_are_rounded_up_and_a_state_begun_anew_outlives_its_first_end(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "upload_id string, at timestamp, event_id int, is_upload boolean", lambda s: states.staged_uploads(s, late="0 seconds"))
+    at = lambda s: T0 + timedelta(seconds=s)
+    feed.put([("a", at(0), 1, True)], [("a", at(5000), 2, True)], [("b", at(7200 + 7200 // 64 + 1), 3, False)])
+    feed.drain()
+    assert feed.held("state") == 1 and feed.held("ends") == 1
+    feed.put([("a", at(12_199), 4, False), ("a", at(12_200), 5, False)])
+    assert {r.event_id: r.found for r in feed.drain()} == {3: False, 4: True, 5: False}
