@@ -66,14 +66,14 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(first)
         return iter(())
 
-    def _keys(self, frame: pd.DataFrame) -> np.ndarray | None:
+    def _keys(self, frame: pd.DataFrame) -> pd.Series | None:
         """The rows' keys, where they have not one in common."""
         return None
 
-    def _put(self, at: np.ndarray, order: np.ndarray, values: list[str] | None, keys: np.ndarray | None) -> None:
+    def _put(self, at: np.ndarray, order: np.ndarray, values: list[str] | None, keys: pd.Series | None) -> None:
         keyed = ()
         if keys is not None:
-            codes, names = pd.factorize(keys)
+            codes, names = pd.factorize(keys, use_na_sentinel=False)
             keyed = (codes.astype(np.int32).tobytes(), names.tolist())
         self.waiting.updateValue((uuid.uuid4().hex,), (pickle.dumps((at.tobytes(), order.tobytes(), values, *keyed)),))
 
@@ -130,7 +130,7 @@ class InOrder(StatefulProcessor):
         if len(taken) and (len(later) or first is not None):
             self.handle.registerTimer(min([*([int(at[later].min())] if len(later) else []), *([first] if first is not None else [])]))
 
-    def _again(self, keys: list, which: np.ndarray) -> np.ndarray | None:
+    def _again(self, keys: list, which: np.ndarray) -> pd.Series | None:
         """The keys of rows that wait on, as _keys has them."""
         return None
 
@@ -185,11 +185,11 @@ class InGroups(InOrder):
         self.state = handle.getMapState("state", self.key_ddl, self.state_ddl)
         self.ends = handle.getMapState("ends", "at_ms long", "keys binary")
 
-    def _keys(self, frame: pd.DataFrame) -> np.ndarray:
-        return frame[self.key].to_numpy()
+    def _keys(self, frame: pd.DataFrame) -> pd.Series:
+        return frame[self.key]
 
-    def _again(self, keys: list, which: np.ndarray) -> np.ndarray:
-        return pd.Series(keys).to_numpy()[which]
+    def _again(self, keys: list, which: np.ndarray) -> pd.Series:
+        return pd.Series(keys).iloc[which]
 
     def _held(self, key) -> tuple | None:
         state = self.state.getValue((key,))

@@ -160,10 +160,10 @@ def test_many_keys_wait_in_groups_not_each_by_itself(spark, tmp_path):
     assert feed.held("state") == n and feed.held("waiting") == 1
 
 
-@pytest.mark.parametrize("groups", [1, 3])
-def test_keys_of_a_group_have_states_and_ends_of_their_own(spark, tmp_path, groups):
+@pytest.mark.parametrize("groups, kind, of", [(1, "long", lambda k: k - 4), (3, "date", lambda k: T0.date() + timedelta(days=k)), (2, "timestamp", lambda k: T0 + timedelta(hours=k))])
+def test_keys_of_a_group_have_states_and_ends_of_their_own(spark, tmp_path, groups, kind, of):
     rng = random.Random(9)
-    rows = [(rng.randrange(12) - 4, rng.randrange(40_000), i) for i in range(400)]
+    rows = [(of(rng.randrange(12)), rng.randrange(40_000), i) for i in range(400)]
     rows.sort(key=lambda r: r[1] + rng.randrange(600))  # out of order, within what may be late
 
     def fold(state, row):
@@ -173,8 +173,8 @@ def test_keys_of_a_group_have_states_and_ends_of_their_own(spark, tmp_path, grou
     def build(stream):
         return states.in_order(stream, "k", "at", "n", [], fold, "since long, seen int", "n long, since long, seen int", "600 seconds", 900, groups)
 
-    feed = Feed(spark, tmp_path, "k long, at timestamp, n int", build)
-    last = (7, 45_000, 400)
+    feed = Feed(spark, tmp_path, f"k {kind}, at timestamp, n int", build)
+    last = (of(7), 45_000, 400)
     put = [(k, T0 + timedelta(seconds=s), n) for k, s, n in [*rows, last]]
     feed.put(put[:150], put[150:250])
     feed.drain()
